@@ -61,12 +61,27 @@ def pretokens(text: str, special: tuple[str, ...]) -> Counter:
     return found
 
 
+def packed(at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers as steps of 16 bits and their counts of 8 bits; what is larger takes several entries."""
+    step = np.diff(at, prepend=0)
+    if not len(at) or (step.max() < 1 << 16 and counts.max() < 256):
+        return step.astype("<u2"), counts.astype("u1")
+    skip, turns = step // 65535, np.maximum(1, -(-counts // 255))
+    size = skip + turns
+    of = np.repeat(np.arange(len(at)), size)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    skipped, last = place < skip[of], place == size[of] - 1
+    steps = np.where(skipped, 65535, np.where(place == skip[of], step[of] - 65535 * skip[of], 0))
+    each = np.where(skipped, 0, np.where(last, counts[of] - 255 * (turns[of] - 1), 255))
+    return steps.astype("<u2"), each.astype("u1")
+
+
 def blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Pre-token frequencies of blocks of documents, one row per block.
 
     ``docs`` has ``key`` and ``text`` and is a stored table: a block is named by its place in it.
     Pre-tokens of one piece are counted at once (``base``); of the others a row holds the distinct
-    ones and, document by document, sorted numbers of them (as steps) and counts.
+    ones and, document by document, ``entries`` packed numbers of them with counts.
     """
 
     def gathered(batches):
@@ -92,11 +107,12 @@ def blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
                 base.append(sum(found.values()) - sum(map(found.__getitem__, rest)))
                 at = np.array([number.setdefault(t, len(number)) for t in rest], np.int64)
                 order = np.argsort(at)
-                steps.append(np.diff(at[order], prepend=0).astype("<u4").tobytes())
-                counts.append(np.array([found[t] for t in rest], "<u4")[order].tobytes())
+                step, count = packed(at[order], np.array([found[t] for t in rest], np.int64)[order])
+                steps.append(step.tobytes())
+                counts.append(count.tobytes())
                 keys.append(key)
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
-                entries.append(len(rest))
+                entries.append(len(step))
                 chars += len(text)
                 if len(keys) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
                     yield close(state)
@@ -113,38 +129,53 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, key: str =
     Tokens are those of the ``tokenizers`` library for the file, without begin, end or added
     special tokens; special strings in a text are its special tokens, as by default. Null texts
     count as empty. Every row of ``docs`` gives a row, also if keys are null or repeated; further
-    columns are left out. No token ids are made for texts: pieces are counted once per distinct
-    pre-token of the whole table. A block's distinct pre-tokens meet their counts by a join whose
-    rows are at most one per block for even the most frequent pre-token.
+    columns are left out. No token ids are made for texts: a pre-token's rows, at most one per
+    block for even the most frequent, meet in one sorted partition, where its pieces are counted
+    once and joined to them; counts then return to their blocks.
     """
-    table = materialise(blocks(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), tokenizer), "frequencies")
+    table = materialise(blocks(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), tokenizer), "frequencies", compression="zstd")
     used = table.select("block", F.posexplode("pretokens").alias("at", "pretoken"))
 
     def pieces(batches):
+        """Runs of one pre-token are counted once; what a partition knows of a block is one packed row."""
+        lib, last, known = library(tokenizer), (None, 0), {}
         for batch in batches:
-            words = batch.column(0)
-            counted = [len(e.ids) for e in library(tokenizer).encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([words, pa.array(counted, pa.int32())], names=["word", "pieces"])
-
-    table = table.select(*[F.col(c).alias(c) for c in table.columns])  # columns of its own beside those of ``used``
-    counted = used.select(F.col("pretoken").alias("word")).distinct().mapInArrow(pieces, "word string, pieces int")
-    joined = used.join(counted, used.pretoken == counted.word).select("block", "at", "pieces")
+            words = batch.column(2)
+            runs = words.dictionary_encode()
+            distinct = runs.dictionary.to_pylist()
+            fresh = [w for w in distinct if w != last[0]]
+            counted = dict(zip(fresh, (len(e.ids) for e in lib.encode_batch_fast(fresh, add_special_tokens=False)))) | {last[0]: last[1]}
+            of = np.array([counted[w] for w in distinct], "<i4")[runs.indices.to_numpy()]
+            last = (words[-1].as_py(), int(of[-1]))
+            block, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.argsort(block, kind="stable")
+            for part in np.split(order, np.nonzero(np.diff(block[order]))[0] + 1):
+                known.setdefault(int(block[part[0]]), []).append((at[part].astype("<i4").tobytes(), of[part].tobytes()))
+        names = list(known)
+        for a in range(0, len(names), 256):
+            rows = [(n, b"".join(x for x, _ in known[n]), b"".join(x for _, x in known[n])) for n in names[a : a + 256]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["block", "at", "pieces"])
+
+    sorted_used = used.where("length(pretoken) > 0").repartition("pretoken").sortWithinPartitions("pretoken")
+    joined = sorted_used.mapInArrow(pieces, "block long, at binary, pieces binary")
 
     def summed(numbers: pa.Table, block: pa.Table) -> pa.Table:
         out = []
+        at = np.frombuffer(b"".join(numbers.column("at").to_pylist()) if numbers.num_rows else b"", "<i4")
+        of = np.frombuffer(b"".join(numbers.column("pieces").to_pylist()) if numbers.num_rows else b"", "<i4")
+        each = np.zeros(len(at) + 1, np.int64)
+        each[at] = of
         for row in block.to_pylist():
-            each = np.zeros(len(numbers), np.int64)
-            each[numbers.column("at").to_numpy()] = numbers.column("pieces").to_numpy()
-            entries, steps = np.array(row["entries"], np.int64), np.frombuffer(row["steps"], "<u4").astype(np.int64)
+            entries = np.array(row["entries"], np.int64)
             doc = np.repeat(np.arange(len(entries)), entries)
-            run = np.cumsum(steps)
-            ends = np.cumsum(entries)
-            before = np.concatenate([[0], run])[ends - entries]
-            tokens = each[run - before[doc]] * np.frombuffer(row["counts"], "<u4") if len(steps) else np.zeros(0, np.int64)
+            run = np.cumsum(np.frombuffer(row["steps"], "<u2").astype(np.int64))
+            before = np.concatenate([[0], run])[np.cumsum(entries) - entries]
+            tokens = each[run - before[doc]] * np.frombuffer(row["counts"], "u1")
             total = np.array(row["base"], np.int64) + np.bincount(doc, weights=tokens, minlength=len(entries)).astype(np.int64)
             out.append(pa.table({key: pa.array(row["keys"], pa.int64()), "n_bytes": pa.array(row["n_bytes"], pa.int64()), "n_tokens": total}))
         return pa.concat_tables(out) if out else pa.table({key: pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64())})
 
-    per_block = joined.groupBy("block").cogroup(table.drop("pretokens").groupBy("block"))
-    result = per_block.applyInArrow(summed, f"`{key}` long, n_bytes long, n_tokens long")
+    table = table.drop("pretokens")
+    table = table.select(*[F.col(c).alias(c) for c in table.columns])  # columns of its own beside those of ``joined``
+    result = joined.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(summed, f"`{key}` long, n_bytes long, n_tokens long")
     return result.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
