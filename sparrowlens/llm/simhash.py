@@ -3,7 +3,8 @@
 Fingerprints are partitioned by Hamming distance to vantage points. A link of radius r between a
 point inside a ball and one outside means that the inside one lies within r of the ball's
 surface (triangle inequality), so only those inside points are also sent outside; each shard is
-then searched exactly, pruning with its own vantage points.
+then searched exactly, pruning with its own vantage points. For near copies of a stated similarity
+a wide radius finds candidates, which min-wise sketches of word shingles confirm in the shard.
 """
 
 from __future__ import annotations
@@ -60,11 +61,27 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", out: str =
     return docs.withColumn(out, hashed(F.col(text)))
 
 
+def sketch(text: str | None, words: int = 5, bins: int = 128) -> bytes:
+    """A byte per bin: the least hash of the word shingles that fall into it, by one-permutation hashing.
+
+    The share of equal bytes of two sketches estimates the Jaccard similarity of their shingle
+    sets. An empty bin takes the next filled one; a text of fewer words is one shingle.
+    """
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    lines = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
+    least = np.full(bins, np.iinfo(np.uint64).max)
+    np.minimum.at(least, (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
+    filled = np.nonzero(least != np.iinfo(np.uint64).max)[0]
+    take = filled[np.searchsorted(filled, np.arange(bins)) % len(filled)]
+    return ((least[take] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def distances(points: np.ndarray, vantage) -> np.ndarray:
     return np.bitwise_count(points ^ np.uint64(vantage)).astype(np.int16)
 
 
-def plan_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int] | None]:
+def plan_tree(sample: np.ndarray, depth: int, radius: int = RADIUS) -> list[tuple[int, int] | None]:
     """A balanced vantage-point tree over the sample as an array heap: (vantage point, radius) or None for a leaf."""
     tree: list[tuple[int, int] | None] = [None] * (2 ** (depth + 1) - 1)
     parts = {0: np.unique(sample)}
@@ -76,7 +93,7 @@ def plan_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int] | None]:
         for v in part[:: max(1, len(part) // 4)][:4]:  # the candidate whose median leaves least next to the surface
             d = distances(part, v)
             mu = int(np.median(d))
-            inside, near = (d <= mu).mean(), ((d <= mu) & (d > mu - RADIUS)).mean()
+            inside, near = (d <= mu).mean(), ((d <= mu) & (d > mu - radius)).mean()
             cost = near + abs(inside - 0.5)
             if 0.1 < inside < 0.9 and (best is None or cost < best[0]):
                 best = (cost, int(v), mu, d)
@@ -107,90 +124,110 @@ def route(points: np.ndarray, tree: list[tuple[int, int] | None], radius: int) -
         todo.append((2 * node + 2, idx[to_out], home[to_out] & ~inside[to_out]))
 
 
-def local_links(fps: np.ndarray, ids: np.ndarray, home: np.ndarray, radius: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def local_links(fps: np.ndarray, ids: np.ndarray, home: np.ndarray, radius: int, sketches: np.ndarray | None = None, similarity: float = 0.0, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Star links (id, least id of its group) of the points of one shard that lie within the radius of one another.
 
     Points are sorted by their distance to a vantage point; by the triangle inequality only a
     window of that order can hold partners, and a second vantage point prunes the window again.
+    With sketches, partners must also share at least ``similarity`` of their bytes. Pairs of points
+    that are in one group already aren't looked at again, so a large group costs no list of pairs.
     """
     n = len(fps)
-    parent = np.arange(n)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     first, second = fps[0], fps[int(np.argmax(distances(fps, fps[0])))]
     da, db = distances(fps, first), distances(fps, second)
     order = np.lexsort((db, da))
     fps, ids, home, da, db = fps[order], ids[order], home[order], da[order], db[order]
-    key = da.astype(np.int32) * 128 + db
-    for at in range(0, n, block):
-        to = min(n, at + block)
-        for shell in range(int(da[at]), int(da[to - 1]) + radius + 1):  # partners at or after the own shell
-            lo, hi = np.searchsorted(key, [shell * 128, (shell + 1) * 128])
-            rows = np.arange(at, to)[(da[at:to] <= shell) & (da[at:to] >= shell - radius)]
-            if lo == hi or not len(rows):
+    sketches = None if sketches is None else sketches[order]
+    group = np.arange(n)  # of a point: the least place in its group
+    own = np.nonzero(home)[0]
+    shells = np.searchsorted(da, np.arange(66))
+    for at in range(0, len(own), block):
+        rows = own[at : at + block]
+        links = []
+        for shell in range(max(0, int(da[rows[0]]) - radius), min(64, int(da[rows[-1]]) + radius) + 1):
+            lo, hi = int(shells[shell]), int(shells[shell + 1])
+            part = rows[np.abs(da[rows] - shell) <= radius]
+            if lo == hi or not len(part):
                 continue
-            for cut in range(0, len(rows), 256):
-                part = rows[cut : cut + 256]
-                a, b = np.searchsorted(db[lo:hi], [int(db[part].min()) - radius, int(db[part].max()) + radius + 1])
-                i, j = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[None, lo + a : lo + b]) <= radius)
-                i, j = part[i], j + lo + a
-                use = (j > i) & (home[i] | home[j])
-                for x, y in zip(i[use].tolist(), j[use].tolist()):
-                    x, y = root(x), root(y)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-    roots = np.array([root(x) for x in range(n)], np.int64)
+            a, b = np.searchsorted(db[lo:hi], [int(db[part].min()) - radius, int(db[part].max()) + radius + 1])
+            i, j = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[None, lo + a : lo + b]) <= radius)
+            i, j = part[i], j + lo + a
+            new = (group[i] != group[j]) & ((j > i) | ~home[j])
+            links.append(np.stack([i[new], j[new]]))
+        i, j = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
+        for cut in range(0, len(i), 1 << 15):
+            x, y = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
+            differ = group[x] != group[y]
+            x, y = x[differ], y[differ]
+            if sketches is not None:
+                alike = (sketches[x] == sketches[y]).mean(axis=1) >= similarity
+                x, y = x[alike], y[alike]
+            while len(x):  # merge groups: every group takes the least one it is linked to
+                pairs = np.unique(np.stack([np.maximum(group[x], group[y]), np.minimum(group[x], group[y])]), axis=1)
+                to = np.arange(n)
+                np.minimum.at(to, pairs[0], pairs[1])
+                while (to[to] != to).any():
+                    to = to[to]
+                group = to[group]
+                differ = group[x] != group[y]
+                x, y = x[differ], y[differ]
     least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, roots, ids)
-    linked = ids != least[roots]
-    return ids[linked], least[roots][linked]
+    np.minimum.at(least, group, ids)
+    linked = ids != least[group]
+    return ids[linked], least[group][linked]
+
 
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, similarity: float = 0.0, leaf: int = LEAF) -> DataFrame:
+    """Links (a, b) that join all points within the radius; ``fps`` has ``fp``, an ``id`` for each point, and ``sketch``.
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """Links (a, b) that join all fingerprints within the radius; ``fps`` has distinct ``fp`` and an ``id`` for each."""
+    With a ``similarity`` the sketches of linked points share at least so much.
+    """
     spark = fps.sparkSession
     n = fps.count()
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n / leaf))))))
     want = SAMPLE_PER_LEAF * 2**depth
     take = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // want))) == 0).limit(2 * want)
-    tree = plan_tree(np.array([r.fp for r in take.collect()], np.int64).view(np.uint64), depth) if depth else [None]
+    tree = plan_tree(np.array([r.fp for r in take.collect()], np.int64).view(np.uint64), depth, radius) if depth else [None]
     shared = spark.sparkContext.broadcast(tree)  # at most 2 ** (MAX_DEPTH + 1) nodes
 
     def routed(batches):
         for batch in batches:
-            points, ids = batch.column("fp").to_numpy().view(np.uint64), batch.column("id").to_numpy()
+            points, ids, sketches = batch.column("fp").to_numpy().view(np.uint64), batch.column("id").to_numpy(), batch.column("sketch")
             for shard, idx, home in route(points, shared.value, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), shard, np.int32)), pa.array(points[idx].view(np.int64)), pa.array(ids[idx]), pa.array(home)], names=["shard", "fp", "id", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), shard, np.int32)), pa.array(points[idx].view(np.int64)), pa.array(ids[idx]), pa.array(home), sketches.take(pa.array(idx))], names=["shard", "fp", "id", "home", "sketch"])
 
     def searched(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in table.column_names}
-        a, b = local_links(col["fp"].view(np.uint64), col["id"], col["home"].astype(bool), radius)
+        col = {c: table.column(c).to_numpy() for c in ("fp", "id", "home")}
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1) if similarity else None
+        a, b = local_links(col["fp"].view(np.uint64), col["id"], col["home"].astype(bool), radius, sketches, similarity)
         return pa.table({"a": a, "b": b})
 
-    shards = fps.select("fp", "id").mapInArrow(routed, "shard int, fp long, id long, home boolean")
+    shards = fps.select("fp", "id", "sketch").mapInArrow(routed, "shard int, fp long, id long, home boolean, sketch binary")
     return shards.groupBy("shard").applyInArrow(searched, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, key: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, similarity: float = 0.0, key: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
     """One row per document: key, ``fp`` (long) and ``component_id``, the least key it reaches over links.
 
-    Two documents link when their fingerprints differ in at most ``radius`` bits; null and empty
-    texts have fingerprint 0 and link like any other. Rows with a null key are returned with a null
+    Two documents link when their fingerprints differ in at most ``radius`` bits and, if a
+    ``similarity`` is given, so much of their five-word shingles is shared as sketches tell; null
+    and empty texts have fingerprint 0 and link like any other. Rows with a null key are returned with a null
     component if nothing with a key is in reach, and never name a component. Repeated rows are
     returned as often as they come; further columns of ``docs`` are left out. An empty table gives
     an empty result. Only distinct fingerprints are searched, so copies cost nothing more.
     """
-    hashed = materialise(fingerprints(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")), words, "t").select("id", "fp"), "fingerprints")
-    distinct = hashed.groupBy("fp").agg(F.min("id").alias("id"))
+
+    @F.pandas_udf("binary")
+    def sketched(texts):
+        return texts.map(sketch, na_action=None)
+
+    hashed = fingerprints(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")), words, "t")
+    hashed = materialise(hashed.select("id", "fp", (sketched("t") if similarity else F.lit(b"")).alias("sketch")), "fingerprints")
+    distinct = hashed.groupBy("fp", "sketch").agg(F.min("id").alias("id"))
     distinct = materialise(distinct.where("id is not null"), "distinct")
-    found = connected_components(fingerprint_links(distinct, radius, leaf))
-    named = distinct.join(found, distinct.id == found.node, "left").select(F.col("fp").alias("f"), F.coalesce("component", "id").alias("component_id"))
-    return hashed.join(named, hashed.fp == named.f, "left").select(F.col("id").alias(key), "fp", "component_id")
+    found = connected_components(fingerprint_links(distinct, radius, similarity, leaf))
+    named = distinct.join(found, distinct.id == found.node, "left").select(F.col("fp").alias("f"), F.col("sketch").alias("s"), F.coalesce("component", "id").alias("component_id"))
+    return hashed.join(named, (hashed.fp == named.f) & (hashed.sketch == named.s), "left").select(F.col("id").alias(key), "fp", "component_id")
 
 
 def hex64(col):
@@ -198,12 +235,15 @@ def hex64(col):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 3, radius: int = 10, similarity: float = 0.8) -> DataFrame:
     """Keep the document with the least ``doc_id`` of each component; columns as given.
 
+    Near copies share at least ``similarity`` of their five-word shingles. Their fingerprints differ
+    by more than a few bits, so the radius is wide and sketches confirm what it finds.
+
     A document is a ``doc_id``: rows that repeat one stay or go together. Rows without an id can't
     be told apart and stay.
     """
-    keep = near_duplicates(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    keep = near_duplicates(docs, words, radius, similarity, leaf=2 * LEAF).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(keep, docs.doc_id == keep._keep, "left_semi")
     return kept.unionByName(docs.where("doc_id is null"))
