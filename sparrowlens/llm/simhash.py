@@ -177,14 +177,14 @@ def local_links(fps: np.ndarray, ids: np.ndarray, home: np.ndarray, radius: int,
     return ids[linked], least[group][linked]
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, similarity: float = 0.0, leaf: int = LEAF) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, similarity: float = 0.0, leaf: int = LEAF, least_depth: int = 0) -> DataFrame:
     """Links (a, b) that join all points within the radius; ``fps`` has ``fp``, an ``id`` for each point, and ``sketch``.
 
     With a ``similarity`` the sketches of linked points share at least so much.
     """
     spark = fps.sparkSession
     n = fps.count()
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n / leaf))))))
+    depth = min(MAX_DEPTH, max(least_depth, int(np.ceil(np.log2(max(1, n / leaf))))))
     want = SAMPLE_PER_LEAF * 2**depth
     take = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // want))) == 0).limit(2 * want)
     tree = plan_tree(np.array([r.fp for r in take.collect()], np.int64).view(np.uint64), depth, radius) if depth else [None]
@@ -206,7 +206,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, similarity: float =
     return shards.groupBy("shard").applyInArrow(searched, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, similarity: float = 0.0, key: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, similarity: float = 0.0, key: str = "doc_id", text: str = "text", leaf: int = LEAF, least_depth: int = 0) -> DataFrame:
     """One row per document: key, ``fp`` (long) and ``component_id``, the least key it reaches over links.
 
     Two documents link when their fingerprints differ in at most ``radius`` bits and, if a
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, simil
     hashed = materialise(hashed.select("id", "fp", (sketched("t") if similarity else F.lit(b"")).alias("sketch")), "fingerprints")
     distinct = hashed.groupBy("fp", "sketch").agg(F.min("id").alias("id"))
     distinct = materialise(distinct.where("id is not null"), "distinct")
-    found = connected_components(fingerprint_links(distinct, radius, similarity, leaf))
+    found = connected_components(fingerprint_links(distinct, radius, similarity, leaf, least_depth))
     named = distinct.join(found, distinct.id == found.node, "left").select(F.col("fp").alias("f"), F.col("sketch").alias("s"), F.coalesce("component", "id").alias("component_id"))
     return hashed.join(named, (hashed.fp == named.f) & (hashed.sketch == named.s), "left").select(F.col("id").alias(key), "fp", "component_id")
 
@@ -239,11 +239,12 @@ def deduplicate(docs: DataFrame, words: int = 3, radius: int = 10, similarity: f
     """Keep the document with the least ``doc_id`` of each component; columns as given.
 
     Near copies share at least ``similarity`` of their five-word shingles. Their fingerprints differ
-    by more than a few bits, so the radius is wide and sketches confirm what it finds.
+    by more than a few bits, so the radius is wide and sketches confirm what it finds. Every level
+    of the tree then sends most points to both sides, so shards are larger and levels fewer.
 
     A document is a ``doc_id``: rows that repeat one stay or go together. Rows without an id can't
     be told apart and stay.
     """
-    keep = near_duplicates(docs, words, radius, similarity, leaf=2 * LEAF).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    keep = near_duplicates(docs, words, radius, similarity, leaf=8 * LEAF, least_depth=4).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(keep, docs.doc_id == keep._keep, "left_semi")
     return kept.unionByName(docs.where("doc_id is null"))
