@@ -1,8 +1,8 @@
 """The catalogue of named queries."""
 
-from . import audit
+from . import audit, outreach
 
-PARTS = [audit]
+PARTS = [audit, outreach]
 
 
 def queries():
