@@ -19,6 +19,8 @@ from .shared import materialise
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds; seeds and documents that a pattern needs; confidence that a pattern and a discovery need.
 ROUNDS, LEAST_SEEDS, LEAST_DOCS, PATTERN_CONFIDENCE, CONFIDENCE = 3, 3, 3, 0.8, 0.9
+#: How much an instance that nothing is known of yet counts against a pattern.
+UNKNOWN = 0.25
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -124,9 +126,10 @@ def score_graph(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Discovered instances (kind, value) with their ``confidence``.
 
     ``mentions``: row, kinds, seed, value, pattern. In each round a pattern's confidence in a kind
-    is the mean confidence of all distinct instances that it stands beside, seeds being sure, and
-    an instance's confidence joins its sure patterns' by noisy-or. A pattern needs seeds of at
-    least LEAST_SEEDS values in LEAST_DOCS documents, so chance contexts drop out.
+    is the confidence of the distinct instances that it stands beside, seeds being sure, against
+    that and UNKNOWN times what isn't sure; an instance's confidence joins its sure patterns' by
+    noisy-or. A pattern needs seeds of at least LEAST_SEEDS values in LEAST_DOCS documents, so
+    chance contexts drop out.
     """
     edges = mentions.select(F.explode("kinds").alias("kind"), "value", "seed", "pattern", "row")
     sure = edges.where("seed").groupBy("kind", "pattern").agg(F.countDistinct("value").alias("n"), F.countDistinct("row").alias("d"))
@@ -137,7 +140,7 @@ def score_graph(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         now = edges if known is None else edges.join(known, ["kind", "value"], "left")
         score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce(F.col("confidence"), F.lit(0.0)) if known is not None else F.lit(0.0))
         # half an instance of doubt keeps small patterns from being certain
-        patterns = now.groupBy("kind", "pattern").agg((F.sum(score) / (F.count("*") + F.lit(0.5))).alias("p")).where(F.col("p") >= PATTERN_CONFIDENCE)
+        patterns = now.groupBy("kind", "pattern").agg((F.sum(score) / (F.sum(score) + UNKNOWN * F.sum(1.0 - score) + 0.5)).alias("p")).where(F.col("p") >= PATTERN_CONFIDENCE)
         doubt = F.sum(F.log(1.0 - F.least("p", F.lit(0.999))))
         known = edges.where(~F.col("seed")).join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg((1.0 - F.exp(doubt)).alias("confidence"))
     return known.where(F.col("confidence") >= CONFIDENCE)
