@@ -1,8 +1,8 @@
 """The catalogue of named queries."""
 
-from . import audit, outreach
+from . import audit, leads, outreach
 
-PARTS = [audit, outreach]
+PARTS = [audit, outreach, leads]
 
 
 def queries():
