@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import email as mail
+from .review import name_overlap
 
 # Roles with their base score, and category words that raise a task.
 ROLE_SCORES = {"CEO": 25, "HEAD_OF_ECOMMERCE": 20, "HEAD_OF_PRODUCT": 12, "HEAD_OF_GROWTH": 8}
@@ -83,9 +84,8 @@ def review_queue(items: DataFrame) -> DataFrame:
 
 
 def token_overlap(a: Column, b: Column) -> Column:
-    """Shared words of two names over the larger count of words."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: w != ""))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(words(a), words(b))).cast("double"), F.greatest(F.size(words(a)), F.size(words(b)))), F.lit(0.0))
+    """Shared words of two characters or more of two names over the words of the shorter one; 0 if a name is null."""
+    return F.coalesce(name_overlap(a, b), F.lit(0.0))
 
 
 def remaining(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, web
-from ..operators import results, scoring
+from ..functions import extract, text, web
+from ..operators import results, review, scoring
 from ..sources import files
 from ..sources.views import CATEGORIES, Views
 from .audit import WITH as AUDIT
@@ -164,12 +164,82 @@ def _tags(v: Views):
     wanted = v.table("nation").where("n_nationkey % 4 = 0").select(F.col("n_nationkey").alias("company_id"), (F.col("n_regionkey") + 100).cast("long").alias("tag_id"))
     return files.replace_links(tags, wanted, wanted, "company_id")
 
+# reviews
+DECISIONS = [*review.APPROVES, "SKIP", "KEEP_EXISTING", "REJECT_CANDIDATE", "NEEDS_MORE_RESEARCH"]
+
+
+def _decided(v: Views):
+    key = F.col("p_partkey")
+    filled = lambda k, c: F.when(key % k != 0, F.lit(c))
+    return v.table("part").select(key.alias("reviewId"), F.when(key % 4 == 0, review.EMAIL_BUCKETS[0]).otherwise("ROLE_WEAK_WITH_CANDIDATE").alias("bucket"), F.get(F.array(*map(F.lit, DECISIONS)), (key % 8).cast("int")).alias("humanDecision"), filled(3, "n").alias("candidateName"), filled(5, "l").alias("candidateLinkedin"), filled(7, "e").alias("candidateEmail"))
+
+
+_DECIDED = f"""WITH d AS (SELECT p_partkey AS k, ({_list(DECISIONS)})[p_partkey % 8 + 1] AS d, p_partkey % 3 <> 0 AS n, p_partkey % 5 <> 0 AS l, p_partkey % 7 <> 0 AS e, p_partkey % 4 = 0 AS eb FROM part)
+SELECT k AS "reviewId", d AS decision, list_filter([CASE WHEN d IN ('APPROVE_CANDIDATE','APPROVE_ROLE_ONLY','APPROVE_ROLE_AND_LINKEDIN') AND n THEN 'NAME' END, CASE WHEN d IN ('APPROVE_CANDIDATE','APPROVE_ROLE_AND_LINKEDIN') AND l THEN 'LINKEDIN' END,
+  CASE WHEN e AND (d = 'APPROVE_EMAIL_ONLY' OR d = 'APPROVE_CANDIDATE' AND eb) THEN 'EMAIL' END], lambda x: x IS NOT NULL) AS approved,
+  list_filter([CASE WHEN d IN ('APPROVE_CANDIDATE','APPROVE_ROLE_ONLY','APPROVE_ROLE_AND_LINKEDIN') AND NOT n THEN d || ' but no candidateName' END, CASE WHEN d = 'APPROVE_ROLE_AND_LINKEDIN' AND NOT l THEN d || ' but no candidateLinkedin' END, CASE WHEN d = 'APPROVE_EMAIL_ONLY' AND NOT e THEN d || ' but no candidateEmail' END], lambda x: x IS NOT NULL) AS issues FROM d"""
+STATUSES = ["RESOLVED_STRONG", "RESOLVED_PROBABLE", "UNRESOLVED_WEAK", "UNRESOLVED_NONE"]
+
+
+def _reviewed(v: Views):
+    key = F.col("p_partkey")
+    pick = lambda names, k: F.get(F.array(*map(F.lit, names)), (F.floor(key / k) % len(names)).cast("int"))
+    return v.table("part").select(
+        key.alias("row_key"), F.when(key % 2 == 0, "CEO").otherwise("HEAD_OF_GROWTH").alias("role"), pick(STATUSES, 1).alias("role_status"), F.when(key % 5 != 0, F.initcap("p_name")).alias("full_name"),
+        F.when(key % 3 != 0, "https://x.example/in/a").alias("link"), (key % 100).cast("int").alias("role_score"), pick(["PLAUSIBLE", "SUSPICIOUS", "IMPLAUSIBLE"], 4).alias("plausibility"), pick(["RESOLVED_INFERRED", "UNRESOLVED"], 12).alias("email_status"),
+        pick(["WEAK", "PROBABLE"], 24).alias("email_label"), F.when(key % 7 != 0, "a@b.example").alias("chosen_email"), F.when(key % 11 == 0, F.upper("p_name")).alias("existing_name"), (key % 3).cast("int").alias("domain_emails"), (key % 13 == 0).alias("written"),
+        F.when(key % 4 == 1, F.array(F.struct(F.lit("Old").alias("old"), F.lit("new").alias("new")), F.struct(F.lit("Same").alias("old"), F.lit("same ").alias("new")))).alias("held"))
+
+
+_REVIEWED = f"""WITH f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'CEO' ELSE 'HEAD_OF_GROWTH' END AS role, ({_list(STATUSES)})[p_partkey % 4 + 1] AS st, p_partkey % 5 <> 0 AS c, p_partkey % 3 <> 0 AS l, p_partkey % 100 AS sc, p_partkey // 4 % 3 AS pl, p_partkey // 12 % 2 AS em, p_partkey // 24 % 2 AS lb FROM part),
+g AS (SELECT *, st = 'RESOLVED_PROBABLE' AND pl = 0 AND k % 13 <> 0 AND NOT (c AND k % 11 = 0) AS a, st = 'UNRESOLVED_WEAK' AND c AND pl < 2 AS b, st IN ('RESOLVED_STRONG', 'RESOLVED_PROBABLE') AS r, CASE WHEN st = 'RESOLVED_STRONG' THEN 'HIGH' ELSE 'MEDIUM' END AS p FROM f WHERE c OR st <> 'UNRESOLVED_NONE'),
+items AS (SELECT k AS row_key, role, 'ROLE_PROBABLE_NOT_WRITTEN' AS bucket, 'HIGH' AS priority FROM g WHERE a UNION ALL SELECT k, role, 'ROLE_WEAK_WITH_CANDIDATE', CASE WHEN pl = 0 THEN 'MEDIUM' ELSE 'LOW' END FROM g WHERE b
+ UNION ALL SELECT k, role, 'INVALID_PERSON_BUT_HIGH_SIGNAL', 'LOW' FROM g WHERE pl = 2 AND c AND sc >= 60 UNION ALL SELECT k, role, 'EMAIL_INFERRED_WEAK', p FROM g WHERE pl = 0 AND em = 0 AND lb = 0 AND k % 7 <> 0 AND r
+ UNION ALL SELECT k, role, 'EMAIL_UNRESOLVED_BUT_DOMAIN_KNOWN', 'MEDIUM' FROM g WHERE pl = 0 AND c AND r AND em = 1 AND k % 3 > 0
+ UNION ALL SELECT k, role, 'SEARCH_GOOD_LINKEDIN_BUT_ROLE_UNCLEAR', 'HIGH' FROM g WHERE c AND l AND pl = 0 AND st IN ('UNRESOLVED_WEAK', 'RESOLVED_PROBABLE') AND sc >= 40 AND NOT a AND NOT b
+ UNION ALL SELECT k, role, 'EXISTING_CELL_BLOCKED_NEW_VALUE', p FROM g WHERE c AND k % 4 = 1)
+"""
+
+
+def _confidence(v: Views):
+    key = F.col("p_partkey")
+    pick = F.get(F.array(*map(F.lit, STATUSES)), (key % 4).cast("int"))
+    out = review.inferred_confidence((key % 90 + 1).cast("int"), pick, (key % 3).cast("int"), (key % 5).cast("int"), F.when(key % 2 == 0, "UNKNOWN").otherwise("FIRST"), F.when(key % 7 != 0, (key % 6).cast("int")))
+    return v.table("part").select("p_partkey", *[c.alias(n) for c, n in zip(out, ("status", "score", "label"))])
+
+
+_CONFIDENCE = """WITH s AS (SELECT p_partkey, p_partkey % 3 AS own, CAST(p_partkey % 90 + 1 + CASE p_partkey % 4 WHEN 0 THEN 20 WHEN 1 THEN 10 ELSE 0 END + CASE WHEN p_partkey % 3 >= 2 THEN 15 ELSE 0 END - CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 25 ELSE 0 END
+  - CASE WHEN p_partkey % 3 > 0 THEN 0 WHEN p_partkey % 5 > 0 THEN 20 ELSE 15 END - CASE WHEN p_partkey % 7 = 0 OR p_partkey % 6 > 3 THEN 15 ELSE 0 END AS INT) AS score FROM part)
+SELECT p_partkey, CASE WHEN score <= 0 THEN 'UNRESOLVED' ELSE 'RESOLVED_INFERRED' END AS status, score, CASE WHEN score <= 0 THEN NULL WHEN score >= 90 AND own > 0 THEN 'STRONG' WHEN score >= 70 THEN 'PROBABLE' ELSE 'WEAK' END AS label FROM s"""
+POSITIONS = {"CEO": ["building", "founder"], "HEAD_OF_GROWTH": ["machine", "auto"], "HEAD_OF_PRODUCT": ["house", "mach"]}
+
+
+def _directory(v: Views):
+    return v.table("customer").select(F.col("c_nationkey").alias("domain"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("email"), F.concat(F.lit("Head of "), "c_mktsegment").alias("position"), (F.col("c_custkey") % 50).cast("int").alias("confidence"))
+
+
+_DIRECTORY = "WITH e AS (" + " UNION ALL ".join(f"SELECT c_nationkey AS domain, '{r}' AS role, c_name AS email, 'Head of ' || c_mktsegment AS position, CAST(c_custkey % 50 AS INT) AS confidence, c_custkey AS ord FROM customer WHERE regexp_matches(lower(c_mktsegment), '{'|'.join(w)}')" for r, w in POSITIONS.items()) + ") SELECT domain, role, email, position, confidence FROM (SELECT *, row_number() OVER (PARTITION BY domain, role ORDER BY confidence DESC, ord) AS n FROM e) WHERE n = 1"
+
+
+def _alike(v: Views):
+    part = v.table("part")
+    left = part.where("p_partkey % 2 = 0").select((F.col("p_partkey") % 25).alias("row_key"), F.col("p_name").alias("full_name"))
+    right = part.where("p_partkey % 2 = 1").select((F.col("p_partkey") % 25).alias("row_key"), F.concat(F.upper("p_name"), F.lit("  de la Cruz")).alias("full_name"))
+    return review.name_matches(left, right.unionByName(part.where("p_partkey % 3 = 0").select((F.col("p_partkey") % 25).alias("row_key"), F.initcap("p_name").alias("full_name"))))
+
+
+_ALIKE = """WITH l AS (SELECT DISTINCT p_partkey % 25 AS row_key, p_name AS n, p_name AS shown FROM part WHERE p_partkey % 2 = 0),
+r AS (SELECT DISTINCT p_partkey % 25 AS row_key, p_name || ' de la cruz' AS n, upper(p_name) || '  de la Cruz' AS shown FROM part WHERE p_partkey % 2 = 1
+  UNION SELECT p_partkey % 25, p_name, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') FROM part WHERE p_partkey % 3 = 0)
+SELECT l.row_key, l.shown AS left_name, r.shown AS right_name FROM l JOIN r USING (row_key) WHERE l.n = r.n OR len(list_intersect(list_filter(string_split(l.n, ' '), lambda w: len(w) > 1), string_split(r.n, ' '))) / least(len(list_distinct(string_split(l.n, ' '))), len(list_distinct(string_split(r.n, ' ')))) >= 0.66"""
+_SHOWN = "regexp_replace(regexp_replace(text, '(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')"
+
 
 CATALOGUE = {
     "clean_results": (lambda v: results.clean_results(v.scored()).select("query_id", "title", "original_rank", "rank"), AUDIT + f"SELECT query_id, title, original_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY original_rank) AS INT) AS rank FROM scored WHERE len(trim(title)) >= 8 AND regexp_matches(title, '\\p{{L}}') AND len(list_filter({_list(web.JUNK_STARTS)}, lambda w: starts_with(lower(trim(title)), w))) = 0 AND lower(trim(title)) NOT IN {tuple(web.JUNK_TITLES)}"),
     "commercial_tiers": (lambda v: results.tier_summary(_judged(v)), AUDIT + "SELECT *, CAST(floor(tier_a * 100.0 / total + 0.5) AS BIGINT) AS bounce_share FROM (SELECT capability, count(*) AS total, count(*) FILTER (t = 'A') AS tier_a, count(*) FILTER (t = 'B') AS tier_b, count(*) FILTER (t = 'C') AS tier_c FROM (SELECT capability, CASE WHEN n_results = 0 OR top_score < 0.4 THEN 'A' WHEN failure_mode = 'POOR_RANKING' THEN 'B' ELSE 'C' END AS t FROM judged) GROUP BY 1)"),
     "risk_buckets": (lambda v: _judged(v).select("query_id", results.risk_bucket(F.col("n_results"), F.col("failure_mode"), F.col("top_score")).alias("bucket")), AUDIT + "SELECT query_id, CASE WHEN n_results = 0 THEN 'revenue_risk' WHEN top_score < 0.4 THEN 'catastrophic' ELSE 'working' END AS bucket FROM judged"),
-    "missing_quota": (lambda v: results.missing_quota(v.queries().select("category"), v.spark.createDataFrame([(c, 40 + 5 * i) for i, c in enumerate(CATEGORIES)], "category string, target long")), f"SELECT category, target - coalesce(n, 0) AS missing FROM (SELECT unnest({_list(CATEGORIES)}) AS category, 40 + 5 * unnest(range(26)) AS target, unnest(range(26)) AS i) LEFT JOIN (SELECT o_orderkey % 26 AS k, count(*) AS n FROM orders GROUP BY 1) ON k = i WHERE target > coalesce(n, 0)"),
+    "missing_quota": (lambda v: results.missing_quota(v.queries().select("category"), v.spark.createDataFrame([(c, 500 + 20 * i) for i, c in enumerate(CATEGORIES)], "category string, target long")), f"SELECT category, target - coalesce(n, 0) AS missing FROM (SELECT unnest({_list(CATEGORIES)}) AS category, 500 + 20 * unnest(range(26)) AS target, unnest(range(26)) AS i) LEFT JOIN (SELECT o_orderkey % 26 AS k, count(*) AS n FROM orders GROUP BY 1) ON k = i WHERE target > coalesce(n, 0)"),
     "valid_queries": (lambda v: results.valid_queries(_raw_queries(v), CATEGORIES), f"SELECT ord, category, query, rationale FROM (SELECT *, row_number() OVER (PARTITION BY lower(query) ORDER BY ord) AS n FROM (SELECT p_partkey AS ord, ({_list(CATEGORIES)})[p_partkey % 27 + 1] AS category, trim(CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END) AS query, CASE WHEN p_partkey % 3 = 0 THEN 'why' ELSE 'Tests ' || ({_list(CATEGORIES)})[p_partkey % 27 + 1] || ' behaviour' END AS rationale FROM part WHERE p_partkey % 27 <> 26) WHERE query <> '') WHERE n = 1"),
     "query_cloud": (lambda v: results.query_cloud(v.queries()), AUDIT + f"SELECT text, category, CAST(turn AS INT) AS turn, CAST(CASE WHEN h < 8 THEN 5 WHEN h < 24 THEN 4 WHEN h < 56 THEN 3 WHEN h < 82 THEN 2 ELSE 1 END AS INT) AS size FROM (SELECT *, {_HASH} AS h FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY len(text), text) AS turn FROM (SELECT category, min(trim(query)) AS text FROM queries WHERE len(trim(query)) BETWEEN 1 AND 40 GROUP BY category, lower(trim(query)))) ORDER BY turn, category LIMIT 26)"),
     "accent_twins": (_twins, f"WITH {_NAV}, j AS (SELECT page_id * 100 + place AS q, label, ({_list(CATEGORIES)})[(page_id * 100 + place) % 26 + 1] AS category FROM nav), o AS (SELECT label, max(q) AS q, max_by(category, q) AS category FROM j GROUP BY 1), b AS (SELECT label, category, CASE WHEN q % 4 = 0 OR q % 5 = 0 THEN 'revenue_risk' WHEN q % 10 < 4 THEN 'catastrophic' ELSE 'working' END AS bucket FROM o) SELECT a.label AS accented, a.bucket, strip_accents(a.label) AS stripped, t.bucket AS twin_bucket FROM b a LEFT JOIN b t ON t.label = strip_accents(a.label) WHERE strip_accents(a.label) <> a.label AND a.category NOT IN {tuple(results.CONFOUNDING)}"),
@@ -185,5 +255,13 @@ CATALOGUE = {
     "snapshot_merge": (_merged, "SELECT coalesce(c_custkey, k) AS c_custkey, coalesce(n, c_name) AS c_name, c_acctbal FROM customer FULL JOIN (SELECT s_suppkey * 3 AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS n FROM supplier) ON k = c_custkey"),
     "replaced_links": (_tags, "SELECT DISTINCT s_nationkey AS company_id, s_suppkey % 20 AS tag_id FROM supplier WHERE s_nationkey % 4 <> 0 UNION ALL SELECT n_nationkey, n_regionkey + 100 FROM nation WHERE n_nationkey % 4 = 0"),
     "first_source_union": (lambda v: files.union_first([v.table("part").select(F.upper("p_brand").alias("name"), F.lit("brand").alias("origin")), v.table("part").select(F.col("p_name").alias("name"), F.lit("part").alias("origin")), v.table("nation").select(F.col("n_name").alias("name"), F.lit("nation").alias("origin"))], "name"), "SELECT name, origin FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY p, name, origin) AS n FROM (SELECT upper(p_brand) AS name, 'brand' AS origin, 0 AS p FROM part UNION ALL SELECT p_name, 'part', 1 FROM part UNION ALL SELECT n_name, 'nation', 2 FROM nation)) WHERE n = 1"),
+    "manual_approvals": (lambda v: review.manual_approvals(_decided(v)), _DECIDED),
+    "review_items": (lambda v: review.review_items(_reviewed(v)), _REVIEWED + "SELECT * FROM items"),
+    "review_summary": (lambda v: review.review_summary(review.review_items(_reviewed(v))), _REVIEWED + "SELECT bucket, priority, role, count(*) AS n FROM items GROUP BY GROUPING SETS ((bucket), (priority), (role), ())"),
+    "email_confidence": (_confidence, _CONFIDENCE),
+    "best_directory_entries": (lambda v: review.best_entries(_directory(v), POSITIONS), _DIRECTORY),
+    "name_matches": (_alike, _ALIKE),
+    "page_emails": (lambda v: v.table("documents").select("doc_id", F.inline(extract.page_emails(F.col("text")))).where("source = 'VISIBLE_TEXT'"), f"SELECT doc_id, email, 'VISIBLE_TEXT' AS source FROM (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all({_SHOWN}, {_quoted(extract.ADDRESS)}), lambda e: lower(e)))) AS email FROM documents) WHERE len(email) BETWEEN 5 AND 100 AND split_part(email, '@', 2) NOT IN {tuple(extract.PERSONAL_DOMAINS)}"),
+    "declared_products": (lambda v: v.table("pages").select("page_id", F.inline(extract.declared_products(F.col("html")))), None),
     "report_slugs": (lambda v: files.report_slugs(v.table("customer").select(text.slug(F.col("c_name")).alias("company")), v.table("supplier").select(text.slug(F.col("s_name")).alias("company"), F.concat(text.slug(F.col("s_name")), F.lit("-1234")).alias("slug"))), None),
 }

@@ -150,7 +150,7 @@ CATALOGUE = {
     "category_failure": (lambda v: sessions.category_failure(v.session_steps()), _STEPS + "SELECT coalesce(category, 'UNKNOWN') AS category, round_even(avg(CASE WHEN state <> 'FOUND' THEN 1.0 ELSE 0.0 END), 2) AS failure_rate, count(*) AS total FROM steps GROUP BY 1"),
     "deep_reformulators": (lambda v: sessions.outcomes(v.session_steps()).where("reformulations >= 3").agg(F.count("*").alias("n")), _STEPS + "SELECT count(*) AS n FROM sessions WHERE reformulations >= 3"),
     "remaining_anti": (lambda v: enrichment.remaining(v.queries().select("query_id"), v.scored().select("query_id").distinct(), ["query_id"]), "SELECT o_orderkey AS query_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"),
-    "token_intersection": (lambda v: v.table("part").select("p_partkey", F.round(enrichment.token_overlap(F.col("p_name"), F.lit("small blue ring")), 6).alias("overlap")), "SELECT p_partkey, round(len(list_intersect(list_distinct(string_split(p_name, ' ')), ['small','blue','ring'])) / greatest(len(list_distinct(string_split(p_name, ' '))), 3), 6) AS overlap FROM part"),
+    "token_intersection": (lambda v: v.table("part").select("p_partkey", F.round(enrichment.token_overlap(F.col("p_name"), F.lit("small blue ring")), 6).alias("overlap")), "SELECT p_partkey, round(len(list_intersect(list_distinct(string_split(p_name, ' ')), ['small','blue','ring'])) / least(len(list_distinct(string_split(p_name, ' '))), 3), 6) AS overlap FROM part"),
     "page_domain": (lambda v: v.table("pages").select("page_id", mail.domain_of(F.col("url")).alias("domain")), "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS domain FROM pages"),
     "nav_links": (lambda v: v.table("pages").select("page_id", F.posexplode(F.regexp_extract_all(F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1), F.lit(r'<a href="[^"]*">([^<]*)</a>'), F.lit(1))).alias("place", "label")), "SELECT page_id, CAST(i AS INT) AS place, l[i + 1] AS label FROM (SELECT page_id, l, unnest(range(len(l))) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=\"[^\"]*\">([^<]*)</a>', 1) AS l FROM pages))"),
     "document_emails": (lambda v: v.table("documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+"), F.lit(0)))).alias("email")), "SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)+'))) AS email FROM documents"),
