@@ -59,7 +59,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
         return []
     found = [("email", s, e) for s, e in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
             found.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if 13 <= m.end() - m.start() and 13 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):

@@ -137,6 +137,8 @@ def test_base_spans():
     tricky += ["".join(rng.choice(list("a1.@+- ()9Z%_é"), 60)) for _ in range(3000)]
     for t in tricky:
         assert pii.base_spans(t) == plain_spans(t), t
+    zeros = "0" * 5000  # more digits than int() takes
+    assert pii.base_spans(f"{zeros}1.2.3.{zeros}") == [("ip", 0, 10006)]
 
 
 def test_patterns_discover(spark, docs, empty):
