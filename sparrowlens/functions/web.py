@@ -130,3 +130,38 @@ def is_junk_title(title: Column) -> Column:
     low = F.lower(own)
     starts = reduce(lambda a, b: a | b, [F.startswith(low, F.lit(w)) for w in JUNK_STARTS])
     return F.coalesce((F.length(own) < 8) | ~own.rlike(r"\p{L}") | starts | low.isin(JUNK_TITLES), F.lit(True))
+
+
+# Words of pages that sell services and goods, and labels before a suffix that are no brand.
+SERVICE_WORDS = [
+    "book", "booking", "reservation", "reserve", "experience", "things to do", "activities", "activity", "spa", "appointment", "event",
+    "events", "tickets", "ticket", "tours", "tour", "classes", "lessons", "consulting", "service", "services", "schedule", "hire",
+    "rental", "rent",
+]
+GOODS_WORDS = ["add to cart", "buy now", "shipping", "free shipping", "size", "color", "colour", "shop by", "add to bag", "in stock", "out of stock", "sku", "qty", "quantity"]
+SECOND_LEVELS = ["co", "com", "org", "net", "ac", "gov", "edu"]
+
+
+def site_type(html: Column, extra: Column | None = None) -> Column:
+    """PHYSICAL_GOODS, SERVICES_EXPERIENCES or MARKETPLACE_MIXED, by words and prices (five at most count).
+
+    Words count once each, in the page's first 50,000 characters, which is the rule's definition,
+    and in ``extra`` (navigation, titles, description).
+    """
+    head = F.lower(F.left(F.coalesce(html, F.lit("")), F.lit(50_000)))
+    every = F.concat_ws(" ", F.lower(extra), head) if extra is not None else head
+    hits = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(every, w)))
+    services = hits(SERVICE_WORDS)
+    goods = hits(GOODS_WORDS) + F.least(F.regexp_count(head, F.lit(r"[$€£¥]\s?\d")), F.lit(5))
+    sure = F.when((services >= 3) & (goods <= 1), "SERVICES_EXPERIENCES").when((goods >= 3) & (services <= 1), "PHYSICAL_GOODS").when((goods >= 3) & (services >= 3), "MARKETPLACE_MIXED")
+    return F.coalesce(sure, F.when(goods > services, "PHYSICAL_GOODS").when(services > goods, "SERVICES_EXPERIENCES").otherwise("MARKETPLACE_MIXED"))
+
+
+def domain_brand(url: Column) -> Column:
+    """The label of a host before its suffix (also a suffix of two labels), with a capital letter; empty without a host."""
+    host = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
+    labels = F.filter(F.split(host, r"\."), lambda x: (x != "") & (F.lower(x) != "www"))
+    n = F.size(labels)
+    at = F.when((n >= 3) & F.lower(F.try_element_at(labels, F.lit(-2))).isin(SECOND_LEVELS), -3).when(n >= 2, -2).otherwise(-1)
+    label = F.coalesce(F.try_element_at(labels, at), F.lit(""))
+    return F.concat(F.upper(F.left(label, F.lit(1))), F.lower(F.substr(label, F.lit(2))))

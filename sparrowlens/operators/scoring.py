@@ -148,7 +148,7 @@ def plausibility(name: Column, company: Column, link: Column, role_label: Column
     return score, F.when(score >= 60, "PLAUSIBLE").when(score >= 30, "SUSPICIOUS").otherwise("IMPLAUSIBLE")
 
 
-def write_actions(fields: DataFrame, allowed: list[str] = ["APPROVED"], overwrite: list[str] = []) -> DataFrame:  # noqa: B006
+def write_actions(fields: DataFrame, allowed: list[str] = ["ELIGIBLE"], overwrite: list[str] = []) -> DataFrame:  # noqa: B006
     """What happens to each field: the first rule that holds, in the order below; fields without a column and value go.
 
     ``fields``: row_key, role, field, status, value, old_value, column_exists. ``overwrite`` names
@@ -166,3 +166,39 @@ def write_actions(fields: DataFrame, allowed: list[str] = ["APPROVED"], overwrit
 def action_summary(actions: DataFrame) -> DataFrame:
     """Counts of actions by kind, by role and in all, over grouping sets in one pass."""
     return actions.groupingSets([["action"], ["role"], []], "action", "role").agg(F.count("*").alias("n"), F.sum(F.when(F.col("action") == "WRITE_CELL", 1).otherwise(0)).alias("writes"))
+
+
+def field_eligibility(found: DataFrame) -> DataFrame:
+    """A row per field (name, link, address) of a found person: ELIGIBLE, REVIEW or BLOCKED, its value and ``overall``.
+
+    ``found``: row_key, role, full_name, link, plausibility, role_status, email, email_status,
+    email_label. A blocked field has no value. Overall is the worst of the fields with a value,
+    BLOCKED if there is none. Null or empty fields are blocked.
+    """
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    bad, doubtful = F.col("plausibility") == "IMPLAUSIBLE", F.col("plausibility") == "SUSPICIOUS"
+    resolved = F.coalesce(F.col("role_status").isin("RESOLVED_STRONG", "RESOLVED_PROBABLE"), F.lit(False))
+    person = F.when(doubtful | ~resolved, "REVIEW").otherwise("ELIGIBLE")
+    name = F.when(F.col("full_name").isNull() | bad, "BLOCKED").otherwise(person)
+    link = F.when(~said("link") | bad | ~F.contains("link", F.lit("/in/")), "BLOCKED").otherwise(person)
+    public, inferred = F.col("email_status") == "RESOLVED_PUBLIC", F.col("email_status") == "RESOLVED_INFERRED"
+    email = (
+        F.when(~said("email") | bad, "BLOCKED").when(public, F.when(doubtful, "REVIEW").otherwise("ELIGIBLE"))
+        .when(inferred & ~doubtful & (F.col("email_label") == "STRONG"), "ELIGIBLE").when(inferred & ~doubtful & (F.col("email_label") == "PROBABLE"), "REVIEW").otherwise("BLOCKED")
+    )
+    each = F.array(*[F.struct(F.concat(F.col("role"), F.lit(f"_{n}")).alias("field"), s.alias("status"), F.when(s != "BLOCKED", F.col(c)).alias("value")) for n, s, c in (("NAME", name, "full_name"), ("LINKEDIN", link, "link"), ("EMAIL", email, "email"))])
+    states = F.transform(F.filter("_fields", lambda f: f["value"].isNotNull()), lambda f: f["status"])
+    overall = F.when(F.size(states) == 0, "BLOCKED").when(F.array_contains(states, "REVIEW"), "REVIEW").otherwise("ELIGIBLE")
+    return found.withColumn("_fields", each).withColumn("overall", overall).select("row_key", "role", "overall", F.inline("_fields"))
+
+
+def to_enrich(contacts: DataFrame, reason: str | None = None, again: bool = False) -> DataFrame:
+    """Contacts that an enrichment run may look up: none that opted out, with a reason and a domain.
+
+    ``contacts``: id, status, opt_out, email, email_status, reason, domain. Contacts with an address
+    are left alone unless it failed, or ``again`` asks for all. ``reason`` stands in for null ones.
+    """
+    out = (F.coalesce("opt_out", F.lit(0)) == 1) | F.coalesce(F.col("status").isin("unsubscribed", "bounced"), F.lit(False))
+    why = F.coalesce("reason", F.lit(reason), F.lit(""))
+    settled = (F.trim(F.coalesce("email", F.lit(""))) != "") & F.coalesce(F.col("email_status"), F.lit("")).isin("", "verified") & F.lit(not again)
+    return contacts.where(~out & (why != "") & ~settled & (F.coalesce("domain", F.lit("")) != "")).withColumn("reason", why)

@@ -10,6 +10,7 @@ from ..sources import files
 from ..sources.views import CATEGORIES, Views
 from .audit import WITH as AUDIT
 from .audit import _judged
+from .outreach import WITH as OUTREACH
 
 
 def _quoted(s: str) -> str:
@@ -235,6 +236,28 @@ SELECT l.row_key, l.shown AS left_name, r.shown AS right_name FROM l JOIN r USIN
 _SHOWN = "regexp_replace(regexp_replace(text, '(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')"
 
 
+def _eligible(v: Views):
+    key = F.col("p_partkey")
+    pick = lambda names, k: F.get(F.array(*map(F.lit, names)), (F.floor(key / k) % len(names)).cast("int"))
+    return scoring.field_eligibility(v.table("part").select(
+        key.alias("row_key"), F.lit("CEO").alias("role"), F.when(key % 5 != 0, F.col("p_name")).alias("full_name"), F.when(key % 7 == 0, "https://x.example/company/a").when(key % 3 != 0, "https://x.example/in/a").alias("link"), pick(["PLAUSIBLE", "SUSPICIOUS", "IMPLAUSIBLE"], 1).alias("plausibility"),
+        pick(STATUSES, 3).alias("role_status"), F.when(key % 11 != 0, "a@b.example").alias("email"), pick(["RESOLVED_PUBLIC", "RESOLVED_INFERRED", "UNRESOLVED"], 12).alias("email_status"), pick(["STRONG", "PROBABLE", "WEAK"], 36).alias("email_label")))
+
+
+_ELIGIBLE = """WITH f AS (SELECT p_partkey AS k, p_partkey % 5 <> 0 AS n, CASE WHEN p_partkey % 7 = 0 THEN 'https://x.example/company/a' WHEN p_partkey % 3 <> 0 THEN 'https://x.example/in/a' END AS l, p_name, p_partkey % 3 AS pl, p_partkey // 3 % 4 < 2 AS r, p_partkey % 11 <> 0 AS e, p_partkey // 12 % 3 AS es, p_partkey // 36 % 3 AS lb FROM part),
+s AS (SELECT *, CASE WHEN NOT n OR pl = 2 THEN 'BLOCKED' WHEN pl = 1 OR NOT r THEN 'REVIEW' ELSE 'ELIGIBLE' END AS sn, CASE WHEN l IS NULL OR pl = 2 OR NOT contains(l, '/in/') THEN 'BLOCKED' WHEN pl = 1 OR NOT r THEN 'REVIEW' ELSE 'ELIGIBLE' END AS sl,
+  CASE WHEN NOT e OR pl = 2 OR es = 2 THEN 'BLOCKED' WHEN es = 0 THEN CASE WHEN pl = 1 THEN 'REVIEW' ELSE 'ELIGIBLE' END WHEN pl = 1 OR lb = 2 THEN 'BLOCKED' WHEN lb = 0 THEN 'ELIGIBLE' ELSE 'REVIEW' END AS se FROM f),
+o AS (SELECT *, CASE WHEN sn = 'BLOCKED' AND sl = 'BLOCKED' AND se = 'BLOCKED' THEN 'BLOCKED' WHEN 'REVIEW' IN (sn, sl, se) THEN 'REVIEW' ELSE 'ELIGIBLE' END AS overall FROM s)
+SELECT k AS row_key, 'CEO' AS role, overall, 'CEO_NAME' AS field, sn AS status, CASE WHEN sn <> 'BLOCKED' THEN p_name END AS value FROM o UNION ALL SELECT k, 'CEO', overall, 'CEO_LINKEDIN', sl, CASE WHEN sl <> 'BLOCKED' THEN l END FROM o
+UNION ALL SELECT k, 'CEO', overall, 'CEO_EMAIL', se, CASE WHEN se <> 'BLOCKED' THEN 'a@b.example' END FROM o"""
+
+
+def _to_enrich(v: Views):
+    key = F.col("id")
+    own = v.contacts().withColumns({"reason": F.when(key % 5 != 0, "known"), "domain": F.when(key % 23 != 0, "x.example")})
+    return scoring.to_enrich(own).select("id", "reason", "domain")
+
+
 CATALOGUE = {
     "clean_results": (lambda v: results.clean_results(v.scored()).select("query_id", "title", "original_rank", "rank"), AUDIT + f"SELECT query_id, title, original_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY original_rank) AS INT) AS rank FROM scored WHERE len(trim(title)) >= 8 AND regexp_matches(title, '\\p{{L}}') AND len(list_filter({_list(web.JUNK_STARTS)}, lambda w: starts_with(lower(trim(title)), w))) = 0 AND lower(trim(title)) NOT IN {tuple(web.JUNK_TITLES)}"),
     "commercial_tiers": (lambda v: results.tier_summary(_judged(v)), AUDIT + "SELECT *, CAST(floor(tier_a * 100.0 / total + 0.5) AS BIGINT) AS bounce_share FROM (SELECT capability, count(*) AS total, count(*) FILTER (t = 'A') AS tier_a, count(*) FILTER (t = 'B') AS tier_b, count(*) FILTER (t = 'C') AS tier_c FROM (SELECT capability, CASE WHEN n_results = 0 OR top_score < 0.4 THEN 'A' WHEN failure_mode = 'POOR_RANKING' THEN 'B' ELSE 'C' END AS t FROM judged) GROUP BY 1)"),
@@ -263,5 +286,11 @@ CATALOGUE = {
     "name_matches": (_alike, _ALIKE),
     "page_emails": (lambda v: v.table("documents").select("doc_id", F.inline(extract.page_emails(F.col("text")))).where("source = 'VISIBLE_TEXT'"), f"SELECT doc_id, email, 'VISIBLE_TEXT' AS source FROM (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all({_SHOWN}, {_quoted(extract.ADDRESS)}), lambda e: lower(e)))) AS email FROM documents) WHERE len(email) BETWEEN 5 AND 100 AND split_part(email, '@', 2) NOT IN {tuple(extract.PERSONAL_DOMAINS)}"),
     "declared_products": (lambda v: v.table("pages").select("page_id", F.inline(extract.declared_products(F.col("html")))), None),
+    "field_eligibility": (_eligible, _ELIGIBLE),
+    "contacts_to_enrich": (_to_enrich, OUTREACH + "SELECT id, 'known' AS reason, 'x.example' AS domain FROM contacts WHERE opt_out = 0 AND status = 'active' AND id % 5 <> 0 AND id % 23 <> 0 AND NOT (email IS NOT NULL AND coalesce(email_status, '') IN ('', 'verified'))"),
+    "contacts_export": (lambda v: v.contacts().join(v.companies().select(F.col("id").alias("company_id"), F.col("name").alias("company_name")), "company_id", "left").select("id", "name", "email", "status", "company_name"), OUTREACH + "SELECT c.id, c.name, email, c.status, o.name AS company_name FROM contacts c LEFT JOIN companies o ON o.id = c.company_id"),
+    "unsubscribed_export": (lambda v: v.contacts().where("status = 'unsubscribed'").select("id", "name", "email"), OUTREACH + "SELECT id, name, email FROM contacts WHERE status = 'unsubscribed'"),
+    "site_types": (lambda v: v.table("pages").select("page_id", web.site_type(F.col("html")).alias("type")), f"SELECT page_id, CASE WHEN s >= 3 AND g <= 1 THEN 'SERVICES_EXPERIENCES' WHEN g >= 3 AND s <= 1 THEN 'PHYSICAL_GOODS' WHEN g >= 3 AND s >= 3 THEN 'MARKETPLACE_MIXED' WHEN g > s THEN 'PHYSICAL_GOODS' WHEN s > g THEN 'SERVICES_EXPERIENCES' ELSE 'MARKETPLACE_MIXED' END AS type FROM (SELECT page_id, len(list_filter({_list(web.SERVICE_WORDS)}, lambda w: contains(h, w))) AS s, len(list_filter({_list(web.GOODS_WORDS)}, lambda w: contains(h, w))) + least(len(regexp_extract_all(h, '[$€£¥]\\s?\\d')), 5) AS g FROM (SELECT page_id, lower(left(coalesce(html, ''), 50000)) AS h FROM pages))"),
+    "site_brands": (lambda v: v.table("pages").select("page_id", web.domain_brand(F.col("url")).alias("brand")), f"SELECT page_id, upper(b[1]) || lower(b[2:]) AS brand FROM (SELECT page_id, CASE WHEN len(l) >= 3 AND list_contains({_list(web.SECOND_LEVELS)}, l[-2]) THEN l[-3] WHEN len(l) >= 2 THEN l[-2] ELSE l[1] END AS b FROM (SELECT page_id, list_filter(string_split({_HOST}, '.'), lambda x: x <> '' AND x <> 'www') AS l FROM pages))"),
     "report_slugs": (lambda v: files.report_slugs(v.table("customer").select(text.slug(F.col("c_name")).alias("company")), v.table("supplier").select(text.slug(F.col("s_name")).alias("company"), F.concat(text.slug(F.col("s_name")), F.lit("-1234")).alias("slug"))), None),
 }

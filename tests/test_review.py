@@ -2,8 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from sparrowlens.functions import extract
-from sparrowlens.operators import enrichment, review
+from sparrowlens.functions import extract, web
+from sparrowlens.operators import enrichment, review, scoring
 
 
 def test_addresses_of_a_page(spark):
@@ -52,3 +52,22 @@ def test_names_that_match(spark):
 def test_first_person_with_address(spark):
     people = spark.createDataFrame([(1, 1, "A", None), (1, 2, "B", "b@x.example"), (2, 1, "C", None), (2, 2, "D", "")], "row_key int, ord int, name string, email string")
     assert {r.row_key: r.name for r in review.first_with_email(people).collect()} == {1: "B", 2: "C"}
+
+
+def test_sites(spark):
+    value = lambda c: spark.range(1).select(c.alias("v")).first().v
+    assert value(web.site_type(F.lit("Add to cart, sku, $ 5"))) == "PHYSICAL_GOODS"
+    assert value(web.site_type(F.lit("guided tours and lessons"))) == "SERVICES_EXPERIENCES"
+    assert value(web.site_type(F.lit(None).cast("string"))) == "MARKETPLACE_MIXED"
+    brands = [value(web.domain_brand(F.lit(u))) for u in ("https://www.acme.co.uk/x", "https://ACME.example", "https://localhost:80/", "nothing")]
+    assert brands == ["Acme", "Acme", "Localhost", ""]
+
+
+def test_who_may_be_looked_up(spark):
+    schema = "id int, status string, opt_out int, email string, email_status string, reason string, domain string"
+    rows = [(1, "active", 0, None, None, "r", "x"), (2, "active", 1, None, None, "r", "x"), (3, "bounced", 0, None, None, "r", "x"), (4, None, None, "a", "risky", None, "x"), (5, "active", 0, "a", "verified", "r", "x"), (6, "active", 0, "a", None, "r", "x"), (7, "active", 0, None, None, "r", "")]
+    contacts = spark.createDataFrame(rows, schema)
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(scoring.to_enrich(contacts)) == [1]
+    assert ids(scoring.to_enrich(contacts, "run")) == [1, 4]
+    assert ids(scoring.to_enrich(contacts, "run", again=True)) == [1, 4, 5, 6]
