@@ -202,3 +202,52 @@ def to_enrich(contacts: DataFrame, reason: str | None = None, again: bool = Fals
     why = F.coalesce("reason", F.lit(reason), F.lit(""))
     settled = (F.trim(F.coalesce("email", F.lit(""))) != "") & F.coalesce(F.col("email_status"), F.lit("")).isin("", "verified") & F.lit(not again)
     return contacts.where(~out & (why != "") & ~settled & (F.coalesce("domain", F.lit("")) != "")).withColumn("reason", why)
+
+
+# Words that say a role, contexts that weaken people found once, and pages that speak for them.
+ROLE_WORDS = {
+    "CEO": ["ceo", "chief executive", "founder", "co-founder", "cofounder", "managing director", "geschäftsführer", "geschaeftsfuehrer"],
+    "HEAD_OF_PRODUCT": ["head of product", "vp product", "vp of product", "product director", "chief product officer", "cpo", "director of product"],
+    "HEAD_OF_ECOMMERCE": ["head of ecommerce", "head of e-commerce", "ecommerce director", "e-commerce director", "director of ecommerce", "director of e-commerce", "digital commerce"],
+    "HEAD_OF_GROWTH": ["head of growth", "cmo", "chief marketing officer", "marketing director", "vp marketing", "vp of marketing", "director of marketing"],
+}
+CAREERS = [r"\bcareer", r"\bjobs?\b", r"\bhiring", r"\brecruit"]
+ARTICLE = [r"\barticle\b", r"\bpost\b", r"\bnews\b", r"\bblog\b", r"\bpodcast\b"]
+SPEAKING_PAGES = ["ABOUT", "TEAM", "LEADERSHIP", "LEGAL", "HOMEPAGE"]
+
+
+def says_role(role: Column, text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.coalesce(F.element_at(F.create_map(*[x for r, w in ROLE_WORDS.items() for x in (F.lit(r), F.array(*map(F.lit, w)))]), role), F.array().cast("array<string>"))
+    return F.exists(words, lambda w: F.contains(low, w))
+
+
+def cluster_scores(clusters: DataFrame) -> DataFrame:
+    """Score, explicit evidence of the role and status of each person found for a role.
+
+    ``clusters``: row_key, role, name, link, base_score, n_search (search results that show the
+    person), search_text, website (array of structs of title, page_type and hints) and n_links
+    (profiles of the site that agree). Nulls count as empty.
+    """
+    site = F.coalesce("website", F.array().cast("array<struct<title:string,page_type:string,hints:array<string>>>"))
+    hinted = F.exists(site, lambda w: F.size(F.coalesce(w["hints"], F.array().cast("array<string>"))) > 0)
+    site_text = F.array_join(F.transform(site, lambda w: F.concat_ws(" ", w["title"], F.array_join(w["hints"], " "))), " ")
+    explicit = says_role(F.col("role"), F.col("search_text")) | (hinted & says_role(F.col("role"), site_text))
+    every = F.concat_ws(" ", "search_text", F.array_join(F.transform(site, lambda w: F.coalesce(w["title"], F.lit(""))), " "))
+    linked, once = F.coalesce(F.col("link"), F.lit("")) != "", F.col("n_search") <= 1
+    score = (
+        F.col("base_score")
+        + _points(F.col("n_search") >= 2, 20)
+        + _points(hinted, 15)
+        + _points(F.col("n_links") > 0, 10)
+        + _points(F.exists(site, lambda w: F.coalesce(w["page_type"].isin(SPEAKING_PAGES), F.lit(False))), 8)
+        - _points(_matches(every, CAREERS) & ~linked & once, 20)
+        - _points(~linked & once, 15)
+        - _points(_matches(every, ARTICLE) & ~linked & once, 25)
+        - _points(_matches(every, DIRECTORY[:-1]) & once & (F.size(site) == 0), 30)
+        - _points((F.col("role") != "CEO") & ~explicit & (F.col("n_search") > 0), 20)
+    )
+    own = clusters.withColumns({"score": score, "explicit_role": explicit})
+    vouched = F.exists(site, lambda w: (F.size(F.coalesce(w["hints"], F.array().cast("array<string>"))) > 0) & F.coalesce(w["page_type"].isin(SPEAKING_PAGES), F.lit(False)))
+    backed = linked | vouched
+    return own.select("row_key", "role", "name", "score", "explicit_role", role_status(F.col("score"), F.col("name"), backed, F.col("explicit_role"), F.col("role")).alias("status"))

@@ -71,3 +71,24 @@ def test_who_may_be_looked_up(spark):
     assert ids(scoring.to_enrich(contacts)) == [1]
     assert ids(scoring.to_enrich(contacts, "run")) == [1, 4]
     assert ids(scoring.to_enrich(contacts, "run", again=True)) == [1, 4, 5, 6]
+
+
+def test_people_of_a_role(spark):
+    schema = "row_key int, role string, name string, link string, base_score int, n_search int, search_text string, website array<struct<title:string,page_type:string,hints:array<string>>>, n_links int"
+    rows = [
+        (1, "CEO", "Jane Doe", "l", 65, 2, "Jane Doe - CEO", [("Founder", "TEAM", ["CEO"])], 1),
+        (2, "HEAD_OF_GROWTH", "Jane Doe", "l", 85, 2, "Jane", None, 0),
+        (3, "CEO", "Jane Doe", None, 50, 1, "News: we are hiring", None, 0),
+        (4, "HEAD_OF_PRODUCT", "Jane Doe", "l", 80, 2, "CPO", None, 0),
+        (5, "CEO", "Jane Doe", None, 60, 2, "CEO", [("Founder", "LEGAL", ["CEO"])], 0),
+        (6, "CEO", "Jane Doe", None, 70, 2, "CEO", [("Founder", "CAREERS", ["CEO"])], 0),
+    ]
+    got = {r.row_key: (r.score, r.explicit_role, r.status) for r in scoring.cluster_scores(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        1: (65 + 20 + 15 + 10 + 8, True, "RESOLVED_STRONG"),
+        2: (85 + 20 - 20, False, "RESOLVED_PROBABLE"),
+        3: (50 - 20 - 15 - 25, False, "UNRESOLVED_NONE"),
+        4: (80 + 20, True, "RESOLVED_STRONG"),
+        5: (60 + 20 + 15 + 8, True, "RESOLVED_STRONG"),
+        6: (70 + 20 + 15, True, "RESOLVED_PROBABLE"),
+    }
