@@ -4,7 +4,8 @@ Fingerprints are partitioned by Hamming distance to vantage points. A link of ra
 point inside a ball and one outside means that the inside one lies within r of the ball's
 surface (triangle inequality), so only those inside points are also sent outside; each shard is
 then searched exactly, pruning with its own vantage points. For near copies of a stated similarity
-a wide radius finds candidates, which min-wise sketches of word shingles confirm in the shard.
+several independent fingerprints with a wide radius find candidates, min-wise sketches discard what
+lies far below, and the exact word shingle sets decide.
 """
 
 from __future__ import annotations
@@ -25,30 +26,48 @@ RADIUS = 3
 LEAF = 4096
 #: Bounds of the tree that the driver holds: its depth, and the sampled fingerprints for each leaf.
 MAX_DEPTH, SAMPLE_PER_LEAF = 14, 24
+#: Independent fingerprints and radius for near copies; how far below the stated similarity a sketch's estimate
+#: (standard deviation 0.035) rules a pair out; points of a shard whose open pairs are all listed at once.
+PRINTS, WIDE, MARGIN, LISTED = 3, 12, 0.12, 4096
 #: Shingles that are hashed and counted at once, whatever the length of a text.
 BLOCK = 1 << 16
 
 
+def _salted(h: np.ndarray, salt: int) -> np.ndarray:
+    """The hashes as if by another, independent hash function (splitmix64); salt 0 leaves them."""
+    if not salt:
+        return h
+    h = h + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def prints(text: str | None, words: int = 3, n: int = PRINTS) -> list[int]:
+    """``n`` independent 64-bit SimHashes of a text, the first of them ``fingerprint``."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return [0] * n
+    line = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    count, digest = max(1, len(found) - words + 1), xxhash.xxh64_intdigest
+    starts = np.concatenate([[0], ends[:-1] + 1])[:count].tolist()
+    ends = ends[min(words, len(found)) - 1 :].tolist()
+    total = np.zeros((n, 64), np.int64)
+    for at in range(0, count, BLOCK):
+        h = np.array([digest(line[s:e], 42) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], np.uint64)
+        for i in range(n):
+            total[i] += np.unpackbits(_salted(h, i).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * t > count).tobytes(), "big") for t in total]
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """64-bit SimHash: a bit is set if it is set in over half of the shingles' XXH64 (seed 42).
 
     A-Z are lower-cased; words are runs without ASCII white space; a text of fewer words than a
     shingle has is one shingle; one without words has fingerprint 0.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
-    line = b" ".join(found)
-    if len(found) <= words:
-        return xxhash.xxh64_intdigest(line, 42)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(found) - words + 1].tolist()
-    ends = ends[words - 1 :].tolist()
-    total, n, digest = np.zeros(64, np.int64), len(starts), xxhash.xxh64_intdigest
-    for at in range(0, n, BLOCK):
-        h = np.array([digest(line[s:e], 42) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], dtype=">u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return prints(text, words, 1)[0]
 
 
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", out: str = "fp") -> DataFrame:
@@ -61,15 +80,20 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", out: str =
     return docs.withColumn(out, hashed(F.col(text)))
 
 
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """XXH64 of the distinct word shingles of a text; a text of fewer words is one shingle."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    lines = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+    return np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
+
+
 def sketch(text: str | None, words: int = 5, bins: int = 128) -> bytes:
     """A byte per bin: the least hash of the word shingles that fall into it, by one-permutation hashing.
 
     The share of equal bytes of two sketches estimates the Jaccard similarity of their shingle
     sets. An empty bin takes the next filled one; a text of fewer words is one shingle.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    lines = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
-    h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
+    h = shingles(text, words)
     least = np.full(bins, np.iinfo(np.uint64).max)
     np.minimum.at(least, (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
     filled = np.nonzero(least != np.iinfo(np.uint64).max)[0]
@@ -124,110 +148,235 @@ def route(points: np.ndarray, tree: list[tuple[int, int] | None], radius: int) -
         todo.append((2 * node + 2, idx[to_out], home[to_out] & ~inside[to_out]))
 
 
-def local_links(fps: np.ndarray, ids: np.ndarray, home: np.ndarray, radius: int, sketches: np.ndarray | None = None, similarity: float = 0.0, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (id, least id of its group) of the points of one shard that lie within the radius of one another.
+def roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    r = parent[x]
+    while (parent[r] != r).any():
+        r = parent[r]
+    parent[x] = r
+    return r
 
-    Points are sorted by their distance to a vantage point; by the triangle inequality only a
-    window of that order can hold partners, and a second vantage point prunes the window again.
-    With sketches, partners must also share at least ``similarity`` of their bytes. Pairs of points
-    that are in one group already aren't looked at again, so a large group costs no list of pairs.
-    """
-    n = len(fps)
+
+def unite(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Join the groups of each x and y; returns the places of pairs that are enough to do so, earlier ones first."""
+    used, left = [np.zeros(0, np.int64)], np.arange(len(x))
+    while len(left):
+        a, b = roots(parent, x[left]), roots(parent, y[left])
+        differ = a != b
+        left, a, b = left[differ], a[differ], b[differ]
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        parent[high] = np.minimum(a, b)[first]
+        used.append(left[first])
+    return np.concatenate(used)
+
+
+def arranged(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of points by their distances to two vantage points, and those distances in that order."""
     first, second = fps[0], fps[int(np.argmax(distances(fps, fps[0])))]
     da, db = distances(fps, first), distances(fps, second)
     order = np.lexsort((db, da))
-    fps, ids, home, da, db = fps[order], ids[order], home[order], da[order], db[order]
-    sketches = None if sketches is None else sketches[order]
-    group = np.arange(n)  # of a point: the least place in its group
+    return order, da[order], db[order]
+
+
+def near_pairs(fps: np.ndarray, da: np.ndarray, db: np.ndarray, home: np.ndarray, radius: int, parent: np.ndarray, cells: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks of pairs of ``arranged`` points within the radius, one of them at home, that aren't in one group yet.
+
+    By the triangle inequality only a window of the order can hold partners, and a second vantage
+    point prunes the window again. A chunk lists at most ``cells`` pairs, or those of 16 points.
+    """
     own = np.nonzero(home)[0]
     shells = np.searchsorted(da, np.arange(66))
+    block = max(16, min(256, cells // len(fps)))
     for at in range(0, len(own), block):
         rows = own[at : at + block]
-        links = []
         for shell in range(max(0, int(da[rows[0]]) - radius), min(64, int(da[rows[-1]]) + radius) + 1):
             lo, hi = int(shells[shell]), int(shells[shell + 1])
             part = rows[np.abs(da[rows] - shell) <= radius]
             if lo == hi or not len(part):
                 continue
             a, b = np.searchsorted(db[lo:hi], [int(db[part].min()) - radius, int(db[part].max()) + radius + 1])
-            i, j = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[None, lo + a : lo + b]) <= radius)
+            near = np.bitwise_count(fps[part][:, None] ^ fps[None, lo + a : lo + b]) <= radius
+            if np.count_nonzero(near) > 1 << 14:  # a large group: drop what is joined already before it is listed
+                near &= roots(parent, part)[:, None] != roots(parent, np.arange(lo + a, lo + b))[None]
+            i, j = np.nonzero(near)
             i, j = part[i], j + lo + a
-            new = (group[i] != group[j]) & ((j > i) | ~home[j])
-            links.append(np.stack([i[new], j[new]]))
-        i, j = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
-        for cut in range(0, len(i), 1 << 15):
-            x, y = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
-            differ = group[x] != group[y]
-            x, y = x[differ], y[differ]
-            if sketches is not None:
-                alike = (sketches[x] == sketches[y]).mean(axis=1) >= similarity
-                x, y = x[alike], y[alike]
-            while len(x):  # merge groups: every group takes the least one it is linked to
-                pairs = np.unique(np.stack([np.maximum(group[x], group[y]), np.minimum(group[x], group[y])]), axis=1)
-                to = np.arange(n)
-                np.minimum.at(to, pairs[0], pairs[1])
-                while (to[to] != to).any():
-                    to = to[to]
-                group = to[group]
-                differ = group[x] != group[y]
-                x, y = x[differ], y[differ]
-    least = np.full(n, np.iinfo(np.int64).max)
+            new = (j > i) | ~home[j]
+            if new.any():
+                yield i[new], j[new]
+
+
+def local_links(fps: np.ndarray, ids: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star links (id, least id of its group) of the points of one shard that lie within the radius of one another.
+
+    Only pairs that join two groups count, so a large group costs no list of pairs.
+    """
+    order, da, db = arranged(fps)
+    fps, ids, home = fps[order], ids[order], home[order]
+    parent = np.arange(len(fps))  # of a point: another of its group with a lesser place
+    for i, j in near_pairs(fps, da, db, home, radius, parent):
+        unite(parent, i, j)
+    group = roots(parent, np.arange(len(fps)))
+    least = np.full(len(fps), np.iinfo(np.int64).max)
     np.minimum.at(least, group, ids)
     linked = ids != least[group]
     return ids[linked], least[group][linked]
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, similarity: float = 0.0, leaf: int = LEAF, least_depth: int = 0) -> DataFrame:
-    """Links (a, b) that join all points within the radius; ``fps`` has ``fp``, an ``id`` for each point, and ``sketch``.
+def local_candidates(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray, radius: int, sketches: np.ndarray, least: float, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of a shard within the radius whose sketches share at least ``least`` of their bytes.
 
-    With a ``similarity`` the sketches of linked points share at least so much.
+    Without labels: enough of them to join whatever such pairs join (a forest), the more alike ones
+    of a chunk first. With labels: all of them whose labels differ.
     """
-    spark = fps.sparkSession
-    n = fps.count()
+    order, da, db = arranged(fps)
+    fps, nodes, home, sketches = fps[order], nodes[order], home[order], sketches[order]
+    parent, out = np.arange(len(fps)), [np.zeros((2, 0), np.int64)]
+    label = None if label is None else label[order]
+    for i, j in near_pairs(fps, da, db, home, radius, parent):
+        for cut in range(0, len(i), 1 << 15):
+            x, y = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
+            differ = roots(parent, x) != roots(parent, y) if label is None else label[x] != label[y]
+            x, y = x[differ], y[differ]
+            share = (sketches[x] == sketches[y]).mean(axis=1)
+            alike = np.nonzero(share >= least)[0]
+            alike = alike[np.argsort(-share[alike], kind="stable")]
+            x, y = x[alike], y[alike]
+            if label is None:
+                used = unite(parent, x, y)
+                x, y = x[used], y[used]
+            out.append(np.stack([nodes[x], nodes[y]]))
+    a, b = np.concatenate(out, axis=1)
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+    """Links (a, b) that join all points within the radius; ``fps`` has ``fp`` and an ``id`` for each point."""
+    points = fps.select(F.array("fp").alias("prints"), F.col("id").alias("node"))
+
+    def searched(table: pa.Table) -> pa.Table:
+        col = {c: table.column(c).to_numpy() for c in ("fp", "node", "home")}
+        a, b = local_links(col["fp"].view(np.uint64), col["node"], col["home"].astype(bool), radius)
+        return pa.table({"a": a, "b": b})
+
+    return sharded(points, 1, radius, leaf, 0).groupBy("shard").applyInArrow(searched, "a long, b long")
+
+
+def sharded(points: DataFrame, n_prints: int, radius: int, leaf: int, least_depth: int) -> DataFrame:
+    """Points at their leaves (``shard``) of a tree for each of their ``prints``: fp, home and the further columns."""
+    n = points.count()
     depth = min(MAX_DEPTH, max(least_depth, int(np.ceil(np.log2(max(1, n / leaf))))))
     want = SAMPLE_PER_LEAF * 2**depth
-    take = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // want))) == 0).limit(2 * want)
-    tree = plan_tree(np.array([r.fp for r in take.collect()], np.int64).view(np.uint64), depth, radius) if depth else [None]
-    shared = spark.sparkContext.broadcast(tree)  # at most 2 ** (MAX_DEPTH + 1) nodes
+    take = points.select("prints").where(F.pmod(F.xxhash64("prints"), F.lit(max(1, n // want))) == 0).limit(2 * want)
+    sample = np.array([r.prints for r in take.collect()] if depth else [], np.int64).reshape(-1, n_prints).view(np.uint64)
+    trees = [plan_tree(sample[:, p], depth, radius) if depth else [None] for p in range(n_prints)]
+    shared = points.sparkSession.sparkContext.broadcast(trees)  # at most 2 ** (MAX_DEPTH + 1) nodes each
+    others = [c for c in points.columns if c != "prints"]
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
 
     def routed(batches):
         for batch in batches:
-            points, ids, sketches = batch.column("fp").to_numpy().view(np.uint64), batch.column("id").to_numpy(), batch.column("sketch")
-            for shard, idx, home in route(points, shared.value, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), shard, np.int32)), pa.array(points[idx].view(np.int64)), pa.array(ids[idx]), pa.array(home), sketches.take(pa.array(idx))], names=["shard", "fp", "id", "home", "sketch"])
+            every = batch.column("prints").flatten().to_numpy().reshape(-1, n_prints).view(np.uint64)
+            for p, tree in enumerate(shared.value):
+                fps = np.ascontiguousarray(every[:, p])
+                for shard, idx, home in route(fps, tree, radius):
+                    rest = [batch.column(c).take(pa.array(idx)) for c in others]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), p * 2 ** (MAX_DEPTH + 1) + shard, np.int32)), pa.array(fps[idx].view(np.int64)), pa.array(home), *rest], names=["shard", "fp", "home", *others])
+
+    return points.mapInArrow(routed, ", ".join(["shard int, fp long, home boolean", *[f"{c} {kinds[c]}" for c in others]]))
+
+
+def candidates(points: DataFrame, radius: int, least: float, leaf: int, least_depth: int) -> DataFrame:
+    """Candidate pairs (a, b) of points (node, prints, sketch), those of ``local_candidates`` of each leaf and print."""
+    labelled = "label" in points.columns
 
     def searched(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in ("fp", "id", "home")}
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1) if similarity else None
-        a, b = local_links(col["fp"].view(np.uint64), col["id"], col["home"].astype(bool), radius, sketches, similarity)
+        col = {c: table.column(c).to_numpy() for c in table.column_names if c != "sketch"}
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        a, b = local_candidates(col["fp"].view(np.uint64), col["node"], col["home"].astype(bool), radius, sketches, least, col["label"] if labelled else None)
         return pa.table({"a": a, "b": b})
 
-    shards = fps.select("fp", "id", "sketch").mapInArrow(routed, "shard int, fp long, id long, home boolean, sketch binary")
-    return shards.groupBy("shard").applyInArrow(searched, "a long, b long")
+    return sharded(points, PRINTS, radius, leaf, least_depth).groupBy("shard").applyInArrow(searched, "a long, b long").distinct()
+
 
+def alike(pairs: DataFrame, points: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts share at least ``similarity`` of their five-word shingles, counted exactly.
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, similarity: float = 0.0, key: str = "doc_id", text: str = "text", leaf: int = LEAF, least_depth: int = 0) -> DataFrame:
+    A point's text is that of the row of ``docs`` (id, t) with its ``id`` and text hash ``h``.
+    """
+
+    @F.pandas_udf("array<long>")
+    def hashed(texts):
+        return texts.map(lambda t: shingles(t).view(np.int64), na_action=None)
+
+    needed = pairs.select(F.col("a").alias("n")).unionAll(pairs.select(F.col("b").alias("n"))).distinct()
+    own = points.join(needed, points.node == needed.n, "left_semi").select("node", F.col("id").alias("i"), "h")
+    texts = docs.join(own, (docs.id == own.i) & (F.xxhash64(docs.t) == own.h)).groupBy("node").agg(F.first("t").alias("t"))
+    sets = materialise(texts.select("node", hashed("t").alias("s")), "shingles")
+    a, b = (sets.select(F.col("node").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(a, pairs.a == F.col("na")).join(b, F.col("b") == F.col("nb"))
+    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
+    return counted.where(F.col("n") + 1e-9 >= similarity * (F.col("m") - F.col("n"))).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, key: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
     """One row per document: key, ``fp`` (long) and ``component_id``, the least key it reaches over links.
 
-    Two documents link when their fingerprints differ in at most ``radius`` bits and, if a
-    ``similarity`` is given, so much of their five-word shingles is shared as sketches tell; null
+    Two documents link when their fingerprints differ in at most ``radius`` bits; null
     and empty texts have fingerprint 0 and link like any other. Rows with a null key are returned with a null
     component if nothing with a key is in reach, and never name a component. Repeated rows are
     returned as often as they come; further columns of ``docs`` are left out. An empty table gives
     an empty result. Only distinct fingerprints are searched, so copies cost nothing more.
     """
+    hashed = fingerprints(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")), words, "t")
+    hashed = materialise(hashed.select("id", "fp"), "fingerprints")
+    distinct = hashed.groupBy("fp").agg(F.min("id").alias("id"))
+    distinct = materialise(distinct.where("id is not null"), "distinct")
+    found = connected_components(fingerprint_links(distinct, radius, leaf))
+    named = distinct.join(found, distinct.id == found.node, "left").select(F.col("fp").alias("f"), F.coalesce("component", "id").alias("component_id"))
+    return hashed.join(named, hashed.fp == named.f, "left").select(F.col("id").alias(key), "fp", "component_id")
+
+
+def least_of_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similarity: float = 0.8, leaf: int = 8 * LEAF, least_depth: int = 3) -> DataFrame:
+    """``id``: the least ``doc_id`` of each group of near copies, which share ``similarity`` of their five-word shingles.
+
+    A pair is a candidate if any of its fingerprints lies within the radius and its sketches don't
+    rule it out; links are pairs that are alike by their exact shingle sets. A group of m copies
+    has m * m pairs, so first only a forest of candidates is confirmed. Where that leaves parts of a
+    candidate group apart, all candidate pairs between the parts are confirmed too. Texts with the
+    same fingerprints and sketch (128 equal bins) are one point; ``node`` is its 64-bit hash.
+    """
+
+    @F.pandas_udf("array<long>")
+    def printed(texts):
+        return texts.map(lambda t: np.array(prints(t, words), np.uint64).view(np.int64), na_action=None)
 
     @F.pandas_udf("binary")
     def sketched(texts):
         return texts.map(sketch, na_action=None)
 
-    hashed = fingerprints(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")), words, "t")
-    hashed = materialise(hashed.select("id", "fp", (sketched("t") if similarity else F.lit(b"")).alias("sketch")), "fingerprints")
-    distinct = hashed.groupBy("fp", "sketch").agg(F.min("id").alias("id"))
-    distinct = materialise(distinct.where("id is not null"), "distinct")
-    found = connected_components(fingerprint_links(distinct, radius, similarity, leaf, least_depth))
-    named = distinct.join(found, distinct.id == found.node, "left").select(F.col("fp").alias("f"), F.col("sketch").alias("s"), F.coalesce("component", "id").alias("component_id"))
-    return hashed.join(named, (hashed.fp == named.f) & (hashed.sketch == named.s), "left").select(F.col("id").alias(key), "fp", "component_id")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
+    hashed = materialise(docs.select("id", F.xxhash64("t").alias("h"), printed("t").alias("prints"), sketched("t").alias("sketch")), "fingerprints")
+    first = hashed.groupBy("prints", "sketch").agg(F.min(F.struct("id", "h")).alias("f"))
+    points = materialise(first.select(F.xxhash64("prints", "sketch").alias("node"), "prints", "sketch", "f.id", "f.h"), "points")
+    search = points.select("node", "prints", "sketch")
+    tried = materialise(candidates(search, radius, similarity - MARGIN, leaf, least_depth), "candidates")
+    links = materialise(alike(tried, points, docs, similarity), "alike")
+    parts = connected_components(links)
+    part = lambda n: parts.select(F.col("node").alias(f"n{n}"), F.col("component").alias(f"p{n}"))
+    apart = tried.join(part("a"), F.col("a") == F.col("na"), "left").join(part("b"), F.col("b") == F.col("nb"), "left")
+    apart = materialise(apart.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a"), "apart")
+    if not apart.isEmpty():
+        groups = connected_components(tried)
+        torn = groups.join(apart, groups.node == apart.a).select(F.col("component").alias("g")).distinct()
+        torn = torn.unionAll(apart.join(groups, apart.a == groups.component, "left_semi").select(F.col("a").alias("g"))).distinct()
+        members = groups.unionAll(groups.select(F.col("component").alias("node"), "component")).distinct()
+        members = members.join(torn, members.component == torn.g, "left_semi").select(F.col("node").alias("m"))
+        again = search.join(members, search.node == members.m, "left_semi").join(part("s"), F.col("node") == F.col("ns"), "left")
+        again = materialise(again.select("node", "prints", "sketch", F.coalesce("ps", "node").alias("label")), "again")
+        more = materialise(candidates(again, radius, similarity - MARGIN, LISTED, 0), "candidates")
+        links = links.unionAll(materialise(alike(more, points, docs, similarity), "alike"))
+        parts = connected_components(links)
+    named = points.select("node", "id").join(part("s"), F.col("node") == F.col("ns"), "left")
+    return named.groupBy(F.coalesce("ps", "node").alias("group")).agg(F.min("id").alias("id")).select("id").distinct()
 
 
 def hex64(col):
@@ -235,16 +384,16 @@ def hex64(col):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, words: int = 3, radius: int = 10, similarity: float = 0.8) -> DataFrame:
-    """Keep the document with the least ``doc_id`` of each component; columns as given.
+def deduplicate(docs: DataFrame, words: int = 3, radius: int = WIDE, similarity: float = 0.8) -> DataFrame:
+    """Keep the document with the least ``doc_id`` of each group of near copies; columns as given.
 
     Near copies share at least ``similarity`` of their five-word shingles. Their fingerprints differ
-    by more than a few bits, so the radius is wide and sketches confirm what it finds. Every level
-    of the tree then sends most points to both sides, so shards are larger and levels fewer.
+    by more than a few bits, so the radius is wide. Every level of the tree then sends most points
+    to both sides, so shards are larger and levels fewer.
 
     A document is a ``doc_id``: rows that repeat one stay or go together. Rows without an id can't
     be told apart and stay.
     """
-    keep = near_duplicates(docs, words, radius, similarity, leaf=8 * LEAF, least_depth=4).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    keep = least_of_copies(docs, words, radius, similarity).select(F.col("id").alias("_keep"))
     kept = docs.join(keep, docs.doc_id == keep._keep, "left_semi")
     return kept.unionByName(docs.where("doc_id is null"))

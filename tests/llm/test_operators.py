@@ -346,3 +346,54 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard(empty, [1.0] * 4).collect() == [] and len(sharding.shard(docs, [1.0] * 4).collect()) == docs.count()
     with pytest.raises(ValueError):
         sharding.rendezvous([F.col("doc_id")], [])
+
+
+def edited_pairs(rng, n_each=12):
+    """Pairs of texts with a true five-word similarity of 0.8 to 0.9 or, as many, of 0.7 to 0.79: short and long, appended and scattered."""
+    out = []
+    for length in (40, 80, 200, 1000):
+        for scattered in (False, True):
+            for low, high in ((0.8, 0.82), (0.82, 0.9), (0.7, 0.79)):
+                found = 0
+                while found < n_each:
+                    a = [f"v{i}" for i in rng.integers(0, 1 << 40, length)]
+                    b = a.copy()
+                    if scattered:
+                        for p in rng.choice(length, max(1, int(rng.uniform(0.005, 0.05) * length)), replace=False):
+                            b[p] = "edited"
+                    else:
+                        b += [f"v{i}" for i in rng.integers(0, 1 << 40, int(rng.uniform(0.08, 0.45) * length))]
+                    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+                    if low <= len(x & y) / len(x | y) < high:
+                        out.append((" ".join(a), " ".join(b), low >= 0.8))
+                        found += 1
+    return out
+
+
+def test_near_copies_at_the_threshold(spark):
+    pairs = edited_pairs(np.random.default_rng(5))
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * i for i in range(len(pairs))} <= kept
+    assert all(2 * i + 1 in kept for i, p in enumerate(pairs) if not p[2])  # confirmed exactly: nothing below 0.8 goes
+    lost = [2 * i + 1 in kept for i, p in enumerate(pairs) if p[2]]
+    assert np.mean(lost) <= 0.02
+
+
+def test_forest_of_candidates_is_searched_again_where_it_tears(spark):
+    rng = np.random.default_rng(6)
+    base = [f"v{i}" for i in rng.integers(0, 1 << 40, 300)]
+    rows = []
+    for i in range(60):  # one template with changes: pairs lie on both sides of 0.8
+        text = base.copy()
+        for p in rng.choice(300, int(rng.integers(1, 9)), replace=False):
+            text[p] = f"x{i}p{p}"
+        rows.append((i, " ".join(text)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    group = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    assert len(set(group)) > 1
+    assert {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(group)
