@@ -29,6 +29,8 @@ MAX_DEPTH, SAMPLE_PER_LEAF = 14, 24
 #: Independent fingerprints and radius for near copies; how far below the stated similarity a sketch's estimate
 #: (standard deviation 0.035) rules a pair out; points of a shard whose open pairs are all listed at once.
 PRINTS, WIDE, MARGIN, LISTED = 3, 12, 0.12, 4096
+#: Points that a task searches at once, however many are alike.
+BOUND = 1 << 18
 #: Shingles that are hashed and counted at once, whatever the length of a text.
 BLOCK = 1 << 16
 
@@ -248,7 +250,7 @@ def local_candidates(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray, radiu
     return np.maximum(a, b), np.minimum(a, b)
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF, bound: int = BOUND) -> DataFrame:
     """Links (a, b) that join all points within the radius; ``fps`` has ``fp`` and an ``id`` for each point."""
     points = fps.select(F.array("fp").alias("prints"), F.col("id").alias("node"))
 
@@ -257,11 +259,28 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF) ->
         a, b = local_links(col["fp"].view(np.uint64), col["node"], col["home"].astype(bool), radius)
         return pa.table({"a": a, "b": b})
 
-    return sharded(points, 1, radius, leaf, 0).groupBy("shard").applyInArrow(searched, "a long, b long")
+    return sharded(points, 1, radius, leaf, 0, bound).groupBy("shard", "cell").applyInArrow(searched, "a long, b long")
 
 
-def sharded(points: DataFrame, n_prints: int, radius: int, leaf: int, least_depth: int) -> DataFrame:
-    """Points at their leaves (``shard``) of a tree for each of their ``prints``: fp, home and the further columns."""
+def cells(nodes: np.ndarray, size: int, bound: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Yield (cell, indexes) of the points of a leaf of ``size``: every two points share a cell of about ``bound`` at most.
+
+    A larger leaf is dealt by hash into blocks of half the bound, and a cell is a pair of blocks.
+    """
+    n = 1 if size <= bound else max(2, -(-2 * size // bound))
+    block = (_salted(nodes.view(np.uint64), 7) % np.uint64(n)).astype(np.int64)
+    for i in range(n):
+        for j in range(i + 1, n):
+            yield i * n + j, np.nonzero((block == i) | (block == j))[0]
+    if n == 1:
+        yield 0, np.arange(len(nodes))
+
+
+def sharded(points: DataFrame, n_prints: int, radius: int, leaf: int, least_depth: int, bound: int = BOUND) -> DataFrame:
+    """Points at their leaves (``shard``) of a tree for each of their ``prints``: fp, home and the further columns.
+
+    Points of a leaf that meet in one task have the same ``cell``, which ``bound`` bounds.
+    """
     n = points.count()
     depth = min(MAX_DEPTH, max(least_depth, int(np.ceil(np.log2(max(1, n / leaf))))))
     want = SAMPLE_PER_LEAF * 2**depth
@@ -272,19 +291,33 @@ def sharded(points: DataFrame, n_prints: int, radius: int, leaf: int, least_dept
     others = [c for c in points.columns if c != "prints"]
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
 
+    def counted(batches):
+        for batch in batches:
+            every = batch.column("prints").flatten().to_numpy().reshape(-1, n_prints).view(np.uint64)
+            found = [(p * 2 ** (MAX_DEPTH + 1) + shard, len(idx)) for p, tree in enumerate(shared.value) for shard, idx, _ in route(np.ascontiguousarray(every[:, p]), tree, radius)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int64())], names=["shard", "n"])
+
+    sizes = {}
+    if n > bound:  # a point comes once to a leaf
+        sums = points.select("prints").mapInArrow(counted, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+        sizes = {r.shard: r.n for r in sums.where(F.col("n") > bound).collect()}  # at most a number for each leaf
+
     def routed(batches):
         for batch in batches:
             every = batch.column("prints").flatten().to_numpy().reshape(-1, n_prints).view(np.uint64)
             for p, tree in enumerate(shared.value):
                 fps = np.ascontiguousarray(every[:, p])
                 for shard, idx, home in route(fps, tree, radius):
-                    rest = [batch.column(c).take(pa.array(idx)) for c in others]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), p * 2 ** (MAX_DEPTH + 1) + shard, np.int32)), pa.array(fps[idx].view(np.int64)), pa.array(home), *rest], names=["shard", "fp", "home", *others])
+                    shard += p * 2 ** (MAX_DEPTH + 1)
+                    for cell, at in cells(batch.column("node").to_numpy()[idx], sizes.get(shard, 0), bound):
+                        own = idx[at]
+                        rest = [batch.column(c).take(pa.array(own)) for c in others]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard, np.int32)), pa.array(np.full(len(own), cell, np.int64)), pa.array(fps[own].view(np.int64)), pa.array(home[at]), *rest], names=["shard", "cell", "fp", "home", *others])
 
-    return points.mapInArrow(routed, ", ".join(["shard int, fp long, home boolean", *[f"{c} {kinds[c]}" for c in others]]))
+    return points.mapInArrow(routed, ", ".join(["shard int, cell long, fp long, home boolean", *[f"{c} {kinds[c]}" for c in others]]))
 
 
-def candidates(points: DataFrame, radius: int, least: float, leaf: int, least_depth: int) -> DataFrame:
+def candidates(points: DataFrame, radius: int, least: float, leaf: int, least_depth: int, bound: int = BOUND) -> DataFrame:
     """Candidate pairs (a, b) of points (node, prints, sketch), those of ``local_candidates`` of each leaf and print."""
     labelled = "label" in points.columns
 
@@ -294,7 +327,7 @@ def candidates(points: DataFrame, radius: int, least: float, leaf: int, least_de
         a, b = local_candidates(col["fp"].view(np.uint64), col["node"], col["home"].astype(bool), radius, sketches, least, col["label"] if labelled else None)
         return pa.table({"a": a, "b": b})
 
-    return sharded(points, PRINTS, radius, leaf, least_depth).groupBy("shard").applyInArrow(searched, "a long, b long").distinct()
+    return sharded(points, PRINTS, radius, leaf, least_depth, bound).groupBy("shard", "cell").applyInArrow(searched, "a long, b long").distinct()
 
 
 def alike(pairs: DataFrame, points: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -372,7 +405,7 @@ def least_of_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similar
         members = members.join(torn, members.component == torn.g, "left_semi").select(F.col("node").alias("m"))
         again = search.join(members, search.node == members.m, "left_semi").join(part("s"), F.col("node") == F.col("ns"), "left")
         again = materialise(again.select("node", "prints", "sketch", F.coalesce("ps", "node").alias("label")), "again")
-        more = materialise(candidates(again, radius, similarity - MARGIN, LISTED, 0), "candidates")
+        more = materialise(candidates(again, radius, similarity - MARGIN, LISTED, 0, LISTED), "candidates")
         links = links.unionAll(materialise(alike(more, points, docs, similarity), "alike"))
         parts = connected_components(links)
     named = points.select("node", "id").join(part("s"), F.col("node") == F.col("ns"), "left")

@@ -397,3 +397,18 @@ def test_forest_of_candidates_is_searched_again_where_it_tears(spark):
                 group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
     assert len(set(group)) > 1
     assert {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(group)
+
+
+def test_leaf_of_one_template_is_split(spark):
+    rng = np.random.default_rng(8)
+    base = int(rng.integers(1 << 62))
+    fps = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (700, 2))})
+    points = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, id long")
+    prints = points.select(F.array("fp").alias("prints"), F.col("id").alias("node"))
+    dealt = simhash.sharded(prints, 1, 3, simhash.LEAF, 0, bound=200).groupBy("shard", "cell").agg(F.collect_set("node").alias("n")).collect()
+    assert len(fps) > 400 and max(len(r.n) for r in dealt) <= 300
+    assert len({(a, b) for r in dealt for a in r.n for b in r.n}) == len(fps) ** 2  # every two points meet
+    links = simhash.fingerprint_links(points, 3, bound=200)
+    found = {r.node: r.component for r in components.connected_components(links).collect()}
+    whole = {r.node: r.component for r in components.connected_components(simhash.fingerprint_links(points, 3)).collect()}
+    assert found == whole and len(whole) > 0
