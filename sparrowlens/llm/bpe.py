@@ -72,9 +72,10 @@ def ids_of(text: str | None, encoding: tiktoken.Encoding) -> np.ndarray:
     if not text:
         return np.zeros(0, "<u4")
     special = encoding.special_tokens_set
-    if special and any(s in text for s in special):
-        return np.array(encoding.encode(text, allowed_special="all"), "<u4")
-    parts = [encoding.encode_to_numpy(part, disallowed_special=()) for part in stretches(text)]
+    between = regex.split("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")", text) if any(s in text for s in special) else [text]
+    parts = []
+    for i, part in enumerate(between):  # every second one is a special string
+        parts += [np.array([encoding.encode_single_token(part)], "<u4")] if i % 2 else [encoding.encode_to_numpy(s, disallowed_special=()) for s in stretches(part)]
     return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype("<u4", copy=False)
 
 

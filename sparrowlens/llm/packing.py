@@ -11,48 +11,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import from_json, ids_of
-from .shared import gapless_rank, materialise
+from .shared import SLICE_ROWS, gapless_rank, materialise, slices
 
 Pattern = tuple[int, ...]
+#: Places in patterns (36 bytes each) that every executor may hold.
+BROADCAST_PLACES = 1 << 20
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[Pattern, int]]:
-    """Patterns of lengths and how often each is used: lengths are placed longest first.
+    """Patterns of lengths and how often each is used, by shortest-pack-first: lengths are placed longest first.
 
-    A length goes to the pack with the least room that still takes it, as far as there are such
-    packs; what is left over opens packs of its own, with several of its kind if they fit. A step
-    adds few patterns, so their number is bounded by ``size`` and not by the rows counted.
+    Each piece goes to the shortest pack there is, that with the most room, if it still takes the
+    piece, or else opens a pack. Packs of one pattern are one entry with a count, and all of them
+    take a piece of the length in one step, so a step costs the same however many rows are counted.
+    A length splits at most one entry and opens at most two, so there are at most 3 x ``size``
+    patterns, each of at most ``size`` pieces.
     """
-    packs: dict[int, list[list]] = defaultdict(list)  # room left -> [pattern, count]
+    open_packs: dict[int, list[tuple[Pattern, int]]] = defaultdict(list)  # room left -> patterns and their counts
+    most = 0  # no pack has more room
     for length in sorted((n for n, c in counts.items() if c > 0), reverse=True):
         left = counts[length]
-        made: list[tuple[int, Pattern, int]] = []
-        for room in range(length, size):
-            while left and packs[room]:
-                pattern, count = packs[room].pop()
-                fit = room // length  # as many of this length as the room takes
-                used = min(count, left // fit)
-                if used:
-                    made.append((room - fit * length, pattern + (length,) * fit, used))
-                    left -= used * fit
-                if count > used:
-                    if left and left < fit:
-                        made.append((room - left * length, pattern + (length,) * left, 1))
-                        used, left = used + 1, 0
-                    if count > used:
-                        packs[room].append([pattern, count - used])
-                    break
-            if not left:
-                break
-        if left:
-            fit = size // length
-            if left // fit:
-                made.append((size - fit * length, (length,) * fit, left // fit))
-            if left % fit:
-                made.append((size - (left % fit) * length, (length,) * (left % fit), 1))
-        for room, pattern, count in made:
-            packs[room].append([pattern, count])
-    return [(tuple(p), c) for room in sorted(packs) for p, c in packs[room]]
+        took: list[tuple[int, Pattern, int]] = []  # packs that took a piece come back when no shorter one is there
+        while left:
+            while most > 0 and not open_packs[most]:
+                most -= 1
+            back = max((room for room, _, _ in took), default=0)
+            if back > most:
+                for room, pattern, count in took:
+                    open_packs[room].append((pattern, count))
+                took, most = [], back
+                continue
+            if most < length:
+                fit = size // length  # a new pack is the shortest until it's full
+                for n, packs in ((fit, left // fit), (left % fit, 1)):
+                    if n and packs:
+                        took.append((size - n * length, (length,) * n, packs))
+                left = 0
+            else:
+                pattern, count = open_packs[most].pop()
+                if count > left:
+                    open_packs[most].append((pattern, count - left))
+                    count = left
+                took.append((most - length, pattern + (length,), count))
+                left -= count
+        for room, pattern, count in took:
+            open_packs[room].append((pattern, count))
+            most = max(most, room)
+    return [(pattern, count) for room in sorted(open_packs) for pattern, count in open_packs[room]]
 
 
 def slots(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -69,7 +74,7 @@ def slots(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def pack(pieces: DataFrame, size: int, order: list[str], length: str = "length", chunks: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, size: int, order: list[str], length: str = "length", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces of 1 to ``size`` tokens; columns stay.
 
     The driver sees the histogram (at most ``size`` counts) and makes the patterns; pieces are
@@ -83,10 +88,10 @@ def pack(pieces: DataFrame, size: int, order: list[str], length: str = "length",
     if wrong := [n for n in counts if n is None or not 1 <= n <= size]:
         raise ValueError(f"lengths must be 1 to {size}: {wrong[:5]}")
     places = slots(pack_histogram(counts, size))
-    ranked = gapless_rank(pieces, [length], F.xxhash64(*order), [F.col(c) for c in order], "_rank", chunks=chunks)
+    ranked = gapless_rank(pieces, [length], F.xxhash64(*order), [F.col(c) for c in order], "_rank", slices(max(counts.values(), default=0), slice_rows))
     table = spark.createDataFrame(places, "_length int, _from long, _to long, _sequence long, _offset long")
-    # the patterns are bounded by the sequence size alone, so each executor can hold them all
-    joined = ranked.join(F.broadcast(table), (F.col(length) == F.col("_length")) & F.col("_rank").between(F.col("_from"), F.col("_to")))
+    # bounded by the sequence size alone, but by its square at worst: past the limit an ordinary join
+    joined = ranked.join(F.broadcast(table) if len(places) <= BROADCAST_PLACES else table, (F.col(length) == F.col("_length")) & F.col("_rank").between(F.col("_from"), F.col("_to")))
     return joined.withColumn("sequence_id", F.col("_sequence") + F.col("_rank") - F.col("_from")).withColumn("offset", F.col("_offset")).drop("_rank", "_length", "_from", "_to", "_sequence", "_offset")
 
 

@@ -9,14 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows of a group that one task numbers.
+SLICE_ROWS = 1 << 17
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a fresh local folder is set.
+    Only where the session names none and runs on one machine (tests) a fresh local folder is set;
+    a cluster without the setting raises, as executors would each write to a disk of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sparrowlens-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -32,15 +38,20 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def gapless_rank(df: DataFrame, groups: list[str], spread: Column, order: list[Column], out: str, counts_of: DataFrame | None = None, chunks: int = 64) -> DataFrame:
+def slices(rows: int, slice_rows: int = SLICE_ROWS) -> int:
+    """How many slices a group of up to ``rows`` rows is numbered in: one holds about ``slice_rows`` at most."""
+    return max(1, -(-rows // slice_rows))
+
+
+def gapless_rank(df: DataFrame, groups: list[str], spread: Column, order: list[Column], out: str, chunks: int) -> DataFrame:
     """Number the rows of each group 0, 1, 2 ... without gathering a group in one task.
 
-    Rows are spread over ``chunks`` slices of their group; a slice is numbered by a window of its
-    own and starts where the slices before it end. Only ``len(groups) x chunks`` counts meet.
-    ``counts_of`` may name a cheaper DataFrame with the same groups and spread (column pruning).
+    Rows are spread over ``chunks`` slices of their group (see ``slices``); a slice is numbered by a
+    window of its own and starts where the slices before it end. Only ``len(groups) x chunks``
+    counts meet.
     """
     chunk = F.pmod(spread, F.lit(chunks)).cast("int")
-    counts = (counts_of if counts_of is not None else df).groupBy(*groups, chunk.alias("_chunk")).agg(F.count("*").alias("_n"))
+    counts = df.groupBy(*groups, chunk.alias("_chunk")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     local = df.withColumn("_chunk", chunk)

@@ -354,17 +354,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, key:
     """One row per document: key, ``fp`` (long) and ``component_id``, the least key it reaches over links.
 
     Two documents link when their fingerprints differ in at most ``radius`` bits; null
-    and empty texts have fingerprint 0 and link like any other. Rows with a null key are returned with a null
-    component if nothing with a key is in reach, and never name a component. Repeated rows are
-    returned as often as they come; further columns of ``docs`` are left out. An empty table gives
-    an empty result. Only distinct fingerprints are searched, so copies cost nothing more.
+    and empty texts have fingerprint 0 and link like any other. Rows with a null key link too: what
+    they join is one component. It never has their key as its name, and is null where no row of it
+    has a key. Repeated rows are returned as often as they come; further columns of ``docs``, also
+    ones that are named like the results, are left out. An empty table gives an empty result. Texts
+    are read whole: a long one is hashed ``BLOCK`` shingles at a time. Only distinct fingerprints
+    are searched, so copies cost nothing more.
     """
     hashed = fingerprints(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")), words, "t")
     hashed = materialise(hashed.select("id", "fp"), "fingerprints")
-    distinct = hashed.groupBy("fp").agg(F.min("id").alias("id"))
-    distinct = materialise(distinct.where("id is not null"), "distinct")
-    found = connected_components(fingerprint_links(distinct, radius, leaf))
-    named = distinct.join(found, distinct.id == found.node, "left").select(F.col("fp").alias("f"), F.coalesce("component", "id").alias("component_id"))
+    distinct = materialise(hashed.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
+    found = connected_components(fingerprint_links(distinct.select("fp", F.col("fp").alias("id")), radius, leaf))
+    grouped = distinct.join(found, distinct.fp == found.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("id").alias("component_id")).withColumnRenamed("group", "g")
+    named = grouped.join(least, grouped.group == least.g).select(F.col("fp").alias("f"), "component_id")
     return hashed.join(named, hashed.fp == named.f, "left").select(F.col("id").alias(key), "fp", "component_id")
 
 
