@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-#: Labelled documents per language that the text model is fitted on, and its hashed trigrams.
-SAMPLE_PER_LANGUAGE, BUCKETS, MAX_LANGUAGES = 1_000, 1 << 15, 64
+#: Different labelled texts per language that the text model is fitted on (about), its hashed trigrams, and
+#: the languages it may have (it holds a number for each of both; more labels raise).
+SAMPLE_PER_LANGUAGE, BUCKETS, MAX_LANGUAGES = 1_000, 1 << 15, 256
 #: Trigrams that count at most as independent evidence; pseudo-counts of trigrams and of address levels.
 EVIDENCE, ALPHA, STRENGTH = 60, 0.1, 5.0
 UNDETERMINED = "und"
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
+_OPENS = re.compile(r"(?i)<(script|style)\b")
+_CLOSES = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+_LONG_NUMBER = re.compile(r"&#[0-9]{8,}+;?")
 
 
 @lru_cache(maxsize=1)
@@ -57,17 +60,23 @@ class TextModel:
         return total * (min(len(found), EVIDENCE) / len(found))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> TextModel:
-    """A naive Bayes trigram model from about ``per_language`` labelled rows of each language, chosen by hash.
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> TextModel:
+    """A naive Bayes trigram model from about ``per_language`` different labelled texts of each language, chosen by hash.
 
-    The sample bounds the fit (at most ``MAX_LANGUAGES`` languages, the most frequent, and a count
-    for each of them and hashed trigram reach the driver); whatever is identified is read in full.
+    A label counts by its first subtag in lower case. The sample bounds the fit, and copies of a
+    text count once in it. A count for each language and hashed trigram reaches the driver, so more
+    than ``max_languages`` labels raise ValueError: none is left out silently. Rows with a null label
+    or text take no part; without any the model has no language but ``und``. Whatever is identified
+    is read in full.
     """
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.lower(F.col(label)).alias("l"))
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
+    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.lower(F.substring_index(F.col(label), "-", 1)).alias("l"))
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} different labels")
     names = sorted(sizes)
     share = F.element_at(F.create_map(*[x for n in names for x in (F.lit(n), F.lit(max(1, sizes[n] // per_language)))]), F.col("l")) if names else F.lit(1)
-    chosen = rows.where(F.col("l").isin(names) & (F.pmod(F.xxhash64("t"), share) == 0))
+    chosen = rows.where(F.pmod(F.col("h"), share) == 0).groupBy("l", "h").agg(F.first("t").alias("t")).select("t", "l")
 
     def counted(batches):
         total = np.zeros((len(names), BUCKETS))
@@ -84,14 +93,46 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_langua
     return TextModel([*names, UNDETERMINED], np.vstack([log_p, np.full((1, BUCKETS), -np.log(BUCKETS))]))
 
 
+def without_markup(page: str) -> str:
+    """The page with comments, scripts, styles and tags as blanks; what is never closed is a tag or, without any ``>``, text.
+
+    One pass: the place of an end that was looked for is kept until the pass is beyond it.
+    """
+    ends: dict[str, tuple[int, int] | None] = {}
+
+    def end_of(kind: str, at: int) -> tuple[int, int] | None:
+        found = ends.get(kind, (-1, -1))
+        if found is not None and found[0] < at:
+            if kind in _CLOSES:
+                m = _CLOSES[kind].search(page, at)
+                found = m.span() if m else None
+            else:
+                place = page.find(kind, at)
+                found = (place, place + len(kind)) if place >= 0 else None
+            ends[kind] = found
+        return found
+
+    out, at = [], 0
+    while (tag := page.find("<", at)) >= 0:
+        end = end_of("-->", tag + 4) if page.startswith("<!--", tag) else None
+        if not end and (opens := _OPENS.match(page, tag)):
+            end = end_of(opens[1].lower(), opens.end())
+        end = end or end_of(">", tag + 1)
+        if not end:
+            break
+        out += [page[at:tag], " "]
+        at = end[1]
+    return "".join(out) + page[at:]
+
+
 def visible_text(page: str | None) -> str:
     """What a page shows: without comments, scripts, styles and tags, and with entities replaced."""
-    return markup.unescape(_DROP.sub(" ", page)) if page else ""
+    return markup.unescape(_LONG_NUMBER.sub("\ufffd", without_markup(page))) if page else ""
 
 
 def declared_language(page: Column) -> Column:
     """The language of the ``html`` element, its first subtag in lower case, or null."""
-    found = F.lower(F.regexp_extract(page, r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})", 1))
+    found = F.lower(F.regexp_extract(page, r"(?i)<html\b[^<>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})", 1))
     return F.nullif(found, F.lit(""))
 
 
@@ -111,7 +152,8 @@ def identify(rows: DataFrame, model: TextModel, pages: bool = False) -> DataFram
     trusted is learned from all rows too. Null or empty texts give no text evidence, null
     declarations and hosts none of theirs; without any evidence the prior of all rows decides, so
     such a row has a low confidence. Ties go to the language that comes first by name. Repeated
-    rows each count and are each returned. An empty table gives an empty result.
+    rows each count and are each returned. An empty table gives an empty result. Whole texts are
+    read, in time in proportion to their length; further columns are left out.
     """
     names = model.languages
     size = len(names)
@@ -180,9 +222,14 @@ def document_languages(docs: DataFrame, model: TextModel, key: Column | None = N
 def keep_identified(docs: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame:
     """Documents whose language is one of the model's with at least ``least`` confidence; columns as given.
 
-    A row is told by its id and text: rows that repeat both have one answer.
+    A row is told by its id and text: rows that repeat both have one answer. Null ids count as one
+    id. An empty table stays empty. Only the marks of what goes are joined to the documents, as a
+    written table whose size is known, so few of them move no text.
     """
-    mark = lambda: F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("a"), F.xxhash64("text").alias("b"))
-    good = document_languages(docs, model, mark()).where((F.col("language") != UNDETERMINED) & (F.col("confidence") >= least))
-    good = good.select(F.col("key.a").alias("_a"), F.col("key.b").alias("_b"))
-    return docs.join(good, (F.coalesce(docs.doc_id.cast("string"), F.lit("")) == good._a) & (F.xxhash64(docs.text) == good._b), "left_semi")
+    parts = lambda: [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")]
+    mark = F.struct(*[c.alias(n) for c, n in zip(parts(), "ab")])
+    found = document_languages(docs, model, mark)
+    gone = found.where((F.col("language") == UNDETERMINED) | (F.col("confidence") < least)).select(F.col("key.a").alias("_a"), F.col("key.b").alias("_b")).distinct()
+    gone = materialise(gone, "rejected")
+    own = parts()
+    return docs.join(gone, (own[0] == gone._a) & (own[1] == gone._b), "left_anti")

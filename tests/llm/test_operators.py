@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -162,17 +163,90 @@ def test_base_spans():
     assert pii.base_spans(f"{zeros}1.2.3.{zeros}") == [("ip", 0, 10006)]
 
 
+UGLY = ["x", "7", "a@", "[at]", "x[at]", "1.", "1[.]", "1 ", "1-", "+1", "(", "<", "<!--", "<script>", "<html ", "</script ", "&#1", "[at]a-", "@a."]
+
+
+@pytest.mark.parametrize("unit", UGLY)
+def test_scanners_are_linear(unit):
+    text = unit * (10**6 // len(unit))
+    began = time.perf_counter()
+    base = pii.base_spans(text)
+    list(pii.loose_spans(text, base))
+    middle = time.perf_counter()
+    langid.visible_text(text)
+    assert middle - began < 3 and time.perf_counter() - middle < 3  # a second or less on a free machine
+
+
+def test_loose_shapes():
+    found = lambda t: [t[s:e] for s, e in pii.loose_spans(t, pii.base_spans(t))]
+    assert found("bob [at] ex [dot] org and amy(AT)x.org, tel (415) 555-2671 or 10[.]0[.]0[.]1") == ["bob [at] ex [dot] org", "amy(AT)x.org", "(415) 555-2671", "10[.]0[.]0[.]1"]
+    assert found("v1.2345678 +1 415 555 2671 a1234567 1234567b 123 [at] no") == []
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        t = "".join(rng.choice(["a@b.de", "x[at]y.z", "+1 415 555 2671", "1 2 3 4 5 6 7 8", " ", "(", "9[.]9[.]9[.]9", ","], 12))
+        base, loose = pii.base_spans(t), list(pii.loose_spans(t, pii.base_spans(t)))
+        assert all(e <= b or f <= s for _, b, f in base for s, e in loose) and all(a[1] <= b[0] for a, b in zip(loose, loose[1:]))
+
+
+def plain_graph(mentions):
+    """``pii.score_graph`` by plain Python; mentions are (row, kinds, seed, value, pattern)."""
+    edges = {}
+    for row, kinds, seed, value, pattern in mentions:
+        for k in kinds:
+            e = edges.setdefault((k, pattern, value), [False, row, row])
+            e[0], e[1], e[2] = e[0] or seed, min(e[1], row), max(e[2], row)
+    known = {}
+    while True:
+        score = lambda k, v, e: 1.0 if e[0] else known.get((k, v), 0.0)
+        sums = {}
+        for (k, p, v), e in edges.items():
+            s = score(k, v, e)
+            entry = sums.setdefault((k, p), [0.0, 0.0, 0, set()])
+            entry[0], entry[1], entry[2] = entry[0] + s, entry[1] + 1 - s, entry[2] + (s > 0)
+            entry[3] |= {e[1], e[2]} if s > 0 else set()
+        sure = {x: a / (a + 0.25 * b + 0.5) for x, (a, b, n, rows) in sums.items() if n >= 3 and len(rows) >= 3}
+        sure = {x: p for x, p in sure.items() if p >= 0.8}
+        doubt = {}
+        for (k, p, v), e in edges.items():
+            if not e[0] and (k, p) in sure:
+                doubt[(k, v)] = doubt.get((k, v), 1.0) * (1 - min(sure[(k, p)], 0.999))
+        grown = dict(known)
+        for x, d in doubt.items():
+            if 1 - d >= 0.9:
+                grown[x] = max(known.get(x, 0.0), 1 - d)
+        if len(grown) == len(known):
+            return grown
+        known = grown
+
+
+def test_score_graph(spark):
+    rng = np.random.default_rng(14)
+    rows = [(int(r), ["phone", "card"][: int(n)], bool(s), f"v{v}", f"p{int(v) % 5 if rng.random() < 0.8 else int(x)}") for r, n, s, v, x in zip(rng.integers(0, 90, 500), rng.integers(1, 3, 500), rng.random(500) < 0.5, rng.integers(0, 120, 500), rng.integers(0, 40, 500))]
+    got = {(r.kind, r.value): r.confidence for r in pii.score_graph(spark.createDataFrame(rows, "row long, kinds array<string>, seed boolean, value string, pattern string")).collect()}
+    want = plain_graph(rows)
+    assert got.keys() == want.keys() and len(want) > 5 and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_patterns_discover(spark, docs, empty):
     rows = [(i, f"Text number one. please call me at +1 415 555 {2000 + i} today thanks, bye") for i in range(12)]
     rows += [(100 + i, f"Other text. please call me at 415 555 {3000 + i} today thanks, bye") for i in range(4)]
     rows += [(200, "the year was about 1234567 units of stock"), (201, None), (202, "")]
-    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i in range(4):
-        assert [(s.kind, rows[12 + i][1][s.start : s.stop]) for s in got[100 + i].spans] == [("phone", f"415 555 {3000 + i}")] and not got[100 + i].base
+    # the second hop: numbers found beside "me at" stand beside another pattern, which finds further ones
+    rows += [(300 + i, f"so reach our desk 415 555 {3000 + i} within office hours ok") for i in range(4)]
+    rows += [(400, "so reach our desk 415 777 9000 within office hours ok"), (400, "so reach our desk 415 777 9000 within office hours ok")]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in pii.find(table).collect()}
+    text = dict(rows)
+    for d, number in [(100 + i, f"415 555 {3000 + i}") for i in range(4)] + [(300 + i, f"415 555 {3000 + i}") for i in range(4)] + [(400, "415 777 9000")]:
+        assert [(s.kind, text[d][s.start : s.stop]) for s in got[d].spans] == [("phone", number)] and not got[d].base, d
     assert not got[200].spans and not got[201].spans and all(got[i].base == got[i].spans for i in range(12))
+    assert len(pii.find(table).collect()) == len(rows)
     assert len(pii.find(docs).collect()) == docs.count() and pii.find(empty).collect() == []
-    red = {r.doc_id: r for r in pii.redact(spark.createDataFrame([(1, "a bob@x.example b", 99), (2, None, 5), (3, "fine", 4)], "doc_id long, text string, n_chars long")).collect()}
-    assert (red[1].text, red[1].n_chars, red[2].text, red[3].text) == ("a [EMAIL] b", 11, None, "fine")
+    odd = [(1, "a bob@x.example b", 99, "m"), (2, None, 5, "m"), (3, "fine", 4, None), (None, "+1 415 555 2671", 1, "m"), (1, "a bob@x.example b", 99, "m")]
+    red = pii.redact(spark.createDataFrame(odd, "doc_id long, text string, n_chars long, mentions string"))
+    assert red.columns == ["doc_id", "text", "n_chars", "mentions"]
+    assert sorted(map(tuple, red.collect()), key=key) == sorted([(1, "a [EMAIL] b", 11, "m"), (2, None, 5, "m"), (3, "fine", 4, None), (None, "[PHONE]", 7, "m"), (1, "a [EMAIL] b", 11, "m")], key=key)
+    assert pii.redact(empty).collect() == []
 
 
 def test_bpe(spark, docs, empty):
@@ -214,6 +288,84 @@ def test_packed_frequencies():
         assert {k: v for k, v in total.items() if v} == dict(zip(at.tolist(), n.tolist()))
 
 
+def test_markup_is_dropped_as_by_the_pattern():
+    drop = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
+    rng = np.random.default_rng(15)
+    parts = ["<!--", "-->", "<script", "<style>", "</script >", "</STYLE>", "<p>", ">", "<", "a", " ", "x<y", "<Script a>", "</script", "<!-->", "<scripted>"]
+    for _ in range(5000):
+        page = "".join(rng.choice(parts, rng.integers(1, 14)))
+        assert langid.without_markup(page) == drop.sub(" ", page), page
+    assert langid.visible_text("a&amp;b &#" + "1" * 6000 + "; c") == "a&b \ufffd c" and langid.visible_text(None) == ""
+
+
+def plain_fusion(rows, model):
+    """``langid.identify`` for pages by plain Python loops: the posteriors of each (key, url, html)."""
+    names = model.languages
+    size = len(names)
+    norm = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    parsed = []
+    for k, url, page in rows:
+        m = re.search(r"(?i)<html\b[^<>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})", page or "")
+        u = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", url or "")
+        host = u[1].lower() if u else None
+        log = model.log_likelihood(langid.visible_text(page))
+        said = None if not m else names.index(m[1].lower()) if m[1].lower() in names[:-1] else size
+        labels = host.split(".") if host else None
+        parsed.append((k, log, norm(log), said, host, ".".join(labels[-2:]) if host else None, labels[-1] if host else None))
+    total = sum((p[2] for p in parsed), np.zeros(size)) + 1
+    top = total / total.sum()
+    trust = np.ones((size + 1, size))
+    level = [{}, {}, {}]
+    for _, _, post, said, *address in parsed:
+        if said is not None:
+            trust[said] += post
+        for i, name in enumerate(address):
+            if name is not None:
+                n, c = level[i].get(name, (0, np.zeros(size)))
+                level[i][name] = (n + 1, c + post)
+    trust = trust / trust.sum(axis=0)
+    smooth = lambda c, n, p: (np.maximum(c, 0) + 5 * p) / (n + 5)
+    out = []
+    for k, log, post, said, host, domain, suffix in parsed:
+        prior = top
+        if host is not None:
+            for i, name in ((2, suffix), (1, domain)):
+                n, c = level[i][name]
+                prior = smooth(c, n, prior)
+            n, c = level[0][host]
+            prior = smooth(c - post, n - 1, prior)
+        fused = norm(log + np.log(prior) + (np.log(trust[said]) if said is not None else 0))
+        out.append((k, names[int(fused.argmax())], fused.max(), names[int(post.argmax())], post.max()))
+    return out
+
+
+def test_fusion_is_that_of_plain_bayes(spark):
+    rng = np.random.default_rng(16)
+    vocabulary = {"aa": ["bana", "lota", "miko", "sato"], "bb": ["grunf", "schlek", "dwurp", "zorch"]}
+    labelled = spark.createDataFrame([(" ".join(rng.choice(vocabulary[x], 40)), f"{x}-XX") for x in ("aa", "bb") for _ in range(40)], "text string, lang string")
+    model = langid.fit(labelled)
+    assert model.languages == ["aa", "bb", "und"]
+    hosts = [None, "", "http://a.x.aa/1", "https://u@b.x.aa:80/", "http://b.y.bb?q", "ftp://localhost/z", "nonsense"]
+    heads = ["<html lang='aa'>", "<HTML class=x lang=bb-AT>", '<html lang="zz">', "<html>", ""]
+    rows = [(int(i % 70), hosts[rng.integers(len(hosts))], heads[rng.integers(len(heads))] + " ".join(rng.choice([*vocabulary["aa"], *vocabulary["bb"], "<b>", "12", "&amp;"], rng.integers(0, 6)))) for i in range(80)]
+    rows += [(90, None, None), (91, hosts[2], ""), (92, hosts[2], "bana lota " * 20_000), (None, hosts[3], "<p>grunf")]
+    got = langid.page_languages(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, language string"), model).collect()
+    place = lambda r: (r[0] is None, r[0] or 0, r[1], r[3], round(r[2], 6), round(r[4], 6))
+    want, got = sorted(plain_fusion(rows, model), key=place), sorted(map(tuple, got), key=place)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert (g[0], g[1], g[3]) == (w[0], w[1], w[3]) and abs(g[2] - w[2]) < 1e-5 and abs(g[4] - w[4]) < 1e-5, (g, w)
+
+
+def test_languages_are_not_cut(spark):
+    many = spark.range(70).select(F.concat(F.lit("text of its own "), "id").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    assert len(langid.fit(many).languages) == 71
+    with pytest.raises(ValueError):
+        langid.fit(many, max_languages=69)
+    copies = spark.range(5000).select(F.lit("the same text").alias("text"), F.lit("aa").alias("lang"))
+    assert langid.fit(copies, per_language=10).log_p.shape == (2, langid.BUCKETS)
+
+
 def test_languages(spark, empty):
     rng = np.random.default_rng(6)
     vocabulary = {"aa": ["bana", "lota", "miko", "sato"], "bb": ["grunf", "schlek", "dwurp", "zorch"]}
