@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import best_of, materialise
 
-#: Tables, and probes of a query in each. On vectors without any structure (the hardest case) in 64
-#: dimensions these reach a recall of 0.97 for 20 neighbours; see the README.
-TABLES, PROBES = 8, 12
-#: Vectors that a query should at least meet in a table, as far as there are so many.
-MEET = 1024
-#: Vectors and queries that meet in a task at once.
-BLOCK, QUERIES = 8192, 2048
+#: Tables; vectors that a cell of a table holds on average, so that a hash has log2(n / CELL) bits.
+TABLES, CELL = 4, 24
+#: Of ``c`` cells a query probes SHARE x c ** GROWTH: fewer of them, as a share, the more there are. Fitted to random
+#: unit vectors of 64 dimensions, which have no structure at all (the hardest case); measured recall is in the README.
+SHARE, GROWTH = 1.5, 0.62
+#: Bands of norms to a doubling; each has tables of its own.
+BANDS = 4
+#: Vectors of neighbouring cells that are stored together and meet queries in a task, and queries that meet them at once.
+REGION, QUERIES = 32_768, 2048
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -38,20 +42,40 @@ def pseudo_rotation(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def buckets(x: np.ndarray, table: int, polytopes: int, probes: int) -> np.ndarray:
-    """The buckets of unit vectors in a table, the nearest first: signed axes of one or more rotations."""
-    total = np.zeros((len(x), 1))
-    code = np.zeros((len(x), 1), np.int64)
-    for p in range(polytopes):
-        y = pseudo_rotation(x, 1000 * table + p)
+def axes_of(width: int, bits: int) -> list[int]:
+    """How many axes each pseudo-rotation of a hash of so many bits chooses from (each with both signs): all but in the last."""
+    whole, out = (2 * width).bit_length() - 1, []
+    while bits > 0:
+        out.append(1 << (min(bits, whole) - 1))
+        bits -= whole
+    return out
+
+
+def width_of(dim: int) -> int:
+    return 1 << max(1, (dim - 1).bit_length())
+
+
+def homes(unit: np.ndarray, table: int, bits: int) -> np.ndarray:
+    """The cell of each unit vector in a table: its nearest signed axis in each of the hash's rotations."""
+    code = np.zeros(len(unit), np.int64)
+    for r, m in enumerate(axes_of(width_of(unit.shape[1]), bits)):
+        y = pseudo_rotation(unit, 1000 * table + r)[:, :m]
+        code = code * (2 * m) + np.concatenate([y, -y], axis=1).argmax(axis=1)
+    return code
+
+
+def probes(unit: np.ndarray, table: int, bits: int, n: int) -> np.ndarray:
+    """The ``n`` likeliest cells of neighbours of each unit vector, by how little their axes lie behind the nearest ones."""
+    code, behind = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
+    for r, m in enumerate(axes_of(width_of(unit.shape[1]), bits)):
+        y = pseudo_rotation(unit, 1000 * table + r)[:, :m]
         y = np.concatenate([y, -y], axis=1)
-        take = min(probes, y.shape[1])
-        axes = np.argsort(-y, axis=1, kind="stable")[:, :take]
-        near = np.take_along_axis(y, axes, 1)
-        code = (code[:, :, None] * y.shape[1] + axes[:, None, :]).reshape(len(x), -1)
-        total = (total[:, :, None] + near[:, None, :]).reshape(len(x), -1)
-        best = np.argsort(-total, axis=1, kind="stable")[:, :probes]
-        code, total = np.take_along_axis(code, best, 1), np.take_along_axis(total, best, 1)
+        loss = (y.max(axis=1, keepdims=True) - y) ** 2
+        code = (code[:, :, None] * (2 * m) + np.arange(2 * m)[None, None]).reshape(len(unit), -1)
+        behind = (behind[:, :, None] + loss[:, None, :]).reshape(len(unit), -1)
+        if behind.shape[1] > n:  # losses only add up, so what is out stays out
+            best = np.argpartition(behind, n - 1, axis=1)[:, :n]
+            code, behind = np.take_along_axis(code, best, 1), np.take_along_axis(behind, best, 1)
     return code
 
 
@@ -59,115 +83,173 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows in double precision, summed from the first component to the last."""
     total = np.zeros(len(a))
     for j in range(a.shape[1]):
-        total += a[:, j] * b[:, j]
+        total += a[:, j].astype(np.float64) * b[:, j]
     return total
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    flat = table.column("v").combine_chunks().flatten().to_numpy()
-    return flat.reshape(table.num_rows, -1).astype(np.float64)
-
-
-def nearest(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each query's k best among v, exactly scored; ties at the end by id."""
-    rough = q @ v.T
-    rough[qid[:, None] == vid[None, :]] = -np.inf
-    if v.shape[0] > k:
-        # what rounding could bring among the k best stays in
-        cut = np.partition(rough, -k, axis=1)[:, -k]
-        cut = cut - 1e-12 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0))) * q.shape[1]
-        who, what = np.nonzero((rough >= cut[:, None]) & (rough > -np.inf))
-    else:
-        who, what = np.nonzero(rough > -np.inf)
-    score = np.empty(len(who))
-    for at in range(0, len(who), 1 << 16):
-        score[at : at + (1 << 16)] = inner(q[who[at : at + (1 << 16)]], v[what[at : at + (1 << 16)]])
+def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(rows, -1)
+
+
+def first_of_copies(v: np.ndarray, vid: np.ndarray, cell: np.ndarray, k: int) -> np.ndarray:
+    """Places, by cell and id, of all vectors but those with at least ``k`` copies of lesser id: they can't be among k best."""
+    order = np.lexsort((vid, np.unique(np.ascontiguousarray(v).view(f"V{v.shape[1] * v.itemsize}").ravel(), return_inverse=True)[1]))
+    same = np.concatenate([[False], (v[order[1:]] == v[order[:-1]]).all(axis=1)])
+    turn = np.arange(len(order)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    kept = order[turn < k]
+    return kept[np.lexsort((vid[kept], cell[kept]))]
+
+
+def nearest(q: np.ndarray, qid: np.ndarray, asks: np.ndarray, cells: np.ndarray, v: np.ndarray, vid: np.ndarray, home: np.ndarray, k: int, held: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of the k best of each query among the vectors of its cells, exactly scored; ties by id.
+
+    ``asks`` and ``cells`` are the probes: query rows and cells. Products in single precision choose
+    what is scored again in double precision, with room for their rounding.
+    """
+    place = first_of_copies(v, vid, home, k + 1)  # one of them may be the query itself
+    v, vid, home = v[place], vid[place], home[place]
+    some, start = np.unique(home, return_index=True)
+    stop = np.append(start[1:], len(home))
+    at = np.minimum(np.searchsorted(some, cells), len(some) - 1)
+    hit = some[at] == cells
+    asks, at = asks[hit], at[hit]
+    order = np.argsort(at, kind="stable")
+    asks, at = asks[order], at[order]
+    # scaled: a block's vectors are of one band of norms, and a query's own size doesn't change the order
+    wide = lambda x, axis: x / np.abs(x.astype(np.float64)).max(axis=axis, keepdims=True, initial=1e-300)
+    q32, v32 = wide(q, 1).astype(np.float32), wide(v, None).astype(np.float32)
+    room = np.sqrt((q32**2).sum(axis=1)) * np.sqrt((v32**2).sum(axis=1).max(initial=0)) * q.shape[1] * 3e-7
+    kth = np.full(len(q), -np.inf)
+    who, what, rough, n = [], [], [], 0
+
+    def pruned():
+        a, b, c = np.concatenate(who), np.concatenate(what), np.concatenate(rough)
+        by = np.lexsort((-c, a))
+        a, b, c = a[by], b[by], c[by]
+        first = np.searchsorted(a, a)
+        last = np.minimum(first + k, np.searchsorted(a, a, "right")) - 1
+        full = np.searchsorted(a, a, "right") - first >= k
+        limit = np.where(full, c[last] - room[a], -np.inf)
+        kth[a] = limit
+        keep = c >= limit
+        return [a[keep]], [b[keep]], [c[keep]], int(keep.sum())
+
+    for part in np.split(np.arange(len(at)), np.nonzero(np.diff(at))[0] + 1) if len(at) else ():
+        rows, lo, hi = asks[part], start[at[part[0]]], stop[at[part[0]]]
+        got = q32[rows] @ v32[lo:hi].T
+        i, j = np.nonzero((got >= kth[rows][:, None]) & (qid[rows][:, None] != vid[None, lo:hi]))
+        who.append(rows[i]), what.append(j + lo), rough.append(got[i, j])
+        n += len(i)
+        if n > held:
+            who, what, rough, n = pruned()
+            held = max(held, 2 * n)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    (who,), (what,), _, _ = pruned()
+    score = np.concatenate([inner(q[who[a : a + (1 << 16)]], v[what[a : a + (1 << 16)]]) for a in range(0, len(who), 1 << 16)])
     order = np.lexsort((vid[what], -score, who))
     who, what, score = who[order], what[order], score[order]
-    place = np.arange(len(who)) - np.searchsorted(who, who)
-    keep = place < k
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
     return who[keep], vid[what[keep]], score[keep]
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``id`` and ``v`` (doubles) without vectors that are null, empty, zero or hold null or non-finite components."""
+    """``id`` and ``v`` (floats as they are, other numbers as doubles) without vectors that are null, empty, zero or hold null or non-finite components."""
     x = F.col(vector)
     sound = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return vectors.where(F.col(key).isNotNull() & sound).where(F.exists(x, lambda c: c != 0)).select(F.col(key).cast("long").alias("id"), x.cast("array<double>").alias("v"))
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    return vectors.where(F.col(key).isNotNull() & sound).where(F.exists(x, lambda c: c != 0)).select(F.col(key).cast("long").alias("id"), x.cast(kind).alias("v"))
 
 
-def approximate_top_k(vectors: DataFrame, is_query, k: int, tables: int = TABLES, probes: int = PROBES, polytopes: int = 1, meet: int = MEET) -> DataFrame:
+def approximate_top_k(vectors: DataFrame, is_query, k: int, tables: int = TABLES, cell: int = CELL, region: int = REGION) -> DataFrame:
     """The k nearest found of each query by inner product: query_id, rank, vec_id, score.
 
-    ``vectors`` has ``id`` and ``v`` as from ``usable``; ``is_query`` is a condition on ``id``. Every
-    vector is indexed in every table and every bucket is searched whole: buckets of any size are
-    dealt into blocks. A query never meets rows of its own id; an id that is repeated with other
-    vectors counts by its best score, and as a query by each vector together. Vectors of other
-    lengths don't meet. If lengths of vectors differ much the index gets one more component that
-    makes them equal, so that large vectors are found. Small tables get more probes until a query
-    meets ``meet`` vectors a table, so that tables of few vectors are searched whole.
+    ``vectors`` has ``id`` and ``v`` as from ``usable`` (further columns are left out); ``is_query``
+    is a condition on ``id``. Every vector is indexed in every table by its direction, in the band of
+    its norm. A band of n vectors has tables of about n / ``cell`` cells, so hashes grow with log n,
+    and queries probe a share of the cells that falls with their number. Cells are searched whole:
+    neighbouring ones are a region, and regions and their queries of any size are dealt into blocks.
+    A query never meets rows of its own id; an id that is repeated with other vectors counts by its
+    best score, and as a query by each vector together. Vectors of other lengths don't meet. Ties go
+    to the lesser id; an empty table gives an empty result, and a query that has no candidates none.
     """
-    n = vectors.count()
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
-    least, most = vectors.agg(F.min(norm), F.max(norm)).first()
-    lift = n > 0 and least < most * (1 - 1e-3)
-    cells_of = lambda width: (2 * (1 << max(1, (width - 1).bit_length()))) ** polytopes
-
-    def hashed(batches):
+    most = F.array_max(F.transform("v", lambda c: F.abs(c.cast("double"))))
+    squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + (c.cast("double") / most) * (c.cast("double") / most))
+    band = F.floor((F.log2(most) + 0.5 * F.log2(squares)) * BANDS + 0.5).cast("int")
+    asked = vectors.select("id", "v", F.size("v").alias("dim"), band.alias("band"), F.expr(is_query).alias("is_query") if isinstance(is_query, str) else is_query.alias("is_query"))
+    bits, regions = defaultdict(dict), {}
+    for r in asked.groupBy("dim", "band").count().collect():  # a row for each length and band of norms
+        bits[r.dim][r.band] = max(0, int(np.ceil(np.log2(r["count"] / cell))))
+        regions[r.dim, r.band] = min(bits[r.dim][r.band], max(0, int(np.ceil(np.log2(r["count"] / region)))))
+
+    def units(batch: pa.RecordBatch):
+        """The batch's rows by length of vector: (dim, their part of the batch, unit vectors)."""
+        sizes = batch.column("dim").to_numpy()
+        for dim in np.unique(sizes).tolist():
+            own = batch.filter(pa.array(sizes == dim))
+            x = _matrix(own.column("v"), own.num_rows).astype(np.float64)
+            x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of tiny or huge components stay in range
+            yield dim, own, x / np.sqrt((x**2).sum(axis=1, keepdims=True))
+
+    kind = vectors.schema["v"].dataType.simpleString()
+
+    def indexed(batches):
+        for batch in batches:
+            for dim, own, unit in units(batch):
+                bands = own.column("band").to_numpy()
+                for b in np.unique(bands).tolist():
+                    here = np.nonzero(bands == b)[0]
+                    n, shift = bits[dim][b], bits[dim][b] - regions[dim, b]
+                    code = np.stack([homes(unit[here], t, n) for t in range(tables)], axis=1)
+                    flat = lambda x: pa.ListArray.from_arrays(np.arange(len(here) + 1, dtype=np.int32) * tables, pa.array(x.ravel()))
+                    taken = own.take(pa.array(here))
+                    yield pa.RecordBatch.from_arrays([taken.column(c) for c in ("id", "v", "dim", "band")] + [flat(code), flat(code >> shift)], names=["id", "v", "dim", "band", "cell", "region"])
+
+    def seeking(batches):
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            sizes = t.column("dim").to_numpy()
-            for dim in np.unique(sizes):
-                own = t.filter(pa.array(sizes == dim))
-                x = _matrix(own)
-                size = np.sqrt((x**2).sum(axis=1))
-                asks = own.column("is_query").to_numpy()
-                unit = x / size[:, None]
-                held = np.concatenate([x, np.sqrt(np.maximum(0, most**2 - size**2))[:, None]], axis=1) / most if lift else unit
-                unit = np.concatenate([unit, np.zeros((len(x), 1))], axis=1) if lift else unit
-                width = unit.shape[1]
-                p = min(cells_of(width), max(probes, -(-cells_of(width) * meet // max(1, n))))
-                home = np.stack([buckets(held, i, polytopes, 1)[:, 0] for i in range(tables)], axis=1)
-                seek = np.concatenate([buckets(unit[asks], i, polytopes, p) for i in range(tables)], axis=1)
-                probed = iter(seek.tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [own.column("id").combine_chunks(), own.column("v").combine_chunks(), pa.array(np.full(len(x), dim, np.int32)), pa.array(home.tolist(), pa.list_(pa.int64())), pa.array([next(probed) if a else None for a in asks], pa.list_(pa.int64()))],
-                    names=["id", "v", "dim", "home", "seek"],
-                )
-
-    asked = vectors.select("id", "v", F.size("v").alias("dim"), F.expr(is_query).alias("is_query") if isinstance(is_query, str) else is_query.alias("is_query"))
-    index = materialise(asked.mapInArrow(hashed, "id long, v array<double>, dim int, home array<long>, seek array<long>"), "polytopes")
-    held = index.select("id", "v", "dim", F.posexplode("home").alias("table", "bucket"))
-    sought = index.where("seek is not null").select("id", "v", "dim", F.posexplode("seek").alias("at", "bucket"), F.size("seek").alias("n"))
-    sought = sought.withColumn("table", F.floor(F.col("at") * tables / F.col("n")).cast("int")).drop("at", "n")
-    cell = ["dim", "table", "bucket"]
-    # both sides stem from one table: give the second columns of its own
-    sought = sought.select(*[F.col(c).alias(c) for c in ("id", "v", "dim", "table", "bucket")])
-    n_held = held.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("vs"))
-    n_sought = sought.groupBy(*cell).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs"))
-    blocks = n_held.join(n_sought, cell)  # a row per bucket that is sought and holds something
+            for dim, own, unit in units(batch):
+                for b, n in bits[dim].items():
+                    want, shift = min(1 << n, int(np.ceil(SHARE * (1 << n) ** GROWTH))), n - regions[dim, b]
+                    step = max(1, (1 << 22) // (want * 2 * width_of(dim)))
+                    for t in range(tables):
+                        for at in range(0, len(unit), step):
+                            code = np.sort(probes(unit[at : at + step], t, n, want), axis=1)
+                            rows, cells = np.repeat(np.arange(len(code)), code.shape[1]) + at, code.ravel()
+                            place = rows * (1 << regions[dim, b]) + (cells >> shift)  # sorted: cells are, row by row
+                            first = np.concatenate([[0], np.nonzero(np.diff(place))[0] + 1])
+                            taken = own.take(pa.array(rows[first]))
+                            whole = lambda x: pa.array(np.full(len(first), x, np.int32))
+                            lists = pa.ListArray.from_arrays(np.append(first, len(cells)).astype(np.int32), pa.array(cells))
+                            yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("v"), whole(dim), whole(b), whole(t), pa.array(cells[first] >> shift), lists], names=["id", "v", "dim", "band", "table", "region", "cells"])
+
+    index = materialise(asked.mapInArrow(indexed, f"id long, v {kind}, dim int, band int, cell array<long>, region array<long>"), "polytopes")
+    spot = ["dim", "band", "table", "region"]
+    held = lambda *columns: index.select(*columns, "dim", "band", F.posexplode(F.arrays_zip("cell", "region")).alias("table", "z")).select(*columns, "dim", "band", "table", F.col("z.cell").alias("cell"), F.col("z.region").alias("region"))
+    sought = materialise(asked.where("is_query").mapInArrow(seeking, f"id long, v {kind}, dim int, band int, table int, region long, cells array<long>"), "probes")
+    n_held = held().groupBy(*spot).agg(F.ceil(F.count("*") / region).cast("int").alias("vs"))
+    n_sought = sought.groupBy(*spot).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs"))
+    blocks = materialise(n_held.join(n_sought, spot), "regions")  # a row for each region that is sought and holds something
+    parts = blocks.agg(F.sum("vs")).first()[0] or 1
     place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = held.join(blocks, cell).withColumn("vb", place("vs", 1)).withColumn("qb", upto("qs"))
-    sought = sought.join(blocks, cell).withColumn("qb", place("qs", 2)).withColumn("vb", upto("vs"))
-    keys = [*cell, "vb", "qb"]
+    left = sought.join(blocks, spot).withColumn("qb", place("qs", 2)).withColumn("vb", upto("vs"))
+    right = held("id", "v").join(blocks.select(*[F.col(c).alias(c) for c in blocks.columns]), spot).withColumn("vb", place("vs", 1)).withColumn("qb", upto("qs"))
+    keys = [*spot, "vb", "qb"]
 
     def searched(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "score": [], "vec_id": []}
+        who, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if left.num_rows and right.num_rows:
-            q, qid, v, vid = _matrix(left), left.column("id").to_numpy(), _matrix(right), right.column("id").to_numpy()
-            for at in range(0, len(q), 512):
-                who, ids, score = nearest(q[at : at + 512], qid[at : at + 512], v, vid, k)
-                for part in np.split(np.arange(len(who)), np.nonzero(np.diff(who))[0] + 1):
-                    if len(part):
-                        out["query_id"].append(int(qid[at + who[part[0]]]))
-                        out["score"].append((-score[part]).tolist())
-                        out["vec_id"].append(ids[part].tolist())
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "neg": pa.array(out["score"], pa.list_(pa.float64())), "vec_id": pa.array(out["vec_id"], pa.list_(pa.int64()))})
-
-    sought = sought.select(*[F.col(c).alias(c) for c in ("id", "v", *keys)])
-    held = held.select(*[F.col(c).alias(c) for c in ("id", "v", *keys)])
-    found = sought.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(searched, "query_id long, neg array<double>, vec_id array<long>")
-    pairs = found.select("query_id", F.inline(F.arrays_zip("neg", "vec_id")).alias("neg", "vec_id")).groupBy("query_id", "vec_id").agg(F.min("neg").alias("neg"))
-    ranked = pairs.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("neg", "vec_id"))), 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.neg")).alias("score"))
+            q, qid = _matrix(left.column("v"), left.num_rows), left.column("id").to_numpy()
+            lists = left.column("cells").combine_chunks()
+            asks = np.repeat(np.arange(left.num_rows), lists.value_lengths().to_numpy())
+            v, vid = _matrix(right.column("v"), right.num_rows), right.column("id").to_numpy()
+            who, ids, score = nearest(q, qid, asks, lists.flatten().to_numpy(), v, vid, right.column("cell").to_numpy(), k)
+            who = qid[who]
+        part = hash(tuple(int(right.column(c)[0].as_py()) for c in ("band", "table", "region", "vb"))) % parts if len(who) else 0
+        return pa.table({"query_id": pa.array(who, pa.int64()), "neg": pa.array(-score, pa.float64()), "vec_id": pa.array(ids, pa.int64()), "part": pa.array(np.full(len(who), part), pa.int64())})
+
+    left = left.select(*[F.col(c).alias(c) for c in ("id", "v", "cells", *keys)])
+    right = right.select(*[F.col(c).alias(c) for c in ("id", "v", "cell", *keys)])
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(searched, "query_id long, neg double, vec_id long, part long")
+    return best_of(found, k, parts).select("query_id", "rank", "vec_id", (-F.col("neg")).alias("score"))

@@ -442,30 +442,69 @@ def test_exact_top_k(spark):
     assert [(r.vec_id, r.score) for r in topk.exact_top_k(huge, huge.where("id = 0"), 5).orderBy("rank").collect()] == [(2, 2**61 + 5), (1, 2**61 + 3)]
 
 
+def test_hadamard_and_cells():
+    rng = np.random.default_rng(20)
+    x = rng.normal(size=(50, 48))
+    y = ann.pseudo_rotation(x, 3)
+    assert y.shape == (50, 64) and np.allclose((y**2).sum(axis=1), (x**2).sum(axis=1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for bits in (0, 1, 5, 7, 9, 15):
+        home, every = ann.homes(unit, 2, bits), ann.probes(unit, 2, bits, 1 << bits)
+        assert sorted(every[0].tolist()) == list(range(1 << bits))  # all cells, once each
+        assert (ann.probes(unit, 2, bits, 1)[:, 0] == home).all()
+    assert ann.axes_of(64, 9) == [64, 2] and ann.axes_of(64, 0) == []
+
+
+def recall(found, x, ids, k=20):
+    """The share of the k true neighbours that were found, and the fewest rows that a query got."""
+    asks = np.nonzero(ids % 20 == 0)[0]
+    by = {}
+    for r in found:
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x[asks] @ x.T
+    score[np.arange(len(asks)), asks] = -np.inf
+    best = np.argpartition(-score, k, axis=1)[:, :k]
+    got = [len(by.get(ids[q], set()) & set(ids[row].tolist())) / k for q, row in zip(asks, best)]
+    return float(np.mean(got)), min(len(by.get(ids[q], ())) for q in asks)
+
+
+@pytest.mark.parametrize("norms", ["unit", "spread", "outlier"])
+def test_recall(spark, norms):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= {"unit": np.ones((10_000, 1)), "spread": rng.lognormal(size=(10_000, 1)), "outlier": np.where(np.arange(10_000) == 77, 10.0, 1.0)[:, None]}[norms]
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    found = ann.approximate_top_k(ann.usable(table), "id % 20 = 0", 20, region=2000).collect()
+    share, least = recall(found, x.astype(float), np.arange(10_000))
+    assert share >= 0.9 and least == 20
+
+
 def test_approximate_top_k(spark):
     rows, table = vectors(spark)
-    zero = spark.createDataFrame([(6000, [0.0] * 16)], "vec_id long, embedding array<float>")
-    got = ann.approximate_top_k(ann.usable(table.unionAll(zero)), "id % 20 = 0", 20, meet=0).collect()
-    x = {i: np.array(v, np.float32).astype(float) for i, v in rows}
-    ids = np.array(list(x))
-    m = np.stack(list(x.values()))
-    by, hits, total = {}, 0, 0
-    for r in got:
-        by.setdefault(r.query_id, []).append(r)
-    for q in [i for i in x if i % 20 == 0]:
-        score = ann.inner(np.broadcast_to(x[q], m.shape), m)
-        score[ids == q] = -np.inf
-        best = np.lexsort((ids, -score))[:20]
-        mine = sorted(by[q], key=lambda r: r.rank)
-        assert [r.rank for r in mine] == list(range(1, len(mine) + 1))
-        assert all(r.score == ann.inner(x[q][None], x[r.vec_id][None])[0] for r in mine)
-        assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
-        hits, total = hits + len({r.vec_id for r in mine} & set(ids[best].tolist())), total + 20
-    assert hits / total >= 0.9
-    assert {r.query_id for r in got} == {q for q in x if q % 20 == 0} | {5200} and 6000 not in by
+    zero = spark.createDataFrame([(6000, [0.0] * 16), (1, [3.0] + [0.0] * 15), (40, [0.0] * 15 + [1.0])], "vec_id long, embedding array<float>")
+    both = table.unionAll(zero).withColumn("v", F.lit("clash")).withColumn("score", F.lit(1))
+    got = ann.approximate_top_k(ann.usable(both), "id % 20 = 0", 20, cell=1 << 20).collect()  # one cell: all are met
+    x = [(i, np.array(v, np.float32).astype(float)) for i, v in rows] + [(1, np.array([3.0] + [0.0] * 15)), (40, np.array([0.0] * 15 + [1.0]))]
+    ids, m = np.array([i for i, _ in x]), np.stack([v for _, v in x])
+    want = []
+    for q in sorted({i for i in ids.tolist() if i % 20 == 0}):
+        best = {}
+        for own in m[ids == q]:
+            for i, s in zip(ids.tolist(), ann.inner(np.broadcast_to(own, m.shape), m).tolist()):
+                if i != q:
+                    best[i] = max(s, best.get(i, -np.inf))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted((-s, i) for i, s in best.items())[:20])]
+    want += [(5200, 1, 5250, float(np.float32(0.1)) * 0.5 + float(np.float32(0.2)) * 0.5)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    blocks = ann.approximate_top_k(ann.usable(both), "id % 20 = 0", 20, cell=1 << 20, region=50).collect()
+    assert sorted(map(tuple, blocks)) == sorted(want)  # a region in many blocks gives the same
     few = ann.usable(table.where("vec_id in (20, 1, 2)"))
     assert len(ann.approximate_top_k(few, "id % 20 = 0", 20).collect()) == 2
     assert ann.approximate_top_k(few.where("false"), "id % 20 = 0", 20).collect() == []
+    doubles = spark.createDataFrame([(0, [1e200, 1.0]), (1, [1e-200, 0.0]), (2, [1.0, 1e-9])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.approximate_top_k(ann.usable(doubles), "id = 0", 5).orderBy("rank").collect()] == [(2, 1e200), (1, 1.0)]
 
 
 def test_packing(spark, docs, empty):
@@ -489,6 +528,10 @@ def test_packing(spark, docs, empty):
             at += n
         assert at <= 64
     assert packing.pack_documents(empty, TOKENIZER).collect() == []
+    alike = spark.range(3000).select("id", (F.col("id") % 3 + 8).cast("int").alias("length"))
+    packed = packing.pack(alike, 10, ["id"], slice_rows=100).collect()  # lengths in many slices
+    places = sorted((r.sequence_id, r.offset, r.length) for r in packed)
+    assert len(set(places)) == 3000 and all(n + o <= 10 for _, o, n in places)
 
 
 def plain_shortest_pack_first(counts, size):
