@@ -15,7 +15,7 @@ from .shared import best_of, materialise
 TABLES, CELL = 4, 24
 #: Of ``c`` cells a query probes SHARE x c ** GROWTH: fewer of them, as a share, the more there are. Fitted to random
 #: unit vectors of 64 dimensions, which have no structure at all (the hardest case); measured recall is in the README.
-SHARE, GROWTH = 1.5, 0.62
+SHARE, GROWTH = 1.8, 0.62
 #: Bands of norms to a doubling; each has tables of its own.
 BANDS = 4
 #: Vectors of neighbouring cells that are stored together and meet queries in a task, and queries that meet them at once.
