@@ -1,6 +1,7 @@
 """Each pipeline operator against a plain version, with nulls, empty and long texts, ties, repeats, no rows and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import math
 import re
@@ -413,8 +414,44 @@ def test_warc(spark, tmp_path):
     assert big.encode() in stored
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
     assert warc.assemble(warc.read(spark, str(tmp_path / "none"))).collect() == []
-    with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nshort"))
+    for torn in (b"WARC/1.1\r\nContent-Length: 10\r\n\r\nshort", b"junk", b"WARC/1.1\r\nno end", gzip.compress(b"WARC/1.1\r\nContent-Length: 0\r\n\r\n")[:-9]):
+        with pytest.raises(ValueError):
+            list(warc.parse([torn]))
+
+
+def test_warc_members_and_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_CHUNKS", 2)
+    rng = np.random.default_rng(30)
+    noise = lambda n: "".join(map(chr, rng.integers(32, 0x2000, n)))
+    rows = [(i, f"http://h/{i}", noise(int(rng.integers(0, 4000)))) for i in range(300)] + [(300, "http://long/", noise(3_000_000))]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, turn int")
+    for compression in ("gzip", "none"):
+        path = tmp_path / compression
+        warc.write(pages.repartition(2), str(path), compression, chunk=100_000)
+        files = [f.read_bytes() for f in path.glob("part-*")]
+        assert len(files) > 4
+        one = max(files, key=len)
+        records = list(warc.parse(one[a : a + 777] for a in range(0, len(one), 777)))
+        if compression == "gzip":  # a member for each record, each of which can be read alone
+            members, rest = [], one
+            while rest:
+                inflate = zlib.decompressobj(31)
+                members.append(inflate.decompress(rest))
+                assert inflate.eof
+                rest = inflate.unused_data
+            assert len(members) == len(records) and all(len(list(warc.parse([m]))) == 1 for m in members)
+        read = warc.read(spark, str(path), with_block=True)
+        got = {r.target_uri: bytes(r.block).partition(b"\r\n\r\n")[2] for r in read.where("type = 'response'").collect()}
+        assert got == {u: h.encode() for _, u, h in rows}
+        # the same records in archives of another make, read as a stream
+        other = tmp_path / f"other-{compression}"
+        other.mkdir()
+        (other / "all.warc.gz").write_bytes(b"".join(files) if compression == "gzip" else gzip.compress(b"".join(files)))
+        (other / "one.warc").write_bytes(files[0])
+        want = sorted(r.record_id for r in read.collect()) + [h["warc-record-id"] for _, h, _ in warc.parse([files[0]])]
+        assert sorted(r.record_id for r in warc.read(spark, str(other)).collect()) == sorted(want)
+        blocks = {r.target_uri: bytes(r.block).partition(b"\r\n\r\n")[2] for r in warc.read(spark, str(other), with_block=True).where("type = 'response'").collect()}
+        assert blocks == got
 
 
 def vectors(spark, n=1500, dim=16):
