@@ -121,3 +121,10 @@ def joined_document(*fields: Column) -> Column:
 def review_id(*fields: Column) -> Column:
     """The first twelve hex digits of the MD5 of the fields, nulls being empty."""
     return F.left(F.md5(F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields])), F.lit(12))
+
+
+def xml_escaped(text: Column) -> Column:
+    """Text for XML: the five characters that have names are replaced, ampersands first."""
+    for char, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "apos")):
+        text = F.replace(text, F.lit(char), F.lit(f"&{name};"))
+    return text

@@ -165,3 +165,12 @@ def domain_brand(url: Column) -> Column:
     at = F.when((n >= 3) & F.lower(F.try_element_at(labels, F.lit(-2))).isin(SECOND_LEVELS), -3).when(n >= 2, -2).otherwise(-1)
     label = F.coalesce(F.try_element_at(labels, at), F.lit(""))
     return F.concat(F.upper(F.left(label, F.lit(1))), F.lower(F.substr(label, F.lit(2))))
+
+
+def unwrapped(url: Column) -> Column:
+    """The target of a search engine's redirect, whose ``u`` holds it in base64 after an optional ``a1``; other addresses as they are."""
+    code = F.regexp_replace(F.regexp_extract(url, r"[?&]u=([^&#]*)", 1), "^a1", "")
+    even = F.translate(code, "-_", "+/")
+    padded = F.rpad(even, (F.ceil(F.length(even) / 4) * 4).cast("int"), F.lit("="))
+    target = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    return F.when(F.contains(url, F.lit("bing.com/ck/a")) & (code != "") & F.startswith(target, F.lit("http")), target).otherwise(url)

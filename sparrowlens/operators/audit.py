@@ -160,12 +160,14 @@ def diversity(queries: DataFrame, results: DataFrame) -> DataFrame:
 def specificity_pairs(queries: DataFrame) -> DataFrame:
     """Queries of which one's terms are properly among the other's, each text once.
 
-    A narrower query holds the broader one's rarest... any term, so the join goes over the broader
-    query's first term instead of over all pairs.
+    A narrower query holds all of the broader one's terms, so they meet over the broader query's
+    rarest term (by the number of queries that hold it) and not over all pairs.
     """
     terms = queries.where(F.col("category").isin(SPECIFICITY_CATEGORIES)).select("query").distinct().withColumn("terms", query_terms(F.col("query"))).where(F.size("terms") > 0)
-    broad = terms.select(F.col("query").alias("broad"), F.col("terms").alias("broad_terms"), F.element_at("terms", 1).alias("term"))
     narrow = terms.select(F.col("query").alias("narrow"), F.col("terms").alias("narrow_terms"), F.explode("terms").alias("term"))
+    held = narrow.groupBy("term").agg(F.count("*").alias("n"))
+    each = terms.select(F.col("query").alias("broad"), F.col("terms").alias("broad_terms"), F.explode("terms").alias("term")).join(held, "term")
+    broad = each.groupBy("broad", "broad_terms").agg(F.min(F.struct("n", "term")).alias("rarest")).select("broad", "broad_terms", F.col("rarest.term").alias("term"))
     pairs = broad.join(narrow, "term").where((F.size("broad_terms") < F.size("narrow_terms")) & (F.size(F.array_except("broad_terms", "narrow_terms")) == 0))
     return pairs.select("broad", "narrow", F.size("broad_terms").alias("broad_size"), F.size("narrow_terms").alias("narrow_size"))
 
@@ -179,17 +181,17 @@ def chain_breaks(chains: DataFrame, drop: float = 0.15) -> DataFrame:
 def proof_of_stock(judged: DataFrame, results: DataFrame, most: int = 6) -> DataFrame:
     """For queries without results: another query that finds a phrase of theirs, with the title that has it.
 
-    A phrase counts if titles of at least one and at most ``most`` other queries hold it and one of
-    those queries holds it too. Of a query's phrases the longest counts, of its finders the shortest.
-    Titles are cut into their phrases, so phrases meet by equality and not by comparing all pairs.
+    A phrase counts if titles of at most ``most`` queries hold it and one of those that are other
+    queries holds it too. Of a query's phrases the longest counts, of its finders the shortest.
+    Titles are cut into their phrases, so phrases meet by equality, and phrases that more queries
+    hold are left out before they meet.
     """
     asked = judged.where("n_results = 0").select("query_id", "query", F.posexplode(phrases(F.col("query"))).alias("at", "phrase")).withColumn("needle", normal_key(F.col("phrase")))
-    held = results.join(judged.select("query_id", F.col("query").alias("other")), "query_id").select(F.col("query_id").alias("other_id"), "other", "title", "original_rank", F.explode(phrases(F.col("title"))).alias("p"))
-    held = held.withColumn("needle", normal_key(F.col("p"))).drop("p")
-    first = held.groupBy("needle", "other_id", "other").agg(F.min_by("title", "original_rank").alias("example_title"))
-    pairs = asked.join(first, "needle").where("other <> query")
-    spread = pairs.groupBy("query_id", "at").agg(F.countDistinct("other_id").alias("df")).where((F.col("df") <= most))
-    direct = pairs.where(F.contains(normal_key(F.col("other")), F.col("needle"))).join(spread, ["query_id", "at"])
+    held = results.select(F.col("query_id").alias("other_id"), "title", "original_rank", F.explode(phrases(F.col("title"))).alias("p"))
+    held = held.withColumn("needle", normal_key(F.col("p"))).groupBy("needle", "other_id").agg(F.min_by("title", "original_rank").alias("example_title"))
+    rare = held.groupBy("needle").agg(F.count("*").alias("df")).where(F.col("df") <= most).select("needle")
+    found = asked.join(rare, "needle").join(held, "needle").join(judged.select(F.col("query_id").alias("other_id"), F.col("query").alias("other")), "other_id")
+    direct = found.where((F.col("other") != F.col("query")) & F.contains(normal_key(F.col("other")), F.col("needle")))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("at", F.length("other"), "other_id"))
     return direct.withColumn("n", best).where("n = 1").select("query_id", "query", F.col("other").alias("working_variant"), "example_title")
 

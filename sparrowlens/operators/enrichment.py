@@ -105,4 +105,4 @@ def quota(existing: DataFrame, incoming: DataFrame, targets: DataFrame) -> DataF
     have = existing.groupBy("category").agg(F.count("*").alias("have"))
     fresh = incoming.join(existing.select(F.lower("query").alias("q")).distinct(), F.lower(incoming["query"]) == F.col("q"), "left_anti")
     place = F.row_number().over(Window.partitionBy("category").orderBy("ord"))
-    return fresh.withColumn("n", place).join(F.broadcast(targets), "category").join(F.broadcast(have), "category", "left").where(F.col("n") <= F.col("target") - F.coalesce("have", F.lit(0))).select("category", "query")
+    return fresh.withColumn("n", place).join(targets, "category").join(have, "category", "left").where(F.col("n") <= F.col("target") - F.coalesce("have", F.lit(0))).select("category", "query")

@@ -138,7 +138,7 @@ def timeline(events: DataFrame) -> DataFrame:
 def schedule(steps: DataFrame, starts: DataFrame) -> DataFrame:
     """The date of each step: the start plus the delays up to it."""
     total = F.sum("delay_days").over(Window.partitionBy("sequence_id").orderBy("step_order").rowsBetween(Window.unboundedPreceding, 0))
-    return starts.join(F.broadcast(steps.withColumn("after", total.cast("int"))), "sequence_id").select("id", "step_order", F.date_format(F.date_add(F.to_date("started_at"), F.col("after")), "yyyy-MM-dd").alias("scheduled_date"))
+    return starts.join(steps.withColumn("after", total.cast("int")), "sequence_id").select("id", "step_order", F.date_format(F.date_add(F.to_date("started_at"), F.col("after")), "yyyy-MM-dd").alias("scheduled_date"))
 
 
 def resumed(paused: DataFrame, now: Column) -> DataFrame:

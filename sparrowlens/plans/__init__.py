@@ -1,8 +1,8 @@
 """The catalogue of named queries."""
 
-from . import audit, leads, outreach
+from . import audit, checks, contacts, leads, outreach
 
-PARTS = [audit, outreach, leads]
+PARTS = [audit, outreach, leads, contacts, checks]
 
 
 def queries():

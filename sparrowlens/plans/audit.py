@@ -27,10 +27,20 @@ def _family(t: str) -> str:
     return f"trim(array_to_string(list_transform({words}, lambda w: CASE WHEN len(w) > 4 THEN regexp_replace(w, 's+$', '') ELSE w END), ' '))"
 
 
+def _phrases(q: str) -> str:
+    """Pairs of neighbouring words and words, distinct, longest key first, ties in order."""
+    words = f"list_filter(regexp_split_to_array(lower({q}), '[^a-z0-9]+'), lambda w: len(w) >= 3 AND NOT list_contains({_STOP}, w))"
+    key = lambda p: f"regexp_replace({p}, '[^a-z0-9]', '', 'g')"
+    every = f"list_concat(list_transform(list_zip(({words})[:-2], ({words})[2:]), lambda z: z[1] || ' ' || z[2]), {words})"
+    kept = f"list_filter(list_filter({every}, lambda p, i: list_position({every}, p) = i), lambda p: len({key('p')}) >= 5)"
+    ranked = f"list_sort(list_transform({kept}, lambda p, i: {{'n': -len({key('p')}), 'i': i, 'p': p}}))"
+    return f"list_transform({ranked}, lambda s: s.p)"
+
+
 WITH = f"""WITH caps(category, capability) AS (VALUES {_CAPS}),
 queries AS (
   SELECT o_orderkey AS query_id, p_name || ' ' || lower(p_type) AS query, c.category, c.capability
-  FROM orders JOIN part ON p_partkey = o_orderkey % 200
+  FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)
   JOIN caps c ON c.category = ({_LIST})[CAST(o_orderkey % 26 AS INT) + 1]),
 scored AS (
   SELECT l_orderkey AS query_id, p_name AS title,
@@ -81,6 +91,18 @@ def _six(*cols: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
 
 
+_STOCK = (
+    WITH
+    + f""", asked AS (SELECT query_id, query, unnest(l) AS phrase, unnest(range(len(l))) AS pos FROM (SELECT query_id, query, {_phrases('query')} AS l FROM judged WHERE n_results = 0)),
+    titles AS (SELECT title, unnest({_phrases('title')}) AS p FROM (SELECT DISTINCT title FROM scored)),
+    held AS (SELECT regexp_replace(p, '[^a-z0-9]', '', 'g') AS needle, query_id AS other_id, arg_min(title, original_rank) AS example_title FROM scored JOIN titles USING (title) GROUP BY 1, 2),
+    rare AS (SELECT needle FROM held GROUP BY 1 HAVING count(*) <= 6),
+    hit AS (SELECT a.query_id, a.query, o.query AS working_variant, example_title, row_number() OVER (PARTITION BY a.query_id ORDER BY pos, len(o.query), other_id) AS n
+      FROM asked a JOIN held h ON h.needle = regexp_replace(a.phrase, '[^a-z0-9]', '', 'g') JOIN judged o ON o.query_id = other_id
+      WHERE h.needle IN (SELECT needle FROM rare) AND o.query <> a.query AND contains(regexp_replace(lower(o.query), '[^a-z0-9]', '', 'g'), h.needle))
+    SELECT query_id, query, working_variant, example_title FROM hit WHERE n = 1"""
+)
+
 CATALOGUE = {
     "query_stats": (lambda v: _r(audit.query_stats(v.queries(), v.scored()), "top3_avg"), WITH + f"SELECT * EXCLUDE (top3_avg), {_six('top3_avg')} FROM stats"),
     "severity_fallback": (lambda v: _judged(v).select("query_id", "severity", "failure_mode"), WITH + "SELECT query_id, severity, failure_mode FROM judged"),
@@ -181,6 +203,6 @@ CATALOGUE = {
     "thin_results": (lambda v: audit.thin_results(_judged(v)), WITH + "SELECT count(*) AS total, count(*) FILTER (n_results = 0) AS empty, count(*) FILTER (n_results < 5) AS thin, count(*) FILTER (n_results < 5) > count(*) * 0.5 AS warn FROM judged"),
     "query_terms": (lambda v: v.queries().select("query_id", F.array_join(query_terms(F.col("query")), " ").alias("terms")), WITH + f"SELECT query_id, array_to_string({_terms('query')}, ' ') AS terms FROM queries"),
     "family_keys": (lambda v: v.table("part").select("p_partkey", family_key(F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string"))).alias("family")), f"SELECT p_partkey, {_family(chr(112) + '_name || chr(32) || p_brand || chr(32) || p_size')} AS family FROM part"),
-    "proof_of_stock": (lambda v: audit.proof_of_stock(_judged(v), v.scored(), most=1 << 40), None),
-    "query_phrases": (lambda v: v.queries().select("query_id", F.array_join(phrases(F.col("query")), "; ").alias("phrases")), None),
+    "proof_of_stock": (lambda v: audit.proof_of_stock(_judged(v), v.scored()), _STOCK),
+    "query_phrases": (lambda v: v.queries().select("query_id", F.array_join(phrases(F.col("query")), "; ").alias("phrases")), WITH + f"SELECT query_id, array_to_string({_phrases('query')}, '; ') AS phrases FROM queries"),
 }

@@ -95,6 +95,10 @@ def _actions(v: Views):
     return streams.routed(_webhooks(v), known)
 
 
+_WIDE = "lower(text)"
+for _letter, _pair in text.WIDE_ACCENTS.items():
+    _WIDE = f"replace({_WIDE}, '{_letter}', '{_pair}')"
+
 CATALOGUE = {
     "companies_page": (lambda v: outreach.companies_page(outreach.contacts_count(v.companies(), v.contacts()), search="nation_1", descending=True, limit=8), WITH + ", n AS (SELECT company_id, count(*) AS contacts_count FROM contacts GROUP BY 1) SELECT c.*, coalesce(contacts_count, 0) AS contacts_count FROM companies c LEFT JOIN n ON n.company_id = c.id WHERE contains(lower(name), 'nation_1') OR contains(website, 'nation_1') ORDER BY status = 'not-interested', updated_at DESC, id LIMIT 8"),
     "companies_by_tag": (lambda v: outreach.with_any_tag(v.companies(), v.table("supplier").select(F.col("s_nationkey").alias("company_id"), (F.col("s_suppkey") % 20).alias("tag_id")), 3), WITH + "SELECT * FROM companies WHERE id IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 20 = 3)"),
@@ -154,6 +158,6 @@ CATALOGUE = {
     "page_domain": (lambda v: v.table("pages").select("page_id", mail.domain_of(F.col("url")).alias("domain")), "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS domain FROM pages"),
     "nav_links": (lambda v: v.table("pages").select("page_id", F.posexplode(F.regexp_extract_all(F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1), F.lit(r'<a href="[^"]*">([^<]*)</a>'), F.lit(1))).alias("place", "label")), "SELECT page_id, CAST(i AS INT) AS place, l[i + 1] AS label FROM (SELECT page_id, l, unnest(range(len(l))) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=\"[^\"]*\">([^<]*)</a>', 1) AS l FROM pages))"),
     "document_emails": (lambda v: v.table("documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+"), F.lit(0)))).alias("email")), "SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)+'))) AS email FROM documents"),
-    "accent_folding": (lambda v: v.table("documents").select("doc_id", F.md5(text.without_accents(F.col("text"))).alias("folded")), None),
+    "accent_folding": (lambda v: v.table("documents").select("doc_id", F.md5(text.without_accents(F.col("text"))).alias("folded")), f"SELECT doc_id, md5(translate({_WIDE}, '{text.ACCENTED}', '{text.UNACCENTED}')) AS folded FROM documents"),
     "balanced_counts": (lambda v: enrichment.balanced(v.spark.createDataFrame([(c, i) for i, c in enumerate(CATEGORIES)], "category string, place int"), 60), f"SELECT c AS category, CAST(2 + CASE WHEN i < 8 THEN 1 ELSE 0 END AS INT) AS target FROM (SELECT unnest({_sql_list(CATEGORIES)}) AS c, unnest(range(26)) AS i)"),
 }

@@ -67,14 +67,23 @@ def report_slugs(companies: DataFrame, registry: DataFrame, tries: int = 8) -> D
     """A slug for each company: that of the registry, else its name and four digits from its hash that no other has.
 
     ``companies``: company. ``registry``: company, slug. Of a company's ``tries`` numbers the first
-    that is free is taken, so a slug is the same in every run; without a free one the slug is null.
+    that is free is taken, so a slug is the same in every run. Companies that have none of those free
+    go through all 9000 numbers; only if all are taken the slug is null.
     """
     have = registry.where("slug <> ''").groupBy("company").agg(F.min("slug").alias("known"))
     own = companies.select("company").distinct().join(have, "company", "left")
-    tried = F.array(*[F.concat(F.col("company"), F.lit("-"), (F.pmod(F.xxhash64("company", F.lit(i)), F.lit(9000)) + 1000).cast("string")) for i in range(tries)])
-    fresh = own.where("known is null").select("company", F.posexplode(tried).alias("turn", "slug")).join(registry.select("slug").distinct(), "slug", "left_anti")
-    first = fresh.groupBy("company").agg(F.min_by("slug", "turn").alias("made"))
-    return own.join(first, "company", "left").select("company", F.coalesce("known", "made").alias("slug"))
+    taken = registry.select("slug").distinct()
+
+    def first_free(wanting: DataFrame, n: int) -> DataFrame:
+        number = lambda i: F.pmod(F.xxhash64("company", i), F.lit(9000)) if n < 9000 else F.pmod(F.xxhash64("company") + i, F.lit(9000))
+        tried = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.col("company"), F.lit("-"), (number(i) + 1000).cast("string")))
+        fresh = wanting.select("company", F.posexplode(tried).alias("turn", "slug")).join(taken, "slug", "left_anti")
+        return fresh.groupBy("company").agg(F.min_by("slug", "turn").alias("made"))
+
+    wanting = own.where("known is null").select("company")
+    made = first_free(wanting, tries)
+    made = made.unionByName(first_free(wanting.join(made, "company", "left_anti"), 9000))
+    return own.join(made, "company", "left").select("company", F.coalesce("known", "made").alias("slug"))
 
 
 def union_first(parts: list[DataFrame], key: str) -> DataFrame:

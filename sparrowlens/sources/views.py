@@ -41,10 +41,11 @@ class Views:
 
     # search audits
     def queries(self) -> DataFrame:
-        """query_id, query, category, capability: a test query per order."""
-        words = self.table("part").where("p_partkey < 200").select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("query"))
-        orders = self.table("orders").select(F.col("o_orderkey").alias("query_id"), F.get(F.array(*map(F.lit, CATEGORIES)), (F.col("o_orderkey") % 26).cast("int")).alias("category"), (F.col("o_orderkey") % 200).alias("p_partkey"))
-        return orders.join(F.broadcast(words), "p_partkey").select("query_id", "query", "category", F.element_at(capability_map(), F.col("category")).alias("capability"))
+        """query_id, query, category, capability: a test query per order, its text from the parts in turn."""
+        words = self.table("part").select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("query"))
+        parts = max(1, words.count())
+        orders = self.table("orders").select(F.col("o_orderkey").alias("query_id"), F.get(F.array(*map(F.lit, CATEGORIES)), (F.col("o_orderkey") % 26).cast("int")).alias("category"), (F.col("o_orderkey") % parts).alias("p_partkey"))
+        return orders.join(words, "p_partkey").select("query_id", "query", "category", F.element_at(capability_map(), F.col("category")).alias("capability"))
 
     def scored(self) -> DataFrame:
         """query_id, title, original_rank, relevance_score: a ranked result per lineitem."""
@@ -58,7 +59,7 @@ class Views:
     def companies(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
         key = F.col("n_nationkey")
-        return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
+        return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
             key.alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("https://www."), F.lower(F.replace("n_name", F.lit("_"), F.lit("-"))), F.lit(".example.com/shop")).alias("website"),
             F.get(F.array(*map(F.lit, COMPANY_STATUSES)), (key % 8).cast("int")).alias("status"), F.when(key % 6 != 0, F.col("r_name")).alias("platform"),
             F.format_string("2024-01-%02dT00:00:00Z", key + 1).alias("updated_at"), F.when(key % 5 == 0, F.concat(F.lit("https://reports.example.com/"), key.cast("string"))).alias("report_url"))

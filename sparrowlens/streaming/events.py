@@ -22,7 +22,9 @@ def counters(actions: DataFrame, key: str = "event_id") -> DataFrame:
 
 
 def deduplicated(deliveries: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """An extension: deliveries that come again within the watermark are dropped."""
+    """An extension: deliveries that come again within the watermark are dropped; of a stored table all that come again."""
+    if not deliveries.isStreaming:
+        return deliveries.dropDuplicates(["delivery_id"])
     return deliveries.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["delivery_id"])
 
 
