@@ -174,3 +174,39 @@ def unwrapped(url: Column) -> Column:
     padded = F.rpad(even, (F.ceil(F.length(even) / 4) * 4).cast("int"), F.lit("="))
     target = F.try_to_binary(padded, F.lit("base64")).cast("string")
     return F.when(F.contains(url, F.lit("bing.com/ck/a")) & (code != "") & F.startswith(target, F.lit("http")), target).otherwise(url)
+
+
+# Titles of page furniture in results, and hosts of policies.
+FURNITURE_TITLES = [
+    "+ Zobrazit více", "Zobrazit více", "Porovnání produktů", "Podobné fráze", "Zapomněli jste heslo?", "Povolit vše", "Smazat vše", "Přejít do košíku",
+    "Kategorie", "Značky", "Přihlásit se", "Registrovat se", "Show more", "Compare products", "Sign in", "Accept all", "Clear all",
+]
+POLICY_HOSTS = ["policies.google.com", "business.safety.google"]
+
+
+def is_furniture(title: Column, url: Column) -> Column:
+    """Results that are parts of the page: fixed titles, no target, a fragment, or a page of policies."""
+    target = F.coalesce(url, F.lit(""))
+    return F.coalesce(title, F.lit("")).isin(FURNITURE_TITLES) | (target == "") | F.startswith(target, F.lit("#")) | reduce(lambda a, b: a | b, [F.contains(target, F.lit(h)) for h in POLICY_HOSTS])
+
+
+def is_consent_artefact(title: Column, url: Column) -> Column:
+    """Leftovers of consent banners: script targets, and titles that speak of cookies."""
+    return F.startswith(F.lower(F.coalesce(url, F.lit(""))), F.lit("javascript:")) | F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit("cookie"))
+
+
+# Endings of files that aren't pages.
+FILE_ENDINGS = ["jpg", "jpeg", "png", "gif", "svg", "webp", "avif", "pdf", "zip", "gz", "tar", "mp3", "mp4", "webm", "woff", "woff2", "ttf", "eot", "ico", "css", "js"]
+
+
+def is_skipped(href: Column) -> Column:
+    """Links that lead to no page: empty ones, fragments alone, other schemes, and files."""
+    low = F.lower(F.trim(F.coalesce(href, F.lit(""))))
+    path = F.regexp_extract(low, r"^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    return low.isin("", "#") | low.rlike("^(mailto|tel|javascript|data):") | F.regexp_extract(path, r"\.([^./]*)$", 1).isin(FILE_ENDINGS)
+
+
+def same_site(url: Column, base: Column) -> Column:
+    """Whether both addresses have one host, with or without www."""
+    host = lambda u: F.regexp_replace(F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
+    return (host(url) == host(base)) & (host(url) != "")

@@ -1,8 +1,8 @@
 """The catalogue of named queries."""
 
-from . import audit, checks, contacts, leads, outreach
+from . import audit, checks, contacts, leads, outreach, reports
 
-PARTS = [audit, outreach, leads, contacts, checks]
+PARTS = [audit, outreach, leads, contacts, checks, reports]
 
 
 def queries():
