@@ -59,3 +59,32 @@ def role_searches(company: Column, role: Column, region: Column, country: Column
     every = F.filter(F.concat(F.coalesce(known, other), F.array(local, named)), lambda q: q.isNotNull())
     keys = F.transform(every, lambda q: F.trim(F.regexp_replace(F.lower(q), r"\s+", " ")))
     return F.slice(F.filter(every, lambda q, i: F.array_position(keys, F.get(keys, i)) == i + 1), 1, 4)
+
+
+def _first_name(texts: Column) -> Column:
+    return F.get(F.filter(F.transform(texts, lambda t: F.trim(t)), is_person_name), 0)
+
+
+def profile_title(title: Column) -> Column:
+    """Name, role and company of a profile's title, cut at dashes with blanks and bars; of two parts the second may name both with ``at``."""
+    clean = F.trim(F.regexp_replace(title, r"(?i)\s*[|\-–—]\s*LinkedIn\s*$", ""))
+    cut = F.filter(F.transform(F.split(clean, r"\s*[–—|]\s*|\s+-\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    second, third = F.coalesce(F.get(cut, 1), F.lit("")), F.coalesce(F.get(cut, 2), F.lit(""))
+    halves = F.split(second, r"\s+at\s+")
+    both = (F.size(cut) == 2) & F.contains(second, F.lit(" at "))
+    return F.struct(
+        F.when(is_person_name(F.get(cut, 0)), F.get(cut, 0)).alias("name"),
+        F.when(both, F.trim(F.get(halves, 0))).otherwise(second).alias("role"),
+        F.when(both, F.trim(F.coalesce(F.get(halves, 1), F.lit("")))).otherwise(third).alias("company"),
+    )
+
+
+def name_in_title(title: Column) -> Column:
+    """The first part of a title that looks like a name: cut at dashes and bars, or else before the first comma."""
+    return F.coalesce(_first_name(F.split(title, r"\s*[-–—|]\s*")), _first_name(F.slice(F.split(title, r",\s*"), 1, 1)))
+
+
+def name_in_snippet(snippet: Column) -> Column:
+    """A name at the start of one of the first three clauses that goes on with ``is``, a comma or a dash."""
+    clauses = F.slice(F.split(snippet, r"[.;–—|]"), 1, 3)
+    return _first_name(F.transform(clauses, lambda c: F.regexp_extract(F.trim(c), r"^([A-ZÀ-ɏ][a-zÀ-ɏ]+(?:\s+[A-ZÀ-ɏ][a-zÀ-ɏ]+){1,3})\s+(?:is|,|–)", 1)))

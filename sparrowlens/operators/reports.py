@@ -182,3 +182,37 @@ def merged_people(candidates: DataFrame, people: DataFrame, links: DataFrame) ->
     every = every.unionByName(people.select(text("row_key"), text("role"), F.lit(1).alias("kind"), F.col("ord").cast("long").alias("ord"), "full_name", none("string").alias("link"), F.lit(0).alias("rank_score"), "hints"))
     every = every.unionByName(links.select(text("row_key"), text("role"), F.lit(2).alias("kind"), F.lit(0).cast("long").alias("ord"), none("string").alias("full_name"), F.col("url").alias("link"), F.lit(0).alias("rank_score"), none("array<string>").alias("hints")))
     return every.groupBy("row_key", "role").applyInPandas(folded, CLUSTERS)
+
+
+# Categories of queries that a kind of site is tested with, in order.
+SITE_CATEGORIES = {
+    "PHYSICAL_GOODS": ["DIRECT_MATCH", "TYPO", "SYNONYM", "MERGED_WORDS", "SPLIT_WORD", "BRAND_SEARCH", "SKU_MODEL_NUMBER", "PLURAL_SINGULAR", "MULTI_ATTRIBUTE", "ABBREVIATION", "SPECIAL_CHARACTER", "PARTIAL_QUERY"],
+    "SERVICES_EXPERIENCES": ["BROAD_CATEGORY", "NATURAL_LANGUAGE", "USE_CASE", "SUBJECTIVE_ATTRIBUTE", "SEASONAL_OCCASION", "TYPO", "SYNONYM", "STOP_WORD_HEAVY", "NEGATIVE_INTENT", "CATEGORY_MAPPING", "FACET_EXTRACTION", "SEMANTIC_MEANING"],
+    "MARKETPLACE_MIXED": ["DIRECT_MATCH", "BROAD_CATEGORY", "TYPO", "SYNONYM", "BRAND_SEARCH", "NATURAL_LANGUAGE", "USE_CASE", "CATEGORY_MAPPING", "FACET_EXTRACTION", "NEGATIVE_INTENT", "MULTI_ATTRIBUTE", "PLURAL_SINGULAR", "PARTIAL_QUERY", "SUBJECTIVE_ATTRIBUTE"],
+}
+
+
+def site_categories(site_type: Column) -> Column:
+    """The categories of a kind of site in order; those of a mixed one if the kind isn't known."""
+    known = F.create_map(*[x for kind, names in SITE_CATEGORIES.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))])
+    return F.coalesce(F.element_at(known, site_type), F.element_at(known, F.lit("MARKETPLACE_MIXED")))
+
+
+def filled_in_two_phases(roles: DataFrame, by_name: DataFrame, by_domain: DataFrame) -> DataFrame:
+    """Roles (row_key, role, name, email) with addresses found by name, and what is still missing from the domain's best entries.
+
+    ``by_name``: row_key, role, found. ``by_domain``: row_key, role, entry, entry_name. An address that
+    is there stays; a name is filled only where there is none and only from the domain.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    both = roles.join(by_name, ["row_key", "role"], "left").join(by_domain, ["row_key", "role"], "left")
+    first = F.when(~blank(F.col("name")), F.col("found"))
+    source = F.when(~blank(F.col("email")), "kept").when(first.isNotNull(), "name").when(F.col("entry").isNotNull(), "domain").otherwise("missing")
+    email = F.when(source == "kept", F.col("email")).when(source == "name", first).when(source == "domain", F.col("entry"))
+    name = F.when((source == "domain") & blank(F.col("name")), F.col("entry_name")).otherwise(F.col("name"))
+    return both.select("row_key", "role", name.alias("name"), email.alias("email"), source.alias("source"))
+
+
+def ensured(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with null columns for those that are missing; none is taken away."""
+    return rows.withColumns({c: F.lit(None).cast("string") for c in columns if c not in rows.columns})

@@ -12,8 +12,9 @@ from .audit import WITH as AUDIT
 from .audit import _judged, _terms
 from .checks import _pick, _sql_pick
 from .contacts import _list
-from .outreach import WITH as OUTREACH
+from .leads import CATALOGUE as LEADS
 
+SITE_TYPES = LEADS["site_types"][1]
 LINES, COLUMNS = ["women", "men", "kids", "unisex"], ["shoes", "apparel", "accessories"]
 PERSONAS, SCENARIOS = ["P0", "P1", "P2", "P3", "P9"], ["S0", "S1", "S2"]
 REACTIONS = ["CLICKED", "IGNORED", "TRUST_DAMAGED", "NOTICED"]
@@ -111,7 +112,40 @@ def _people(v: Views):
     return reports.merged_people(base.where("ord % 2 = 0"), base.where("ord % 2 = 1"), base.where("link is not null").select("row_key", "role", F.col("link").alias("url")))
 
 
+TITLES = ["Ann Lee – CEO – Acme | LinkedIn", "Bob Kim - Head of Product at Acme Foo - LinkedIn", "shop | CEO", "Cy Moss", "Dora Hill — Founder | Foo Bar | Baz | LinkedIn", "Foo, Eve Moss", "Eve Moss, CEO"]
+PARSED = [("Ann Lee", "CEO", "Acme"), ("Bob Kim", "Head of Product", "Acme Foo"), (None, "CEO", ""), ("Cy Moss", "", ""), ("Dora Hill", "Founder", "Foo Bar"), (None, "", ""), (None, "", "")]
+IN_TITLE = ["Ann Lee", "Bob Kim", None, "Cy Moss", "Dora Hill", None, "Eve Moss"]
+SNIPPETS = ["Ann Lee is the founder. More", "We are; Bob Kim , head of product", "a. b. c. Cy Moss is late", "Dora Hill was", "no name"]
+IN_SNIPPET = ["Ann Lee", "Bob Kim", None, None, None]
+
+
+def _titles(v: Views):
+    title = _pick(TITLES, "p_partkey")
+    parts = people.profile_title(title)
+    return v.table("part").select("p_partkey", parts["name"].alias("name"), parts["role"].alias("role"), parts["company"].alias("company"), people.name_in_title(title).alias("in_title"), people.name_in_snippet(_pick(SNIPPETS, "p_partkey")).alias("in_snippet"))
+
+
+def _at(values, n: int) -> str:
+    return f"({_flags(values)})[p_partkey % {n} + 1]"
+
+
+def _two_phases(v: Views):
+    k = F.col("s_suppkey")
+    keys = [k.alias("row_key"), F.lit("CEO").alias("role")]
+    supplier = v.table("supplier")
+    roles = supplier.select(*keys, F.when(k % 3 != 0, F.col("s_name")).otherwise(" ").alias("name"), F.when(k % 5 == 0, "own@x.example").alias("email"))
+    by_name = supplier.where("s_suppkey % 2 = 0").select(*keys, F.lit("n@x.example").alias("found"))
+    by_domain = supplier.where("s_suppkey % 7 < 4").select(*keys, F.lit("d@x.example").alias("entry"), F.lit("Dora Hill").alias("entry_name"))
+    return reports.ensured(reports.filled_in_two_phases(roles, by_name, by_domain), ["source", "note"])
+
+
+_TWO = """SELECT s_suppkey AS row_key, 'CEO' AS role, CASE WHEN source = 'domain' AND s_suppkey % 3 = 0 THEN 'Dora Hill' WHEN s_suppkey % 3 <> 0 THEN s_name ELSE ' ' END AS name, CASE source WHEN 'kept' THEN 'own@x.example' WHEN 'name' THEN 'n@x.example' WHEN 'domain' THEN 'd@x.example' END AS email, source, CAST(NULL AS VARCHAR) AS note
+  FROM (SELECT *, CASE WHEN s_suppkey % 5 = 0 THEN 'kept' WHEN s_suppkey % 3 <> 0 AND s_suppkey % 2 = 0 THEN 'name' WHEN s_suppkey % 7 < 4 THEN 'domain' ELSE 'missing' END AS source FROM supplier)"""
+
 CATALOGUE = {
+    "profile_titles": (_titles, f"SELECT p_partkey, {_at([p[0] for p in PARSED], 7)} AS name, {_at([p[1] for p in PARSED], 7)} AS role, {_at([p[2] for p in PARSED], 7)} AS company, {_at(IN_TITLE, 7)} AS in_title, {_at(IN_SNIPPET, 5)} AS in_snippet FROM part"),
+    "filled_in_two_phases": (_two_phases, _TWO),
+    "site_categories": (lambda v: v.table("pages").select("page_id", F.posexplode(reports.site_categories(F.nullif(web.site_type(F.col("html")), F.lit("PHYSICAL_GOODS")))).alias("place", "category")), "SELECT page_id, CAST(i AS INT) AS place, c[i + 1] AS category FROM (SELECT page_id, c, unnest(range(len(c))) AS i FROM (SELECT page_id, CASE WHEN type = 'SERVICES_EXPERIENCES' THEN " + _list(reports.SITE_CATEGORIES["SERVICES_EXPERIENCES"]) + " ELSE " + _list(reports.SITE_CATEGORIES["MARKETPLACE_MIXED"]) + " END AS c FROM (" + SITE_TYPES + ")))"),
     "pass_grid": (_grid, _GRID),
     "labelled_coverage": (lambda v: reports.labelled_coverage(_judged(v).select("category", (F.col("severity") == "PASS").alias("ok"))), AUDIT + f"SELECT CAST(l.place AS INT) AS place, label, category, count(*) FILTER (severity = 'PASS') AS passed, count(*) AS total, count(*) FILTER (severity = 'PASS') / count(*) AS rate FROM judged JOIN (SELECT unnest({_list(reports.COVERAGE_LABELS)}) AS category, unnest({_list(reports.COVERAGE_LABELS.values())}) AS label, unnest(range({len(reports.COVERAGE_LABELS)})) AS place) l USING (category) GROUP BY 1, 2, 3"),
     "impact_matrix": (lambda v: reports.impact_matrix(_runs(v), PERSONAS, SCENARIOS), _IMPACT),
