@@ -20,6 +20,8 @@ from .shared import materialise
 
 #: Documents and characters after which a task closes a block of frequencies.
 BLOCK_DOCS, BLOCK_CHARS = 20_000, 32_000_000
+#: Bytes of counts on their way back to blocks that a task holds before it hands them on.
+HELD = 64 << 20
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -131,14 +133,22 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, key: str =
     count as empty. Every row of ``docs`` gives a row, also if keys are null or repeated; further
     columns are left out. No token ids are made for texts: a pre-token's rows, at most one per
     block for even the most frequent, meet in one sorted partition, where its pieces are counted
-    once and joined to them; counts then return to their blocks.
+    once and joined to them; counts then return to their blocks. Texts are read whole, long ones in
+    stretches; an empty table gives an empty result.
     """
     table = materialise(blocks(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), tokenizer), "frequencies", compression="zstd")
     used = table.select("block", F.posexplode("pretokens").alias("at", "pretoken"))
 
     def pieces(batches):
-        """Runs of one pre-token are counted once; what a partition knows of a block is one packed row."""
-        lib, last, known = library(tokenizer), (None, 0), {}
+        """Runs of one pre-token are counted once; what a partition knows of a block is a packed row for each HELD bytes."""
+        lib, last, known, held = library(tokenizer), (None, 0), {}, 0
+
+        def handed():
+            names = list(known)
+            for a in range(0, len(names), 256):
+                rows = [(n, b"".join(x for x, _ in known[n]), b"".join(x for _, x in known[n])) for n in names[a : a + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["block", "at", "pieces"])
+
         for batch in batches:
             words = batch.column(2)
             runs = words.dictionary_encode()
@@ -151,10 +161,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, key: str =
             order = np.argsort(block, kind="stable")
             for part in np.split(order, np.nonzero(np.diff(block[order]))[0] + 1):
                 known.setdefault(int(block[part[0]]), []).append((at[part].astype("<i4").tobytes(), of[part].tobytes()))
-        names = list(known)
-        for a in range(0, len(names), 256):
-            rows = [(n, b"".join(x for x, _ in known[n]), b"".join(x for _, x in known[n])) for n in names[a : a + 256]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["block", "at", "pieces"])
+            held += 8 * len(order)
+            if held >= HELD:
+                yield from handed()
+                known, held = {}, 0
+        yield from handed()
 
     sorted_used = used.where("length(pretoken) > 0").repartition("pretoken").sortWithinPartitions("pretoken")
     joined = sorted_used.mapInArrow(pieces, "block long, at binary, pieces binary")
