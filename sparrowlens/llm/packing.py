@@ -88,7 +88,9 @@ def pack(pieces: DataFrame, size: int, order: list[str], length: str = "length",
     if wrong := [n for n in counts if n is None or not 1 <= n <= size]:
         raise ValueError(f"lengths must be 1 to {size}: {wrong[:5]}")
     places = slots(pack_histogram(counts, size))
-    ranked = gapless_rank(pieces, [length], F.xxhash64(*order), [F.col(c) for c in order], "_rank", slices(max(counts.values(), default=0), slice_rows))
+    large = {n: slices(c, slice_rows) for n, c in counts.items() if c > slice_rows}
+    of_length = F.create_map(*[F.lit(int(x)) for pair in large.items() for x in pair])
+    ranked = gapless_rank(pieces, [length], F.xxhash64(*order), [F.col(c) for c in order], "_rank", F.coalesce(F.element_at(of_length, F.col(length).cast("int")), F.lit(1)) if large else 1)
     table = spark.createDataFrame(places, "_length int, _from long, _to long, _sequence long, _offset long")
     # bounded by the sequence size alone, but by its square at worst: past the limit an ordinary join
     joined = ranked.join(F.broadcast(table) if len(places) <= BROADCAST_PLACES else table, (F.col(length) == F.col("_length")) & F.col("_rank").between(F.col("_from"), F.col("_to")))

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a group that one task numbers.
 SLICE_ROWS = 1 << 13
+#: Rows that Python workers get at once.
+BATCH = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Texts may be long: Python gets BATCH rows at once where the session keeps Spark's default of 10,000."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what follows never recomputes ``df``, even after an executor is lost.
     """
+    _bound_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
