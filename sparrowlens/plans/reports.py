@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import people, web
+from ..functions import extract, people, web
 from ..operators import reports
 from ..operators.audit import SPECIFICITY_CATEGORIES
 from ..sources.views import CATEGORIES, Views
@@ -142,7 +142,32 @@ def _two_phases(v: Views):
 _TWO = """SELECT s_suppkey AS row_key, 'CEO' AS role, CASE WHEN source = 'domain' AND s_suppkey % 3 = 0 THEN 'Dora Hill' WHEN s_suppkey % 3 <> 0 THEN s_name ELSE ' ' END AS name, CASE source WHEN 'kept' THEN 'own@x.example' WHEN 'name' THEN 'n@x.example' WHEN 'domain' THEN 'd@x.example' END AS email, source, CAST(NULL AS VARCHAR) AS note
   FROM (SELECT *, CASE WHEN s_suppkey % 5 = 0 THEN 'kept' WHEN s_suppkey % 3 <> 0 AND s_suppkey % 2 = 0 THEN 'name' WHEN s_suppkey % 7 < 4 THEN 'domain' ELSE 'missing' END AS source FROM supplier)"""
 
+
+def _contact_page():
+    """A page for each part that names its addresses in a link, in the text, bracketed and spaced, and again in capitals."""
+    k = F.col("p_partkey").cast("string")
+    parts = ['<p><a class="x" href="mailto:L', k, '@x.example?subject=a">mail</a> v', k, "@y.example, b", k, " [at] z.example s", k, " @ w.example V", k, "@Y.EXAMPLE g", k, "@gmail.com <script>no", k, "@q.example</script></p>"]
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+def _product_page():
+    """A page for each part that declares a product in a list, one twice, and an offer with a low price."""
+    k = F.col("p_partkey").cast("string")
+    one = ['{"@type": "Product", "name": " Item ', k, ' ", "offers": [{"price": "', k, '", "priceCurrency": "EUR"}], "description": "d', k, '", "url": "https://x.example/', k, '"}']
+    two = ['{"@type": ["Thing", "Service"], "name": "Service ', k, '", "offers": {"lowPrice": 7}, "@id": "#', k, '"}']
+    parts = ['<html><script type="application/ld+json">{"@type": "ItemList", "itemListElement": [{"item": ', *one, '}, {"item": ', *one, '}]}</script><script type="application/ld+json">broken {</script><script type="application/ld+json">[', *two, "]</script></html>"]
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
 CATALOGUE = {
+    "contact_page_emails": (
+        lambda v: v.table("part").select("p_partkey", F.inline(extract.page_emails(_contact_page()))),
+        "SELECT p_partkey, unnest(['l' || p_partkey || '@x.example', 'v' || p_partkey || '@y.example', 'b' || p_partkey || '@z.example', 's' || p_partkey || '@w.example']) AS email, unnest(['MAILTO', 'VISIBLE_TEXT', 'OBFUSCATED_TEXT', 'OBFUSCATED_TEXT']) AS source FROM part",
+    ),
+    "product_page_items": (
+        lambda v: v.table("part").select("p_partkey", F.inline(extract.declared_products(_product_page()))),
+        "SELECT p_partkey, 'Item ' || p_partkey AS title, 'EUR ' || p_partkey AS price, 'd' || p_partkey AS snippet, 'https://x.example/' || p_partkey AS url FROM part UNION ALL SELECT p_partkey, 'Service ' || p_partkey, '7', NULL, '#' || p_partkey FROM part",
+    ),
     "profile_titles": (_titles, f"SELECT p_partkey, {_at([p[0] for p in PARSED], 7)} AS name, {_at([p[1] for p in PARSED], 7)} AS role, {_at([p[2] for p in PARSED], 7)} AS company, {_at(IN_TITLE, 7)} AS in_title, {_at(IN_SNIPPET, 5)} AS in_snippet FROM part"),
     "filled_in_two_phases": (_two_phases, _TWO),
     "site_categories": (lambda v: v.table("pages").select("page_id", F.posexplode(reports.site_categories(F.nullif(web.site_type(F.col("html")), F.lit("PHYSICAL_GOODS")))).alias("place", "category")), "SELECT page_id, CAST(i AS INT) AS place, c[i + 1] AS category FROM (SELECT page_id, c, unnest(range(len(c))) AS i FROM (SELECT page_id, CASE WHEN type = 'SERVICES_EXPERIENCES' THEN " + _list(reports.SITE_CATEGORIES["SERVICES_EXPERIENCES"]) + " ELSE " + _list(reports.SITE_CATEGORIES["MARKETPLACE_MIXED"]) + " END AS c FROM (" + SITE_TYPES + ")))"),
