@@ -128,3 +128,29 @@ def xml_escaped(text: Column) -> Column:
     for char, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "apos")):
         text = F.replace(text, F.lit(char), F.lit(f"&{name};"))
     return text
+
+
+# Headings and sentences that are taken out of generated sections.
+REDUNDANT_HEADINGS = ["# search audit report", "## deep_dives", "## deep dives", "## roadmap", "## roadmap:", "## prioritized roadmap"]
+SCROLL_SENTENCES = [
+    "Most customers never scroll past position 3.",
+    "Most customers never scroll past position 3",
+    "most customers never scroll past position 3.",
+    "most customers never scroll past position 3",
+    "Most users never scroll past position 3.",
+    "Most users never scroll past position 3",
+    "most users never scroll past position 3.",
+    "most users never scroll past position 3",
+    "Most shoppers never scroll past position 3.",
+    "most shoppers never scroll past position 3.",
+]
+
+
+def section_text(text: Column) -> Column:
+    """A generated section without redundant headings and stock sentences, at most one blank line in a row."""
+    low = lambda line: F.lower(F.trim(line))
+    lines = F.filter(F.split(text, r"\r\n|[\n\r]"), lambda x: ~low(x).isin(REDUNDANT_HEADINGS) & ~F.startswith(low(x), F.lit("# search audit report")))
+    out = F.array_join(lines, "\n")
+    for sentence in SCROLL_SENTENCES:
+        out = F.replace(out, F.lit(sentence), F.lit(""))
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")

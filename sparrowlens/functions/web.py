@@ -210,3 +210,21 @@ def same_site(url: Column, base: Column) -> Column:
     """Whether both addresses have one host, with or without www."""
     host = lambda u: F.regexp_replace(F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
     return (host(url) == host(base)) & (host(url) != "")
+
+
+# What pages hold that scripts fill in, and addresses of products.
+SCRIPTED_SIGNALS = ["window.__next_data__", "__nuxt__", "__react_root__", 'id="__next"', 'id="app"', 'id="root"', "window.__remixcontext", "data-reactroot", "ng-app", "react-root"]
+PRODUCT_LINK = r"(?i)/deal|/product|/item|/offer|/dp/|/p/|/listing"
+
+
+def needs_scripts(html: Column, n_results: Column) -> Column:
+    """Whether a page is likely filled in by scripts: signs of a framework, or with under five results little text or few product links."""
+    low = F.lower(F.left(html, F.lit(80_000)))
+    signed = reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in SCRIPTED_SIGNALS])
+    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", "")
+    body = F.regexp_extract(bare, r"(?is)<body\b[^>]*>(.*?)(?:</body|$)", 1)
+    pieces = F.transform(F.split(body, "<[^>]*>"), lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")))
+    size = F.length(F.array_join(pieces, ""))
+    links = F.regexp_extract_all(bare, F.lit(r"(?i)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*)"), F.lit(1))
+    few = F.size(F.filter(links, lambda u: u.rlike(PRODUCT_LINK))) < 5
+    return F.coalesce(signed | ((n_results < 5) & ((size < 500) | (size / F.length(html) < 0.10) | few)), F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import email as mail
 from ..functions import extract, numbers, text, web
 from ..operators import audit, enrichment, outreach, results, review, scoring
+from ..sources import files
 from ..sources.views import CATEGORIES, Views
 from ..streaming import events as streams
 from .audit import WITH as AUDIT
@@ -138,7 +139,36 @@ _TITLES = ["Direct Match Query", "Single", "Two Words", "A B", "ÄPfel X"]
 FENCED = ["```json\n{}\n```", "{}", "``` x ```", "a ``` b", "```\n[1]```  "]
 _BARE = ["{}", "{}", "x", "a ``` b", "[1]"]
 
+SECTIONS = ["# Search Audit Report for x\nBody\n\n\n\nMore", "## Roadmap\n1. Fix. Most users never scroll past position 3. End\n", "plain", "\n ## DEEP DIVES \nx\n"]
+CLEANED = ["Body\n\nMore", "1. Fix.  End", "plain", "x"]
+LINK_KINDS = ["https://www.linkedin.com/in/a", "https://linkedin.com/company/b", "https://c.example/in/", "https://linkedin.com/jobs"]
+
+
+def _answers(v: Views):
+    k = F.col("s_suppkey")
+    row = lambda url, meta: F.struct(F.when(k % 2 == 0, F.col("s_name")).alias("title"), url.alias("url"), F.repeat(F.lit("d"), (k % 4 * 150).cast("int")).alias("description"), meta.alias("meta_url"))
+    meta = F.when(k % 3 == 0, F.struct(F.lit("h.example").alias("hostname"), F.lit("/p").alias("path")))
+    body = F.to_json(F.struct(F.struct(F.array(row(_pick(LINK_KINDS, "s_suppkey"), meta), row(F.lit("https://d.example"), meta)).alias("results")).alias("web")))
+    return files.search_results(v.table("supplier").select(k.cast("string").alias("query"), F.when(k % 5 == 0, "no json").otherwise(body).alias("body")))
+
+
+_ANSWERS = f"""SELECT CAST(s_suppkey AS VARCHAR) AS query, r AS rank, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS title, left(repeat('d', CAST(s_suppkey % 4 * 150 AS INT)), 300) AS snippet, url, CASE WHEN s_suppkey % 3 = 0 THEN 'h.example/p' ELSE url END AS display_url,
+  CASE WHEN contains(url, 'linkedin.com') THEN CASE WHEN contains(url, '/in/') THEN 'PERSON_PROFILE' WHEN contains(url, '/company/') THEN 'COMPANY_PAGE' ELSE 'OTHER' END END AS link_type
+  FROM (SELECT *, CASE WHEN r = 1 THEN {_sql_pick(LINK_KINDS, 's_suppkey')} ELSE 'https://d.example' END AS url FROM supplier, (SELECT CAST(unnest([1, 2]) AS INT) AS r) WHERE s_suppkey % 5 <> 0)"""
+
+
+def _scripted(v: Views):
+    k = F.col("p_partkey")
+    link = F.repeat(F.lit('<a href="/product/1">x</a>'), (k % 7).cast("int"))
+    words = F.repeat(F.lit("word "), (k % 3 * 100).cast("int"))
+    page = F.concat(F.when(k % 11 == 0, F.lit('<div id="APP">')).otherwise(""), F.lit("<html><body><script>var x = 1;</script><p>"), words, F.lit("</p>"), link, F.lit("</body></html>"))
+    return v.table("part").select("p_partkey", web.needs_scripts(page, k % 9).alias("scripted"))
+
+
 CATALOGUE = {
+    "section_texts": (lambda v: v.table("supplier").select("s_suppkey", text.section_text(_pick(SECTIONS, "s_suppkey")).alias("body")), f"SELECT s_suppkey, {_sql_pick(CLEANED, 's_suppkey')} AS body FROM supplier"),
+    "search_answers": (_answers, _ANSWERS),
+    "scripted_pages": (_scripted, "SELECT p_partkey, p_partkey % 11 = 0 OR (p_partkey % 9 < 5 AND (p_partkey % 3 = 0 OR p_partkey % 7 < 5)) AS scripted FROM part"),
     "evidence_trim": (_evidence, _EVIDENCE),
     "filled_templates": (_filled, _FILLED),
     "headline_stats": (lambda v: v.table("part").select("p_partkey", text.headline_stat(_pick(RATES, "p_partkey"), _pick(RATES[::-1] + ["none"], "p_partkey")).alias("stat")), f"SELECT p_partkey, CASE WHEN z >= 10 THEN CAST(floor(z + 0.5) AS BIGINT) || '% of searches returned zero results — a blank page — for products you stock.' WHEN o IS NOT NULL THEN CAST(floor(o + 0.5) AS BIGINT) || '% of searches surfaced the best match outside the top 3 — relevant products pushed out of view.' ELSE 'Relevant products you stock are not surfacing on the first page of search.' END AS stat FROM (SELECT p_partkey, [12.5, 9.99, NULL, 10.0, -3.0, 41.5][p_partkey % 6 + 1] AS z, [41.5, -3.0, 10.0, NULL, 9.99, 12.5, NULL][p_partkey % 7 + 1] AS o FROM part)"),

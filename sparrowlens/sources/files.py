@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.web import link_type
+
 # Columns that a file of review decisions must have.
 REVIEW_COLUMNS = ["reviewId", "workbook", "rowIndex", "company", "role", "bucket", "priority", "candidateName", "candidateLinkedin", "candidateEmail", "humanDecision"]
 
@@ -91,3 +93,33 @@ def union_first(parts: list[DataFrame], key: str) -> DataFrame:
     every = reduce(DataFrame.unionByName, [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
     columns = parts[0].columns
     return every.groupBy(F.lower(key).alias("_k")).agg(F.min(F.struct("_part", *columns)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in columns])
+
+
+# The form of a search engine's answer, as far as it is read.
+ANSWER = "struct<web:struct<results:array<struct<title:string,url:string,description:string,meta_url:struct<hostname:string,path:string>>>>>"
+
+
+def search_results(answers: DataFrame) -> DataFrame:
+    """Results of search answers (query, body as JSON) with rank from 1, a snippet of 300 characters, a shown address and the type of a profile link.
+
+    Answers that are no JSON or hold no results give no rows.
+    """
+    parsed = answers.select("query", F.posexplode(F.from_json("body", ANSWER)["web"]["results"]).alias("place", "r"))
+    host, path, url = F.col("r.meta_url.hostname"), F.col("r.meta_url.path"), F.col("r.url")
+    whole = (F.coalesce(host, F.lit("")) != "") & (F.coalesce(path, F.lit("")) != "")
+    return parsed.select("query", (F.col("place") + 1).alias("rank"), F.coalesce("r.title", F.lit("")).alias("title"), F.left(F.coalesce("r.description", F.lit("")), F.lit(300)).alias("snippet"), url.alias("url"), F.when(whole, F.concat(host, path)).otherwise(url).alias("display_url"), link_type(url).alias("link_type"))
+
+
+def read_posts(spark: SparkSession, path: str, required: tuple[str, ...] = ("title", "excerpt", "date")) -> DataFrame:
+    """Posts of a folder of ``.md`` and ``.mdx`` files, newest first: slug, front (map of the front matter's plain lines) and content.
+
+    A post without one of the required texts raises.
+    """
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.md*").select(F.col("_metadata.file_name").alias("file"), "value").where(F.col("file").rlike(r"\.mdx?$"))
+    head = F.regexp_extract("value", r"(?s)^---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)", 1)
+    lines = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_]\w*\s*:"))
+    pair = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\w+)\s*:", 1).alias("k"), F.regexp_replace(F.regexp_extract(x, r"^\w+\s*:\s*(.*?)\s*$", 1), "^([\"'])(.*)\\1$", "$2").alias("v")))
+    posts = raw.select(F.regexp_replace("file", r"\.mdx?$", "").alias("slug"), F.map_from_entries(pair).alias("front"), F.regexp_replace("value", r"(?s)^---\r?\n.*?\r?\n---[ \t]*(?:\r?\n|$)", "").alias("content"))
+    lacking = F.filter(F.array(*map(F.lit, required)), lambda k: F.coalesce(F.try_element_at(F.col("front"), k), F.lit("")) == "")
+    checked = F.when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit("post "), F.col("slug"), F.lit(" lacks "), F.array_join(lacking, ", "))).cast("map<string,string>")).otherwise(F.col("front"))
+    return posts.withColumn("front", checked).orderBy(F.desc(F.try_to_timestamp(F.try_element_at(F.col("front"), F.lit("date")))), "slug")

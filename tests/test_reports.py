@@ -52,3 +52,16 @@ def test_import_and_repeated_deliveries(spark):
     assert not got[2].imported and got[3].error == 'Row 3 ("Bo"): Missing required field "email". Skipped.' and got[4].imported and "nowhere" in got[4].error and got[4].status is None
     again = spark.createDataFrame([("d1", 1), ("d1", 2), ("d2", 3)], "delivery_id string, n int").selectExpr("*", "timestamp'2024-01-01' as ts")
     assert events.deduplicated(again).count() == 2
+
+
+def test_posts(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "old.md").write_text('---\ntitle: "Old: one"\nexcerpt: e\ndate: 2023-01-02\ntags: [a]\n---\nText\n---\nmore')
+    (tmp_path / "new.mdx").write_text("---\r\ntitle: 'New'\r\nexcerpt: e\r\ndate: 2024-05-01\r\n---\r\n# Head")
+    (tmp_path / "other.txt").write_text("no post")
+    got = files.read_posts(spark, str(tmp_path)).collect()
+    assert [(r.slug, r.front["title"], r.front["date"], r.content) for r in got] == [("new", "New", "2024-05-01", "# Head"), ("old", "Old: one", "2023-01-02", "Text\n---\nmore")]
+    (tmp_path / "bad.md").write_text("---\ntitle: x\n---\n")
+    with pytest.raises(Exception, match="post bad lacks excerpt, date"):
+        files.read_posts(spark, str(tmp_path)).collect()
