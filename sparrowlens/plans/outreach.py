@@ -95,6 +95,17 @@ def _actions(v: Views):
     return streams.routed(_webhooks(v), known)
 
 
+_VOTES = (
+    _ADDR
+    + """, sound AS (SELECT local || '@' || domain AS email, local, domain FROM adr WHERE domain <> 'gmail.com' AND local <> 'info'), names AS (SELECT DISTINCT domain, name, f, l FROM adr),
+    named AS (SELECT * FROM (SELECT s.domain, email, CASE WHEN local = f || '.' || l THEN 'FIRST_LAST' WHEN local = f || l THEN 'FIRSTLAST' WHEN local = f[1] || l THEN 'F_LAST' WHEN local = f[1] || '.' || l THEN 'F.DOT.LAST' WHEN local = f THEN 'FIRST' WHEN local = l THEN 'LAST'
+      WHEN starts_with(local, f[1]) AND ends_with(local, l) AND len(local) > len(l) THEN 'F_LAST' END AS pattern FROM sound s JOIN names USING (domain)) WHERE pattern IS NOT NULL),
+    shaped AS (SELECT * FROM (SELECT domain, email, CASE WHEN regexp_matches(local, '^[a-z]{2,}\\.[a-z]{2,}$') THEN 'FIRST_LAST' WHEN regexp_matches(local, '^[a-z]\\.[a-z]{2,}$') THEN 'F.DOT.LAST' END AS pattern FROM sound WHERE domain NOT IN (SELECT domain FROM named)) WHERE pattern IS NOT NULL),
+    votes AS (SELECT domain, pattern, count(*) AS votes, min(email) AS first, bool_or(by_name) AS by_name FROM (SELECT *, true AS by_name FROM named UNION ALL SELECT *, false FROM shaped) GROUP BY 1, 2),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY votes DESC, first, pattern) AS n FROM votes) WHERE n = 1)
+    SELECT domain, coalesce(pattern, 'UNKNOWN') AS pattern, coalesce(votes, 0) AS votes, CAST(CASE WHEN pattern IS NULL THEN 30 ELSE 50 + CASE WHEN votes >= 2 THEN 25 ELSE 0 END + CASE WHEN addresses >= 2 THEN 10 ELSE 0 END + CASE WHEN by_name THEN 15 ELSE 0 END END AS INT) AS confidence
+    FROM (SELECT domain, count(*) AS addresses FROM sound GROUP BY 1) LEFT JOIN best USING (domain)"""
+)
 _WIDE = "lower(text)"
 for _letter, _pair in text.WIDE_ACCENTS.items():
     _WIDE = f"replace({_WIDE}, '{_letter}', '{_pair}')"
@@ -146,7 +157,7 @@ CATALOGUE = {
     "email_gate": (lambda v: _addresses(v).select("p_partkey", F.coalesce(mail.gate(F.col("email")), F.lit("OK")).alias("gate")), _ADDR + "SELECT p_partkey, CASE WHEN domain = 'gmail.com' THEN 'PERSONAL_DOMAIN' WHEN local = 'info' THEN 'ROLE_INBOX' ELSE 'OK' END AS gate FROM adr"),
     "email_pattern": (lambda v: _addresses(v).select("p_partkey", mail.classify(mail.parts(F.col("email"))[0], F.col("name")).alias("pattern")), _ADDR + "SELECT p_partkey, CASE WHEN local = f || '.' || l THEN 'FIRST_LAST' WHEN local = f || l THEN 'FIRSTLAST' WHEN local = f[1] || l THEN 'F_LAST' WHEN local = f[1] || '.' || l THEN 'F.DOT.LAST' WHEN local = f THEN 'FIRST' WHEN local = l THEN 'LAST' WHEN starts_with(local, f[1]) AND ends_with(local, l) AND len(local) > len(l) THEN 'F_LAST' ELSE 'UNKNOWN' END AS pattern FROM adr"),
     "email_candidates": (lambda v: _addresses(v).select("p_partkey", F.posexplode(mail.candidates(F.col("name"), F.col("domain"))).alias("place", "candidate")), _ADDR + "SELECT p_partkey, CAST(place - 1 AS INT) AS place, cs[place] AS candidate FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS place FROM (SELECT p_partkey, list_filter(c, lambda x, i: list_position(c, x) = i) AS cs FROM (SELECT p_partkey, [f || '.' || l || '@' || domain, f || l || '@' || domain, f || '@' || domain, f[1] || '.' || l || '@' || domain, f[1] || l || '@' || domain] AS c FROM adr WHERE domain <> 'gmail.com')))"),
-    "email_pattern_vote": (lambda v: enrichment.pattern_votes(_addresses(v).select("email"), _addresses(v).select("domain", "name").distinct()), None),
+    "email_pattern_vote": (lambda v: enrichment.pattern_votes(_addresses(v).select("email"), _addresses(v).select("domain", "name").distinct()), _VOTES),
     "session_outcomes": (lambda v: sessions.outcomes(v.session_steps()), _STEPS + "SELECT * FROM sessions"),
     "persona_aggregate": (lambda v: sessions.persona_aggregate(sessions.outcomes(v.session_steps())), _STEPS + "SELECT persona_key, count(*) AS sessions, count(*) FILTER (outcome = 'CONVERTED') AS converted, count(*) FILTER (outcome = 'SPLIT_BASKET') AS split_basket, count(*) FILTER (outcome = 'ABANDONED') AS abandoned, round_even(count(*) FILTER (outcome = 'CONVERTED') / count(*), 2) AS conversion_rate, round_even(avg(reformulations), 1) AS avg_reformulations, CAST(sum(CASE WHEN outcome <> 'CONVERTED' THEN basket_value ELSE 0 END) AS BIGINT) AS revenue_lost FROM sessions GROUP BY GROUPING SETS ((persona_key), ())"),
     "state_pivot": (lambda v: sessions.state_distribution(v.session_steps()), _STEPS + "SELECT persona_key, count(*) FILTER (state = 'FOUND') AS \"FOUND\", count(*) FILTER (state = 'PARTIAL') AS \"PARTIAL\", count(*) FILTER (state = 'NOTHING') AS \"NOTHING\" FROM steps GROUP BY 1"),
