@@ -27,10 +27,10 @@ LEAF = 4096
 #: Bounds of the tree that the driver holds: its depth, and the sampled fingerprints for each leaf.
 MAX_DEPTH, SAMPLE_PER_LEAF = 14, 24
 #: Independent fingerprints and radius for near copies; how far below the stated similarity a sketch's estimate
-#: (standard deviation 0.035) rules a pair out; points of a shard whose open pairs are all listed at once.
-PRINTS, WIDE, MARGIN, LISTED = 3, 12, 0.12, 4096
-#: Points that a task searches at once, however many are alike.
-BOUND = 1 << 18
+#: (standard deviation 0.035) rules a pair out.
+PRINTS, WIDE, MARGIN = 3, 12, 0.12
+#: Points that a task searches at once, however many are alike; shingles of the texts that it compares exactly.
+BOUND, SHINGLES = 1 << 18, 1 << 20
 #: Shingles that are hashed and counted at once, whatever the length of a text.
 BLOCK = 1 << 16
 
@@ -179,7 +179,7 @@ def arranged(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, da[order], db[order]
 
 
-def near_pairs(fps: np.ndarray, da: np.ndarray, db: np.ndarray, home: np.ndarray, radius: int, parent: np.ndarray, cells: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(fps: np.ndarray, da: np.ndarray, db: np.ndarray, home: np.ndarray, radius: int, parent: np.ndarray, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Chunks of pairs of ``arranged`` points within the radius, one of them at home, that aren't in one group yet.
 
     By the triangle inequality only a window of the order can hold partners, and a second vantage
@@ -223,29 +223,33 @@ def local_links(fps: np.ndarray, ids: np.ndarray, home: np.ndarray, radius: int)
     return ids[linked], least[group][linked]
 
 
-def local_candidates(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray, radius: int, sketches: np.ndarray, least: float, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def local_candidates(fps: np.ndarray, nodes: np.ndarray, home: np.ndarray, radius: int, sketches: np.ndarray, least: float, checked=None, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes of a shard within the radius whose sketches share at least ``least`` of their bytes.
 
-    Without labels: enough of them to join whatever such pairs join (a forest), the more alike ones
-    of a chunk first. With labels: all of them whose labels differ.
+    Enough of them to join whatever such pairs join (a forest), the more alike ones of a chunk
+    first. With ``checked`` only pairs count that it holds of their places; it is asked about no
+    pair whose nodes are joined before its chunk. Nodes with one ``label`` are joined from the start.
     """
     order, da, db = arranged(fps)
     fps, nodes, home, sketches = fps[order], nodes[order], home[order], sketches[order]
     parent, out = np.arange(len(fps)), [np.zeros((2, 0), np.int64)]
-    label = None if label is None else label[order]
+    if label is not None:
+        _, first, of = np.unique(label[order], return_index=True, return_inverse=True)
+        parent = first[of]
     for i, j in near_pairs(fps, da, db, home, radius, parent):
         for cut in range(0, len(i), 1 << 15):
             x, y = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
-            differ = roots(parent, x) != roots(parent, y) if label is None else label[x] != label[y]
+            differ = roots(parent, x) != roots(parent, y)
             x, y = x[differ], y[differ]
             share = (sketches[x] == sketches[y]).mean(axis=1)
             alike = np.nonzero(share >= least)[0]
             alike = alike[np.argsort(-share[alike], kind="stable")]
             x, y = x[alike], y[alike]
-            if label is None:
-                used = unite(parent, x, y)
-                x, y = x[used], y[used]
-            out.append(np.stack([nodes[x], nodes[y]]))
+            if checked is not None:
+                sure = checked(order[x], order[y])
+                x, y = x[sure], y[sure]
+            used = unite(parent, x, y)
+            out.append(np.stack([nodes[x[used]], nodes[y[used]]]))
     a, b = np.concatenate(out, axis=1)
     return np.maximum(a, b), np.minimum(a, b)
 
@@ -319,32 +323,126 @@ def sharded(points: DataFrame, n_prints: int, radius: int, leaf: int, least_dept
 
 def candidates(points: DataFrame, radius: int, least: float, leaf: int, least_depth: int, bound: int = BOUND) -> DataFrame:
     """Candidate pairs (a, b) of points (node, prints, sketch), those of ``local_candidates`` of each leaf and print."""
-    labelled = "label" in points.columns
 
     def searched(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in table.column_names if c != "sketch"}
+        col = {c: table.column(c).to_numpy() for c in ("fp", "node", "home")}
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        a, b = local_candidates(col["fp"].view(np.uint64), col["node"], col["home"].astype(bool), radius, sketches, least, col["label"] if labelled else None)
+        a, b = local_candidates(col["fp"].view(np.uint64), col["node"], col["home"].astype(bool), radius, sketches, least)
         return pa.table({"a": a, "b": b})
 
     return sharded(points, PRINTS, radius, leaf, least_depth, bound).groupBy("shard", "cell").applyInArrow(searched, "a long, b long").distinct()
 
 
-def alike(pairs: DataFrame, points: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts share at least ``similarity`` of their five-word shingles, counted exactly.
+def shared_shingles(flat: np.ndarray, size: np.ndarray, most: int = 1 << 26):
+    """A function of two arrays of places that counts the shingles that texts have in common, pair by pair.
+
+    ``flat`` holds the shingles of the texts one after the other, ``size`` how many each has. Those
+    that several texts have become the bits of a row for each text; where rows would take more than
+    ``most`` bytes the sorted lists are compared.
+    """
+    at = np.concatenate([[0], np.cumsum(size)])
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    common = np.cumsum(count > 1) - 1
+    kept, width = count[number] > 1, -(-int((count > 1).sum()) // 64)
+    if len(size) * width * 8 > most:
+        return lambda x, y: np.array([len(np.intersect1d(flat[at[u] : at[u + 1]], flat[at[v] : at[v + 1]], assume_unique=True)) for u, v in zip(x, y)], np.int64)
+    bits = np.zeros((len(size), max(1, width)), np.uint64)
+    row, bit = np.repeat(np.arange(len(size)), size)[kept], common[number[kept]]
+    np.bitwise_or.at(bits, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    step = max(1, (1 << 22) // max(1, width))
+    return lambda x, y: np.concatenate([np.zeros(0, np.int64)] + [np.bitwise_count(bits[x[a : a + step]] & bits[y[a : a + step]]).sum(axis=1, dtype=np.int64) for a in range(0, len(x), step)])
+
+
+def group_links(prints: np.ndarray, sketches: np.ndarray, label: np.ndarray, radius: int, least: float, same) -> list[tuple[int, int]]:
+    """Pairs of places of one group that join what alike pairs join: ``same`` decides on pairs that are near by a print and by sketches.
+
+    It is asked about no pair that is joined by then, by a label or by earlier pairs.
+    """
+    if len(prints) > 256:
+        out = []
+        for p in range(prints.shape[1]):
+            a, b = local_candidates(np.ascontiguousarray(prints[:, p]), np.arange(len(prints)), np.ones(len(prints), bool), radius, sketches, least, same, label)
+            _, first, of = np.unique(label, return_index=True, return_inverse=True)
+            parent = first[of]
+            unite(parent, a, b)
+            label = roots(parent, np.arange(len(parent)))
+            out += zip(a.tolist(), b.tolist())
+        return out
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    parent = first[of]
+    near = (np.bitwise_count(prints[:, None] ^ prints[None]) <= radius).any(axis=2) & (parent[:, None] != parent[None])
+    x, y = np.nonzero(np.triu(near, 1))
+    share = (sketches[x] == sketches[y]).mean(axis=1)
+    x, y = x[share >= least], y[share >= least]
+    sure = same(x, y)
+    x, y = x[sure], y[sure]
+    used = unite(parent, x, y)
+    return list(zip(x[used].tolist(), y[used].tolist()))
+
+
+def checked_links(points: DataFrame, radius: int, similarity: float, bound: int = SHINGLES) -> DataFrame:
+    """Links (a, b) that join whatever pairs of points of one ``group`` that are alike join.
+
+    ``points``: group, node, prints, sketch, label, shingles, n (their number). Candidate pairs that
+    aren't joined yet are compared exactly in the task that has both, so no pairs are listed. Many
+    groups share a task; one of more than ``bound`` shingles is dealt into blocks that meet in pairs.
+    """
+    weights = points.groupBy("group").agg(F.sum("n").alias("w"))
+    parts = F.ceil(2 * F.col("w") / F.lit(bound))
+    large = materialise(weights.where(F.col("w") > bound).select(F.col("group").alias("g"), F.greatest(parts, F.lit(2)).alias("parts")), "large")
+    buckets = max(1, -(-4 * (points.agg(F.sum("n")).first()[0] or 0) // bound))
+    dealt = points.join(large, points.group == large.g, "left").drop("g")
+    small = dealt.where("parts is null").withColumns({"bucket": F.pmod(F.xxhash64("group"), F.lit(buckets)), "cell": F.lit(-1).cast("long")})
+    block = F.pmod(F.xxhash64("node"), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: o != block)
+    meets = F.transform(others, lambda o: F.least(o, block) * F.col("parts") + F.greatest(o, block))
+    split = dealt.where("parts is not null").withColumns({"bucket": F.col("group"), "cell": F.explode(meets)})
+    every = small.unionByName(split).drop("parts")
+
+    def searched(table: pa.Table) -> pa.Table:
+        col = {c: table.column(c).to_numpy() for c in ("group", "node", "label", "n")}
+        prints = table.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        at, flat, size = np.concatenate([[0], np.cumsum(col["n"])]), table.column("shingles").combine_chunks().flatten().to_numpy(), col["n"]
 
-    A point's text is that of the row of ``docs`` (id, t) with its ``id`` and text hash ``h``.
+        order, out = np.argsort(col["group"], kind="stable"), []
+        for own in np.split(order, np.nonzero(np.diff(col["group"][order]))[0] + 1):
+            n = size[own]
+            count = shared_shingles(np.concatenate([flat[at[i] : at[i + 1]] for i in own]), n)
+
+            def same(x: np.ndarray, y: np.ndarray, n=n, count=count) -> np.ndarray:
+                both = count(x, y)
+                return both + 1e-9 >= similarity * (n[x] + n[y] - both)
+
+            found = group_links(prints[own], sketches[own], col["label"][own], radius, similarity - MARGIN, same)
+            out += [(col["node"][own[u]], col["node"][own[v]]) for u, v in found]
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends.max(axis=1, initial=np.iinfo(np.int64).min), "b": ends.min(axis=1, initial=np.iinfo(np.int64).max)})
+
+    return every.groupBy("bucket", "cell").applyInArrow(searched, "a long, b long")
+
+
+def shingle_sets(nodes: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node`` and ``shingles`` of the points that ``nodes`` (n) names; a point's text is that of the row of ``docs`` (id, t) with its ``id`` and text hash ``h``.
+
+    The points are written first: if they are few, Spark broadcasts them and texts don't move.
     """
 
     @F.pandas_udf("array<long>")
     def hashed(texts):
         return texts.map(lambda t: shingles(t).view(np.int64), na_action=None)
 
+    own = materialise(points.join(nodes, points.node == nodes.n, "left_semi").select("node", F.col("id").alias("i"), "h"), "needed")
+    # rows that repeat id and text give the set once
+    sets = docs.join(own, (docs.id == own.i) & F.xxhash64(docs.t).eqNullSafe(own.h)).select("node", hashed("t").alias("shingles"))
+    return materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+
+
+def alike(pairs: DataFrame, points: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts share at least ``similarity`` of their five-word shingles, counted exactly."""
     needed = pairs.select(F.col("a").alias("n")).unionAll(pairs.select(F.col("b").alias("n"))).distinct()
-    own = points.join(needed, points.node == needed.n, "left_semi").select("node", F.col("id").alias("i"), "h")
-    texts = docs.join(own, (docs.id == own.i) & (F.xxhash64(docs.t) == own.h)).groupBy("node").agg(F.first("t").alias("t"))
-    sets = materialise(texts.select("node", hashed("t").alias("s")), "shingles")
-    a, b = (sets.select(F.col("node").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    sets = shingle_sets(needed, points, docs)
+    a, b = (sets.select(F.col("node").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = pairs.join(a, pairs.a == F.col("na")).join(b, F.col("b") == F.col("nb"))
     counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
     return counted.where(F.col("n") + 1e-9 >= similarity * (F.col("m") - F.col("n"))).select("a", "b")
@@ -371,14 +469,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, key:
     return hashed.join(named, hashed.fp == named.f, "left").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def least_of_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similarity: float = 0.8, leaf: int = 8 * LEAF, least_depth: int = 3) -> DataFrame:
-    """``id``: the least ``doc_id`` of each group of near copies, which share ``similarity`` of their five-word shingles.
+def dropped_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similarity: float = 0.8, leaf: int = 8 * LEAF, least_depth: int = 3) -> DataFrame:
+    """``id``: every ``doc_id`` but the least of each group of near copies, which share ``similarity`` of their five-word shingles.
 
     A pair is a candidate if any of its fingerprints lies within the radius and its sketches don't
     rule it out; links are pairs that are alike by their exact shingle sets. A group of m copies
     has m * m pairs, so first only a forest of candidates is confirmed. Where that leaves parts of a
-    candidate group apart, all candidate pairs between the parts are confirmed too. Texts with the
-    same fingerprints and sketch (128 equal bins) are one point; ``node`` is its 64-bit hash.
+    candidate group apart, candidate pairs between the parts are compared too, in the tasks that
+    search them, until the parts are joined or none is left. Texts with the same fingerprints and sketch (128 equal bins) are one point; ``node`` is its 64-bit hash.
     """
 
     @F.pandas_udf("array<long>")
@@ -405,14 +503,15 @@ def least_of_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similar
         torn = groups.join(apart, groups.node == apart.a).select(F.col("component").alias("g")).distinct()
         torn = torn.unionAll(apart.join(groups, apart.a == groups.component, "left_semi").select(F.col("a").alias("g"))).distinct()
         members = groups.unionAll(groups.select(F.col("component").alias("node"), "component")).distinct()
-        members = members.join(torn, members.component == torn.g, "left_semi").select(F.col("node").alias("m"))
-        again = search.join(members, search.node == members.m, "left_semi").join(part("s"), F.col("node") == F.col("ns"), "left")
-        again = materialise(again.select("node", "prints", "sketch", F.coalesce("ps", "node").alias("label")), "again")
-        more = materialise(candidates(again, radius, similarity - MARGIN, LISTED, 0, LISTED), "candidates")
-        links = links.unionAll(materialise(alike(more, points, docs, similarity), "alike"))
+        members = materialise(members.join(torn, members.component == torn.g, "left_semi").select(F.col("node").alias("n"), F.col("component").alias("group")), "members")
+        again = shingle_sets(members.select("n"), points, docs).join(search, "node").join(members, F.col("node") == F.col("n")).drop("n").join(part("s"), F.col("node") == F.col("ns"), "left")
+        again = materialise(again.select("group", "node", "prints", "sketch", F.coalesce("ps", "node").alias("label"), "shingles", F.size("shingles").cast("long").alias("n")), "again")
+        links = links.unionAll(materialise(checked_links(again, radius, similarity), "checked"))
         parts = connected_components(links)
     named = points.select("node", "id").join(part("s"), F.col("node") == F.col("ns"), "left")
-    return named.groupBy(F.coalesce("ps", "node").alias("group")).agg(F.min("id").alias("id")).select("id").distinct()
+    keep = named.groupBy(F.coalesce("ps", "node").alias("group")).agg(F.min("id").alias("_keep")).select("_keep")
+    every = hashed.select("id").distinct()
+    return every.join(keep, every.id == keep._keep, "left_anti")
 
 
 def hex64(col):
@@ -428,8 +527,9 @@ def deduplicate(docs: DataFrame, words: int = 3, radius: int = WIDE, similarity:
     to both sides, so shards are larger and levels fewer.
 
     A document is a ``doc_id``: rows that repeat one stay or go together. Rows without an id can't
-    be told apart and stay.
+    be told apart and stay. Null and empty texts are copies of one another; texts are read whole, an
+    empty table stays empty, and further columns come through. Only the ids of what goes are joined
+    to the documents, as a written table whose size is known.
     """
-    keep = least_of_copies(docs, words, radius, similarity).select(F.col("id").alias("_keep"))
-    kept = docs.join(keep, docs.doc_id == keep._keep, "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    gone = materialise(dropped_copies(docs, words, radius, similarity).select(F.col("id").alias("_gone")), "dropped")
+    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
