@@ -433,9 +433,11 @@ def shingle_sets(nodes: DataFrame, points: DataFrame, docs: DataFrame) -> DataFr
         return texts.map(lambda t: shingles(t).view(np.int64), na_action=None)
 
     own = materialise(points.join(nodes, points.node == nodes.n, "left_semi").select("node", F.col("id").alias("i"), "h"), "needed")
-    # rows that repeat id and text give the set once
     sets = docs.join(own, (docs.id == own.i) & F.xxhash64(docs.t).eqNullSafe(own.h)).select("node", hashed("t").alias("shingles"))
-    return materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    sets = materialise(sets, "shingles")
+    if sets.count() > own.count():  # rows that repeat id and text: each set once
+        sets = materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    return sets
 
 
 def alike(pairs: DataFrame, points: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -504,8 +506,11 @@ def dropped_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similari
         torn = torn.unionAll(apart.join(groups, apart.a == groups.component, "left_semi").select(F.col("a").alias("g"))).distinct()
         members = groups.unionAll(groups.select(F.col("component").alias("node"), "component")).distinct()
         members = materialise(members.join(torn, members.component == torn.g, "left_semi").select(F.col("node").alias("n"), F.col("component").alias("group")), "members")
-        again = shingle_sets(members.select("n"), points, docs).join(search, "node").join(members, F.col("node") == F.col("n")).drop("n").join(part("s"), F.col("node") == F.col("ns"), "left")
-        again = materialise(again.select("group", "node", "prints", "sketch", F.coalesce("ps", "node").alias("label"), "shingles", F.size("shingles").cast("long").alias("n")), "again")
+        # all but the sets is joined first, so that the sets move once
+        slim = search.join(members, F.col("node") == F.col("n")).join(part("s"), F.col("node") == F.col("ns"), "left")
+        slim = materialise(slim.select("group", F.col("node").alias("m"), "prints", "sketch", F.coalesce("ps", "node").alias("label")), "slim")
+        again = shingle_sets(members.select("n"), points, docs).join(slim, F.col("node") == F.col("m")).drop("m")
+        again = materialise(again.withColumn("n", F.size("shingles").cast("long")), "again")
         links = links.unionAll(materialise(checked_links(again, radius, similarity), "checked"))
         parts = connected_components(links)
     named = points.select("node", "id").join(part("s"), F.col("node") == F.col("ns"), "left")
