@@ -174,9 +174,10 @@ def approximate_top_k(vectors: DataFrame, is_query, k: int, tables: int = TABLES
     best score, and as a query by each vector together. Vectors of other lengths don't meet. Ties go
     to the lesser id; an empty table gives an empty result, and a query that has no candidates none.
     """
-    most = F.array_max(F.transform("v", lambda c: F.abs(c.cast("double"))))
-    squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + (c.cast("double") / most) * (c.cast("double") / most))
-    band = F.floor((F.log2(most) + 0.5 * F.log2(squares)) * BANDS + 0.5).cast("int")
+    squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
+    most = F.array_max(F.transform("v", lambda c: F.abs(c.cast("double"))))  # where squares leave the range of doubles
+    size = F.when(squares.between(1e-280, 1e280), 0.5 * F.log2(squares)).otherwise(F.log2(most))
+    band = F.floor(size * BANDS + 0.5).cast("int")
     asked = vectors.select("id", "v", F.size("v").alias("dim"), band.alias("band"), F.expr(is_query).alias("is_query") if isinstance(is_query, str) else is_query.alias("is_query"))
     bits, regions = defaultdict(dict), {}
     for r in asked.groupBy("dim", "band").count().collect():  # a row for each length and band of norms
