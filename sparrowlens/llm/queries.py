@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, packing, pii, sharding, simhash, tokencount, topk, warc
+from . import ann, bpe, langid, lloyd, minhash, packing, pii, runs, sharding, simhash, tokencount, topk, warc
 from .shared import materialise, read, shared_dir
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -71,10 +71,63 @@ def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, 1024)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.planted(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs, least_length=6, least_exponent=4).withColumn("best", runs.strongest(F.col("runs")))
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli")
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), words=5, similarity=0.85)
+
+
+def op13_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = lloyd.compress(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), parts=4, entries=256, rounds=4, scale=1024)
+    return coded.select("vec_id", lloyd.hex_code(F.col("code")).alias("code"), "error", "label_error", F.sha2("codebooks", 256).alias("codebooks_sha256"))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_neardup, op2_contextual_pii, op3_byte_bpe, op4_language_fusion, op5_warc_transactions, op6_ball_tree_topk, op7_histogram_packing, op8_cross_polytope_ann, op9_rendezvous_shards, op10_pretoken_counts)
+    f.__name__: f for f in (op1_simhash_neardup, op2_contextual_pii, op3_byte_bpe, op4_language_fusion, op5_warc_transactions, op6_ball_tree_topk, op7_histogram_packing, op8_cross_polytope_ann, op9_rendezvous_shards, op10_pretoken_counts, op11_periodic_runs, op12_minhash_odd_sketch, op13_filtering_lloyd)
 }
 
+
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd's algorithm round by round, every part against every entry."""
+    far = "CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f"""
+        n{r} AS MATERIALIZED (
+            SELECT vec_id, part, min(f) AS far, arg_min(entry, f * 256 + entry) AS entry
+            FROM (SELECT p.vec_id, p.part, c.entry, {far} AS f FROM p JOIN b{r} c ON p.part = c.part) GROUP BY vec_id, part),"""
+        if r < rounds:
+            steps += f"""
+        s{r} AS (
+            SELECT n.part, n.entry, i.i, CAST(floor(sum(p.x[i.i])::DOUBLE / count(*)) AS BIGINT) AS x
+            FROM n{r} n JOIN p ON p.vec_id = n.vec_id AND p.part = n.part JOIN range(1, (SELECT d FROM k LIMIT 1) // 4 + 1) i(i) ON true
+            GROUP BY n.part, n.entry, i.i),
+        b{r + 1} AS MATERIALIZED (
+            SELECT b.part, b.entry, coalesce(u.x, b.x) AS x
+            FROM b{r} b LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS x FROM s{r} GROUP BY part, entry) u ON u.part = b.part AND u.entry = b.entry),"""
+    return f"""
+        WITH k AS MATERIALIZED (
+            SELECT vec_id, label, len(embedding) AS d, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, q.q AS part, v[q.q * d // 4 + 1:(q.q + 1) * d // 4] AS x FROM k JOIN range(4) q(q) ON true),
+        b0 AS MATERIALIZED (
+            SELECT p.part, f.entry, p.x
+            FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 256) f JOIN p ON p.vec_id = f.vec_id),{steps}
+        e AS (SELECT vec_id, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM n{rounds} GROUP BY vec_id),
+        l AS (SELECT k.label, CAST(sum(e.error) AS BIGINT) AS label_error FROM e JOIN k ON k.vec_id = e.vec_id GROUP BY k.label),
+        h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+        SELECT e.vec_id, e.code, e.error, l.label_error, (SELECT codebooks_sha256 FROM h) AS codebooks_sha256
+        FROM e JOIN k ON k.vec_id = e.vec_id JOIN l ON l.label IS NOT DISTINCT FROM k.label"""
+
+
 SQL = {
     "op5_warc_transactions": """
         WITH p AS (
@@ -98,4 +151,24 @@ SQL = {
             FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_minhash_odd_sketch": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+            FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        m AS MATERIALIZED (
+            SELECT x.doc_id AS a, y.doc_id AS b
+            FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+            JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+            GROUP BY x.doc_id, y.doc_id, nx.n, ny.n
+            HAVING 100 * count(*) >= 85 * (nx.n + ny.n - count(*))),
+        r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, m.b FROM r JOIN m ON r.b = m.a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM documents d JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+        LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op13_filtering_lloyd": _lloyd_sql(4),
 }
