@@ -33,12 +33,18 @@ ROLE_SEARCHES = {
 }
 
 
-def is_person_name(text: Column) -> Column:
+def has_name_form(text: Column) -> Column:
     """Two to five words of 4 to 60 characters with capitals and small letters that have the form of a name."""
     own = F.trim(text)
     words = F.size(F.split(own, r"\s+"))
+    return F.coalesce(F.length(own).between(4, 60) & words.between(2, 5) & (own != F.upper(own)) & (own != F.lower(own)) & own.rlike(NAME), F.lit(False))
+
+
+def is_person_name(text: Column) -> Column:
+    """The form of a name, and nothing in it that names don't hold."""
+    own = F.trim(text)
     bad = reduce(lambda a, b: a | b, [own.rlike(p) for p in NO_NAMES])
-    return F.coalesce(F.length(own).between(4, 60) & words.between(2, 5) & (own != F.upper(own)) & (own != F.lower(own)) & ~bad & own.rlike(NAME), F.lit(False))
+    return F.coalesce(has_name_form(text) & ~bad, F.lit(False))
 
 
 def name_in_profile(url: Column) -> Column:

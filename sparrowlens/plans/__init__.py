@@ -1,8 +1,8 @@
 """The catalogue of named queries."""
 
-from . import audit, checks, contacts, leads, outreach, reports
+from . import audit, checks, contacts, leads, outreach, pages, reports
 
-PARTS = [audit, outreach, leads, contacts, checks, reports]
+PARTS = [audit, outreach, leads, contacts, checks, reports, pages]
 
 
 def queries():
