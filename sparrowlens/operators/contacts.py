@@ -123,7 +123,8 @@ def transitions(messages: DataFrame, actions: DataFrame) -> DataFrame:
     ``messages``: enrollment_id, step_order, initial status. ``sent`` moves to the step after it,
     and completes the enrollment if no other message is open by then; ``replied`` and ``bounced`` end
     it and skip what is pending, and a reply sets the stage. The last action that sets a status
-    decides. Windows go over one enrollment's actions.
+    decides; ``contact_status`` and ``contact_at`` tell the last reply or bounce, which the contact
+    takes over (see ``contact_statuses``). Windows go over one enrollment's actions.
     """
     open_now = F.col("status").isin("pending", "scheduled")
     base = messages.groupBy("enrollment_id").agg(F.count_if(open_now).alias("open"))
@@ -143,11 +144,25 @@ def transitions(messages: DataFrame, actions: DataFrame) -> DataFrame:
         last(F.col("step_order") + 1, F.col("action") == "sent").alias("current_step"),
         F.max(F.when(F.col("sets").isin("replied", "completed"), F.col("ts"))).alias("completed_at"),
         F.max(F.when(F.col("action") == "replied", "replied")).alias("deal_stage"),
+        F.max(F.struct(F.when(F.col("action").isin("replied", "bounced"), at).alias("at"), F.col("action").alias("a"))).alias("contact"),
         F.max("open").alias("open"),
         F.count_if("fresh").alias("touched"),
         F.max(F.col("action").isin("replied", "bounced")).alias("ended"),
     )
-    return out.select("enrollment_id", F.coalesce("last.s", F.lit("active")).alias("status"), "current_step", "completed_at", "deal_stage", F.when(F.col("ended"), F.col("open") - F.col("touched")).otherwise(0).alias("skipped"))
+    return out.select("enrollment_id", F.coalesce("last.s", F.lit("active")).alias("status"), "current_step", "completed_at", "deal_stage", F.when(F.col("ended"), F.col("open") - F.col("touched")).otherwise(0).alias("skipped"), F.when(F.col("ended"), F.col("contact.a")).alias("contact_status"), F.col("contact.at.ts").alias("contact_at"))
+
+
+def contact_statuses(contacts: DataFrame, enrollments: DataFrame, states: DataFrame) -> DataFrame:
+    """``contacts`` (id, status) after the states of their enrollments: the last reply or bounce of any sets status and ``updated_at``.
+
+    ``enrollments``: id, contact_id. ``states``: enrollment_id, contact_status, contact_at, as ``transitions`` and the
+    stream of ``streaming.enrollments`` give them. At one time a reply goes before a bounce. Contacts without
+    either stay as they are, ``updated_at`` null.
+    """
+    own = states.where("contact_status is not null").join(enrollments.select(F.col("id").alias("enrollment_id"), "contact_id"), "enrollment_id")
+    last = own.groupBy(F.col("contact_id").alias("_c")).agg(F.max(F.struct("contact_at", "contact_status")).alias("_l"))
+    both = contacts.join(last, F.col("id") == F.col("_c"), "left")
+    return both.withColumns({"status": F.coalesce("_l.contact_status", "status"), "updated_at": F.col("_l.contact_at")}).drop("_c", "_l")
 
 
 def activity(kinds: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text, web
 from ..operators import contacts, outreach
+from ..sources import files
 from ..sources.views import Views
+from ..streaming import enrollments
 from .outreach import _CODE, TODAY
 from .outreach import WITH as OUTREACH
 
@@ -94,6 +96,24 @@ def _transitions(v: Views):
     return contacts.transitions(own.select("enrollment_id", "step_order", "status"), own.where("action is not null").select("enrollment_id", "step_order", "action", "ts", "ord"))
 
 
+STATES = ["enrollment_id", "status", "current_step", "completed_at", "deal_stage", "skipped"]
+
+
+def _streamed(v: Views):
+    """The same actions as a stream in several micro-batches, in no order of time; some of them are delivered again at last."""
+    folder, own = files.shared_folder(v.spark, "enrollments"), _messages(v)
+    own.select("enrollment_id", "step_order", "status").write.parquet(f"{folder}/messages")
+    actions = own.where("action is not null").select("enrollment_id", "step_order", "action", "ts", F.col("ord").cast("long").alias("ord"))
+    part = F.pmod(F.xxhash64("enrollment_id", "ord"), F.lit(4))
+    actions.withColumn("turn", part).unionAll(actions.withColumn("turn", F.lit(4)).where(part == 1)).repartitionByRange("turn", "enrollment_id").drop("turn").write.parquet(f"{folder}/actions")
+    n = len(v.spark.read.parquet(f"{folder}/actions").inputFiles())
+    return enrollments.run(v.spark, f"{folder}/messages", f"{folder}/actions", f"{folder}/stream", "enrollment_id long, step_order int, action string, ts timestamp, ord long", max(1, -(-n // 4)))
+
+
+def _statuses(v: Views):
+    return contacts.contact_statuses(v.contacts().select("id", "status"), v.enrollments(), _transitions(v))
+
+
 _TRANSITIONS = f"""WITH m AS (SELECT l_orderkey AS enrollment_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS INT) AS step_order, CASE WHEN CAST(l_quantity AS INT) % 5 = 0 THEN 'sent' ELSE 'pending' END AS status,
     CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'replied' WHEN l_returnflag = 'R' THEN 'bounced' WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'skipped' WHEN l_linestatus = 'F' THEN 'sent' END AS action, l_shipdate AS ts FROM lineitem),
   a AS (SELECT *, (SELECT count(*) FROM m o WHERE o.enrollment_id = m.enrollment_id AND o.status = 'pending') AS open FROM m WHERE action IS NOT NULL),
@@ -103,6 +123,11 @@ _TRANSITIONS = f"""WITH m AS (SELECT l_orderkey AS enrollment_id, CAST(row_numbe
     max(CASE WHEN action = 'replied' THEN 'replied' END) AS deal_stage, CASE WHEN bool_or(action IN ('replied', 'bounced')) THEN max(open) - count(*) FILTER (status = 'pending') ELSE 0 END AS skipped FROM t GROUP BY 1"""
 
 
+_STATUSES = OUTREACH + ", " + _TRANSITIONS[len("WITH ") : _TRANSITIONS.index("\n  SELECT enrollment_id, coalesce")] + """,
+  e AS (SELECT enrollments.contact_id, arg_max(action, t.ts::VARCHAR || action) AS last_action, max(t.ts) AS at FROM t JOIN enrollments ON enrollments.id = t.enrollment_id WHERE action IN ('replied', 'bounced') GROUP BY 1)
+  SELECT c.id, coalesce(e.last_action, c.status) AS status, e.at AS updated_at FROM contacts c LEFT JOIN e ON e.contact_id = c.id"""
+
+
 def _activity(v: Views):
     mail = v.outreach_events().join(v.enrollments().select(F.col("id").alias("enrollment_id"), "contact_id", "sequence_id"), "enrollment_id")
     prefix = F.concat(F.lit("Sequence "), F.col("sequence_id").cast("string"), F.lit(" — Step "), F.col("step_order").cast("string"))
@@ -163,7 +188,9 @@ CATALOGUE = {
     "unsubscribed_contacts": (lambda v: contacts.unsubscribed(v.contacts(), _requests(v)).select("id", "status", "opt_out", "opt_out_at"), OUTREACH + ", r AS (SELECT user_id, max(ts) AS last_at FROM events WHERE event_type = 'error' GROUP BY 1) SELECT id, CASE WHEN last_at IS NOT NULL THEN 'unsubscribed' ELSE status END AS status, CASE WHEN last_at IS NOT NULL THEN 1 ELSE opt_out END AS opt_out, last_at AS opt_out_at FROM contacts LEFT JOIN r ON user_id = id"),
     "paused_enrollments": (lambda v: contacts.paused(v.enrollments(), _requests(v)).select("id", "status", "paused_at"), OUTREACH + ", r AS (SELECT user_id, min(ts) AS first_at FROM events WHERE event_type = 'error' GROUP BY 1) SELECT id, CASE WHEN first_at IS NOT NULL AND status = 'active' THEN 'paused' ELSE status END AS status, CASE WHEN status = 'active' THEN first_at END AS paused_at FROM enrollments LEFT JOIN r ON user_id = contact_id"),
     "resumed_enrollments": (lambda v: contacts.resumed_enrollments(contacts.paused(v.enrollments(), _requests(v))).groupBy("status").agg(F.count("*").alias("n"), F.count("paused_at").alias("paused")), OUTREACH + "SELECT CASE WHEN status = 'paused' THEN 'active' ELSE status END AS status, count(*) AS n, 0 AS paused FROM enrollments GROUP BY 1"),
-    "message_transitions": (_transitions, _TRANSITIONS),
+    "message_transitions": (lambda v: _transitions(v).select(*STATES), _TRANSITIONS),
+    "streamed_transitions": (lambda v: _streamed(v).select(*STATES).withColumn("completed_at", F.col("completed_at").cast("timestamp_ntz")), _TRANSITIONS),
+    "contact_statuses": (_statuses, _STATUSES),
     "contact_activity": (_activity, _ACTIVITY),
     "resume_shift": (
         lambda v: outreach.resumed(v.table("events").select("event_id", F.date_format(F.date_add("ts", 3), "yyyy-MM-dd").alias("scheduled_date"), F.col("ts").cast("timestamp").alias("paused_at")), F.lit("2024-02-03 04:05:06").cast("timestamp")).select("event_id", "pause_days", "new_date"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,19 @@ def review_decisions(raw: DataFrame, valid: list[str]) -> tuple[DataFrame, DataF
     return checked.where("error is null").drop("error").withColumn("rowIndex", number), checked.where("error is not null")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for ``name`` where driver and executors share files (``spark.checkpoint.dir``).
+
+    Only on one machine and without that setting it is a temporary one; a cluster without it raises.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="sparrowlens-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents of a folder or pattern with the name of the file that each came from."""
     return spark.read.schema(schema).json(path, multiLine=True).select("*", F.col("_metadata.file_name").alias("source_file"))
