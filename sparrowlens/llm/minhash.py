@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .confirm import _WORD, SHINGLES, first_of, meeting, mixed, pairs_table, roots, runs_of, set_links, shingle_set, unite
 from .shared import materialise
-from .simhash import roots, shared_shingles, unite
 
 #: A pair of similarity 0.85 misses all of 32 bands of 5 samples with probability 7e-9.
 BANDS, ROWS = 32, 5
@@ -27,40 +27,14 @@ BANDS, ROWS = 32, 5
 SAMPLES, BITS = 384, 1024
 #: How far below the stated similarity an estimate rules a pair out (5.6 standard deviations at 0.85).
 MARGIN = 0.15
-#: Shingles of the texts, and sketches, that one task compares.
-SHINGLES, SKETCHES = 1 << 21, 1 << 14
-#: Members of a large group that every block of it meets first.
-LEADERS = 32
+#: Sketches that one task compares.
+SKETCHES = 1 << 14
 #: Shingles that are sampled at once, whatever the length of a text.
 BLOCK = 512
 
-_WORD = np.random.default_rng(12).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SAMPLE = np.random.default_rng(85).integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """The finish of splitmix64."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_set(text: str | bytes | None, words: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct word shingles of a whole text.
-
-    A-Z are lower-cased; words are runs without ASCII white space; a text of fewer words is one
-    shingle; one without words or a null has none. ``words`` may be up to 64.
-    """
-    found = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h, size = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)), min(words, len(found))
-    total = np.full(len(found) - size + 1, size, np.uint64)
-    for k in range(size):
-        total += h[k : k + len(total)] * _WORD[k]
-    return np.unique(mixed(total))
-
-
 def samples(shingles: np.ndarray) -> np.ndarray:
     """MinHash samples of a set: for each of ``SAMPLES`` multiplicative hashes its least value."""
     least = np.full(SAMPLES, np.iinfo(np.uint64).max)
@@ -124,34 +98,6 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def meeting(rows: DataFrame, bound: int) -> DataFrame:
-    """Deal ``rows`` (group, node, label, weight ...) into bounded ``cell``s of a ``bucket`` where any two of a group with unlike labels meet.
-
-    Many groups share a bucket while their weight allows. A group beyond ``bound`` is dealt into
-    blocks; members of its most frequent label needn't meet one another, so only blocks of the others
-    meet all blocks: with few of them the work grows as the group does.
-    """
-    labels = rows.groupBy("group", "label").agg(F.sum("weight").alias("w"))
-    sums = labels.groupBy("group").agg(F.sum("w").alias("w"), F.max(F.struct("w", "label")).alias("m"))
-    large = sums.where(F.col("w") > bound).select(F.col("group").alias("g"), F.col("m.label").alias("major"), F.ceil(2 * F.col("w") / bound).alias("all"), F.greatest(F.lit(1), F.ceil(2 * (F.col("w") - F.col("m.w")) / bound)).alias("few"))
-    large = materialise(large, "large")
-    buckets = max(1, -(-4 * (rows.agg(F.sum("weight")).first()[0] or 0) // bound))
-    dealt = rows.join(large, rows.group == large.g, "left").drop("g")
-    small = dealt.where("all is null").withColumns({"bucket": F.pmod(F.xxhash64("group"), F.lit(buckets)), "cell": F.lit(-1).cast("long")})
-    block, own = F.pmod(F.xxhash64("node"), F.col("all")), F.pmod(F.xxhash64("node"), F.col("few"))
-    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    met = F.transform(numbers("few"), lambda i: i * F.col("all") + block)
-    minor = F.when(F.col("label") != F.col("major"), F.transform(numbers("all"), lambda j: own * F.col("all") + j)).otherwise(F.array().cast("array<long>"))
-    split = dealt.where("all is not null").withColumns({"bucket": F.col("group"), "cell": F.explode(F.array_union(met, minor))})
-    return small.unionByName(split).drop("major", "all", "few")
-
-
-def runs_of(values: np.ndarray) -> list[np.ndarray]:
-    """Places of equal values, value by value."""
-    order = np.argsort(values, kind="stable")
-    return np.split(order, np.nonzero(np.diff(values[order]))[0] + 1) if len(order) else []
-
-
 def join_near(odd: np.ndarray, parent: np.ndarray, most: int, same=None) -> list[tuple[int, int]]:
     """Pairs of places that join whatever near pairs join: sketches differ in at most ``most`` bits and ``same`` holds.
 
@@ -187,17 +133,6 @@ def join_near(odd: np.ndarray, parent: np.ndarray, most: int, same=None) -> list
     return out
 
 
-def first_of(label: np.ndarray) -> np.ndarray:
-    """For each place the first place with its label: the groups to start from."""
-    _, first, of = np.unique(label, return_index=True, return_inverse=True)
-    return first[of]
-
-
-def pairs_table(pairs: list[tuple[int, int]]) -> pa.Table:
-    ends = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.table({"a": ends.max(axis=1, initial=np.iinfo(np.int64).min), "b": ends.min(axis=1, initial=np.iinfo(np.int64).max)})
-
-
 def bitmaps(table: pa.Table) -> np.ndarray:
     return table.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
 
@@ -216,31 +151,6 @@ def sketch_links(members: DataFrame, similarity: float, bound: int = SKETCHES) -
     return meeting(members.withColumn("weight", F.lit(1)), bound).groupBy("bucket", "cell").applyInArrow(searched, "a long, b long")
 
 
-def exact_links(dealt: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join the texts of a cell and group (bucket, cell, group, node, label, odd, t) that share ``similarity`` of their shingles."""
-
-    def compared(table: pa.Table) -> pa.Table:
-        group, node, label, odd, texts = table.column("group").to_numpy(), table.column("node").to_numpy(), table.column("label").to_numpy(), bitmaps(table), table.column("t")
-        out = []
-        for own in runs_of(group):
-            start = first_of(label[own])
-            if (start == 0).all():
-                continue
-            sets = [shingle_set(texts[int(i)].as_py(), words) for i in own]
-            size = np.array([len(s) for s in sets], np.int64)
-            common = shared_shingles(np.concatenate(sets), size)
-
-            def same(x: np.ndarray, y: np.ndarray, size=size, common=common) -> np.ndarray:
-                both = common(x, y)
-                return both + 1e-9 >= similarity * (size[x] + size[y] - both)
-
-            for i, j in join_near(odd[own], start, most_odd(similarity - MARGIN), same):
-                out.append((node[own[i]], node[own[j]]))
-        return pairs_table(out)
-
-    return dealt.select("bucket", "cell", "group", "node", "label", "odd", "t").groupBy("bucket", "cell").applyInArrow(compared, "a long, b long")
-
-
 def candidate_groups(points: DataFrame, similarity: float, bound: int = SKETCHES) -> DataFrame:
     """``node`` and ``group`` such that two points that share a band and whose sketches don't rule them out are in one group.
 
@@ -271,42 +181,6 @@ def candidate_groups(points: DataFrame, similarity: float, bound: int = SKETCHES
     return found.select("node", F.col("component").alias("group")).unionAll(found.select(F.col("component").alias("node"), F.col("component").alias("group"))).distinct()
 
 
-def set_links(points: DataFrame, groups: DataFrame, docs: DataFrame, words: int, similarity: float, bound: int = SHINGLES) -> DataFrame:
-    """Links (a, b) that join whatever points of one group (node, group) join that share ``similarity`` of their full sets.
-
-    Texts move, not sets, and once for most: a group beyond ``bound`` shingles is dealt into blocks, each of which
-    also has the group's ``LEADERS``; only if that leaves parts of it apart do the smaller parts meet
-    the other blocks (see ``meeting``).
-    """
-    member = groups.select(F.col("node").alias("m"), "group")
-    needed = points.join(member, points.node == member.m).select("group", "node", "odd", F.col("n").alias("weight"), F.col("id").alias("i"), F.col("h").alias("x"))
-    needed = materialise(needed, "needed")
-    sums = needed.groupBy("group").agg(F.sum("weight").alias("w"), F.count("*").alias("c"))
-    large = materialise(sums.where(F.col("w") > bound).select(F.col("group").alias("g"), F.ceil(2 * F.col("w") / bound).alias("all"), "c"), "large")
-    buckets = max(1, -(-4 * (needed.agg(F.sum("weight")).first()[0] or 0) // bound))
-    dealt = needed.join(large, needed.group == large.g, "left")
-    small = dealt.where("all is null").withColumns({"bucket": F.pmod(F.xxhash64("group"), F.lit(buckets)), "cell": F.lit(-1).cast("long")})
-    leads = F.pmod(F.xxhash64("node", F.lit(1)), F.col("c")) < LEADERS
-    blocks = F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("all"))))
-    split = dealt.where("all is not null").withColumns({"bucket": F.col("group"), "cell": F.explode(blocks)})
-    once = small.unionByName(split).withColumn("label", F.col("node")).drop("g", "all", "c")
-
-    def with_text(rows: DataFrame) -> DataFrame:
-        rows = materialise(rows, "dealt")
-        return docs.join(rows, docs.id.eqNullSafe(rows.i) & F.xxhash64(docs.t).eqNullSafe(rows.x))
-
-    links = materialise(exact_links(with_text(once), words, similarity), "links")
-    if not large.isEmpty():
-        parts = connected_components(links).select(F.col("node").alias("p"), "component")
-        again = needed.join(large, needed.group == large.g, "left_semi").join(parts, F.col("node") == F.col("p"), "left")
-        again = materialise(again.withColumn("label", F.coalesce("component", "node")).drop("p", "component"), "again")
-        torn = again.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("group").alias("g"))
-        again = materialise(again.join(torn, again.group == torn.g, "left_semi"), "torn")
-        if not again.isEmpty():
-            links = links.unionAll(materialise(exact_links(with_text(meeting(again, bound)), words, similarity), "links"))
-    return links
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.85, key: str = "doc_id", text: str = "text", bound: int = SHINGLES, sketches: int = SKETCHES) -> DataFrame:
     """One row per document: key, ``n_shingles``, ``component_id`` (the least key it reaches) and ``kept``.
 
@@ -327,7 +201,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.85, k
     if not hashed.groupBy("id", "h").agg(F.count("*").alias("c")).where("c > 1").isEmpty():  # rows that repeat id and text: each text once
         docs = docs.groupBy("id", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t")).select("id", "t")
     groups = candidate_groups(points.select("node", "bands", "odd"), similarity - MARGIN, sketches)
-    links = set_links(points.select("node", "id", "h", "n", "odd"), materialise(groups, "groups"), docs, words, similarity, bound)
+
+    def near(table: pa.Table, own: np.ndarray):
+        odd = bitmaps(table)[own]
+        return lambda start, same: join_near(odd, start, most_odd(similarity - MARGIN), same)
+
+    links = set_links(points.select("node", "id", "h", "n", "odd"), materialise(groups, "groups"), docs, words, similarity, ["odd"], near, bound)
     found = connected_components(links).select(F.col("node").alias("c"), "component")
     named = points.select("node").join(found, points.node == F.col("c"), "left").select("node", F.coalesce("component", "node").alias("part"))
     named = named.join(least.select(F.col("node").alias("l"), "id"), named.node == F.col("l"), "left").select("node", "part", "id")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .confirm import roots, set_links, shingle_set, unite
 from .shared import materialise
 
 RADIUS = 3
@@ -29,8 +30,10 @@ MAX_DEPTH, SAMPLE_PER_LEAF = 14, 24
 #: Independent fingerprints and radius for near copies; how far below the stated similarity a sketch's estimate
 #: (standard deviation 0.035) rules a pair out.
 PRINTS, WIDE, MARGIN = 3, 12, 0.12
-#: Points that a task searches at once, however many are alike; shingles of the texts that it compares exactly.
-BOUND, SHINGLES = 1 << 18, 1 << 20
+#: Points that a task searches at once, however many are alike.
+BOUND = 1 << 18
+#: Bytes of a word with its space, about, by which the shingles of a text are estimated where tasks are bounded.
+WORD_BYTES = 6
 #: Shingles that are hashed and counted at once, whatever the length of a text.
 BLOCK = 1 << 16
 
@@ -82,20 +85,15 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", out: str =
     return docs.withColumn(out, hashed(F.col(text)))
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """XXH64 of the distinct word shingles of a text; a text of fewer words is one shingle."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    lines = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
-    return np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
-
-
 def sketch(text: str | None, words: int = 5, bins: int = 128) -> bytes:
     """A byte per bin: the least hash of the word shingles that fall into it, by one-permutation hashing.
 
     The share of equal bytes of two sketches estimates the Jaccard similarity of their shingle
     sets. An empty bin takes the next filled one; a text of fewer words is one shingle.
     """
-    h = shingles(text, words)
+    h = shingle_set(text, words)
+    if not len(h):
+        h = np.zeros(1, np.uint64)
     least = np.full(bins, np.iinfo(np.uint64).max)
     np.minimum.at(least, (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
     filled = np.nonzero(least != np.iinfo(np.uint64).max)[0]
@@ -150,27 +148,6 @@ def route(points: np.ndarray, tree: list[tuple[int, int] | None], radius: int) -
         todo.append((2 * node + 2, idx[to_out], home[to_out] & ~inside[to_out]))
 
 
-def roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
-    r = parent[x]
-    while (parent[r] != r).any():
-        r = parent[r]
-    parent[x] = r
-    return r
-
-
-def unite(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Join the groups of each x and y; returns the places of pairs that are enough to do so, earlier ones first."""
-    used, left = [np.zeros(0, np.int64)], np.arange(len(x))
-    while len(left):
-        a, b = roots(parent, x[left]), roots(parent, y[left])
-        differ = a != b
-        left, a, b = left[differ], a[differ], b[differ]
-        high, first = np.unique(np.maximum(a, b), return_index=True)
-        parent[high] = np.minimum(a, b)[first]
-        used.append(left[first])
-    return np.concatenate(used)
-
-
 def arranged(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of points by their distances to two vantage points, and those distances in that order."""
     first, second = fps[0], fps[int(np.argmax(distances(fps, fps[0])))]
@@ -333,26 +310,6 @@ def candidates(points: DataFrame, radius: int, least: float, leaf: int, least_de
     return sharded(points, PRINTS, radius, leaf, least_depth, bound).groupBy("shard", "cell").applyInArrow(searched, "a long, b long").distinct()
 
 
-def shared_shingles(flat: np.ndarray, size: np.ndarray, most: int = 1 << 26):
-    """A function of two arrays of places that counts the shingles that texts have in common, pair by pair.
-
-    ``flat`` holds the shingles of the texts one after the other, ``size`` how many each has. Those
-    that several texts have become the bits of a row for each text; where rows would take more than
-    ``most`` bytes the sorted lists are compared.
-    """
-    at = np.concatenate([[0], np.cumsum(size)])
-    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
-    common = np.cumsum(count > 1) - 1
-    kept, width = count[number] > 1, -(-int((count > 1).sum()) // 64)
-    if len(size) * width * 8 > most:
-        return lambda x, y: np.array([len(np.intersect1d(flat[at[u] : at[u + 1]], flat[at[v] : at[v + 1]], assume_unique=True)) for u, v in zip(x, y)], np.int64)
-    bits = np.zeros((len(size), max(1, width)), np.uint64)
-    row, bit = np.repeat(np.arange(len(size)), size)[kept], common[number[kept]]
-    np.bitwise_or.at(bits, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
-    step = max(1, (1 << 22) // max(1, width))
-    return lambda x, y: np.concatenate([np.zeros(0, np.int64)] + [np.bitwise_count(bits[x[a : a + step]] & bits[y[a : a + step]]).sum(axis=1, dtype=np.int64) for a in range(0, len(x), step)])
-
-
 def group_links(prints: np.ndarray, sketches: np.ndarray, label: np.ndarray, radius: int, least: float, same) -> list[tuple[int, int]]:
     """Pairs of places of one group that join what alike pairs join: ``same`` decides on pairs that are near by a print and by sketches.
 
@@ -380,76 +337,6 @@ def group_links(prints: np.ndarray, sketches: np.ndarray, label: np.ndarray, rad
     return list(zip(x[used].tolist(), y[used].tolist()))
 
 
-def checked_links(points: DataFrame, radius: int, similarity: float, bound: int = SHINGLES) -> DataFrame:
-    """Links (a, b) that join whatever pairs of points of one ``group`` that are alike join.
-
-    ``points``: group, node, prints, sketch, label, shingles, n (their number). Candidate pairs that
-    aren't joined yet are compared exactly in the task that has both, so no pairs are listed. Many
-    groups share a task; one of more than ``bound`` shingles is dealt into blocks that meet in pairs.
-    """
-    weights = points.groupBy("group").agg(F.sum("n").alias("w"))
-    parts = F.ceil(2 * F.col("w") / F.lit(bound))
-    large = materialise(weights.where(F.col("w") > bound).select(F.col("group").alias("g"), F.greatest(parts, F.lit(2)).alias("parts")), "large")
-    buckets = max(1, -(-4 * (points.agg(F.sum("n")).first()[0] or 0) // bound))
-    dealt = points.join(large, points.group == large.g, "left").drop("g")
-    small = dealt.where("parts is null").withColumns({"bucket": F.pmod(F.xxhash64("group"), F.lit(buckets)), "cell": F.lit(-1).cast("long")})
-    block = F.pmod(F.xxhash64("node"), F.col("parts"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: o != block)
-    meets = F.transform(others, lambda o: F.least(o, block) * F.col("parts") + F.greatest(o, block))
-    split = dealt.where("parts is not null").withColumns({"bucket": F.col("group"), "cell": F.explode(meets)})
-    every = small.unionByName(split).drop("parts")
-
-    def searched(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in ("group", "node", "label", "n")}
-        prints = table.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        at, flat, size = np.concatenate([[0], np.cumsum(col["n"])]), table.column("shingles").combine_chunks().flatten().to_numpy(), col["n"]
-
-        order, out = np.argsort(col["group"], kind="stable"), []
-        for own in np.split(order, np.nonzero(np.diff(col["group"][order]))[0] + 1):
-            n = size[own]
-            count = shared_shingles(np.concatenate([flat[at[i] : at[i + 1]] for i in own]), n)
-
-            def same(x: np.ndarray, y: np.ndarray, n=n, count=count) -> np.ndarray:
-                both = count(x, y)
-                return both + 1e-9 >= similarity * (n[x] + n[y] - both)
-
-            found = group_links(prints[own], sketches[own], col["label"][own], radius, similarity - MARGIN, same)
-            out += [(col["node"][own[u]], col["node"][own[v]]) for u, v in found]
-        ends = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"a": ends.max(axis=1, initial=np.iinfo(np.int64).min), "b": ends.min(axis=1, initial=np.iinfo(np.int64).max)})
-
-    return every.groupBy("bucket", "cell").applyInArrow(searched, "a long, b long")
-
-
-def shingle_sets(nodes: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
-    """``node`` and ``shingles`` of the points that ``nodes`` (n) names; a point's text is that of the row of ``docs`` (id, t) with its ``id`` and text hash ``h``.
-
-    The points are written first: if they are few, Spark broadcasts them and texts don't move.
-    """
-
-    @F.pandas_udf("array<long>")
-    def hashed(texts):
-        return texts.map(lambda t: shingles(t).view(np.int64), na_action=None)
-
-    own = materialise(points.join(nodes, points.node == nodes.n, "left_semi").select("node", F.col("id").alias("i"), "h"), "needed")
-    sets = docs.join(own, (docs.id == own.i) & F.xxhash64(docs.t).eqNullSafe(own.h)).select("node", hashed("t").alias("shingles"))
-    sets = materialise(sets, "shingles")
-    if sets.count() > own.count():  # rows that repeat id and text: each set once
-        sets = materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    return sets
-
-
-def alike(pairs: DataFrame, points: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts share at least ``similarity`` of their five-word shingles, counted exactly."""
-    needed = pairs.select(F.col("a").alias("n")).unionAll(pairs.select(F.col("b").alias("n"))).distinct()
-    sets = shingle_sets(needed, points, docs)
-    a, b = (sets.select(F.col("node").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(a, pairs.a == F.col("na")).join(b, F.col("b") == F.col("nb"))
-    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
-    return counted.where(F.col("n") + 1e-9 >= similarity * (F.col("m") - F.col("n"))).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, key: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
     """One row per document: key, ``fp`` (long) and ``component_id``, the least key it reaches over links.
 
@@ -476,9 +363,8 @@ def dropped_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similari
 
     A pair is a candidate if any of its fingerprints lies within the radius and its sketches don't
     rule it out; links are pairs that are alike by their exact shingle sets. A group of m copies
-    has m * m pairs, so first only a forest of candidates is confirmed. Where that leaves parts of a
-    candidate group apart, candidate pairs between the parts are compared too, in the tasks that
-    search them, until the parts are joined or none is left. Texts with the same fingerprints and sketch (128 equal bins) are one point; ``node`` is its 64-bit hash.
+    has m * m pairs, so only a forest of candidates is listed, which tells the groups; the texts of a
+    group then meet, and its candidate pairs are compared until its parts are joined or none is left. Texts with the same fingerprints and sketch (128 equal bins) are one point; ``node`` is its 64-bit hash.
     """
 
     @F.pandas_udf("array<long>")
@@ -490,29 +376,22 @@ def dropped_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similari
         return texts.map(sketch, na_action=None)
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
-    hashed = materialise(docs.select("id", F.xxhash64("t").alias("h"), printed("t").alias("prints"), sketched("t").alias("sketch")), "fingerprints")
-    first = hashed.groupBy("prints", "sketch").agg(F.min(F.struct("id", "h")).alias("f"))
-    points = materialise(first.select(F.xxhash64("prints", "sketch").alias("node"), "prints", "sketch", "f.id", "f.h"), "points")
-    search = points.select("node", "prints", "sketch")
-    tried = materialise(candidates(search, radius, similarity - MARGIN, leaf, least_depth), "candidates")
-    links = materialise(alike(tried, points, docs, similarity), "alike")
+    size = F.coalesce(F.octet_length("t"), F.lit(0)).cast("long")
+    hashed = materialise(docs.select("id", F.xxhash64("t").alias("h"), size.alias("size"), printed("t").alias("prints"), sketched("t").alias("sketch")), "fingerprints")
+    first = hashed.groupBy("prints", "sketch").agg(F.min(F.struct("id", "h", "size")).alias("f"))
+    points = materialise(first.select(F.xxhash64("prints", "sketch").alias("node"), "prints", "sketch", "f.id", "f.h", F.ceil(F.col("f.size") / WORD_BYTES).alias("n")), "points")
+    tried = materialise(candidates(points.select("node", "prints", "sketch"), radius, similarity - MARGIN, leaf, least_depth), "candidates")
+    groups = connected_components(tried)
+    groups = groups.select("node", F.col("component").alias("group")).unionAll(groups.select(F.col("component").alias("node"), F.col("component").alias("group"))).distinct()
+
+    def near(table: pa.Table, own: np.ndarray):
+        prints = table.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)[own]
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)[own]
+        return lambda start, same: group_links(prints, sketches, start, radius, similarity - MARGIN, same)
+
+    links = set_links(points, materialise(groups, "groups"), docs, 5, similarity, ["prints", "sketch"], near)
     parts = connected_components(links)
     part = lambda n: parts.select(F.col("node").alias(f"n{n}"), F.col("component").alias(f"p{n}"))
-    apart = tried.join(part("a"), F.col("a") == F.col("na"), "left").join(part("b"), F.col("b") == F.col("nb"), "left")
-    apart = materialise(apart.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a"), "apart")
-    if not apart.isEmpty():
-        groups = connected_components(tried)
-        torn = groups.join(apart, groups.node == apart.a).select(F.col("component").alias("g")).distinct()
-        torn = torn.unionAll(apart.join(groups, apart.a == groups.component, "left_semi").select(F.col("a").alias("g"))).distinct()
-        members = groups.unionAll(groups.select(F.col("component").alias("node"), "component")).distinct()
-        members = materialise(members.join(torn, members.component == torn.g, "left_semi").select(F.col("node").alias("n"), F.col("component").alias("group")), "members")
-        # all but the sets is joined first, so that the sets move once
-        slim = search.join(members, F.col("node") == F.col("n")).join(part("s"), F.col("node") == F.col("ns"), "left")
-        slim = materialise(slim.select("group", F.col("node").alias("m"), "prints", "sketch", F.coalesce("ps", "node").alias("label")), "slim")
-        again = shingle_sets(members.select("n"), points, docs).join(slim, F.col("node") == F.col("m")).drop("m")
-        again = materialise(again.withColumn("n", F.size("shingles").cast("long")), "again")
-        links = links.unionAll(materialise(checked_links(again, radius, similarity), "checked"))
-        parts = connected_components(links)
     named = points.select("node", "id").join(part("s"), F.col("node") == F.col("ns"), "left")
     keep = named.groupBy(F.coalesce("ps", "node").alias("group")).agg(F.min("id").alias("_keep")).select("_keep")
     every = hashed.select("id").distinct()
