@@ -1,8 +1,8 @@
 """The catalogue of named queries."""
 
-from . import audit, checks, contacts, leads, outreach, pages, reports
+from . import audit, checks, contacts, leads, outreach, pages, reports, sites
 
-PARTS = [audit, outreach, leads, contacts, checks, reports, pages]
+PARTS = [audit, outreach, leads, contacts, checks, reports, pages, sites]
 
 
 def queries():
