@@ -8,8 +8,11 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..sources import workbooks
+from ..functions import searches
+from ..sources import files, workbooks
 from ..sources.views import Views
+from ..streaming import changes
+from .contacts import _list
 
 COLUMNS = {"company_name": "Company Name", "website_url": "Website", "country": "Country", "estimated_revenue": "Revenue", "notes": "Notes"}
 
@@ -44,9 +47,84 @@ def _workbooks(v: Views):
     return workbooks.normalised_rows(workbooks.sheet_rows(workbooks.sheet_cells(files)), COLUMNS, "Nowhere", "EU").drop("original_row")
 
 
+QUERIES = ["?q={t}&page=2&sort=price%20up", "?ref=r1&Query={t}", "?id=0123456789abcdef01234567&find={t}", "?page=3&p=", "?q=&k={t}", "", "?utm=12&S={t}&pn=4"]
+
+
+def _addresses(v: Views):
+    """An address of a search per order: known names, names in capitals, names that aren't known, and none."""
+    key = F.col("o_orderkey")
+    query = F.get(F.array(*map(F.lit, QUERIES)), (F.col("o_custkey") % len(QUERIES)).cast("int"))
+    term = F.concat(F.lit("red+"), (key % 5).cast("string"), F.lit("%26ring"))
+    return v.table("orders").select(F.concat(F.lit("https://www.shop"), (key % 40).cast("string"), F.lit(".example/find"), F.replace(query, F.lit("{t}"), term)).alias("url"))
+
+
+_TEMPLATES = f"""WITH u AS (SELECT 'https://www.shop' || (o_orderkey % 40) || '.example/find' || replace(({_list(QUERIES)})[o_custkey % {len(QUERIES)} + 1], '{{t}}', 'red+' || (o_orderkey % 5) || '%26ring') AS url FROM orders),
+  p AS (SELECT url, split_part(url, '?', 1) AS base, list_transform(list_filter(string_split(split_part(url, '?', 2), '&'), lambda x: x <> ''), lambda x: struct_pack(name := split_part(x, '=', 1), value := url_decode(replace(split_part(x, '=', 2), '+', ' ')))) AS ps FROM u),
+  h AS (SELECT *, list_filter(list_transform({_list(searches.SEARCH_NAMES)}, lambda n: list_filter(ps, lambda x: x.name = n AND x.value <> '')[1]), lambda x: x IS NOT NULL)[1] AS a,
+      list_filter(list_transform({_list(searches.SEARCH_NAMES)}, lambda n: list_filter(ps, lambda x: lower(x.name) = n AND x.value <> '')[1]), lambda x: x IS NOT NULL)[1] AS b,
+      list_filter(ps, lambda x: regexp_matches(x.value, '[a-z]') AND length(x.value) <= 120 AND NOT regexp_matches(x.value, '^[0-9a-f]{{24,}}$'))[1] AS c FROM p),
+  k AS (SELECT *, coalesce(a, b, c) AS hit, CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 ELSE 3 END AS turn FROM h),
+  t AS (SELECT regexp_extract(base, '://([^/]*)', 1) AS host, turn, hit.name AS param, hit.value AS term,
+      base || coalesce('?' || nullif(array_to_string(list_transform(list_filter(ps, lambda x: NOT list_contains({_list(searches.PAGE_NAMES)}, lower(x.name))), lambda x: x.name || '=' || CASE WHEN x.name = hit.name THEN '{{}}' ELSE replace(url_encode(x.value), '%20', '+') END), '&'), ''), '') AS template FROM k WHERE hit IS NOT NULL),
+  v AS (SELECT host, template, param, turn, count(*) AS votes, min(term) AS term FROM t GROUP BY 1, 2, 3, 4)
+  SELECT host, template, term, param, CAST(turn AS INT) AS turn, votes FROM v QUALIFY row_number() OVER (PARTITION BY host ORDER BY turn, votes DESC, template) = 1"""
+
+TITLES = ["Fix the relevance of {n}", "Ranking for {n}", "Ranking by brand for {n}", "Index {n}"]
+NOTES = ["Impact: High | Effort: Medium (2 weeks)", "Impact: Low", "Effort: Major", ""]
+
+
+def _roadmap(v: Views):
+    """A roadmap per order with an item for each of its lines."""
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
+    lines = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    title = F.replace(pick(TITLES, F.col("l_suppkey")), F.lit("{n}"), F.col("p_name"))
+    each = lines.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", title.alias("title"), F.col("p_type").alias("about"), pick(NOTES, F.col("l_partkey")).alias("note")).alias("x"))
+    texts = each.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    item = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". **"), x["title"], F.lit("**\n   About "), x["about"], F.lit(".\n   "), x["note"])
+    text = F.concat(F.lit("\n"), F.array_join(F.transform("xs", item), "\n"), F.lit("\n"))
+    return texts.select("l_orderkey", F.posexplode(searches.roadmap_items(text)).alias("place", "r")).select("l_orderkey", "place", "r.*")
+
+
+_ROADMAP = f"""WITH t AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS place, replace(({_list(TITLES)})[l_suppkey % 4 + 1], '{{n}}', p_name) AS title, 'About ' || p_type || '.' AS about, ({_list(NOTES)})[l_partkey % 4 + 1] AS note FROM lineitem JOIN part ON p_partkey = l_partkey)
+  SELECT l_orderkey, place, CASE WHEN contains(lower(title), 'relevance') OR (contains(lower(title), 'ranking') AND NOT regexp_matches(lower(title), '{'|'.join(searches.INTENTS)}')) THEN '{searches.INSTEAD}' ELSE title END AS title,
+    about || CASE WHEN starts_with(note, 'Effort') THEN chr(10) || '   ' || note ELSE '' END AS description, regexp_extract(note, 'Impact: (\\w+)', 1) AS impact, regexp_extract(note, 'Effort: (.*)$', 1) AS effort,
+    CASE regexp_extract(note, 'Impact: (\\w+)', 1) WHEN 'Critical' THEN 'critical' WHEN 'High' THEN 'high' ELSE 'moderate' END AS impact_class, CASE WHEN contains(note, 'Medium') THEN 'medium' WHEN contains(note, 'Major') THEN 'major' ELSE 'quick' END AS effort_class FROM t"""
+
+
+def _merged(v: Views):
+    """Customers after a stream of changes, one for each order in three batches, and some deleted at last; counted with their links."""
+    folder, key = files.shared_folder(v.spark, "changes"), F.col("o_orderkey")
+    kind = F.get(F.array(*map(F.lit, ["upsert", "upsert", "link", "unlink", "set_links"])), (key % 5).cast("int"))
+    fields = F.when(kind == "upsert", F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("id"), F.lit("never")))
+    orders = v.table("orders").select(key.alias("ord"), kind.alias("op"), F.col("o_custkey").alias("id"), fields.alias("fields"), F.when(kind != "upsert", F.array(key % 7, key % 3)).alias("targets"))
+    gone = v.table("customer").where("c_custkey % 10 = 3").select((F.col("c_custkey") + 1_000_000_000_000).alias("ord"), F.lit("delete").alias("op"), F.col("c_custkey").alias("id"), F.lit(None).cast("map<string,string>").alias("fields"), F.lit(None).cast("array<long>").alias("targets"))
+    store = changes.Store(v.spark, f"{folder}/store", "id long, status string, name string", ["status"])
+    store.start(v.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"), F.col("c_name").alias("name")), v.spark.createDataFrame([], "id long, target long"))
+    every = orders.unionByName(gone)
+    cuts = [str(c) for c in orders.agg(F.expr("percentile_approx(ord, array(0.33, 0.66))")).first()[0]]
+    for number, where in enumerate([f"ord <= {cuts[0]}", f"ord > {cuts[0]} and ord <= {cuts[1]}", f"ord > {cuts[1]}"]):
+        store.merge(every.where(where), number)
+    store.merge(every.where(f"ord > {cuts[1]}"), 2)  # delivered again
+    entities, links = store.read()
+    counts = links.groupBy(F.col("id").alias("i")).agg(F.count("*").alias("links"), F.sum("target").alias("targets"))
+    return entities.join(counts, F.col("id") == F.col("i"), "left").select("id", "status", "name", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("targets", F.lit(0)).alias("targets"))
+
+
+_MERGED = """WITH o AS (SELECT o_orderkey AS ord, o_custkey AS id, o_orderkey % 5 AS k, o_orderstatus AS status, unnest(list_distinct([o_orderkey % 7, o_orderkey % 3])) AS target FROM orders),
+  s AS (SELECT id, max(ord) AS since FROM o WHERE k = 4 GROUP BY 1),
+  t AS (SELECT id, target, arg_max(k, ord) AS k FROM o LEFT JOIN s USING (id) WHERE k >= 2 AND ord >= coalesce(since, -1) GROUP BY 1, 2),
+  l AS (SELECT id, count(*) AS links, CAST(sum(target) AS BIGINT) AS targets FROM t WHERE k <> 3 GROUP BY 1),
+  u AS (SELECT id, arg_max(status, ord) AS status FROM o WHERE k < 2 GROUP BY 1),
+  e AS (SELECT c_custkey AS id, coalesce(u.status, c_mktsegment) AS status, c_name AS name FROM customer LEFT JOIN u ON u.id = c_custkey UNION ALL SELECT id, status, NULL FROM u WHERE id NOT IN (SELECT c_custkey FROM customer))
+  SELECT e.id, e.status, e.name, coalesce(l.links, 0) AS links, coalesce(l.targets, 0) AS targets FROM e LEFT JOIN l ON l.id = e.id WHERE e.id % 10 <> 3 OR e.id NOT IN (SELECT c_custkey FROM customer)"""
+
+
 CATALOGUE = {
     "workbook_rows": (
         _workbooks,
         "SELECT 'nation-' || s_nationkey || '.xlsx' AS source_file, 'Leads' AS sheet_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS row_index, 'EU' AS region, s_name || ' & Co' AS company_name, 'https://s' || s_suppkey || '.example' AS website_url, CASE WHEN s_suppkey % 3 = 0 THEN 'Land ' || (s_suppkey % 7) ELSE 'Nowhere' END AS country, CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) AS estimated_revenue, '' AS notes FROM supplier QUALIFY s_suppkey % 5 <> 0",
     ),
+    "search_templates": (lambda v: searches.site_templates(_addresses(v)), _TEMPLATES),
+    "roadmap_items": (_roadmap, _ROADMAP),
+    "merged_changes": (_merged, _MERGED),
 }
