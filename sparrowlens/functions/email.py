@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.nodes import let
 from .text import without_accents
 
 # Fixed values.
@@ -47,10 +48,15 @@ def status(email: Column, guessed: Column, verdict: Column, allow_role: Column |
     return F.when(gate(email, allow_role).isNotNull() | (F.coalesce(verdict, F.lit("")) == "invalid"), "invalid").when(verdict == "valid", "verified").when(F.coalesce(guessed, F.lit(False)), "guessed").otherwise("risky")
 
 
+def name_words(name: Column) -> Column:
+    """Words of a name for addresses, without honorifics."""
+    words = F.transform(F.split(F.regexp_replace(without_accents(F.trim(name)), "['’]", ""), r"\s+"), lambda w: F.regexp_replace(w, "[^a-z-]", ""))
+    return F.filter(words, lambda w: (w != "") & ~w.isin(HONORIFICS))
+
+
 def name_parts(name: Column) -> tuple[Column, Column]:
     """First and last word of a name for addresses, both null if there are fewer than two."""
-    words = F.transform(F.split(F.regexp_replace(without_accents(F.trim(name)), "['’]", ""), r"\s+"), lambda w: F.regexp_replace(w, "[^a-z-]", ""))
-    words = F.filter(words, lambda w: (w != "") & ~w.isin(HONORIFICS))
+    words = name_words(name)
     two = F.size(words) >= 2
     return F.when(two, F.get(words, 0)), F.when(two, F.replace(F.element_at(words, -1), F.lit("-"), F.lit("")))
 
@@ -82,6 +88,44 @@ def candidates(name: Column, domain: Column) -> Column:
     return F.when(first.isNotNull() & ~domain.isin(PERSONAL_DOMAINS), F.slice(each, 1, 5)).otherwise(F.array().cast("array<string>"))
 
 
+def inferred_pattern(addresses: Column, names: Column) -> Column:
+    """(pattern, confidence, by_name) that a domain's addresses (array of email, local; sound ones, in order) speak for; null without any.
+
+    Each address of a person votes with each of the ``names`` that it is made from; if none is, by its form.
+    Most votes win, ties go to the pattern that came first. UNKNOWN has a confidence of 30 if there are
+    people's addresses at all, else of 10.
+    """
+    personal = F.filter(addresses, lambda a: ~a["local"].isin(GENERIC_INBOXES))
+    known = lambda patterns: F.filter(patterns, lambda p: p != "UNKNOWN")
+    by_name = F.flatten(F.transform(personal, lambda a: known(F.transform(names, lambda n: classify(a["local"], n)))))
+    by_form = known(F.transform(personal, lambda a: guess_structure(a["local"])))
+
+    def best(votes: Column, named: Column) -> Column:
+        counts = F.transform(F.array_distinct(votes), lambda p: F.struct(F.size(F.filter(votes, lambda v: v == p)).alias("n"), (-F.array_position(votes, p)).alias("first"), p.alias("p")))
+        score = lambda top: F.when(top.isNull(), F.when(F.size(personal) > 0, 30).otherwise(10)).otherwise(50 + F.when(top["n"] >= 2, 25).otherwise(0) + F.when(F.size(personal) >= 2, 10).otherwise(0) + F.when(named, 15).otherwise(0))
+        return let(F.array_max(counts), lambda top: F.struct(F.coalesce(top["p"], F.lit("UNKNOWN")).alias("pattern"), score(top).alias("confidence"), named.alias("by_name")))
+
+    chosen = let(by_name, lambda votes: F.when(F.size(votes) > 0, best(votes, F.lit(True))).otherwise(let(by_form, lambda forms: best(forms, F.lit(False)))))
+    return F.when(F.size(addresses) > 0, chosen)
+
+
+def generated(name: Column, domain: Column, pattern: Column) -> Column:
+    """At most five addresses (email, pattern, score) for a name at a domain, by an ``inferred_pattern`` first and the fallback patterns after it.
+
+    None for personal domains and names of fewer than two words. Without a pattern the score is 30.
+    """
+    first, last = name_parts(name)
+    likely = (pattern["pattern"] != "UNKNOWN") & (pattern["confidence"] >= 40)
+    made = lambda local, p, score: F.struct(F.concat(local, F.lit("@"), domain).alias("email"), p.alias("pattern"), score.cast("int").alias("score"))
+    built = F.coalesce(*[F.when(pattern["pattern"] == p, build(first, last, p)) for p in ("FIRST_LAST", "FIRSTLAST", "F_LAST", "F.DOT.LAST", "FIRST", "LAST")])
+    fallback = F.when(pattern.isNull(), 30).otherwise(F.greatest(pattern["confidence"] - 20, F.lit(20)))
+    every = F.array(F.when(likely, made(built, pattern["pattern"], pattern["confidence"])), *[made(build(first, last, p), F.lit(p), fallback) for p in FALLBACK_PATTERNS])
+    once = lambda own: F.filter(own, lambda x, i: F.array_position(F.transform(own, lambda y: y["email"]), x["email"]) == i + 1)
+    found = let(F.filter(every, lambda x: x.isNotNull()), once)
+    none = F.slice(F.array(made(F.lit(""), F.lit(""), F.lit(0))), 1, 0)
+    return F.when(first.isNotNull() & ~domain.isin(PERSONAL_DOMAINS), F.slice(found, 1, 5)).otherwise(none)
+
+
 def domain_of(url: Column) -> Column:
     """Host of a url in lower case without www; empty if there is none."""
     full = F.when(F.startswith(url, F.lit("http")), url).otherwise(F.concat(F.lit("https://"), url))

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import searches
+from ..operators import identity
 from ..sources import files, workbooks
 from ..sources.views import Views
 from ..streaming import changes
 from .contacts import _list
+from .pages import _name
 
 COLUMNS = {"company_name": "Company Name", "website_url": "Website", "country": "Country", "estimated_revenue": "Revenue", "notes": "Notes"}
 
@@ -119,6 +121,70 @@ _MERGED = """WITH o AS (SELECT o_orderkey AS ord, o_custkey AS id, o_orderkey %
   SELECT e.id, e.status, e.name, coalesce(l.links, 0) AS links, coalesce(l.targets, 0) AS targets FROM e LEFT JOIN l ON l.id = e.id WHERE e.id % 10 <> 3 OR e.id NOT IN (SELECT c_custkey FROM customer)"""
 
 
+ROLES = ["CEO", "HEAD_OF_PRODUCT", "HEAD_OF_ECOMMERCE", "HEAD_OF_GROWTH"]
+
+
+def _found(v: Views):
+    """Results of a search for a role at each order's company: profiles, pages, posts and goods, some of them twice."""
+    k, name = F.col("l_suppkey"), _name()
+    slug = F.concat(F.lit("https://www.linkedin.com/in/"), F.replace(F.lower(name), F.lit(" "), F.lit("-")), F.lit("?trk=x#y"))
+    kinds = [("concat({n}, ' – CEO – Acme Tools | LinkedIn')", "''", "{s}"), ("concat({n}, ', Founder')", "'at work'", "'https://x.example/1'"), ("'Boots on sale'", "concat({n}, ' is here')", "'https://x.example/2'"), ("concat({n}, ' - CMO')", "''", "'https://x.example/posts/3'"), ("'x'", "concat({n}, ' is the founder of ACME')", "'https://x.example/4'"), ("'Profile'", "'growth lead'", "{s}")]
+    lines = v.table("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey").withColumn("s_suppkey", k).withColumns({"n": name, "s": slug})
+    pick = lambda j: F.coalesce(*[F.when(F.col("l_partkey") % 6 == i, F.expr(kind[j].format(n="n", s="s"))) for i, kind in enumerate(kinds)])
+    role = F.get(F.array(*map(F.lit, ROLES)), (F.col("l_orderkey") % 4).cast("int"))
+    rows = lines.select(F.col("l_orderkey").alias("row_key"), role.alias("role"), F.lit("Acme").alias("company_name"), (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")).alias("place"), pick(0).alias("title"), pick(1).alias("snippet"), pick(2).alias("url"), F.when((F.col("l_partkey") % 6).isin(0, 5), "PERSON_PROFILE").alias("link_type"), F.array().cast("array<string>").alias("signals"))
+    found = identity.identity_candidates(rows.distinct())
+    return found.withColumn("signals", F.array_join("signals", ",")).drop("url", "place")
+
+
+_FOUND = """WITH l AS (SELECT DISTINCT l_orderkey AS row_key, l_orderkey % 4 AS r, l_partkey % 6 AS v, l_linenumber * 100000000 + l_partkey AS place, translate(CAST(l_suppkey AS VARCHAR), '0123456789', 'abcdefghij') AS t FROM lineitem WHERE l_partkey % 6 IN (0, 1, 4, 5)),
+  c AS (SELECT row_key, r, place, v, 'M' || t || ' N' || t || 'o' AS full_name, CASE WHEN v IN (0, 5) THEN 'https://www.linkedin.com/in/m' || t || '-n' || t || 'o' ELSE '' END AS link FROM l),
+  f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY row_key, full_name, link ORDER BY place, v) = 1)
+  SELECT row_key, ['CEO', 'HEAD_OF_PRODUCT', 'HEAD_OF_ECOMMERCE', 'HEAD_OF_GROWTH'][r + 1] AS role, full_name, lower(full_name) AS normal, link, CASE WHEN v IN (0, 4) THEN 'Acme' ELSE '' END AS company,
+    array_to_string(list_filter([CASE WHEN v IN (0, 5) THEN 'linkedin-profile-name' END, CASE WHEN v = 0 AND r = 0 THEN 'LINKEDIN_TITLE_ROLE_MATCH' END, CASE WHEN v = 0 THEN 'COMPANY_MATCH_FROM_TITLE' END, CASE WHEN v IN (0, 5) THEN 'LINKEDIN_PROFILE_SLUG_MATCHES_NAME' END, CASE WHEN v = 1 THEN 'title-name' END, CASE WHEN v = 4 THEN 'snippet-name' END, CASE WHEN (r = 0 AND v IN (0, 1, 4)) OR (r = 3 AND v = 5) THEN 'role-evidence' END], lambda x: x IS NOT NULL), ',') AS signals FROM f"""
+
+OBSERVED = [["{f}.{l}", "info"], ["jane.doe", "info"], ["info", "shop"], [], ["j.roe", "k.poe", "gone@elsewhere"]]
+
+
+def _decided(v: Views):
+    """A person for each supplier; its pages show the person's address, another person's, shared ones only, none, or two of a form."""
+    k = F.col("s_suppkey")
+    letters = F.translate(k.cast("string"), "0123456789", "abcdefghij")
+    domain = F.concat(F.lit("d"), k.cast("string"), F.lit(".example"))
+    own = v.table("supplier").select(k.alias("row_key"), F.lit("CEO").alias("role"), F.when(k % 11 != 0, _name()).alias("person_name"), F.when(k % 13 == 0, "gmail.com").otherwise(F.concat(F.lit("https://www."), domain, F.lit("/team"))).alias("website_url"), F.get(F.array(*map(F.lit, ["RESOLVED_STRONG", "RESOLVED_PROBABLE", "UNRESOLVED_WEAK"])), (k % 3).cast("int")).alias("role_status"), (k % 5).alias("v"), letters.alias("t"), domain.alias("d"))
+    local = lambda text: F.concat(F.lit("m"), F.col("t"), F.lit(".n"), F.col("t"), F.lit("o")) if text.startswith("{") else F.lit(text)
+    lists = F.coalesce(*[F.when(F.col("v") == i, F.array(*[local(t) if "@" in t else F.concat(local(t), F.lit("@"), F.col("d")) for t in texts]).cast("array<string>")) for i, texts in enumerate(OBSERVED)])
+    observed = own.select("row_key", F.posexplode(lists).alias("ord", "email")).withColumn("ord", F.col("ord").cast("long"))
+    people = own.where("v = 1").select("row_key", F.lit("Jane Doe").alias("full_name"))
+    return identity.resolved_emails(own.select("row_key", "role", "person_name", "website_url", "role_status"), observed, people).withColumn("alternates", F.array_join("alternates", ","))
+
+
+_DECIDED = """WITH o AS (SELECT s_suppkey AS k, s_suppkey % 5 AS v, 'm' || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'abcdefghij') AS f, 'n' || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'abcdefghij') || 'o' AS l, '@d' || s_suppkey || '.example' AS d,
+      CASE WHEN s_suppkey % 11 = 0 THEN 'NO_PERSON' WHEN s_suppkey % 13 = 0 THEN 'PERSONAL_DOMAIN' END AS early FROM supplier),
+  p AS (SELECT *, CASE v WHEN 1 THEN 'FIRST_LAST' WHEN 2 THEN 'UNKNOWN' WHEN 4 THEN 'F.DOT.LAST' END AS pattern, CASE v WHEN 1 THEN 65 WHEN 2 THEN 20 WHEN 3 THEN 30 WHEN 4 THEN 85 END AS base, CASE k % 3 WHEN 0 THEN 20 WHEN 1 THEN 10 ELSE 0 END AS role_points FROM o),
+  s AS (SELECT *, base + role_points + CASE v WHEN 4 THEN 15 ELSE 0 END - CASE v WHEN 2 THEN 45 WHEN 3 THEN 15 ELSE 0 END AS score,
+      list_distinct_in_order AS made FROM (SELECT *, CASE v WHEN 4 THEN [f[1] || '.' || l, f || '.' || l, f || l, f, f[1] || l] ELSE [f || '.' || l, f || l, f, f[1] || '.' || l, f[1] || l] END AS list_distinct_in_order FROM p))
+  SELECT k AS row_key, 'CEO' AS role, CASE WHEN early IS NOT NULL THEN 'UNRESOLVED' WHEN v = 0 THEN 'RESOLVED_PUBLIC' WHEN score <= 0 THEN 'UNRESOLVED' ELSE 'RESOLVED_INFERRED' END AS status,
+    CASE WHEN early IS NOT NULL THEN NULL WHEN v = 0 THEN f || '.' || l || d WHEN score > 0 THEN made[1] || d END AS email, CASE WHEN early IS NOT NULL THEN 0 WHEN v = 0 THEN 95 ELSE CAST(score AS INT) END AS score,
+    CASE WHEN early IS NOT NULL THEN NULL WHEN v = 0 THEN 'STRONG' WHEN score <= 0 THEN NULL WHEN score >= 90 AND v IN (1, 4) THEN 'STRONG' WHEN score >= 70 THEN 'PROBABLE' ELSE 'WEAK' END AS label,
+    CASE WHEN early IS NULL AND v > 0 THEN pattern END AS pattern, CASE WHEN early IS NOT NULL OR v = 0 THEN '' ELSE array_to_string(list_transform(made[2:], lambda x: x || d), ',') END AS alternates,
+    CASE WHEN early IS NOT NULL THEN early WHEN v > 0 AND score <= 0 THEN 'LOW_CONFIDENCE' END AS issue FROM s"""
+
+
+def _guessed(v: Views):
+    """The provider of last resort for each supplier, with the addresses that a company's domain is known for."""
+    k = F.col("s_suppkey")
+    domain = F.concat(F.lit("d"), k.cast("string"), F.lit(".example"))
+    known = F.when(k % 3 == 0, F.array(F.concat(F.lit("Jane.Doe@"), domain), F.lit("x@other.example"))).when(k % 3 == 1, F.array(F.concat(F.lit("info@"), domain)))
+    rows = v.table("supplier").select(k.alias("contact_id"), F.when(k % 2 == 0, _name()).alias("full_name"), F.when(k % 4 == 1, F.get(F.split(_name(), " "), 0)).alias("first_name"), F.when(k % 4 == 1, F.get(F.split(_name(), " "), 1)).alias("last_name"), F.when(k % 17 == 0, "gmail.com").otherwise(domain).alias("company_domain"), known.alias("known"), F.lit(False).alias("allow_role"))
+    return identity.guessed_emails(rows)
+
+
+_GUESSED = """WITH o AS (SELECT s_suppkey AS k, 'm' || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'abcdefghij') || '.n' || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'abcdefghij') || 'o@d' || s_suppkey || '.example' AS e, s_suppkey % 4 = 3 AS nobody, s_suppkey % 17 = 0 AS personal FROM supplier)
+  SELECT k AS contact_id, CASE WHEN nobody OR personal THEN NULL ELSE e END AS email, CASE WHEN nobody OR personal THEN 'unavailable' ELSE 'guessed' END AS status, CASE WHEN nobody OR personal THEN NULL ELSE CASE k % 3 WHEN 0 THEN 50 WHEN 1 THEN 20 ELSE 30 END END AS confidence,
+    CASE WHEN nobody OR personal THEN 'not_found' ELSE 'found' END AS outcome, CASE WHEN nobody THEN 'no person name' WHEN personal THEN 'no candidate' END AS reason FROM o"""
+
+
 CATALOGUE = {
     "workbook_rows": (
         _workbooks,
@@ -127,4 +193,7 @@ CATALOGUE = {
     "search_templates": (lambda v: searches.site_templates(_addresses(v)), _TEMPLATES),
     "roadmap_items": (_roadmap, _ROADMAP),
     "merged_changes": (_merged, _MERGED),
+    "identity_candidates": (_found, _FOUND),
+    "resolved_emails": (_decided, _DECIDED),
+    "guessed_emails": (_guessed, _GUESSED),
 }
