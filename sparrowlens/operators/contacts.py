@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import platform_sentence
+
 # Names of columns that mean a field of a company; the first field in this order counts.
 HEADER_ALIASES = {
     "name": ["company", "company name", "company_name", "name", "organization", "org"],
@@ -98,6 +100,13 @@ def audit_variables(values: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
+def task_variables(values: Column, solution: Column) -> Column:
+    """The audit variables of a task: those with a text, two of them by a second name too, and the sentence on the search platform; never null."""
+    kept = F.map_filter(F.coalesce(values, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(AUDIT_KEYS) & (F.coalesce(v, F.lit("")) != ""))
+    second = F.map_filter(F.create_map(*[x for new, old in {"top_3_rate": "top3rate", "outside_3_rate": "outside3rate"}.items() for x in (F.lit(new), F.try_element_at(kept, F.lit(old)))]), lambda k, v: v.isNotNull())
+    return F.map_concat(kept, second, F.create_map(F.lit("search_platform_sentence"), platform_sentence(solution)))
+
+
 def unsubscribed(contacts: DataFrame, requests: DataFrame) -> DataFrame:
     """Contacts after requests (contact_id, ts) to unsubscribe: the last one counts."""
     last = requests.groupBy(F.col("contact_id").alias("id")).agg(F.max("ts").alias("opt_out_at"))

@@ -76,6 +76,25 @@ def waterfall(attempts: DataFrame, accepted: list[str] = ["verified"]) -> DataFr
     return found.groupBy("contact_id").agg(F.min_by(F.struct("provider", "email", "status"), order).alias("w")).select("contact_id", "w.*")
 
 
+def enriched_emails(contacts: DataFrame, attempts: DataFrame, accepted: list[str] = ["verified"], reverify: bool = False, allow_role: bool = False) -> DataFrame:  # noqa: B006
+    """The address of each contact: the one it has if that can be kept, else the best of the providers' attempts.
+
+    ``contacts``: contact_id, company_domain, company_website, existing_email, existing_status. ``attempts`` as in
+    ``waterfall``. An existing address that passes the gate is kept if it is verified, and also
+    otherwise (status as known, else risky) unless ``reverify`` asks providers for it; contacts without
+    a domain are left alone. Gives contact_id, ``email``, ``status``, ``source`` (existing_crm, provider, none) and ``provider``.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    domain = F.when(text("company_domain") != "", text("company_domain")).otherwise(F.when(text("company_website") != "", mail.domain_of(F.col("company_website"))).otherwise(""))
+    sound = (text("existing_email") != "") & mail.gate(F.col("existing_email"), allow_role).isNull()
+    kept = sound & ((F.coalesce("existing_status", F.lit("")) == "verified") | F.lit(not reverify))
+    own = contacts.withColumns({"_d": domain, "_kept": kept}).join(waterfall(attempts, accepted).select(F.col("contact_id").alias("_c"), "provider", F.col("email").alias("_e"), F.col("status").alias("_s")), F.col("contact_id") == F.col("_c"), "left")
+    source = F.when(F.col("_d") == "", "none").when(F.col("_kept"), "existing_crm").when(F.col("_e").isNotNull(), "provider").otherwise("none")
+    own = own.withColumn("source", source)
+    of = lambda crm, other: F.when(F.col("source") == "existing_crm", crm).when(F.col("source") == "provider", other)
+    return own.select("contact_id", of(text("existing_email"), F.col("_e")).alias("email"), of(F.coalesce("existing_status", F.lit("risky")), F.col("_s")).alias("status"), "source", of(F.lit(None), F.col("provider")).alias("provider"))
+
+
 def review_queue(items: DataFrame) -> DataFrame:
     """Items once per row, role and bucket, by priority, bucket and score."""
     keep = F.row_number().over(Window.partitionBy("row_key", "role", "bucket").orderBy("ord"))

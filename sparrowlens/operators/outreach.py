@@ -158,3 +158,34 @@ def due_tasks(events: DataFrame, enrollments: DataFrame, contacts: DataFrame, to
 def split_variants(rows: DataFrame, seed: int, chunks: int = 64) -> DataFrame:
     """A and B by hash of id and seed; the halves differ by chance, as each row decides for itself."""
     return rows.withColumn("variant", F.when(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == 0, "A").otherwise("B"))
+
+
+def child_lists(rows: DataFrame, parent: str, order: list[Column], parents: DataFrame | None = None) -> DataFrame:
+    """Rows by their parent with their ``place`` (from 1) in its list: comments of a contact, enrollments of a sequence, steps of a sequence.
+
+    ``order`` says what comes first; it should end with a unique column. With ``parents`` (a table that has the
+    column ``parent``) only their lists. Rows without a parent are in no list.
+    """
+    own = rows.where(F.col(parent).isNotNull())
+    if parents is not None:
+        own = own.join(parents.select(F.col(parent).alias("_p")).distinct(), F.col(parent) == F.col("_p"), "left_semi")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(parent).orderBy(*order)))
+
+
+def looked_up(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """For each row of ``ids`` (column ``key``) the row of that key, nulls if there is none; of several the first by all columns."""
+    others = [c for c in rows.columns if c != key]
+    once = rows.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*others)).alias("_r"))
+    return ids.join(once, F.col(key) == F.col("_k"), "left").select(*[c for c in ids.columns], *[F.col(f"_r.{c}").alias(c) for c in others if c not in ids.columns])
+
+
+def sequences_with_steps(sequences: DataFrame, steps: DataFrame) -> DataFrame:
+    """Sequences with their ``steps`` as a list in order, the oldest sequence first; those without steps have an empty list.
+
+    ``sequences``: id, name, created_at. ``steps``: sequence_id, step_order, subject.
+    """
+    own = steps.groupBy(F.col("sequence_id").alias("_s")).agg(F.array_sort(F.collect_list(F.struct("step_order", "subject"))).alias("steps"))
+    none = F.array().cast("array<struct<step_order:int,subject:string>>")
+    kind = dict(steps.dtypes)["step_order"]
+    none = none.cast(f"array<struct<step_order:{kind},subject:string>>")
+    return sequences.join(own, F.col("id") == F.col("_s"), "left").select("id", "name", "created_at", F.coalesce("steps", none).alias("steps")).orderBy("created_at", "id")

@@ -216,3 +216,41 @@ def filled_in_two_phases(roles: DataFrame, by_name: DataFrame, by_domain: DataFr
 def ensured(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The rows with null columns for those that are missing; none is taken away."""
     return rows.withColumns({c: F.lit(None).cast("string") for c in columns if c not in rows.columns})
+
+
+# Kinds of goods that a title may name.
+THEME_TERMS = [
+    "shoe", "shoes", "sneaker", "sneakers", "short", "shorts", "shirt", "shirts", "pant", "pants", "chino", "chinos", "dress", "dresses",
+    "jacket", "jackets", "boot", "boots", "bag", "bags", "backpack", "backpacks", "deal", "deals", "restaurant", "restaurants", "spa", "massage", "fitness", "class", "classes",
+]
+
+
+def title_themes(judged: DataFrame, terms: list[str] = THEME_TERMS, most: int = 3) -> DataFrame:
+    """One row: ``themes`` (at most ``most``) of a report's title and ``title``, from the queries that failed.
+
+    ``judged``: query_id, query, category, severity, failure_mode, displacement. In order: the worst query of up to three
+    words that missed its category, brands, the ``terms`` of four letters or more that most failing queries name (ties to
+    the worst query's), then shopping context, attribute filters and, if there is nothing else, ranking. Only
+    counts and minima meet in one row.
+    """
+    failing = judged.where("severity in ('CRITICAL', 'MODERATE')")
+    worst = F.struct(F.when(F.col("severity") == "CRITICAL", 0).otherwise(1).alias("s"), (-F.col("displacement")).alias("d"), F.col("query_id").alias("q"))
+    query = F.lower(F.trim("query"))
+    short = (F.col("failure_mode") == "CATEGORY_MAPPING_FAILURE") & (F.size(F.split(query, r"\s+")) <= 3)
+    has = lambda cond: F.coalesce(F.max(cond), F.lit(False))
+    mode = F.col("failure_mode")
+    one = failing.agg(
+        F.min_by(F.when(short, query), F.when(short, worst)).alias("missed"), has(mode.isin("BRAND_BLEED", "NO_FUZZY_MATCHING") | (F.col("category") == "BRAND_SEARCH")).alias("brand"), has(mode == "NO_SEMANTIC_UNDERSTANDING").alias("context"),
+        has(mode.isin("CONSTRAINT_DROPPED", "FACET_NOT_EXTRACTED", "BRAND_BLEED")).alias("filters"), has(mode == "POOR_RANKING").alias("ranking"))
+    words = failing.select(worst.alias("w"), F.posexplode(F.regexp_extract_all(query, F.lit("([a-z][a-z0-9'-]*)"), F.lit(1))).alias("p", "term"))
+    known = words.where(F.col("term").isin(terms) & (F.length("term") >= 4)).groupBy("term").agg(F.count("*").alias("n"), F.min(F.struct("w", "p")).alias("first"))
+    top = known.orderBy(F.desc("n"), "first").limit(most).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "term"))).alias("t"))
+    both = one.withColumn("_1", F.lit(1)).join(top.withColumn("_1", F.lit(1)), "_1")
+    start = F.filter(F.concat(F.array(F.nullif("missed", F.lit("")), F.when(F.col("brand"), "brand")), F.transform("t", lambda t: t["term"])), lambda t: t.isNotNull())
+    first = lambda a: F.slice(F.array_distinct(a), 1, most)
+    more = lambda a, cond, theme: F.when((F.size(a) < most) & cond, first(F.concat(a, F.array(F.lit(theme))))).otherwise(a)
+    both = both.withColumn("themes", first(start)).withColumn("themes", more(F.col("themes"), F.col("context"), "shopping context")).withColumn("themes", more(F.col("themes"), F.col("filters"), "attribute filters"))
+    both = both.withColumn("themes", more(F.col("themes"), (F.size("themes") == 0) & F.col("ranking"), "ranking"))
+    n = F.size("themes")
+    joined = F.when(n < 3, F.array_join("themes", " and ")).otherwise(F.concat(F.array_join(F.slice("themes", F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.get("themes", n - 1)))
+    return both.select("themes", joined.alias("title"))

@@ -13,6 +13,18 @@ APPROVES = {
     "APPROVE_ROLE_AND_LINKEDIN": ["NAME", "LINKEDIN"],
     "APPROVE_EMAIL_ONLY": ["EMAIL"],
 }
+# Workbook columns of a role's fields; those that differ by region by region.
+FIELD_COLUMNS = {
+    ("CEO", "NAME"): {"US": "CEO / Founder Name", "EU": "CEO / MD Name"},
+    ("CEO", "LINKEDIN"): "CEO LinkedIn Profile",
+    ("CEO", "EMAIL"): "CEO Email",
+    ("HEAD_OF_PRODUCT", "NAME"): "Head of Product (Name)",
+    ("HEAD_OF_PRODUCT", "EMAIL"): "Head of Product Email",
+    ("HEAD_OF_ECOMMERCE", "NAME"): "Head of Ecommerce (Name)",
+    ("HEAD_OF_ECOMMERCE", "EMAIL"): "Head of Ecommerce Email",
+    ("HEAD_OF_GROWTH", "NAME"): "Head of Growth / CMO (Name)",
+    ("HEAD_OF_GROWTH", "EMAIL"): "Head of Growth / CMO Email",
+}
 #: The least shared part of the shorter name's words.
 OVERLAP = 0.66
 
@@ -39,6 +51,27 @@ def manual_approvals(decisions: DataFrame) -> DataFrame:
     return decisions.select("reviewId", d.alias("decision"), approved.alias("approved"), issues.alias("issues"))
 
 
+def follow_up_actions(decisions: DataFrame) -> DataFrame:
+    """A row for each field that a decision approves: what is written to which column, or that there is none.
+
+    ``decisions``: reviewId, source_file, role, humanDecision, notes, candidateName, candidateLinkedin, candidateEmail, and
+    ``approved`` (see ``manual_approvals``). Files whose name starts with EU have European columns,
+    others American ones. Fields without a text go; null notes leave no evidence.
+    """
+    named = {"NAME": "candidateName", "LINKEDIN": "candidateLinkedin", "EMAIL": "candidateEmail"}
+    each = decisions.select("*", F.explode("approved").alias("field"))
+    value = F.coalesce(*[F.when(F.col("field") == f, F.col(c)) for f, c in named.items()])
+    region = F.when(F.startswith(F.coalesce("source_file", F.lit("")), F.lit("EU")), "EU").otherwise("US")
+    columns = F.create_map(*[F.lit(x) for (role, field), c in FIELD_COLUMNS.items() for r in ("US", "EU") for x in (f"{role}|{field}|{r}", c[r] if isinstance(c, dict) else c)])
+    column = F.try_element_at(columns, F.concat_ws("|", F.coalesce("role", F.lit("")), "field", region))
+    there = column.isNotNull()
+    notes = F.nullif(F.trim(F.coalesce("notes", F.lit(""))), F.lit(""))
+    told = F.filter(F.when(there, F.array(F.concat(F.lit("reviewId: "), F.col("reviewId").cast("string")), F.concat(F.lit("decision: "), F.col("humanDecision")), notes)).otherwise(F.array(F.concat(F.lit("Manually approved: "), F.col("humanDecision")), notes)), lambda x: x.isNotNull())
+    reason = F.when(there, F.concat(F.lit("Manually approved via "), F.col("humanDecision"))).otherwise(F.concat_ws(" ", F.lit("No workbook column for"), "role", "field"))
+    out = each.withColumn("new_value", value).where(F.trim(F.coalesce("new_value", F.lit(""))) != "")
+    return out.select("reviewId", "role", "field", F.coalesce(column, F.concat_ws("_", "role", "field")).alias("column_name"), F.when(there, "WRITE_CELL").otherwise("SKIP_COLUMN_MISSING").alias("action"), "new_value", reason.alias("reason"), F.lit("MANUAL_REVIEW").alias("confidence"), told.alias("evidence"))
+
+
 def review_items(found: DataFrame) -> DataFrame:
     """The buckets that each row and role falls into, with the priority of each: a row may have several or none.
 

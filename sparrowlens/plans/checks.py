@@ -50,12 +50,12 @@ RATES = ["12.5%", "9.99%", "x", "10 %", "-3%", "41.5"]
 
 def _attempts(v: Views):
     k = F.col("l_suppkey")
-    return v.table("lineitem").where("l_linenumber < 5").groupBy(F.col("l_orderkey").alias("contact_id"), F.col("l_linenumber").alias("ord")).agg(F.min("l_suppkey").alias("l_suppkey")).select(
+    return v.table("lineitem").groupBy(F.col("l_orderkey").alias("contact_id"), F.col("l_linenumber").alias("ord")).agg(F.min("l_suppkey").alias("l_suppkey")).select(
         "contact_id", "ord", F.concat(F.lit("p"), F.col("ord").cast("string")).alias("provider"), F.when(k % 5 != 0, F.concat(F.lit("u"), k.cast("string"), F.lit("@x.example"))).alias("email"),
         F.get(F.array(*map(F.lit, ["verified", "risky", "invalid", "guessed", "odd"])), (k % 5).cast("int")).alias("status"), F.when(k % 3 == 0, "not_found").otherwise("found").alias("outcome"))
 
 
-_ATTEMPTS = """WITH l AS (SELECT l_orderkey AS contact_id, l_linenumber AS ord, min(l_suppkey) AS k FROM lineitem WHERE l_linenumber < 5 GROUP BY 1, 2),
+_ATTEMPTS = """WITH l AS (SELECT l_orderkey AS contact_id, l_linenumber AS ord, min(l_suppkey) AS k FROM lineitem GROUP BY 1, 2),
   a AS (SELECT contact_id, ord, 'p' || ord AS provider, 'u' || k || '@x.example' AS email, ['verified', 'risky', 'invalid', 'guessed', 'odd'][k % 5 + 1] AS status FROM l WHERE k % 3 <> 0 AND k % 5 <> 0)
   SELECT contact_id, provider, email, status FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY status <> 'verified', CASE status WHEN 'risky' THEN 1 WHEN 'guessed' THEN 2 WHEN 'invalid' THEN 3 WHEN 'verified' THEN 0 ELSE 4 END, ord) AS n FROM a) WHERE n = 1"""
 

@@ -174,7 +174,10 @@ CATALOGUE = {
     "pass_grid": (_grid, _GRID),
     "labelled_coverage": (lambda v: reports.labelled_coverage(_judged(v).select("category", (F.col("severity") == "PASS").alias("ok"))), AUDIT + f"SELECT CAST(l.place AS INT) AS place, label, category, count(*) FILTER (severity = 'PASS') AS passed, count(*) AS total, count(*) FILTER (severity = 'PASS') / count(*) AS rate FROM judged JOIN (SELECT unnest({_list(reports.COVERAGE_LABELS)}) AS category, unnest({_list(reports.COVERAGE_LABELS.values())}) AS label, unnest(range({len(reports.COVERAGE_LABELS)})) AS place) l USING (category) GROUP BY 1, 2, 3"),
     "impact_matrix": (lambda v: reports.impact_matrix(_runs(v), PERSONAS, SCENARIOS), _IMPACT),
-    "planned_runs": (lambda v: reports.planned_runs(v.spark.createDataFrame([(p,) for p in PERSONAS], "persona string"), v.spark.createDataFrame([(s,) for s in SCENARIOS], "scenario string")), f"SELECT persona, scenario FROM (SELECT unnest({_list(PERSONAS)}) AS persona), (SELECT unnest({_list(SCENARIOS)}) AS scenario)"),
+    "planned_runs": (
+        lambda v: reports.planned_runs(v.table("customer").select(F.col("c_mktsegment").alias("persona")).distinct(), v.table("orders").select(F.col("o_orderpriority").alias("scenario")).distinct()),
+        "SELECT persona, scenario FROM (SELECT DISTINCT c_mktsegment AS persona FROM customer), (SELECT DISTINCT o_orderpriority AS scenario FROM orders)",
+    ),
     "fetched_by_category": (lambda v: reports.fetched_by_category(v.queries(), v.scored()), AUDIT + "SELECT category, count(*) AS queries, CAST(sum(n) AS BIGINT) AS results, count(*) FILTER (n = 0) AS empty FROM (SELECT q.query_id, category, count(s.query_id) AS n FROM queries q LEFT JOIN scored s ON s.query_id = q.query_id GROUP BY 1, 2) GROUP BY 1"),
     "worst_ranked": (lambda v: _judged(v).where("failure_mode = 'POOR_RANKING'").orderBy(F.desc("displacement"), "query_id").limit(8).select("query_id", "displacement"), AUDIT + "SELECT query_id, displacement FROM judged WHERE failure_mode = 'POOR_RANKING' ORDER BY displacement DESC, query_id LIMIT 8"),
     "searched_until_enough": (lambda v: reports.until_enough(_tried(v)).select("plan_id", "place", "hits"), _TRIED),

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.web import link_type
@@ -103,6 +103,18 @@ def report_slugs(companies: DataFrame, registry: DataFrame, tries: int = 8) -> D
     return own.join(made, "company", "left").select("company", F.coalesce("known", "made").alias("slug"))
 
 
+def cache_key(*parts: Column) -> Column:
+    """The key of a cached answer: MD5 of its parts with bars between them, nulls as empty."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+
+
+def cached(wanted: DataFrame, cache: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """What ``cache`` (key, value, stored_at) has of ``wanted``, with the latest value of each key, and the rest, which is still to be asked for."""
+    last = cache.groupBy(F.col(key).alias("_k")).agg(F.max_by("value", "stored_at").alias("value"))
+    both = wanted.join(last.withColumn("_hit", F.lit(True)), F.col(key) == F.col("_k"), "left").drop("_k")
+    return both.where("_hit").drop("_hit"), both.where("_hit is null").drop("_hit", "value")
+
+
 def union_first(parts: list[DataFrame], key: str) -> DataFrame:
     """Rows of all parts, each key (whatever its case) from the first part that has it."""
     every = reduce(DataFrame.unionByName, [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
