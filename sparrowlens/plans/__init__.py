@@ -1,8 +1,8 @@
 """The catalogue of named queries."""
 
-from . import audit, checks, contacts, leads, lists, outreach, pages, reports, sites
+from . import audit, checks, contacts, leads, lists, outreach, pages, reports, rules, sites
 
-PARTS = [audit, outreach, leads, contacts, checks, reports, pages, sites, lists]
+PARTS = [audit, outreach, leads, contacts, checks, reports, pages, sites, lists, rules]
 
 
 def queries():

@@ -166,30 +166,24 @@ def _scripted(v: Views):
 
 
 CATALOGUE = {
-    "section_texts": (lambda v: v.table("supplier").select("s_suppkey", text.section_text(_pick(SECTIONS, "s_suppkey")).alias("body")), f"SELECT s_suppkey, {_sql_pick(CLEANED, 's_suppkey')} AS body FROM supplier"),
     "search_answers": (_answers, _ANSWERS),
     "scripted_pages": (_scripted, "SELECT p_partkey, p_partkey % 11 = 0 OR (p_partkey % 9 < 5 AND (p_partkey % 3 = 0 OR p_partkey % 7 < 5)) AS scripted FROM part"),
     "evidence_trim": (_evidence, _EVIDENCE),
     "filled_templates": (_filled, _FILLED),
     "headline_stats": (lambda v: v.table("part").select("p_partkey", text.headline_stat(_pick(RATES, "p_partkey"), _pick(RATES[::-1] + ["none"], "p_partkey")).alias("stat")), f"SELECT p_partkey, CASE WHEN z >= 10 THEN CAST(floor(z + 0.5) AS BIGINT) || '% of searches returned zero results — a blank page — for products you stock.' WHEN o IS NOT NULL THEN CAST(floor(o + 0.5) AS BIGINT) || '% of searches surfaced the best match outside the top 3 — relevant products pushed out of view.' ELSE 'Relevant products you stock are not surfacing on the first page of search.' END AS stat FROM (SELECT p_partkey, [12.5, 9.99, NULL, 10.0, -3.0, 41.5][p_partkey % 6 + 1] AS z, [41.5, -3.0, 10.0, NULL, 9.99, 12.5, NULL][p_partkey % 7 + 1] AS o FROM part)"),
     "platform_sentences": (lambda v: v.companies().select("id", text.platform_sentence(F.col("platform")).alias("sentence")), OUTREACH + "SELECT id, 'This is a configuration ' || CASE WHEN platform IS NULL THEN 'gap on your current search stack' ELSE 'and tuning gap on ' || platform END || ' — fixable without replatforming.' AS sentence FROM companies"),
-    "title_words": (_keyed, f"SELECT s_suppkey, {_sql_pick(_TITLES, 's_suppkey')} AS title FROM supplier"),
-    "unfenced": (lambda v: v.table("supplier").select("s_suppkey", text.without_fences(_pick(FENCED, "s_suppkey")).alias("body")), f"SELECT s_suppkey, {_sql_pick(_BARE, 's_suppkey')} AS body FROM supplier"),
     "reranker_documents": (lambda v: v.table("part").select("p_partkey", text.joined_document(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.lit(" ")).otherwise(F.col("p_brand")), F.when(F.col("p_partkey") % 3 != 0, F.col("p_type"))).alias("document")), "SELECT p_partkey, concat_ws(' | ', p_name, CASE WHEN p_partkey % 2 <> 0 THEN p_brand END, CASE WHEN p_partkey % 3 <> 0 THEN p_type END) AS document FROM part"),
     "review_ids": (lambda v: v.table("supplier").select("s_suppkey", text.review_id(F.col("s_name"), F.col("s_nationkey"), F.lit(None), F.lit("CEO"), F.lit("A")).alias("review_id")), "SELECT s_suppkey, left(md5(s_name || '|' || s_nationkey || '||CEO|A'), 12) AS review_id FROM supplier"),
     "rate_bands": (lambda v: v.table("part").select("p_partkey", numbers.band(F.col("p_partkey") % 101).alias("band"), numbers.band(F.col("p_partkey") % 101, inverse=True).alias("inverse")), "SELECT p_partkey, CASE WHEN r >= 80 THEN 'good' WHEN r >= 60 THEN 'warn' ELSE 'bad' END AS band, CASE WHEN r <= 20 THEN 'good' WHEN r <= 40 THEN 'warn' ELSE 'bad' END AS inverse FROM (SELECT p_partkey, p_partkey % 101 AS r FROM part)"),
     "companies_filtered": (lambda v: outreach.companies_page(v.companies().withColumn("has_report", F.col("report_url").isNotNull()), status="contacted", has_report=False, sort="name", descending=False, limit=20).select("id", "name"), OUTREACH + "SELECT id, name FROM companies WHERE status = 'contacted' AND report_url IS NULL ORDER BY name LIMIT 20"),
     "companies_with_report": (lambda v: outreach.companies_page(v.companies().withColumn("has_report", F.col("report_url").isNotNull()), has_report=True, limit=50).select("id"), OUTREACH + "SELECT id FROM companies WHERE report_url IS NOT NULL"),
-    "email_status": (_status, _STATUS),
     "waterfall_best": (lambda v: enrichment.waterfall(_attempts(v)), _ATTEMPTS),
     "role_status": (_role_status, _ROLE_STATUS),
-    "role_evidence": (lambda v: v.table("part").select("p_partkey", scoring.says_role(_pick(ROLES, "p_size"), _pick(ROLE_TEXTS, "p_partkey")).alias("says")), "SELECT p_partkey, p_size % 5 = p_partkey % 5 AND p_size % 5 < 4 AS says FROM part"),
     "cluster_scores": (lambda v: scoring.cluster_scores(_clusters(v)).drop("name"), _CLUSTERS),
     "review_queue": (lambda v: enrichment.review_queue(_queue(v)).select("row_key", "role", "bucket", "priority", "score"), _QUEUE),
     "quota_merge": (_quota, _QUOTA),
     "chain_breaks": (lambda v: audit.chain_breaks(v.scored().select(F.col("query_id").alias("chain_id"), F.col("original_rank").alias("step"), F.col("title").alias("query"), F.col("relevance_score").alias("score"))), AUDIT + "SELECT chain_id, break_query, break_step FROM (SELECT query_id AS chain_id, title AS break_query, original_rank AS break_step, row_number() OVER (PARTITION BY query_id ORDER BY original_rank) AS n FROM (SELECT *, lag(relevance_score) OVER (PARTITION BY query_id ORDER BY original_rank) AS before FROM scored) WHERE relevance_score + 0.15 < before) WHERE n = 1"),
     "first_people": (lambda v: review.first_with_email(_people(v)), "SELECT row_key, name, email FROM (SELECT s_nationkey AS row_key, s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN 's' || s_suppkey || '@x.example' WHEN 1 THEN '' END AS email, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 3 <> 0, s_suppkey) AS n FROM supplier) WHERE n = 1"),
-    "link_types": (lambda v: v.table("supplier").select("s_suppkey", web.link_type(_pick(LINKS, "s_suppkey")).alias("type")), "SELECT s_suppkey, ['PERSON_PROFILE', 'COMPANY_PAGE', 'OTHER', NULL, 'PERSON_PROFILE'][s_suppkey % 5 + 1] AS type FROM supplier"),
     "profile_links": (_profiles, "SELECT page_id, 'https://www.linkedin.com/in/p-' || page_id AS url, 'PERSON_PROFILE' AS type FROM pages UNION ALL SELECT page_id, 'https://linkedin.com/company/c', 'COMPANY_PAGE' FROM pages"),
     "reply_dedupe": (lambda v: streams.deduplicated(v.table("events").withColumn("delivery_id", F.col("event_id") % 1000)).agg(F.count("*").alias("n")), "SELECT count(DISTINCT event_id % 1000) AS n FROM events"),
 }

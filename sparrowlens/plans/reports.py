@@ -61,15 +61,6 @@ def _known(v: Views):
 _KNOWN = """WITH c AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 <> 0 THEN 'u' || (s_suppkey % 50) || '@d' || (s_suppkey % 7) || '.example' END AS a, CASE WHEN s_suppkey % 3 = 0 THEN 'd' || (s_suppkey % 5) || '.example' END AS given FROM supplier),
   d AS (SELECT *, coalesce(given, split_part(a, '@', 2)) AS domain FROM c) SELECT id, domain, (SELECT count(DISTINCT o.a) FROM c o WHERE split_part(o.a, '@', 2) = domain AND o.a IS DISTINCT FROM d.a) AS known FROM d"""
 
-HREFS = ["#", "", "mailto:a@b.c", "/a/b.PDF?x=1", "/team", "https://x.example/logo.svg#y", "HTTPS://X.example/about.html", "javascript:void(0)", "a.b/c", "style.css"]
-SKIPPED = [True, True, True, True, False, True, False, True, False, True]
-BASES = ["https://www.x.example/", "http://X.example:80/a", "https://y.example", "x.example"]
-NAMES = ["Ann Lee", "JOHN SMITH", "shop Now Here", "Jürgen van Müller", "Ann", "Official Site Team", "Maria da Silva Costa", "ann lee", "Acme Foo GmbH", "A1 Bee", "Ann Lee Kim Park Jones"]
-IS_NAME = [True, False, False, True, False, False, True, False, False, False, False]
-PROFILES = ["https://www.linkedin.com/in/ann-lee-12345/", "https://linkedin.com/in/ann", "https://linkedin.com/in/j%C3%BCrgen_m%C3%BCller?x", "https://linkedin.com/company/ann-lee", "https://LINKEDIN.com/in/shop-now"]
-PROFILE_NAMES = ["Ann Lee", None, "Jürgen Müller", None, None]
-
-
 def _flags(values) -> str:
     return "[" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in values) + "]"
 
@@ -187,10 +178,6 @@ CATALOGUE = {
         f"SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 'TYPO' ELSE array_to_string(CASE WHEN list_contains(kept, a) THEN kept ELSE list_append(kept, a) END, ',') END AS categories FROM (SELECT s_suppkey, {_sql_pick(CATEGORIES, 's_suppkey')} AS a, list_filter({_list(CATEGORIES[:4])}, lambda c: c <> '{CATEGORIES[1]}' AND c <> {_sql_pick(CATEGORIES[:4], 's_suppkey')}) AS kept FROM supplier)",
     ),
     "page_furniture": (_furniture, f"SELECT p_partkey, list_contains({_list(web.FURNITURE_TITLES)}, t) OR u = '' OR u[1] = '#' OR contains(u, 'policies.google.com') AS furniture, contains(lower(t), 'cookie') OR starts_with(lower(u), 'javascript:') AS artefact FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN {_sql_pick(web.FURNITURE_TITLES, 'p_partkey')} WHEN p_partkey % 7 = 0 THEN 'Our Cookie wall' ELSE p_name END AS t, CASE WHEN p_partkey % 3 = 0 THEN '#top' WHEN p_partkey % 11 = 0 THEN 'https://policies.google.com/x' WHEN p_partkey % 13 = 0 THEN 'JavaScript:x' WHEN p_partkey % 17 <> 0 THEN 'https://x.example/p' ELSE '' END AS u FROM part)"),
-    "skipped_links": (lambda v: v.table("part").select("p_partkey", web.is_skipped(_pick(HREFS, "p_partkey")).alias("skipped")), f"SELECT p_partkey, ({_flags(SKIPPED)})[p_partkey % {len(HREFS)} + 1] AS skipped FROM part"),
-    "same_site": (lambda v: v.table("part").select("p_partkey", web.same_site(_pick(BASES, "p_partkey"), F.lit("https://x.example/z")).alias("same")), "SELECT p_partkey, p_partkey % 4 < 2 AS same FROM part"),
-    "person_names": (lambda v: v.table("part").select("p_partkey", people.is_person_name(_pick(NAMES, "p_partkey")).alias("is_name")), f"SELECT p_partkey, ({_flags(IS_NAME)})[p_partkey % {len(NAMES)} + 1] AS is_name FROM part"),
-    "profile_names": (lambda v: v.table("part").select("p_partkey", people.name_in_profile(_pick(PROFILES, "p_partkey")).alias("name")), f"SELECT p_partkey, ({_flags(PROFILE_NAMES)})[p_partkey % {len(PROFILES)} + 1] AS name FROM part"),
     "role_searches": (_searches, _CEO),
     "query_ladders": (lambda v: reports.ladders(v.queries(), v.scored()).select(F.array_join("queries", " > ").alias("ladder"), "rungs", "break_query"), _LADDERS),
     "merged_people": (_people, None),
