@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowlens.llm import lloyd, minhash, queries, runs
+from sparrowlens.llm import ann, lloyd, minhash, queries, runs
 
 
 def plain_words(text):
@@ -268,3 +268,40 @@ def test_large_components_and_no_vectors(spark):
 
 def test_hex_code(spark):
     assert spark.range(1).select(lloyd.hex_code(F.array(F.lit(0), F.lit(255), F.lit(16)))).first()[0] == "00ff10"
+
+
+# ---- nearest neighbours of other dimensions, and queries on their own
+
+
+def recall_of(spark, x, k=20):
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.approximate_top_k(ann.usable(table), "id % 20 = 0", k).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    q = np.arange(0, len(x), 20)
+    s = x[q].astype(float) @ x.astype(float).T
+    s[np.arange(len(q)), q] = -np.inf
+    true = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    return np.mean([len(found[i] & set(t)) / k for i, t in zip(q.tolist(), true.tolist())]), {len(found[i]) for i in q.tolist()}
+
+
+@pytest.mark.parametrize("dim,kind", [(8, "random"), (256, "random"), (768, "random"), (128, "clusters"), (64, "lone")])
+def test_recall_and_whole_answers(spark, dim, kind):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(6000, dim))
+    if kind == "clusters":
+        x = 0.4 * x + 6 * rng.normal(size=(30, dim))[rng.integers(0, 30, 6000)]
+    if kind == "lone":  # all around one direction but a query at the opposite
+        x = 0.05 * x + np.ones(dim)
+        x[20] = -x[20]
+    share, sizes = recall_of(spark, x)
+    assert share >= 0.9 and sizes == {20}
+
+
+def test_few_candidates(spark):
+    x = spark.createDataFrame([(i, [float(i % 3) - 1.0, 1.0]) for i in range(12)] + [(40, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.approximate_top_k(ann.usable(x), "id % 20 = 0", 20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in got.items()} == {0: 11}  # query 40 has no candidates of its length
