@@ -8,6 +8,8 @@ that the strict patterns don't see, such as numbers without a country code or ma
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -118,10 +120,28 @@ def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[
             last = e
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a span: the two words before it and the two after it, in lower case."""
-    before = _WORD.findall(text[max(0, start - 64) : start])[-2:]
-    after = _WORD.findall(text[end : end + 64])[:2]
+class Words:
+    """Where the words of a text lie, found once, so that those beside any span are looked up however far away they are."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends = text, array("l"), array("l")
+        for m in _WORD.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def before(self, at: int, n: int = 2) -> list[str]:
+        """The last ``n`` words before a place; of a word that reaches beyond it what lies before."""
+        last = bisect_left(self.starts, at)
+        return [self.text[self.starts[i] : min(at, self.ends[i])] for i in range(max(0, last - n), last)]
+
+    def after(self, at: int, n: int = 2) -> list[str]:
+        first = bisect_right(self.ends, at)
+        return [self.text[max(at, self.starts[i]) : self.ends[i]] for i in range(first, min(len(self.ends), first + n))]
+
+
+def contexts(words: Words, start: int, end: int) -> list[str]:
+    """Lexical patterns of a span: the two words before it and the two after it, in lower case, whatever lies between."""
+    before, after = words.before(start), words.after(end)
     return (["<" + " ".join(before).lower()] if len(before) == 2 else []) + ([">" + " ".join(after).lower()] if len(after) == 2 else [])
 
 
@@ -143,10 +163,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool =
                 t = t.as_py()
                 base = base_spans(t)
                 bases.append([{"kind": k, "start": s, "stop": e} for k, s, e in base])
-                own = [{"kinds": [k], "seed": True, "value": t[s:e].lower(), "start": s, "stop": e, "patterns": contexts(t, s, e)} for k, s, e in base]
-                for s, e in loose_spans(t, base) if t else ():
-                    if kinds := shape(t[s:e]):
-                        own.append({"kinds": kinds, "seed": False, "value": t[s:e].lower(), "start": s, "stop": e, "patterns": contexts(t, s, e)})
+                spans = [([k], True, s, e) for k, s, e in base] + [(kinds, False, s, e) for s, e in (loose_spans(t, base) if t else ()) if (kinds := shape(t[s:e]))]
+                words = Words(t) if spans else None
+                own = [{"kinds": kinds, "seed": seed, "value": t[s:e].lower(), "start": s, "stop": e, "patterns": contexts(words, s, e)} for kinds, seed, s, e in spans]
                 mentions.append(own)
             columns = [batch.column(2), batch.column(0), pa.array(bases, pa.list_(kind)), pa.array(mentions, pa.list_(mention))]
             yield pa.RecordBatch.from_arrays(columns + ([batch.column(3)] if carry else []), names=["row", "key", "base", "mentions", "doc"][: 4 + carry])

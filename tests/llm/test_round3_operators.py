@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowlens.llm import ann, lloyd, minhash, queries, runs
+from sparrowlens.llm import ann, lloyd, minhash, pii, queries, runs
 
 
 def plain_words(text):
@@ -305,3 +305,20 @@ def test_few_candidates(spark):
     for r in ann.approximate_top_k(ann.usable(x), "id % 20 = 0", 20).collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert {q: len(v) for q, v in got.items()} == {0: 11}  # query 40 has no candidates of its length
+
+
+def test_words_beside_a_span_are_whole():
+    words = lambda t: pii.Words(t)
+    far = "please contactmenowplease" + " " * 500 + "+1 415 555 2671" + "." * 300 + "thank you"
+    at = far.index("+")
+    assert pii.contexts(words(far), at, at + 15) == ["<please contactmenowplease", ">thank you"]
+    assert pii.contexts(words("Call x1.2.3.4y now ok"), 6, 13) == ["<call x", ">y now"]  # words that touch the span give their part
+    assert pii.contexts(words("one 12345678"), 4, 12) == [] and pii.contexts(words(""), 0, 0) == []
+    rng = random.Random(1)
+    for _ in range(500):
+        t = "".join(rng.choice(["ab", "Cé", " ", ". ", "1"]) for _ in range(12))
+        s = rng.randrange(0, len(t))
+        e = rng.randrange(s, len(t)) + 1
+        before, after = pii._WORD.findall(t[:s])[-2:], pii._WORD.findall(t[e:])[:2]
+        want = (["<" + " ".join(before).lower()] if len(before) == 2 else []) + ([">" + " ".join(after).lower()] if len(after) == 2 else [])
+        assert pii.contexts(words(t), s, e) == want
