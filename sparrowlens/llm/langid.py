@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import materialise
 
@@ -168,42 +169,114 @@ def identify(rows: DataFrame, model: TextModel, pages: bool = False) -> DataFram
     known = F.create_map(*[x for i, n in enumerate(names[:-1]) for x in (F.lit(n), F.lit(i))]) if size > 1 else None
     declared = F.when(F.col("declared").isNotNull(), F.coalesce(F.element_at(known, F.lower("declared")), F.lit(size)) if known is not None else F.lit(size))
     scored = materialise(rows.select("key", evidence("text").alias("log_text"), declared.cast("int").alias("declared"), "host", "domain", "suffix"), "evidence")
-    softmax = lambda log: F.transform(_exp(log), lambda x: x / F.aggregate(_exp(log), F.lit(0.0), lambda a, y: a + y))
-    scored = scored.withColumn("post", softmax(F.col("log_text")))
-    sums = [F.sum(F.col("post")[i]).alias(f"s{i}") for i in range(size)]
-    array = lambda prefix="s": F.array(*[F.col(f"{prefix}{i}") for i in range(size)])
-
-    whole = scored.agg(*sums).first()
-    total = np.array([x or 0.0 for x in whole]) + 1.0
-    top = F.array(*[F.lit(float(x)) for x in total / total.sum()])
-    trust = np.ones((size + 1, size))  # declared (other last) given the language
-    for r in scored.where("declared is not null").groupBy("declared").agg(*sums).collect():  # at most a row per language and one
-        trust[r[0]] += np.array(r[1:])
-    trust = trust / trust.sum(axis=0)
+
+    def counted(batches):
+        """Summed text posteriors of what shares address and declaration, as far as a task has seen it."""
+        held: dict[tuple, list] = {}
+
+        def handed():
+            for cut in range(0, len(held), 2048):
+                part = list(held.items())[cut : cut + 2048]
+                yield _rows([(*k, n, v.tolist()) for k, (n, v) in part])
+
+        for batch in batches:
+            post = softmax(_matrix(batch.column("log_text"), size))
+            for k, v in zip(zip(*(batch.column(c).to_pylist() for c in LEVELS), batch.column("declared").to_pylist()), post):
+                own = held.setdefault(k, [0, np.zeros(size)])
+                own[0] += 1
+                own[1] += v
+            if len(held) >= HELD:
+                yield from handed()
+                held.clear()
+        yield from handed()
+
+    sums = materialise(scored.select("log_text", *LEVELS, "declared").mapInArrow(counted, SUMS), "sums")
+
+    def summed(keys: list[str]) -> DataFrame:
+        """``sums`` by some of its keys: rows of a key meet sorted and are added one after the other."""
+
+        def added(batches):
+            last, n, total, out = None, 0, None, []
+            for batch in batches:
+                for k, m, v in zip(zip(*(batch.column(c).to_pylist() for c in keys)), batch.column("n").to_pylist(), _matrix(batch.column("sums"), size)):
+                    if k != last and last is not None:
+                        out.append((*[dict(zip(keys, last)).get(c) for c in (*LEVELS, "declared")], n, total.tolist()))
+                        n = 0
+                    total = v.copy() if n == 0 else total + v
+                    last, n = k, n + m
+                if len(out) >= 2048:
+                    yield _rows(out)
+                    out = []
+            if last is not None:
+                out.append((*[dict(zip(keys, last)).get(c) for c in (*LEVELS, "declared")], n, total.tolist()))
+            yield _rows(out)
+
+        return sums.where(F.col(keys[0]).isNotNull()).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(added, SUMS)
+
+    total, trust = np.ones(size), np.ones((size + 1, size))  # declared (other last) given the language
+    cells = sums.select("declared", F.posexplode("sums").alias("i", "x")).groupBy("declared", "i").agg(F.sum("x").alias("x"))
+    for r in cells.collect():  # at most a number for each two languages
+        total[r.i] += r.x
+        if r.declared is not None:
+            trust[r.declared, r.i] += r.x
+    trust, overall = np.log(trust / trust.sum(axis=0)), total / total.sum()
+    top = F.array(*[F.lit(float(x)) for x in overall])
 
     def smoothed(counts: Column, n: Column, prior: Column) -> Column:
         return F.zip_with(counts, prior, lambda c, p: (F.greatest(c, F.lit(0.0)) + STRENGTH * p) / (n + STRENGTH))
 
-    level = lambda *keys: scored.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), *sums).select(*keys, "n", array().alias("c"))
-    suffixes = level("suffix").select(F.col("suffix").alias("k1"), smoothed(F.col("c"), F.col("n"), top).alias("p1"))
-    domains = level("domain", "suffix").join(suffixes, F.col("suffix") == F.col("k1"), "left")
-    domains = domains.select(F.col("domain").alias("k2"), smoothed(F.col("c"), F.col("n"), F.coalesce("p1", top)).alias("p2"))
-    hosts = level("host", "domain").join(domains, F.col("domain") == F.col("k2"), "left")
-    hosts = hosts.select(F.col("host").alias("k3"), F.col("c").alias("host_c"), F.col("n").alias("host_n"), F.coalesce("p2", top).alias("p2"))
-    joined = scored.join(hosts, scored.host == hosts.k3, "left")
-    others = F.zip_with("host_c", "post", lambda c, own: c - own)  # a row is no evidence for itself
-    prior = F.when(F.col("k3").isNotNull(), smoothed(others, F.col("host_n") - 1, F.col("p2"))).otherwise(top)
-    by_declared = F.array(*[F.array(*[F.lit(float(np.log(x))) for x in row]) for row in trust])
-    said = F.when(F.col("declared").isNotNull(), F.get(by_declared, F.col("declared"))).otherwise(F.array(*[F.lit(0.0)] * size))
-    fused = F.zip_with(F.zip_with("log_text", prior, lambda t, p: t + F.log(p)), said, lambda a, b: a + b)
-    out = joined.withColumn("fused", softmax(fused))
-    best = lambda p: F.array_position(p, F.array_max(p)).cast("int")
-    labels = F.array(*[F.lit(n) for n in names])
-    return out.select("key", F.element_at(labels, best(F.col("fused"))).alias("language"), F.array_max("fused").alias("confidence"), F.element_at(labels, best(F.col("post"))).alias("text_language"), F.array_max("post").alias("text_confidence"))
-
-
-def _exp(log: Column) -> Column:
-    return F.transform(log, lambda x: F.exp(x - F.array_max(log)))
+    suffixes = summed(["suffix"]).select(F.col("suffix").alias("k1"), smoothed(F.col("sums"), F.col("n"), top).alias("p1"))
+    domains = summed(["domain", "suffix"]).join(suffixes, F.col("suffix") == F.col("k1"), "left")
+    domains = domains.select(F.col("domain").alias("k2"), smoothed(F.col("sums"), F.col("n"), F.coalesce("p1", top)).alias("p2"))
+    hosts = summed(["host", "domain"]).join(domains, F.col("domain") == F.col("k2"), "left")
+    hosts = hosts.select(F.col("host").alias("k3"), F.col("sums").alias("host_c"), F.col("n").alias("host_n"), F.coalesce("p2", top).alias("p2"))
+    joined = scored.select("key", "log_text", "declared", "host").join(hosts, F.col("host") == F.col("k3"), "left")
+    learned = spark.sparkContext.broadcast((trust, overall))  # MAX_LANGUAGES x MAX_LANGUAGES numbers at most
+
+    def fused(batches):
+        said, every = learned.value
+        labels = np.array(names, object)
+        for batch in batches:
+            log_text = _matrix(batch.column("log_text"), size)
+            post, prior = softmax(log_text), np.tile(every, (batch.num_rows, 1))
+            there = np.nonzero(np.array(batch.column("host_n").is_valid()))[0]
+            if len(there):
+                own = batch.take(pa.array(there))
+                n = own.column("host_n").to_numpy()[:, None] - 1
+                others = np.maximum(_matrix(own.column("host_c"), size) - post[there], 0.0)  # a row is no evidence for itself
+                prior[there] = (others + STRENGTH * _matrix(own.column("p2"), size)) / (n + STRENGTH)
+            told = np.nonzero(np.array(batch.column("declared").is_valid()))[0]
+            log = log_text + np.log(prior)
+            log[told] += said[batch.column("declared").take(pa.array(told)).to_numpy()]
+            both = softmax(log)
+            columns = [batch.column("key")]
+            for p in (both, post):
+                columns += [pa.array(labels[p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "language", "confidence", "text_language", "text_confidence"])
+
+    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *T.StructType.fromDDL("language string, confidence double, text_language string, text_confidence double").fields])
+    return joined.select("key", "log_text", "declared", "host_c", "host_n", "p2").mapInArrow(fused, schema)
+
+
+LEVELS = ("host", "domain", "suffix")
+SUMS = "host string, domain string, suffix string, declared int, n long, sums array<double>"
+#: Addresses that a task holds sums of before it hands them on.
+HELD = 1 << 16
+
+
+def softmax(log: np.ndarray) -> np.ndarray:
+    p = np.exp(log - log.max(axis=1, keepdims=True, initial=-np.inf))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[*LEVELS, "declared", "n", "sums"])
 
 
 def page_languages(pages: DataFrame, model: TextModel) -> DataFrame:

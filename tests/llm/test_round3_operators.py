@@ -3,13 +3,14 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowlens.llm import ann, lloyd, minhash, pii, queries, runs
+from sparrowlens.llm import ann, langid, lloyd, minhash, pii, queries, runs
 
 
 def plain_words(text):
@@ -322,3 +323,18 @@ def test_words_beside_a_span_are_whole():
         before, after = pii._WORD.findall(t[:s])[-2:], pii._WORD.findall(t[e:])[:2]
         want = (["<" + " ".join(before).lower()] if len(before) == 2 else []) + ([">" + " ".join(after).lower()] if len(after) == 2 else [])
         assert pii.contexts(words(t), s, e) == want
+
+
+def test_many_languages_in_one_plan(spark):
+    rng = random.Random(7)
+    names = [f"{a}{b}" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"][:250]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = {n: ["".join(random.Random(f"{n}{i}").choice(letters) for _ in range(6)) for i in range(12)] for n in names}
+    text = lambda n: " ".join(rng.choice(word[n]) for _ in range(60))
+    model = langid.fit(spark.createDataFrame([(text(n), n) for n in names for _ in range(4)], "text string, lang string"))
+    truth = [rng.choice(names) for _ in range(200)]
+    pages = [(i, f"https://h{i % 40}.example/x", f"<html lang='{n}'><p>{text(n)}</p></html>") for i, n in enumerate(truth)]
+    began = time.perf_counter()
+    got = {r.page_id: r for r in langid.page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
+    assert time.perf_counter() - began < 30
+    assert sum(got[i].language == n for i, n in enumerate(truth)) > 190 and all(0 < r.confidence <= 1 for r in got.values())
