@@ -37,8 +37,8 @@ def top_original(results: DataFrame, k: int) -> DataFrame:
 def query_stats(queries: DataFrame, results: DataFrame) -> DataFrame:
     """Per query: results, best relevance, mean of the first three shown, displacement of the best, top result.
 
-    One aggregation by query: the best and the first results are kept as minima of structs, so
-    nothing is sorted. Queries without results have 0, 0 and the displacement of the fixed value.
+    A query's results are sorted once, to number those that are shown first; all else is one
+    aggregation, in which the best one is a minimum of structs. Queries without results have 0, 0 and the displacement of the fixed value.
     """
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("original_rank"))
     per = (

@@ -113,10 +113,13 @@ def remaining(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def balanced(categories: DataFrame, n: int) -> DataFrame:
-    """n dealt over categories in order: the first ones get one more if it doesn't divide."""
-    total = categories.count()
-    place = F.row_number().over(Window.orderBy("place"))  # a bounded list of categories
-    return categories.select("category", (F.lit(n // max(1, total)) + F.when(place <= n % max(1, total), 1).otherwise(0)).alias("target"))
+    """n dealt over categories (category, place) in order: the first ones get one more if it doesn't divide.
+
+    The categories are a short list, which meets in one row.
+    """
+    listed = categories.agg(F.array_sort(F.collect_list(F.struct("place", "category"))).alias("c"))
+    each = listed.select(F.size("c").alias("total"), F.posexplode("c").alias("at", "x"))
+    return each.select("x.category", (F.floor(F.lit(n) / F.col("total")) + F.when(F.col("at") < F.lit(n) % F.col("total"), 1).otherwise(0)).cast("int").alias("target"))
 
 
 def quota(existing: DataFrame, incoming: DataFrame, targets: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import query_terms
+from ..sources.files import written
 from .audit import SPECIFICITY_CATEGORIES
 from .review import OVERLAP
 
@@ -97,7 +100,8 @@ def ladders(queries: DataFrame, results: DataFrame, drop: float = 0.15) -> DataF
 
     From each query the ladder goes on to the first (fewest terms, then least id) query that has all
     its terms and more. That next one depends on the terms alone, so ladders are followed by joins
-    over pointers, as many rounds as a ladder has rungs. ``queries``: query_id, query, category.
+    over pointers, as many rounds as a ladder has rungs; each round is written to the shared folder,
+    so its plan doesn't hold those before it. ``queries``: query_id, query, category.
     """
     asked = queries.where(F.col("category").isin(SPECIFICITY_CATEGORIES)).groupBy("query").agg(F.min("query_id").alias("query_id"))
     asked = asked.withColumn("terms", F.array_sort(query_terms(F.col("query")))).where(F.size("terms") > 0)
@@ -107,17 +111,16 @@ def ladders(queries: DataFrame, results: DataFrame, drop: float = 0.15) -> DataF
     rarest = sets.select("terms", F.explode("terms").alias("term")).join(held, "term").groupBy("terms").agg(F.min(F.struct("n", "term")).alias("r")).select(F.col("terms").alias("below"), F.col("r.term").alias("term"))
     above = rarest.join(each, "term").where((F.size("below") < F.size("terms")) & (F.size(F.array_except("below", "terms")) == 0))
     step = above.groupBy("below").agg(F.min(F.struct(F.size("terms").alias("size"), "query_id", "query", "terms")).alias("s"))
-    step = step.select("below", F.col("s.query").alias("next"), F.col("s.terms").alias("next_terms")).cache()
+    step = written(step.select("below", F.col("s.query").alias("next"), F.col("s.terms").alias("next_terms")), "steps")
     chains = asked.select(F.array("query").alias("queries"), "terms")
-    ended = None
-    for _ in range(int(asked.agg(F.max(F.size("terms"))).first()[0] or 0)):
-        gone = chains.join(step, chains.terms == step.below, "left")
-        stopped = gone.where("next is null").select("queries")
-        ended = stopped if ended is None else ended.unionByName(stopped)
+    rounds = []
+    while True:
+        gone = written(chains.join(step, chains.terms == step.below, "left").select("queries", "next", "next_terms"), "chains")
+        rounds.append(gone.where("next is null").select("queries"))
         chains = gone.where("next is not null").select(F.concat("queries", F.array("next")).alias("queries"), F.col("next_terms").alias("terms"))
-    if ended is None:
-        ended = chains.select("queries")
-    ended = ended.where(F.size("queries") >= 3).distinct()
+        if chains.isEmpty():  # a ladder has at most as many rungs as a query has terms
+            break
+    ended = reduce(DataFrame.unionByName, rounds).where(F.size("queries") >= 3).distinct()
     top = results.where("original_rank <= 3").groupBy("query_id").agg(F.avg("relevance_score").alias("top3"))
     scores = asked.join(top, "query_id", "left").select("query", F.coalesce("top3", F.lit(0.0)).alias("top3"))
     rungs = ended.select("queries", F.posexplode("queries").alias("rung", "query")).join(scores, "query")

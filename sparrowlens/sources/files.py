@@ -58,6 +58,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a shared folder and read from there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents of a folder or pattern with the name of the file that each came from."""
     return spark.read.schema(schema).json(path, multiLine=True).select("*", F.col("_metadata.file_name").alias("source_file"))
