@@ -296,7 +296,8 @@ def keep_identified(docs: DataFrame, model: TextModel, least: float = 0.5) -> Da
     """Documents whose language is one of the model's with at least ``least`` confidence; columns as given.
 
     A row is told by its id and text: rows that repeat both have one answer. Null ids count as one
-    id. An empty table stays empty. Only the marks of what goes are joined to the documents, as a
+    id, null and empty texts are judged by declaration and source alone. Texts are read whole, however
+    long; further columns come through, also ones named like evidence. An empty table stays empty. Only the marks of what goes are joined to the documents, as a
     written table whose size is known, so few of them move no text.
     """
     parts = lambda: [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")]

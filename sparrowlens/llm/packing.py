@@ -125,6 +125,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end: int, with_ids: bool
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with the sequence and offset each has; ids are computed once and written."""
+    """Pieces of all documents with the sequence and offset each has; ids are computed once and written.
+
+    Null and empty texts are the end id alone, a piece of one. Every row of ``docs`` is packed, also
+    those that repeat an id or have none (null ids stay null; pieces of rows with one id are told
+    apart by where they are, not by whose they are). Texts are read whole, a long one gives several
+    pieces; further columns, also ones named like the results, are left out. An empty table gives an
+    empty result.
+    """
     table = materialise(pieces(docs, tokenizer, size, end, with_ids), "pieces")
     return pack(table, size, ["doc_id", "start", "ids_crc32"])

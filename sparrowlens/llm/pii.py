@@ -233,7 +233,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     Both are arrays of kind, start and stop (code points, end exclusive) by kind as in KINDS, then
     start; ``spans`` also has what patterns discover and never loses a base span. A discovered span
-    has the kind of the greatest confidence, ties by kind. Null and empty texts have no spans; rows
+    has the kind of the greatest confidence, ties by kind. What is accepted is a value: it then counts
+    wherever it is written as a loose shape, also without such a pattern beside it. Null and empty texts have no spans; rows
     with null or repeated keys keep their own; further columns, also ones named like the results,
     are left out. An empty table gives an empty result. Texts are read whole in one pass, and every
     scanner takes time in proportion to a text's length.

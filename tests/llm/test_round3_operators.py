@@ -1,6 +1,7 @@
 """Runs, odd sketches and filtering Lloyd against plain versions, with nulls, empty and long texts, ties, repeats, no rows and clashing columns."""
 
 import hashlib
+import json
 import math
 import random
 import time
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowlens.llm import ann, langid, lloyd, minhash, pii, queries, runs
+from sparrowlens.llm import ann, bpe, langid, lloyd, minhash, packing, pii, queries, runs, topk
 
 
 def plain_words(text):
@@ -338,3 +339,53 @@ def test_many_languages_in_one_plan(spark):
     got = {r.page_id: r for r in langid.page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
     assert time.perf_counter() - began < 30
     assert sum(got[i].language == n for i, n in enumerate(truth)) > 190 and all(0 < r.confidence <= 1 for r in got.values())
+
+
+@pytest.mark.parametrize("part,value", [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True}), ("added_tokens", [{"id": 50256, "content": "<|endoftext|>", "lstrip": True}]), ("model", {"type": "Unigram"})])
+def test_other_tokenizers_are_refused(tmp_path, part, value):
+    with open(queries.TOKENIZER, encoding="utf-8") as file:
+        spec = json.load(file)
+    spec[part] = spec["model"] | value if part == "model" else value
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match=part):
+        bpe.from_json(str(path))
+    assert bpe.from_json(queries.TOKENIZER).n_vocab == 50257
+
+
+def test_ids_of_repeated_and_missing_documents(spark):
+    rows = [(1, "one two"), (1, "one two"), (1, "three"), (None, "one two"), (None, None), (2, "")]
+    docs = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, length int, sequence_id string")
+    encode = bpe.from_json(queries.TOKENIZER).encode_ordinary
+    got = packing.pack_documents(docs, queries.TOKENIZER, size=3, end=1).collect()
+    want = {}
+    for d, t in rows:
+        n = len(encode(t or "")) + 1
+        want.setdefault(d, []).append(n)
+    total = {}
+    for r in got:
+        total.setdefault(r.doc_id, [0, []])[0] += r.length
+        total[r.doc_id][1].append(r.doc_tokens)
+    assert {d: t[0] for d, t in total.items()} == {d: sum(n) for d, n in want.items()}
+    assert all(set(t[1]) == set(want[d]) for d, t in total.items())
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    for (s, o, n), (s2, o2, _) in zip(places, places[1:]):
+        assert (s2 == s and o2 == o + n) or (s2 == s + 1 and o2 == 0)
+    crc = {(r.doc_id, r.start): r.ids_crc32 for r in got if r.doc_id == 2}
+    assert crc == {(2, 0): zlib.crc32(np.array([1], "<u4").tobytes())}
+
+
+def test_top_k_with_clashing_columns_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-9, 10, (60, 4))
+    rows = [(int(i % 50), x.tolist(), "clash") for i, x in enumerate(v)]
+    table = spark.createDataFrame([(i, [float(c) for c in x], s, 1) for i, x, s in rows], "vec_id long, embedding array<double>, score string, rank int")
+    vectors = topk.quantised(table, 1)
+    got = {}
+    for r in topk.exact_top_k(vectors, vectors.where("id % 10 = 0"), 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 50, 10):
+        own = min(x for i, x, _ in rows if i == q)  # a repeated query counts once, by its least vector
+        best = sorted((-int(np.dot(own, x)), i) for i, x, _ in rows if i != q)[:5]  # repeated candidates once each
+        want = [(n, i, s) for n, (s, i) in enumerate(best, 1)]
+        assert sorted(got[q]) == [(n, i, -s) for n, i, s in want]
