@@ -10,8 +10,12 @@ from ..operators import scoring
 from ..sources.views import Views
 from .contacts import _list, _quoted
 
-# Words of a document, as written: the first four, also with capitals.
-_WORDS = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 4)
+
+def _words():
+    """Words of a document, as written: the first four."""
+    return F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 4)
+
+
 WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:4]"
 
 
@@ -39,7 +43,7 @@ def _is_name(n: str) -> str:
 def _names(v: Views):
     """The first two to four words of each document, as they are and with capitals, some with a word that names don't hold."""
     k = F.col("doc_id")
-    words = F.slice(F.when(k % 3 == 0, _WORDS).otherwise(_capital(_WORDS)), F.lit(1), (F.pmod(k, F.lit(3)) + 2).cast("int"))
+    words = F.slice(F.when(k % 3 == 0, _words()).otherwise(_capital(_words())), F.lit(1), (F.pmod(k, F.lit(3)) + 2).cast("int"))
     name = F.concat(F.when(k % 7 == 0, "Shop ").otherwise(""), F.array_join(words, " "), F.when(k % 5 == 0, " GmbH").otherwise(""))
     return v.table("documents").select("doc_id", people.is_person_name(name).alias("is_name"))
 
@@ -54,7 +58,7 @@ ENDS = ["", "/", "-1234", "?trk=x", "/details#a"]
 def _profiles(v: Views):
     """Profile addresses made from each document's first words, with numbers and parameters."""
     k = F.col("doc_id")
-    slug = F.array_join(F.slice(_WORDS, F.lit(1), (F.pmod(k, F.lit(3)) + 1).cast("int")), "-")
+    slug = F.array_join(F.slice(_words(), F.lit(1), (F.pmod(k, F.lit(3)) + 1).cast("int")), "-")
     url = F.concat(F.when(k % 6 == 5, "https://linkedin.com/company/").otherwise("https://www.LinkedIn.com/in/"), F.url_encode(F.lower(slug)), _pick(ENDS, k))
     return v.table("documents").select("doc_id", people.name_in_profile(url).alias("name"))
 
@@ -99,7 +103,7 @@ JOINS = ["-", "_", "  ", "-_ "]
 
 
 def _titles(v: Views):
-    key = F.concat(_pick(["", "-", "_"], F.col("doc_id")), F.array_join(_WORDS, "\u0001"))
+    key = F.concat(_pick(["", "-", "_"], F.col("doc_id")), F.array_join(_words(), "\u0001"))
     return v.table("documents").select("doc_id", text.title_words(F.replace(key, F.lit("\u0001"), _pick(JOINS, F.col("doc_id")))).alias("title"))
 
 
@@ -156,7 +160,7 @@ DOMAINS = ["x.example", "gmail.com", "nodot", "b@c.example", "u003e.example", "p
 def _statuses(v: Views):
     """Addresses made from each document's first word, with verdicts of a provider."""
     k = F.col("doc_id")
-    local = F.when(k % 4 == 0, _pick(mail.GENERIC_INBOXES[:5], k)).otherwise(F.coalesce(F.get(_WORDS, 0), F.lit("")))
+    local = F.when(k % 4 == 0, _pick(mail.GENERIC_INBOXES[:5], k)).otherwise(F.coalesce(F.get(_words(), 0), F.lit("")))
     address = F.concat(F.lit(" "), local, F.lit("@"), _pick(DOMAINS, F.floor(k / 4)))
     return v.table("documents").select("doc_id", mail.status(address, k % 3 == 0, _pick(["valid", "invalid", "accept_all", "unknown"], k), k % 8 == 0).alias("status"))
 
