@@ -64,7 +64,7 @@ def op8_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     docs = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return sharding.shard(docs, [1.0] * 40).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return sharding.shard(docs, [1.0] * 40, write=True).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op10_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

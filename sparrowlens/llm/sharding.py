@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SLICE_ROWS, gapless_rank, slices
+from .shared import SLICE_ROWS, gapless_rank, materialise, slices
 
 
 def rendezvous(keys: Sequence[Column], weights: Sequence[float]) -> Column:
@@ -29,7 +29,7 @@ def rendezvous(keys: Sequence[Column], weights: Sequence[float]) -> Column:
     return (-best["shard"]).cast("int")
 
 
-def shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", out: str = "shard", slot: str = "slot", grown: str | None = "grown_shard", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", out: str = "shard", slot: str = "slot", grown: str | None = "grown_shard", slice_rows: int = SLICE_ROWS, write: bool = False) -> DataFrame:
     """Add each row's shard, its slot in it (gapless from 0) and the shard it would have with one more.
 
     Law ``key``: key and shard weights decide. Rows with one key share a shard, however many they
@@ -37,13 +37,16 @@ def shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", out: s
     several rows with the same key comes first is open. Slices hash every column, so rows that
     repeat a key are dealt to many of them unless they agree in all columns. Every row gets a shard;
     further columns stay, and columns named like the outputs are replaced. The new shard's weight is
-    the mean. An empty table gives an empty result.
+    the mean. An empty table gives an empty result. With ``write`` rows are written once with
+    their shards, so that scores aren't worked out again to count and number them: for narrow rows.
     """
     docs = docs.drop(out, slot, *([grown] if grown else []))
     with_shard = docs.withColumn(out, rendezvous([F.col(key)], weights))
+    if grown:
+        with_shard = with_shard.withColumn(grown, rendezvous([F.col(key)], [*weights, sum(weights) / len(weights)]))
+    if write:
+        with_shard = materialise(with_shard, "sharded")
     hashable = [f.name for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
     spread = F.xxhash64(F.lit("slot"), *[F.col(f"`{c}`") for c in hashable])
-    ranked = gapless_rank(with_shard, [out], spread, [F.col(key)], slot, slices(docs.count(), slice_rows))
-    if grown:
-        ranked = ranked.withColumn(grown, rendezvous([F.col(key)], [*weights, sum(weights) / len(weights)]))
-    return ranked
+    ranked = gapless_rank(with_shard, [out], spread, [F.col(key)], slot, slices(with_shard.count() if write else docs.count(), slice_rows))
+    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], out, slot, *([grown] if grown else []))
