@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.links import resolved
+from ..functions.links import normal_url, resolved
+from ..functions.web import domain_brand, is_skipped, page_relevance, page_type, same_site
 from ..sources.nodes import attr, below, cut, let, page
 
 # Entries of menus that are no categories, names of search fields, and words of search forms.
@@ -20,6 +22,22 @@ MENU = [
 SEARCH_FIELDS = ["q", "query", "search", "keyword", "k", "term", "s"]
 SEARCH_FORMS = ["search", "find", "query"]
 GOODS = r"(?i)product|item|card|deal|offer"
+# What separates the parts of a page's title, longer ones first.
+TITLE_PARTS = [" — ", " – ", " - ", " | ", " · "]
+# Texts of menus that are no brands, as parts and as wholes, and texts that are no goods.
+NO_BRAND_PARTS = [
+    "newsletter", "gutschein", "rabatt", "hilfe", "faq", "über uns", "warenkorb", "suchen", "e-rezept", "anmelden", "registrieren",
+    "startseite", "go to page", "schließen", "online-arzt", "redpoints", "now! service", "arigato",
+]
+NO_BRANDS = [
+    "arzneimittel", "familie", "beauty & pflege", "sanitätshaus", "angebote", "marken", "vitamine & mineralstoffe", "magen & darm",
+    "erkältung & grippe", "schmerzen", "kindergesundheit", "pflegeprodukte fürs kind", "kinderwunsch", "schwangerschaft",
+    "gesichtspflege", "körperpflege", "sonne & schutz", "beauty specials", "ernährung", "baby & familie", "sparset",
+]
+NO_GOODS_PARTS = [
+    "newsletter", "hilfe & faq", "anmelden", "registrieren", "e-rezept-rabatt", "e-rezept", "riesen-auswahl", "versandkostenfrei",
+    "folgen sie uns", "deutschland", "variante auswählen", "suchergebnisse filtern",
+]
 #: How many of each are told.
 CATEGORIES, BRANDS, FEATURED = 50, 30, 40
 
@@ -116,3 +134,55 @@ def _search(nodes: Column, url: Column) -> Column:
     forms = F.filter(F.transform(F.filter(nodes, lambda n: n["tag"] == "form"), by_form), lambda t: t.isNotNull())
     links = F.filter(nodes, lambda n: (n["tag"] == "a") & F.contains(F.lower(attr(n, "href")), F.lit("search")) & F.contains(attr(n, "href"), F.lit("=")))
     return F.coalesce(F.get(forms, 0), F.get(F.filter(F.transform(links, by_link), lambda t: t.isNotNull()), 0))
+
+
+def site_names(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """One row per page: key and ``name``: what the site calls itself, else the brand in its domain, else the last part of its title, else its host.
+
+    A name that is a category of the site's menu doesn't count. Null pages and addresses have what the other gives, at least an empty name.
+    """
+    read = pages.select(key, F.coalesce(F.col(url), F.lit("")).alias("_url"), page(F.col(html)).alias("_p"))
+    nodes, raw = F.col("_p.nodes"), F.col("_p.raw")
+    menus = F.flatten(F.transform(F.filter(nodes, lambda n: n["tag"] == "nav"), lambda n: F.filter(below(nodes, n), lambda d: d["tag"] == "a")))
+    read = read.withColumns({"_menu": F.coalesce(F.transform(menus, lambda n: F.lower(_clean(cut(raw, n["raw"], n["raw_end"])))), F.array().cast("array<string>")),
+        "_og": F.trim(attr(F.get(F.filter(nodes, lambda n: (n["tag"] == "meta") & (attr(n, "property") == "og:site_name")), 0), "content")),
+        "_title": let(F.get(F.filter(nodes, lambda n: n["tag"] == "title"), 0), lambda n: F.trim(cut(raw, n["raw"], n["raw_end"])))})
+    part = F.coalesce(*[F.when(F.contains("_title", F.lit(p)), F.trim(F.element_at(F.split("_title", F.lit("\\Q" + p + "\\E")), -1))) for p in TITLE_PARTS], "_title")
+    free = lambda name: F.when((F.coalesce(name, F.lit("")) != "") & ~F.array_contains("_menu", F.lower(F.trim(name))), name)
+    host = F.replace(F.regexp_extract("_url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("www."), F.lit(""))
+    return read.select(key, F.coalesce(free(F.col("_og")), F.nullif(domain_brand(F.col("_url")), F.lit("")), free(part), host).alias("name"))
+
+
+def internal_links(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", most: int = 9) -> DataFrame:
+    """The ``most`` likeliest pages of a site that its home page links to: key, ``place``, ``url``, ``type``, ``label``, ``relevance``.
+
+    Links to other hosts, files, other schemes and the page itself don't count, an address counts once,
+    by its first link. Pages of a known type come first, then the more relevant ones, then the page's order.
+    """
+    read = pages.select(key, F.col(url).alias("_url"), page(F.col(html)).alias("_p"))
+    nodes, raw = F.col("_p.nodes"), F.col("_p.raw")
+    links = F.filter(nodes, lambda n: (n["tag"] == "a") & (attr(n, "href") != "") & ~is_skipped(attr(n, "href")))
+    each = F.transform(links, lambda n: F.struct(normal_url(attr(n, "href"), F.col("_url")).alias("url"), F.left(_clean(cut(raw, n["raw"], n["raw_end"])), F.lit(200)).alias("label")))
+    home = normal_url(F.col("_url"), F.col("_url"))
+    own = lambda found: F.filter(found, lambda x: x["url"].isNotNull() & same_site(x["url"], F.col("_url")) & (x["url"] != home))
+    once = lambda found: let(F.transform(found, lambda x: x["url"]), lambda urls: F.filter(found, lambda x, i: F.array_position(urls, x["url"]) == i + 1))
+    read = read.select(key, F.posexplode(let(let(each, own), once)).alias("_i", "_x"))
+    kind, score = page_type(F.col("_x.url"), F.col("_x.label")), page_relevance(F.col("_x.url"), F.col("_x.label"))
+    rows = read.select(key, "_i", F.col("_x.url").alias("url"), kind.alias("type"), F.col("_x.label").alias("label"), score.cast("int").alias("relevance"))
+    order = Window.partitionBy(key).orderBy((F.col("type") == "OTHER").cast("int"), F.desc("relevance"), "_i")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(key, "place", "url", "type", "label", "relevance")
+
+
+def merged_brands(trusted: Column, found: Column, most: int = 40) -> Column:
+    """Brands of two lists (arrays), trusted ones first, each once whatever its case, without texts of menus; at most ``most``, as a report shows."""
+    low = lambda t: F.lower(F.trim(t))
+    noise = lambda t: low(t).isin(NO_BRANDS) | reduce(lambda a, b: a | b, [F.contains(low(t), F.lit(w)) for w in NO_BRAND_PARTS])
+    every = F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in (trusted, found)])
+    return F.slice(let(F.filter(every, lambda t: t.isNotNull() & (low(t) != "") & ~noise(t)), lambda own: let(F.transform(own, low), lambda keys: F.filter(own, lambda t, i: F.array_position(keys, F.get(keys, i)) == i + 1))), 1, most)
+
+
+def clean_featured(items: Column, most: int = 60) -> Column:
+    """Featured goods (an array) without texts of menus, titles of articles and questions; at most ``most``."""
+    low = lambda t: F.lower(F.trim(t))
+    noise = lambda t: (F.length(low(t)) < 5) | reduce(lambda a, b: a | b, [F.contains(low(t), F.lit(w)) for w in NO_GOODS_PARTS]) | (t.rlike("[–—]") & F.contains(t, F.lit("?"))) | F.endswith(low(t), F.lit("?"))
+    return F.slice(F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda t: t.isNotNull() & ~noise(t)), 1, most)

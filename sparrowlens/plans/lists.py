@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import links
+from ..functions import links, web
 from ..operators import contacts, enrichment, outreach, reports, review, sites
 from ..sources import files, nodes
 from ..sources.views import Views
@@ -12,7 +12,8 @@ from .audit import WITH as AUDIT
 from .audit import _judged
 from .checks import _ATTEMPTS, _attempts
 from .contacts import _list
-from .leads import DECISIONS, _decided
+from .leads import _NAV, _TYPE, DECISIONS, _decided
+from .leads import CATALOGUE as LEADS
 from .outreach import WITH as OUTREACH
 
 LIST_ROLES = ["CEO", "HEAD_OF_PRODUCT", "HEAD_OF_ECOMMERCE", "HEAD_OF_GROWTH", "CTO"]
@@ -121,6 +122,11 @@ def _urls(v: Views):
 
 
 _URLS = """SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), lambda h: lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || replace(replace(h, '&amp;', '&'), '&quot;', '"')), ' ') AS urls FROM pages WHERE contains(html, '<a href="/')"""
+_INTERNAL = f"""WITH {_NAV}, u AS (SELECT page_id, place, label, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS host, regexp_replace(regexp_replace(url, '[#].*$', ''), '/+(\\?|$)', '\\1') AS home, '/' || label AS href FROM nav),
+  a AS (SELECT page_id, place, label, host || rtrim(href, '/') AS url FROM u WHERE label <> '' AND host || href <> home AND NOT list_contains({_list(web.FILE_ENDINGS)}, regexp_extract(lower(href), '\\.([^./]*)$', 1))),
+  b AS (SELECT *, lower(url || ' ' || label) AS b FROM a QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY place) = 1),
+  t AS (SELECT *, {_TYPE} AS type, CAST(10 * len(list_filter({_list(web.PAGE_WORDS)}, lambda w: contains(b, w))) - 2 AS INT) AS relevance FROM b)
+  SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY type = 'OTHER', relevance DESC, place) AS INT) AS place, url, type, label, relevance FROM t QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY type = 'OTHER', relevance DESC, place) <= 9"""
 _PLACE = "CAST(row_number() OVER (PARTITION BY {p} ORDER BY started_at DESC, id) AS INT)"
 
 CATALOGUE = {
@@ -136,4 +142,6 @@ CATALOGUE = {
     "cached_answers": (_cached, "SELECT s_suppkey AS row, md5('leads.xlsx|Leads|' || s_suppkey || '|s' || s_suppkey || '.example') AS key, CASE WHEN s_suppkey % 6 = 0 THEN s_name WHEN s_suppkey % 3 = 0 THEN 'old' END AS value FROM supplier"),
     "site_facts": (_facts, _FACTS),
     "page_urls": (_urls, _URLS),
+    "internal_links": (lambda v: sites.internal_links(v.table("pages")), _INTERNAL),
+    "site_names": (lambda v: sites.site_names(v.table("pages")), LEADS["site_brands"][1].replace("AS brand", "AS name", 1)),
 }

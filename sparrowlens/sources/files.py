@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,22 @@ def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
     rows.select(*[F.array_join(c, "; ").alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns]).write.csv(path, header=True, escape='"')
 
 
+def export_all(sections: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
+    """Several tables below one folder, each as CSV files with its columns in order: ``sections`` maps a name to rows and columns."""
+    for name, (rows, columns) in sections.items():
+        write_csv(rows, f"{path.rstrip('/')}/{name}-export", columns)
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """name and url of a JSON list of reports, those with a url; a file that isn't there or is no such list gives no rows."""
+    schema = "name string, url string"
+    try:
+        spark.read.text(path).limit(1).collect()
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path, multiLine=True, mode="DROPMALFORMED").where("coalesce(url, '') <> ''")
+
+
 def review_decisions(raw: DataFrame, valid: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows with a reason) of review decisions; columns that are missing raise.
 
