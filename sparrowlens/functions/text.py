@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 STOPWORDS = ["and", "or", "the", "with", "for", "not", "without", "under", "over", "from", "into", "best", "shop", "all", "new", "sale", "inch", "inches", "in", "on", "by", "to", "of", "a", "an"]
 VARIANT_WORDS = ["exclusive", "new", "fit", "hb", "lined", "lightweight", "classic"]
 COLOR_WORDS = ["black", "white", "blue", "navy", "green", "red", "brown", "tan", "khaki", "grey", "gray", "olive", "natural", "stone", "cream"]
+# Suffixes of a company's site.
+SUFFIX = r"_(?:com|net|org|io|co_\w+|cz|de|uk|fr|es|pl|at|nl|be|ch|se|dk|fi|no|pt|hu|ro|sk|si|ie|eu|us|ca|it)$"
 # Letters that become two, and letters without their accent.
 WIDE_ACCENTS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}
 ACCENTED = "àáâãåèéêëìíîïòóôõùúûñçðøýÿžščřďťňěůłąęćźśőű"
@@ -30,6 +32,22 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def host_slug(url: Column) -> Column:
+    """A site's host as a name for files: without www., other characters than letters and digits as one underscore."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return F.regexp_replace(F.regexp_replace(F.replace(F.when(host != "", host).otherwise(url), F.lit("www."), F.lit("")), "[^a-zA-Z0-9]+", "_"), "^_+|_+$", "")
+
+
+def company_slug(slug: Column) -> Column:
+    """A host's slug without www and the suffix of its country or kind."""
+    return F.regexp_replace(F.regexp_replace(slug, "^www_", ""), SUFFIX, "")
+
+
+def locale_order(text: Column) -> Column:
+    """A text to sort by as people do: letters before their case and accents."""
+    return F.collate(text, "UNICODE")
+
+
 def title_words(key: Column) -> Column:
     """Words of a dashed key with a capital first letter, the rest unchanged."""
     return F.array_join(F.transform(F.filter(F.split(key, "[-_ ]+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), " ")

@@ -98,3 +98,14 @@ def query_cloud(queries: DataFrame, limit: int = 26, longest: int = 40) -> DataF
     h = (word(25) + 96 * word(17) + 16 * word(9) + 36 * word(1)) % 100
     size = F.when(h < 8, 5).when(h < 24, 4).when(h < 56, 3).when(h < 82, 2).otherwise(1)
     return picked.select("text", "category", "turn", size.alias("size"))
+
+
+def next_chunk(wanted: DataFrame, done: DataFrame, key: str, size: int = 10) -> DataFrame:
+    """The next ``size`` of ``wanted`` (key, place) that aren't ``done``, in order: what a resumed run asks for next."""
+    return wanted.join(done.select(key).distinct(), key, "left_anti").orderBy("place", key).limit(size)
+
+
+def fetch_totals(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row with queries, results and empty; the queries without results) of what was fetched (query, n)."""
+    n = F.coalesce("n", F.lit(0))
+    return fetched.agg(F.count("*").alias("queries"), F.coalesce(F.sum(n), F.lit(0)).alias("results"), F.count_if(n == 0).alias("empty")), fetched.where(n == 0).select("query")

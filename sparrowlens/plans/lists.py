@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import links, web
-from ..operators import contacts, enrichment, outreach, reports, review, sites
+from ..functions import extract, links, text, web
+from ..operators import contacts, enrichment, outreach, records, reports, review, scoring, sites
 from ..sources import files, nodes
 from ..sources.views import Views
 from .audit import WITH as AUDIT
 from .audit import _judged
-from .checks import _ATTEMPTS, _attempts
+from .checks import _ATTEMPTS, _CLUSTERS, _attempts, _clusters
 from .contacts import _list
 from .leads import _NAV, _TYPE, DECISIONS, _decided
 from .leads import CATALOGUE as LEADS
@@ -129,7 +129,48 @@ _INTERNAL = f"""WITH {_NAV}, u AS (SELECT page_id, place, label, lower(regexp_ex
   SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY type = 'OTHER', relevance DESC, place) AS INT) AS place, url, type, label, relevance FROM t QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY type = 'OTHER', relevance DESC, place) <= 9"""
 _PLACE = "CAST(row_number() OVER (PARTITION BY {p} ORDER BY started_at DESC, id) AS INT)"
 
+STATUSES = ["prospect", "won", "lost", "new", None]
+
+
+def _companies(v: Views):
+    """Rows to be taken in as companies: some without a name or with another status; the good ones with defaults, the others with why."""
+    k = F.col("c_custkey")
+    rows = v.table("customer").select(k, F.when(k % 7 == 0, "").when(k % 11 == 0, F.lit(None)).otherwise(F.col("c_name")).alias("name"), F.get(F.array(*map(F.lit, STATUSES)), (k % 5).cast("int")).alias("status"))
+    good, bad = records.validated(rows, "company")
+    return good.select("c_custkey", "status", F.lit("").alias("errors")).unionAll(bad.select("c_custkey", "status", F.array_join("errors", "; ")))
+
+
+_COMPANIES = f"""WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 11 = 0 THEN NULL ELSE c_name END AS name, (['prospect', 'won', 'lost', 'new', NULL])[c_custkey % 5 + 1] AS status FROM customer),
+  e AS (SELECT *, list_filter([CASE WHEN coalesce(name, '') = '' THEN 'Company name is required' END, CASE WHEN NOT list_contains({_list(records.COMPANY_STATUSES)}, status) THEN 'status is none of {', '.join(records.COMPANY_STATUSES)}' END], lambda x: x IS NOT NULL) AS e FROM r)
+  SELECT c_custkey, CASE WHEN len(e) = 0 THEN coalesce(status, 'prospect') ELSE status END AS status, coalesce(array_to_string(e, '; '), '') AS errors FROM e"""
+
+
+def _decisions(v: Views):
+    scored = scoring.cluster_scores(_clusters(v)).withColumns({"row_key": F.floor(F.col("row_key") / 4), "link": F.when(F.col("row_key") % 2 == 0, "https://l.example/in/x")})
+    tasks = v.table("part").select(F.floor(F.col("p_partkey") / 2).alias("row_key"), F.get(F.array(*map(F.lit, ["CEO", "HEAD_OF_PRODUCT"])), (F.col("p_partkey") % 2).cast("int")).alias("role"))
+    return records.role_decisions(tasks, scored).withColumn("alternates", F.array_join("alternates", ","))
+
+
+_DECISIONS = "WITH q AS (" + _CLUSTERS + """),
+  c AS (SELECT q.row_key // 4 AS row_key, role, p_name AS name, CASE WHEN q.row_key % 2 = 0 THEN 'https://l.example/in/x' END AS link, score, status FROM q JOIN part ON p_partkey = q.row_key),
+  b AS (SELECT row_key, role, list(struct_pack(name, link, score, status) ORDER BY score DESC, name) AS l FROM c GROUP BY 1, 2)
+  SELECT p_partkey // 2 AS row_key, CASE p_partkey % 2 WHEN 0 THEN 'CEO' ELSE 'HEAD_OF_PRODUCT' END AS role, CASE WHEN ok THEN l[1].name END AS name, CASE WHEN ok THEN l[1].link END AS link, CASE WHEN ok THEN l[1].score END AS score, coalesce(l[1].status, 'UNRESOLVED_NONE') AS status,
+    coalesce(array_to_string(list_transform(l[CASE WHEN ok THEN 2 ELSE 1 END:CASE WHEN ok THEN 4 ELSE 3 END], lambda x: x.name), ','), '') AS alternates
+  FROM (SELECT p_partkey, l, coalesce(l[1].status <> 'UNRESOLVED_NONE', false) AS ok FROM part LEFT JOIN b ON b.row_key = p_partkey // 2 AND b.role = CASE p_partkey % 2 WHEN 0 THEN 'CEO' ELSE 'HEAD_OF_PRODUCT' END)"""
+
 CATALOGUE = {
+    "checked_companies": (_companies, _COMPANIES),
+    "role_decisions": (_decisions, _DECISIONS),
+    "company_slugs": (
+        lambda v: v.table("pages").select("page_id", text.company_slug(text.host_slug(F.col("url"))).alias("slug")),
+        f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'www.', ''), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '^www_', ''), '{text.SUFFIX}', '') AS slug FROM pages",
+    ),
+    "lean_pages": (
+        lambda v: v.table("pages").select("page_id", F.md5(extract.lean_html(F.col("html"))).alias("lean")),
+        r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|svg|path|noscript)[^>]*>.*?</(?:script|style|svg|path|noscript)>', '', 'g'), '\s+(?:lang|charset)="[^"]*"', '', 'g'), '
+\s*
++', chr(10), 'g'), '[ 	]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS lean FROM pages""",
+    ),
     "follow_up_actions": (_follow_ups, _FOLLOW_UPS),
     "task_variables": (_variables, _VARIABLES),
     "enriched_emails": (_enriched, _ENRICHED),
