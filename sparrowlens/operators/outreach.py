@@ -155,9 +155,10 @@ def due_tasks(events: DataFrame, enrollments: DataFrame, contacts: DataFrame, to
     return due.join(active, "enrollment_id").join(ready, "contact_id", "left_semi").select("enrollment_id", "contact_id", "step_order", "scheduled_date", (F.col("scheduled_date") < today).alias("overdue"))
 
 
-def split_variants(rows: DataFrame, seed: int, chunks: int = 64) -> DataFrame:
-    """A and B by hash of id and seed; the halves differ by chance, as each row decides for itself."""
-    return rows.withColumn("variant", F.when(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == 0, "A").otherwise("B"))
+def split_variants(rows: DataFrame, seed: int) -> DataFrame:
+    """A and B by the MD5 of id and seed; the halves differ by chance, as each row decides for itself."""
+    hashed = F.conv(F.left(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed)))), F.lit(8)), 16, 10).cast("long")
+    return rows.withColumn("variant", F.when(hashed % 2 == 0, "A").otherwise("B"))
 
 
 def child_lists(rows: DataFrame, parent: str, order: list[Column], parents: DataFrame | None = None) -> DataFrame:

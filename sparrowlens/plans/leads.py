@@ -292,5 +292,11 @@ CATALOGUE = {
     "unsubscribed_export": (lambda v: v.contacts().where("status = 'unsubscribed'").select("id", "name", "email"), OUTREACH + "SELECT id, name, email FROM contacts WHERE status = 'unsubscribed'"),
     "site_types": (lambda v: v.table("pages").select("page_id", web.site_type(F.col("html")).alias("type")), f"SELECT page_id, CASE WHEN s >= 3 AND g <= 1 THEN 'SERVICES_EXPERIENCES' WHEN g >= 3 AND s <= 1 THEN 'PHYSICAL_GOODS' WHEN g >= 3 AND s >= 3 THEN 'MARKETPLACE_MIXED' WHEN g > s THEN 'PHYSICAL_GOODS' WHEN s > g THEN 'SERVICES_EXPERIENCES' ELSE 'MARKETPLACE_MIXED' END AS type FROM (SELECT page_id, len(list_filter({_list(web.SERVICE_WORDS)}, lambda w: contains(h, w))) AS s, len(list_filter({_list(web.GOODS_WORDS)}, lambda w: contains(h, w))) + least(len(regexp_extract_all(h, '[$€£¥]\\s?\\d')), 5) AS g FROM (SELECT page_id, lower(left(coalesce(html, ''), 50000)) AS h FROM pages))"),
     "site_brands": (lambda v: v.table("pages").select("page_id", web.domain_brand(F.col("url")).alias("brand")), f"SELECT page_id, upper(b[1]) || lower(b[2:]) AS brand FROM (SELECT page_id, CASE WHEN len(l) >= 3 AND list_contains({_list(web.SECOND_LEVELS)}, l[-2]) THEN l[-3] WHEN len(l) >= 2 THEN l[-2] ELSE l[1] END AS b FROM (SELECT page_id, list_filter(string_split({_HOST}, '.'), lambda x: x <> '' AND x <> 'www') AS l FROM pages))"),
-    "report_slugs": (lambda v: files.report_slugs(v.table("customer").select(text.slug(F.col("c_name")).alias("company")), v.table("supplier").select(text.slug(F.col("s_name")).alias("company"), F.concat(text.slug(F.col("s_name")), F.lit("-1234")).alias("slug"))), None),
+    "report_slugs": (
+        lambda v: files.report_slugs(v.table("customer").select(text.slug(F.col("c_name")).alias("company")).unionAll(v.table("supplier").select(text.slug(F.col("s_name")))), v.table("supplier").where("s_suppkey % 3 > 0").select(F.when(F.col("s_suppkey") % 3 == 1, text.slug(F.col("s_name"))).otherwise("other").alias("company"), F.concat(text.slug(F.col("s_name")), F.lit("-1234")).alias("slug"))),
+        """WITH c AS (SELECT regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS company, NULL AS s FROM customer UNION ALL SELECT regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), s_suppkey FROM supplier),
+  t AS (SELECT c.company, s, i, company || '-' || (('0x' || left(md5(company || '-' || i), 8))::BIGINT % 9000 + 1000) AS slug FROM c, range(8) r(i)),
+  f AS (SELECT company, s, slug FROM t WHERE NOT (s % 3 > 0 AND slug = company || '-1234') IS TRUE QUALIFY row_number() OVER (PARTITION BY company ORDER BY i) = 1)
+  SELECT company, CASE WHEN s % 3 = 1 THEN company || '-1234' ELSE slug END AS slug FROM f""",
+    ),
 }

@@ -150,7 +150,7 @@ CATALOGUE = {
     ),
     "windowed_events": (lambda v: streams.windowed(v.table("events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
     "user_sessions": (lambda v: streams.user_sessions(v.table("events")).select("user_id", F.col("session_window.start").alias("start"), "n"), "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"),
-    "hash_split": (lambda v: outreach.split_variants(v.contacts().select("id"), 7), None),
+    "hash_split": (lambda v: outreach.split_variants(v.contacts().select("id"), 7), "SELECT c_custkey AS id, CASE WHEN ('0x' || left(md5(c_custkey || '|7'), 8))::BIGINT % 2 = 0 THEN 'A' ELSE 'B' END AS variant FROM customer"),
     "task_plan": (lambda v: enrichment.role_tasks(_prospects(v)), _PLAN + "SELECT * FROM tasks"),
     "task_summary": (lambda v: enrichment.task_summary(enrichment.role_tasks(_prospects(v))), _PLAN + "SELECT role, status, count(*) AS n, count(*) FILTER (status = 'READY') AS ready FROM tasks GROUP BY GROUPING SETS ((role), (status), ())"),
     "fill_rate": (lambda v: enrichment.fill_rates(v.contacts(), ["name", "email", "email_status"]), WITH + " SELECT 'name' AS \"column\", count(name) AS filled, CAST(floor(100.0 * count(name) / count(*) + 0.5) AS BIGINT) AS percent FROM contacts UNION ALL SELECT 'email', count(email), CAST(floor(100.0 * count(email) / count(*) + 0.5) AS BIGINT) FROM contacts UNION ALL SELECT 'email_status', count(email_status), CAST(floor(100.0 * count(email_status) / count(*) + 0.5) AS BIGINT) FROM contacts"),

@@ -116,7 +116,8 @@ def report_slugs(companies: DataFrame, registry: DataFrame, tries: int = 8) -> D
     taken = registry.select("slug").distinct()
 
     def first_free(wanting: DataFrame, n: int) -> DataFrame:
-        number = lambda i: F.pmod(F.xxhash64("company", i), F.lit(9000)) if n < 9000 else F.pmod(F.xxhash64("company") + i, F.lit(9000))
+        hashed = lambda *parts: F.conv(F.left(F.md5(F.concat_ws("-", *parts)), F.lit(8)), 16, 10).cast("long")
+        number = lambda i: hashed(F.col("company"), i.cast("string")) % 9000 if n < 9000 else (hashed(F.col("company")) + i) % 9000
         tried = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.col("company"), F.lit("-"), (number(i) + 1000).cast("string")))
         fresh = wanting.select("company", F.posexplode(tried).alias("turn", "slug")).join(taken, "slug", "left_anti")
         return fresh.groupBy("company").agg(F.min_by("slug", "turn").alias("made"))
