@@ -184,6 +184,5 @@ CATALOGUE = {
     "quota_merge": (_quota, _QUOTA),
     "chain_breaks": (lambda v: audit.chain_breaks(v.scored().select(F.col("query_id").alias("chain_id"), F.col("original_rank").alias("step"), F.col("title").alias("query"), F.col("relevance_score").alias("score"))), AUDIT + "SELECT chain_id, break_query, break_step FROM (SELECT query_id AS chain_id, title AS break_query, original_rank AS break_step, row_number() OVER (PARTITION BY query_id ORDER BY original_rank) AS n FROM (SELECT *, lag(relevance_score) OVER (PARTITION BY query_id ORDER BY original_rank) AS before FROM scored) WHERE relevance_score + 0.15 < before) WHERE n = 1"),
     "first_people": (lambda v: review.first_with_email(_people(v)), "SELECT row_key, name, email FROM (SELECT s_nationkey AS row_key, s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN 's' || s_suppkey || '@x.example' WHEN 1 THEN '' END AS email, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 3 <> 0, s_suppkey) AS n FROM supplier) WHERE n = 1"),
-    "profile_links": (_profiles, "SELECT page_id, 'https://www.linkedin.com/in/p-' || page_id AS url, 'PERSON_PROFILE' AS type FROM pages UNION ALL SELECT page_id, 'https://linkedin.com/company/c', 'COMPANY_PAGE' FROM pages"),
     "reply_dedupe": (lambda v: streams.deduplicated(v.table("events").withColumn("delivery_id", F.col("event_id") % 1000)).agg(F.count("*").alias("n")), "SELECT count(DISTINCT event_id % 1000) AS n FROM events"),
 }

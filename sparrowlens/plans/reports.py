@@ -151,10 +151,6 @@ def _product_page():
 
 
 CATALOGUE = {
-    "contact_page_emails": (
-        lambda v: v.table("part").select("p_partkey", F.inline(extract.page_emails(_contact_page()))),
-        "SELECT p_partkey, unnest(['l' || p_partkey || '@x.example', 'v' || p_partkey || '@y.example', 'b' || p_partkey || '@z.example', 's' || p_partkey || '@w.example']) AS email, unnest(['MAILTO', 'VISIBLE_TEXT', 'OBFUSCATED_TEXT', 'OBFUSCATED_TEXT']) AS source FROM part",
-    ),
     "product_page_items": (
         lambda v: v.table("part").select("p_partkey", F.inline(extract.declared_products(_product_page()))),
         "SELECT p_partkey, 'Item ' || p_partkey AS title, 'EUR ' || p_partkey AS price, 'd' || p_partkey AS snippet, 'https://x.example/' || p_partkey AS url FROM part UNION ALL SELECT p_partkey, 'Service ' || p_partkey, '7', NULL, '#' || p_partkey FROM part",

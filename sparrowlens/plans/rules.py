@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import email as mail
-from ..functions import people, text, web
+from ..functions import extract, people, text, web
 from ..operators import scoring
 from ..sources.views import Views
+from . import checks, reports
 from .contacts import _list, _quoted
 
 
@@ -170,7 +171,20 @@ _STATUSES = rf"""WITH a AS (SELECT doc_id AS k, lower(trim(' ' || CASE WHEN doc_
   g AS (SELECT k, len(s) = 2 AND s[1] <> '' AND s[2] <> '' AND NOT list_contains({_list(mail.PERSONAL_DOMAINS)}, s[2]) AND contains(s[2], '.') AND NOT contains(a, 'u003e') AND length(s[1]) <= 64 AND length(s[2]) <= 100 AND NOT regexp_matches(s[2], '\.(png|jpg)$') AND (k % 8 = 0 OR NOT list_contains({_list(mail.GENERIC_INBOXES)}, s[1])) AS sound FROM p)
   SELECT k AS doc_id, CASE WHEN NOT sound OR k % 4 = 1 THEN 'invalid' WHEN k % 4 = 0 THEN 'verified' WHEN k % 3 = 0 THEN 'guessed' ELSE 'risky' END AS status FROM g"""
 
+_PAGE = """'<p><a class="x" href="mailto:L' || p_partkey || '@x.example?subject=a">mail</a> v' || p_partkey || '@y.example, b' || p_partkey || ' [at] z.example s' || p_partkey || ' @ w.example V' || p_partkey || '@Y.EXAMPLE g' || p_partkey || '@gmail.com <script>no' || p_partkey || '@q.example</script></p>'"""
+_CONTACTS = rf"""WITH p AS (SELECT p_partkey, {_PAGE} AS html FROM part),
+  s AS (SELECT *, replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>', ' ', 'g'), '(?s)<[^>]*>', '', 'g'), '&nbsp;', ' ') AS shown FROM p),
+  e AS (SELECT p_partkey, list_concat(list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\shref\s*=\s*["'']mailto:([^"''?]*)', 1), lambda x: struct_pack(e := lower(trim(x)), s := 'MAILTO')), list_transform(regexp_extract_all(shown, {_quoted(extract.ADDRESS)}), lambda x: struct_pack(e := lower(trim(x)), s := 'VISIBLE_TEXT')),
+      list_transform(list_concat(regexp_extract_all(shown, {_quoted(extract.BRACKETED)}), regexp_extract_all(shown, {_quoted(extract.SPACED)})), lambda x: struct_pack(e := lower(trim(regexp_replace(regexp_replace(x, '(?i)\s*[\[\(]\s*at\s*[\]\)]\s*', '@', 'g'), '\s+@\s+', '@', 'g'))), s := 'OBFUSCATED_TEXT'))) AS l FROM s),
+  u AS (SELECT p_partkey, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM e)
+  SELECT p_partkey, x.e AS email, x.s AS source FROM u WHERE length(x.e) BETWEEN 5 AND 100 AND len(string_split(x.e, '@')) >= 2 AND NOT list_contains({_list(mail.PERSONAL_DOMAINS)}, split_part(x.e, '@', 2)) AND split_part(x.e, '@', 1) <> '' AND split_part(x.e, '@', 2) <> '' QUALIFY row_number() OVER (PARTITION BY p_partkey, x.e ORDER BY i) = 1"""
+_PROFILE_LINKS = f"""WITH p AS (SELECT page_id, html || '<a href="https://www.linkedin.com/in/p-' || page_id || '/">x</a> https://linkedin.com/company/c?y https://www.linkedin.com/in/p-' || page_id AS page FROM pages),
+  u AS (SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(page, {_quoted(extract.PROFILE)}), lambda x: rtrim(x, '/')))) AS url FROM p)
+  SELECT page_id, url, CASE WHEN contains(lower(url), '/in/') THEN 'PERSON_PROFILE' WHEN contains(lower(url), '/company/') THEN 'COMPANY_PAGE' ELSE 'OTHER' END AS type FROM u"""
+
 CATALOGUE = {
+    "contact_page_emails": (lambda v: v.table("part").select("p_partkey", F.inline(extract.page_emails(reports._contact_page()))), _CONTACTS),
+    "profile_links": (checks._profiles, _PROFILE_LINKS),
     "person_names": (_names, _NAMES),
     "profile_names": (_profiles, _PROFILES),
     "link_types": (lambda v: v.table("pages").select("page_id", web.link_type(_linked("page_id")).alias("type")), _LINK_TYPES),
