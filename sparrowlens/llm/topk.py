@@ -15,6 +15,8 @@ SHARD, QUERIES, LEAF = 16_384, 4_096, 128
 MAX_DEPTH, SAMPLE_PER_LEAF = 12, 16
 #: Shards that a query visits in the first round; each further round visits so many times more.
 FIRST, MORE = 1, 4
+#: Blocks of queries that meet the summaries of all shards at once, and cells of the matrix of their bounds that is held at once.
+ASKED, TILE = 4, 1 << 22
 
 
 class BallTree:
@@ -223,6 +225,29 @@ def trees(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     return materialise(numbered.withColumnRenamed("id", "ids").groupBy("shard").applyInArrow(built, TREE), "trees")
 
 
+def tiles(rows: int, columns: int) -> list[tuple[int, int]]:
+    """Ranges of rows such that a matrix of a range and so many columns has at most ``TILE`` cells, or is one row."""
+    step = max(1, TILE // max(1, columns))
+    return [(a, min(rows, a + step)) for a in range(0, rows, step)]
+
+
+def next_shards(q: np.ndarray, centre: np.ndarray, reach: np.ndarray, seen: np.ndarray, kth: np.ndarray, take: int, sure: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, shard place) of the next ``take`` shards of each query in the order of their bounds, as far as these reach its k-th score."""
+    size = np.sqrt((q**2).sum(axis=1))[:, None]
+    with np.errstate(invalid="ignore"):
+        far = size * reach[None]
+        bound = q @ centre.T  # whole numbers: the same in every round, whatever the order of rows
+        bound = bound + far * (1 + 1e-12) + 1e-9
+    bound[np.isnan(bound) | np.isinf(reach)[None]] = np.inf
+    if not sure:
+        bound[:] = np.inf
+    turn = np.argsort(-bound, axis=1, kind="stable")
+    at = seen[:, None] + np.arange(min(take, len(reach)))[None]
+    place = np.take_along_axis(turn, np.minimum(at, len(reach) - 1), 1)
+    who, where = np.nonzero((at < len(reach)) & (np.take_along_axis(bound, place, 1) >= kth[:, None]))
+    return who, place[who, where]
+
+
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
     """The k best integer inner products of each query: query_id, rank, vec_id, score.
 
@@ -239,7 +264,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHA
     held = trees(vectors, shard)
     balls = held.select("shard", "dim", "middle", "reach")
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-queries.count() // block))
+    blocks = max(1, -(-queries.count() // (ASKED * block)))
     state = queries.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int").alias("block"), F.lit(float("-inf")).alias("kth"), F.lit(0).cast("long").alias("seen"), F.lit(None).cast("array<struct<neg:long,vec_id:long>>").alias("best"))
     state = materialise(state, "queries")
     every = balls.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -252,21 +277,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHA
             if asked.num_rows and balls.num_rows:
                 order = np.argsort(balls.column("shard").to_numpy())
                 q, centre, reach = matrix(asked.column("v"), asked.num_rows).astype(np.float64), matrix(balls.column("middle"), balls.num_rows)[order].astype(np.float64), balls.column("reach").to_numpy()[order]
-                size = np.sqrt((q**2).sum(axis=1))[:, None]
-                with np.errstate(invalid="ignore"):
-                    far = size * reach[None]
-                    bound = q @ centre.T  # whole numbers: the same in every round, whatever the order of rows
-                    bound = bound + far * (1 + 1e-12) + 1e-9
-                bound[np.isnan(bound) | np.isinf(reach)[None]] = np.inf
-                if not exact_in_doubles(q):
-                    bound[:] = np.inf
-                turn = np.argsort(-bound, axis=1, kind="stable")
-                seen = asked.column("seen").to_numpy()[:, None]
-                at = seen + np.arange(min(take, len(reach)))[None]
-                place = np.take_along_axis(turn, np.minimum(at, len(reach) - 1), 1)
-                go = (at < len(reach)) & (np.take_along_axis(bound, place, 1) >= asked.column("kth").to_numpy()[:, None])
-                who, where = np.nonzero(go)
-                out = [who, balls.column("shard").to_numpy()[order][place[who, where]]]
+                seen, kth, sure = asked.column("seen").to_numpy(), asked.column("kth").to_numpy(), exact_in_doubles(q)
+                parts = [next_shards(q[a:b], centre, reach, seen[a:b], kth[a:b], take, sure) for a, b in tiles(len(q), len(reach))]
+                out = [np.concatenate([who + a for (who, _), (a, _) in zip(parts, tiles(len(q), len(reach)))]), balls.column("shard").to_numpy()[order][np.concatenate([where for _, where in parts])]]
             own = asked.take(pa.array(out[0], pa.int64()))
             return pa.table({"id": own.column("id"), "v": own.column("v"), "kth": own.column("kth"), "shard": pa.array(out[1], pa.int64())})
 

@@ -389,3 +389,19 @@ def test_top_k_with_clashing_columns_and_repeated_ids(spark):
         best = sorted((-int(np.dot(own, x)), i) for i, x, _ in rows if i != q)[:5]  # repeated candidates once each
         want = [(n, i, s) for n, (s, i) in enumerate(best, 1)]
         assert sorted(got[q]) == [(n, i, -s) for n, i, s in want]
+
+
+def test_bounds_are_held_in_tiles(spark, monkeypatch):
+    for rows, columns in ((10, 3), (7, 1 << 30), (0, 5), (1000, 61_000)):
+        found = topk.tiles(rows, columns)
+        assert [r for a, b in found for r in range(a, b)] == list(range(rows)) and all((b - a) * columns <= topk.TILE or b - a == 1 for a, b in found)
+    rng = np.random.default_rng(8)
+    v = rng.integers(-50, 51, (900, 6))
+    table = spark.createDataFrame([(i, [int(c) for c in x]) for i, x in enumerate(v)], "id long, v array<long>")
+    monkeypatch.setattr(topk, "TILE", 64)
+    got = sorted(map(tuple, topk.exact_top_k(table, table.where("id % 9 = 0"), 4, shard=20, block=16).collect()))
+    want = []
+    for q in range(0, 900, 9):
+        best = sorted((-int(v[q] @ x), i) for i, x in enumerate(v) if i != q)[:4]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
