@@ -133,7 +133,7 @@ def transitions(messages: DataFrame, actions: DataFrame) -> DataFrame:
     and completes the enrollment if no other message is open by then; ``replied`` and ``bounced`` end
     it and skip what is pending, and a reply sets the stage. The last action that sets a status
     decides; ``contact_status`` and ``contact_at`` tell the last reply or bounce, which the contact
-    takes over (see ``contact_statuses``). Windows go over one enrollment's actions.
+    takes over (see ``contact_statuses``), a reply rather than a bounce of the same time. Windows go over one enrollment's actions.
     """
     open_now = F.col("status").isin("pending", "scheduled")
     base = messages.groupBy("enrollment_id").agg(F.count_if(open_now).alias("open"))
@@ -153,12 +153,12 @@ def transitions(messages: DataFrame, actions: DataFrame) -> DataFrame:
         last(F.col("step_order") + 1, F.col("action") == "sent").alias("current_step"),
         F.max(F.when(F.col("sets").isin("replied", "completed"), F.col("ts"))).alias("completed_at"),
         F.max(F.when(F.col("action") == "replied", "replied")).alias("deal_stage"),
-        F.max(F.struct(F.when(F.col("action").isin("replied", "bounced"), at).alias("at"), F.col("action").alias("a"))).alias("contact"),
+        F.max(F.when(F.col("action").isin("replied", "bounced"), F.struct("ts", "action"))).alias("contact"),
         F.max("open").alias("open"),
         F.count_if("fresh").alias("touched"),
         F.max(F.col("action").isin("replied", "bounced")).alias("ended"),
     )
-    return out.select("enrollment_id", F.coalesce("last.s", F.lit("active")).alias("status"), "current_step", "completed_at", "deal_stage", F.when(F.col("ended"), F.col("open") - F.col("touched")).otherwise(0).alias("skipped"), F.when(F.col("ended"), F.col("contact.a")).alias("contact_status"), F.col("contact.at.ts").alias("contact_at"))
+    return out.select("enrollment_id", F.coalesce("last.s", F.lit("active")).alias("status"), "current_step", "completed_at", "deal_stage", F.when(F.col("ended"), F.col("open") - F.col("touched")).otherwise(0).alias("skipped"), F.col("contact.action").alias("contact_status"), F.col("contact.ts").alias("contact_at"))
 
 
 def contact_statuses(contacts: DataFrame, enrollments: DataFrame, states: DataFrame) -> DataFrame:

@@ -52,3 +52,13 @@ def test_contacts_take_over_the_last_answer(spark):
     got = contacts.contact_statuses(people, own, states).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, "bounced", day(3)), (2, "active", None), (3, "unsubscribed", None)]
     assert contacts.contact_statuses(people.where(F.lit(False)), own, states).collect() == []
+
+
+def test_a_reply_goes_before_a_bounce_of_the_same_time(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    known = spark.createDataFrame([(1, 1, "pending"), (1, 2, "pending"), (2, 1, "pending"), (2, 2, "pending")], "enrollment_id long, step_order int, status string")
+    actions = spark.createDataFrame([(1, 1, "replied", at, 1), (1, 2, "bounced", at, 2), (2, 1, "bounced", at, 1), (2, 2, "replied", at, 2)], SCHEMA)
+    actions.write.parquet(f"{tmp_path}/actions")
+    for states in (contacts.transitions(known, actions), enrollments.run(spark, known, f"{tmp_path}/actions", f"{tmp_path}/stream", SCHEMA)):
+        got = states.orderBy("enrollment_id").select("status", "contact_status", "contact_at").collect()
+        assert [tuple(r) for r in got] == [("bounced", "replied", at), ("replied", "replied", at)]
