@@ -8,7 +8,7 @@ from sparrowlens import plans
 PAGES = [(1, "https://a.example/" + "x" * 80 + "?a=1", "<body><article><h1>Rings &amp; things &amp;&amp</h1><p>Some words on rings</p></article></body>"), (2, "https://b.example/?q=" + "y" * 120, "<body><article><h1>Small &lt;b&gt; blue rings</h1><p>And &amplifiers</p></article></body>")]
 
 
-@pytest.mark.parametrize("name", ["page_elements", "unwrapped_urls"])
+@pytest.mark.parametrize("name", ["page_elements", "page_articles", "unwrapped_urls"])
 def test_as_its_sql_says(spark, tmp_path, name):
     spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     df = plans.queries()[name](spark, str(tmp_path))
