@@ -4,8 +4,8 @@ Fingerprints are partitioned by Hamming distance to vantage points. A link of ra
 point inside a ball and one outside means that the inside one lies within r of the ball's
 surface (triangle inequality), so only those inside points are also sent outside; each shard is
 then searched exactly, pruning with its own vantage points. For near copies of a stated similarity
-several independent fingerprints with a wide radius find candidates, min-wise sketches discard what
-lies far below, and the exact word shingle sets decide.
+points meet by bands of min-wise sketches, several independent fingerprints with a wide radius and whole
+sketches discard what lies far below, and the exact word shingle sets decide.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .confirm import roots, set_links, shingle_set, unite
@@ -36,6 +37,8 @@ BOUND = 1 << 18
 WORD_BYTES = 6
 #: Shingles that are hashed and counted at once, whatever the length of a text.
 BLOCK = 1 << 16
+#: Bytes of a sketch and of a band of it; members up to which buckets are searched together, rows of a shard of buckets.
+BINS, BAND, FEW, SHARD_ROWS = 128, 4, 32, 1 << 15
 
 
 def _salted(h: np.ndarray, salt: int) -> np.ndarray:
@@ -85,7 +88,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", out: str =
     return docs.withColumn(out, hashed(F.col(text)))
 
 
-def sketch(text: str | None, words: int = 5, bins: int = 128) -> bytes:
+def sketch(text: str | None, words: int = 5, bins: int = BINS) -> bytes:
     """A byte per bin: the least hash of the word shingles that fall into it, by one-permutation hashing.
 
     The share of equal bytes of two sketches estimates the Jaccard similarity of their shingle
@@ -298,16 +301,73 @@ def sharded(points: DataFrame, n_prints: int, radius: int, leaf: int, least_dept
     return points.mapInArrow(routed, ", ".join(["shard int, cell long, fp long, home boolean", *[f"{c} {kinds[c]}" for c in others]]))
 
 
-def candidates(points: DataFrame, radius: int, least: float, leaf: int, least_depth: int, bound: int = BOUND) -> DataFrame:
-    """Candidate pairs (a, b) of points (node, prints, sketch), those of ``local_candidates`` of each leaf and print."""
+def banded(points: DataFrame, bound: int = BOUND) -> DataFrame:
+    """Points (node, prints, sketch) once for each bucket of theirs that holds others too, with its ``key`` and the ``shard`` where it is searched.
+
+    A bucket is a run of ``BAND`` bytes of the sketch. Rows of 16 bytes tell which buckets hold others, so a point that
+    is like no other goes no further. Buckets share shards; one beyond ``bound`` is dealt into blocks that meet in pairs.
+    """
+    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sketch", BAND * b + 1, BAND)) for b in range(BINS // BAND)])
+    each = points.select(F.col("node").alias("m"), F.explode(keys).alias("key"))
+    met = materialise(each.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "met")
+    shards = max(1, -(-met.count() // SHARD_ROWS))
+    blocks = F.ceil(2 * F.col("n") / bound)
+    block = F.pmod(F.xxhash64("m", F.lit(7)), blocks)
+    pairs = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: j != block), lambda j: F.xxhash64("key", F.least(block, j), F.greatest(block, j)))
+    dealt = met.select("m", "key", F.explode(F.when(F.col("n") > bound, pairs).otherwise(F.array(F.pmod(F.xxhash64("key"), F.lit(shards))))).alias("shard"))
+    return dealt.join(points, dealt.m == points.node).select("shard", "key", "node", "prints", "sketch")
+
+
+def bucket_pairs(key: np.ndarray, nodes: np.ndarray, prints: np.ndarray, sketches: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of one bucket that are near by a print and share ``least`` of their sketches: enough to join what such pairs join.
+
+    Small buckets are searched together, neighbours at one distance after the other; large ones each by each print.
+    """
+    order = np.argsort(key, kind="stable")
+    key, nodes, prints, sketches = key[order], nodes[order], prints[order], sketches[order]
+    names, place = np.unique(nodes, return_inverse=True)
+    parent, out = np.arange(len(names)), [np.zeros((2, 0), np.int64)]
+    size = np.diff(np.append(np.nonzero(np.diff(key, prepend=key[:1] - 1))[0], len(key)))
+    few = np.nonzero(np.repeat(size <= FEW, size))[0]
+
+    def join(x: np.ndarray, y: np.ndarray) -> None:
+        used = unite(parent, x, y)
+        out.append(np.stack([names[x[used]], names[y[used]]]))
+
+    for step in range(1, FEW):
+        i, j = few[:-step], few[step:]
+        together = key[i] == key[j]
+        if not together.any():
+            break
+        i, j = i[together], j[together]
+        for cut in range(0, len(i), 1 << 15):
+            x, y = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
+            apart = roots(parent, place[x]) != roots(parent, place[y])
+            x, y = x[apart], y[apart]
+            near = (np.bitwise_count(prints[x] ^ prints[y]) <= radius).any(axis=1)
+            x, y = x[near], y[near]
+            alike = (sketches[x] == sketches[y]).mean(axis=1) >= least
+            join(place[x[alike]], place[y[alike]])
+    ends = np.cumsum(size)
+    for end, n in zip(ends[size > FEW], size[size > FEW]):
+        own = slice(end - n, end)
+        for p in range(prints.shape[1]):
+            a, b = local_candidates(np.ascontiguousarray(prints[own, p]), place[own], np.ones(n, bool), radius, sketches[own], least, label=roots(parent, place[own]))
+            join(a, b)
+    a, b = np.concatenate(out, axis=1)
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def candidates(points: DataFrame, radius: int, least: float, bound: int = BOUND) -> DataFrame:
+    """Candidate pairs (a, b) of points (node, prints, sketch), those of ``bucket_pairs`` of each shard."""
 
     def searched(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in ("fp", "node", "home")}
+        prints = table.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        a, b = local_candidates(col["fp"].view(np.uint64), col["node"], col["home"].astype(bool), radius, sketches, least)
+        a, b = bucket_pairs(table.column("key").to_numpy(), table.column("node").to_numpy(), prints, sketches, radius, least)
         return pa.table({"a": a, "b": b})
 
-    return sharded(points, PRINTS, radius, leaf, least_depth, bound).groupBy("shard", "cell").applyInArrow(searched, "a long, b long").distinct()
+    return banded(points, bound).groupBy("shard").applyInArrow(searched, "a long, b long").distinct()
 
 
 def group_links(prints: np.ndarray, sketches: np.ndarray, label: np.ndarray, radius: int, least: float, same) -> list[tuple[int, int]]:
@@ -358,11 +418,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, key:
     return hashed.join(named, hashed.fp == named.f, "left").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def dropped_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similarity: float = 0.8, leaf: int = 8 * LEAF, least_depth: int = 3) -> DataFrame:
+def dropped_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similarity: float = 0.8) -> DataFrame:
     """``id``: every ``doc_id`` but the least of each group of near copies, which share ``similarity`` of their five-word shingles.
 
     A pair is a candidate if any of its fingerprints lies within the radius and its sketches don't
-    rule it out; links are pairs that are alike by their exact shingle sets. A group of m copies
+    rule it out. Such pairs are looked for where a band of their sketches is equal: one that shares 0.8 of its bytes misses
+    all 32 bands with probability 5e-8, one at 0.7 with 2e-4. Links are pairs that are alike by their exact shingle sets. A group of m copies
     has m * m pairs, so only a forest of candidates is listed, which tells the groups; the texts of a
     group then meet, and its candidate pairs are compared until its parts are joined or none is left. Texts with the same fingerprints and sketch (128 equal bins) are one point; ``node`` is its 64-bit hash.
     """
@@ -380,7 +441,7 @@ def dropped_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similari
     hashed = materialise(docs.select("id", F.xxhash64("t").alias("h"), size.alias("size"), printed("t").alias("prints"), sketched("t").alias("sketch")), "fingerprints")
     first = hashed.groupBy("prints", "sketch").agg(F.min(F.struct("id", "h", "size")).alias("f"))
     points = materialise(first.select(F.xxhash64("prints", "sketch").alias("node"), "prints", "sketch", "f.id", "f.h", F.ceil(F.col("f.size") / WORD_BYTES).alias("n")), "points")
-    tried = materialise(candidates(points.select("node", "prints", "sketch"), radius, similarity - MARGIN, leaf, least_depth), "candidates")
+    tried = materialise(candidates(points.select("node", "prints", "sketch"), radius, similarity - MARGIN), "candidates")
     groups = connected_components(tried)
     groups = groups.select("node", F.col("component").alias("group")).unionAll(groups.select(F.col("component").alias("node"), F.col("component").alias("group"))).distinct()
 
@@ -407,8 +468,8 @@ def deduplicate(docs: DataFrame, words: int = 3, radius: int = WIDE, similarity:
     """Keep the document with the least ``doc_id`` of each group of near copies; columns as given.
 
     Near copies share at least ``similarity`` of their five-word shingles. Their fingerprints differ
-    by more than a few bits, so the radius is wide. Every level of the tree then sends most points
-    to both sides, so shards are larger and levels fewer.
+    by more than a few bits, so the radius is wide. A tree of vantage points would send most points
+    to both sides at every level, so points meet by bands of their sketches.
 
     A document is a ``doc_id``: rows that repeat one stay or go together. Rows without an id can't
     be told apart and stay. Null and empty texts are copies of one another; texts are read whole, an

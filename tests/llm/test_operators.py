@@ -727,3 +727,22 @@ def test_leaf_of_one_template_is_split(spark):
     found = {r.node: r.component for r in components.connected_components(links).collect()}
     whole = {r.node: r.component for r in components.connected_components(simhash.fingerprint_links(points, 3)).collect()}
     assert found == whole and len(whole) > 0
+
+
+def test_points_like_no_other_are_not_sent_around(spark):
+    """What moves for near copies are the points that share a bucket with another, however many points there are."""
+    rng = np.random.default_rng(8)
+    sketches = rng.integers(0, 256, (600, 128), dtype=np.uint8)
+    sketches[300:310] = sketches[299]
+    sketches[300:310, :20] = rng.integers(0, 256, (10, 20))  # ten that share 0.84 with one
+    prints = rng.integers(0, 1 << 62, (600, 3))
+    prints[300:310] = prints[299]
+    prints[310], sketches[310] = ~prints[0], sketches[0]  # alike by the sketch alone
+    points = spark.createDataFrame([(i, prints[i].tolist(), sketches[i].tobytes()) for i in range(600)], "node long, prints array<long>, sketch binary")
+    for bound in (simhash.BOUND, 4):  # buckets of eleven, whole and in blocks
+        assert {r.node for r in simhash.banded(points, bound).select("node").distinct().collect()} == {0, *range(299, 311)}
+        found = components.connected_components(simhash.candidates(points, simhash.WIDE, 0.68, bound)).collect()
+        assert {(r.node, r.component) for r in found} == {(n, 299) for n in range(300, 310)}
+    few = simhash.bucket_pairs(np.zeros(600, np.int64), np.arange(600), prints.view(np.uint64), sketches, simhash.WIDE, 0.68)
+    many = simhash.bucket_pairs(np.repeat(np.arange(20), 30), np.arange(600), prints.view(np.uint64), sketches, simhash.WIDE, 0.68)
+    assert len(few[0]) == 10 and set(few[0]) | set(few[1]) == set(range(299, 310)) and len(many[0]) == 9
