@@ -55,15 +55,22 @@ def pattern_votes(emails: DataFrame, names: DataFrame) -> DataFrame:
     """The address pattern of each domain with its votes: addresses against the known names of the domain.
 
     Domains without a match by name take the patterns that their addresses' forms suggest. Most
-    votes win, ties go to the pattern of the least address.
+    votes win, ties go to the pattern of the least address. Equal addresses and names are counted before they
+    meet, and they meet by what a name's addresses are or end with, not all with all of a domain.
     """
     local, domain = mail.parts(F.col("email"))
     sound = emails.where(mail.gate(F.col("email")).isNull()).select(F.lower("email").alias("email"), local.alias("local"), domain.alias("domain"))
-    named = sound.join(names, "domain").select("domain", "email", mail.classify(F.col("local"), F.col("name")).alias("pattern")).where("pattern <> 'UNKNOWN'")
-    shaped = sound.join(named.select("domain").distinct(), "domain", "left_anti").select("domain", "email", mail.guess_structure(F.col("local")).alias("pattern")).where("pattern <> 'UNKNOWN'")
-    votes = named.withColumn("by_name", F.lit(True)).unionByName(shaped.withColumn("by_name", F.lit(False))).groupBy("domain", "pattern").agg(F.count("*").alias("votes"), F.min("email").alias("first"), F.max("by_name").alias("by_name"))
+    sound = sound.groupBy("domain", "local").agg(F.count("*").alias("n"), F.min("email").alias("email"))
+    first, last = mail.name_parts(F.col("name"))
+    people = names.groupBy("domain", first.alias("first"), last.alias("last")).agg(F.count("*").alias("m")).where("first is not null")
+    theirs, own = people.withColumn("key", F.explode(mail.name_keys(F.col("first"), F.col("last")))), sound.withColumn("key", F.explode(mail.local_keys(F.col("local"))))
+    met = own.join(theirs, ["domain", "key"]).withColumn("pattern", mail.pattern_of(F.col("local"), F.col("first"), F.col("last")))
+    whole = F.col("local").isin(*[mail.build(F.col("first"), F.col("last"), p) for p in mail.PATTERNS])  # such a pair meets by an ending too
+    named = met.where((F.col("pattern") != "UNKNOWN") & (whole == F.startswith("key", F.lit("=")))).select("domain", "email", "pattern", (F.col("n") * F.col("m")).alias("n"))
+    shaped = sound.join(named.select("domain").distinct(), "domain", "left_anti").select("domain", "email", mail.guess_structure(F.col("local")).alias("pattern"), "n").where("pattern <> 'UNKNOWN'")
+    votes = named.withColumn("by_name", F.lit(True)).unionByName(shaped.withColumn("by_name", F.lit(False))).groupBy("domain", "pattern").agg(F.sum("n").alias("votes"), F.min("email").alias("first"), F.max("by_name").alias("by_name"))
     best = votes.groupBy("domain").agg(F.min(F.struct((-F.col("votes")).alias("v"), "first", "pattern", "by_name")).alias("b"))
-    seen = sound.groupBy("domain").agg(F.count("*").alias("addresses"))
+    seen = sound.groupBy("domain").agg(F.sum("n").alias("addresses"))
     confidence = 50 + F.when(F.col("b.v") <= -2, 25).otherwise(0) + F.when(F.col("addresses") >= 2, 10).otherwise(0) + F.when(F.col("b.by_name"), 15).otherwise(0)
     return seen.join(best, "domain", "left").select("domain", F.coalesce("b.pattern", F.lit("UNKNOWN")).alias("pattern"), F.coalesce(-F.col("b.v"), F.lit(0)).alias("votes"), F.when(F.col("b").isNull(), 30).otherwise(confidence).alias("confidence"))
 

@@ -74,3 +74,20 @@ def test_order_of_input_does_not_matter(spark):
     contacts = spark.createDataFrame([(i, f"a{i}@x.example" if i % 3 else "", "active", i % 2, "verified" if i % 5 else None) for i in range(50)], "id long, email string, status string, opt_out int, email_status string")
     a = sorted(map(tuple, outreach.readiness(contacts).collect()))
     assert a == sorted(map(tuple, outreach.readiness(contacts.repartition(7).orderBy(F.rand())).collect()))
+
+
+def test_votes_of_many_addresses_and_names(spark):
+    """Votes are those of all pairs of a domain, equal addresses and names that differ in the middle counted each."""
+    words = ["ann", "bo", "ana", "lee", "le", "o-lee", "b"]
+    names = [("d.example", f"{a} {m} {b}") for a in words for b in words for m in ("", "van")] + [("d.example", "ann"), ("e.example", "ann lee"), (None, "ann lee")]
+    locals_ = ["ann.lee", "annlee", "alee", "a.lee", "ann", "lee", "anlee", "axolee", "b", "bb", "ab", "xle", "alee", "Alee"]
+    emails = spark.createDataFrame([(f"{x}@d.example",) for x in locals_] + [("ann.lee@f.example",), ("zed@e.example",), ("info@d.example",)], "email string")
+    own = spark.createDataFrame(names, "domain string, name string")
+    pairs = emails.where("email like '%@d.example' and email not like 'info%'").crossJoin(own.where("domain = 'd.example'"))
+    each = pairs.select(email.classify(F.lower(F.split("email", "@")[0]), F.col("name")).alias("p")).where("p <> 'UNKNOWN'").groupBy("p").agg(F.count("*").alias("n")).collect()
+    got = {r.domain: (r.pattern, r.votes, r.confidence) for r in enrichment.pattern_votes(emails, own).collect()}
+    best = max(each, key=lambda r: r.n)
+    assert got == {"d.example": (best.p, best.n, 100), "e.example": ("UNKNOWN", 0, 30), "f.example": ("FIRST_LAST", 1, 50)}
+    many = spark.range(30_000).select(F.lit("g.example").alias("domain"), F.concat(F.lit("ann x"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("name"))
+    votes = enrichment.pattern_votes(many.select(F.concat(F.lit("ann.x"), F.substr("name", F.lit(6)), F.lit("@g.example")).alias("email")), many).collect()
+    assert [(r.pattern, r.votes, r.confidence) for r in votes] == [("FIRST_LAST", 30_000, 100)]  # 900 million pairs
