@@ -62,3 +62,11 @@ def test_a_reply_goes_before_a_bounce_of_the_same_time(spark, tmp_path):
     for states in (contacts.transitions(known, actions), enrollments.run(spark, known, f"{tmp_path}/actions", f"{tmp_path}/stream", SCHEMA)):
         got = states.orderBy("enrollment_id").select("status", "contact_status", "contact_at").collect()
         assert [tuple(r) for r in got] == [("bounced", "replied", at), ("replied", "replied", at)]
+
+
+def test_states_come_without_a_call_for_each_enrollment(spark):
+    known = spark.createDataFrame([(1, 1, "pending"), (2, 1, "pending")], "enrollment_id long, step_order int, status string")
+    touched = spark.range(1, 2).select(F.col("id").alias("enrollment_id"), F.expr("array(named_struct('ord', 1L, 'step_order', 1, 'action', 'sent', 'ts', timestamp'2024-01-01'))").alias("actions"))
+    found = enrollments.states(known, touched)
+    assert [tuple(r)[:3] for r in found.collect()] == [(1, "completed", 2)]
+    assert not {"Python", "Pandas"} & set(found._jdf.queryExecution().toString().replace("In", " ").split())
