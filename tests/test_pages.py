@@ -5,6 +5,7 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,3 +324,10 @@ def test_broken_markup(spark):
     assert sorted(got[1]) == [(0, 0, -1, "i", "again"), (0, 2, -1, "div", "a b"), (1, 2, 0, "p", "a b"), (2, 2, 1, "p", "b"), (3, 4, -1, "b", "c d e"), (4, 4, 3, "br", "")]
     assert sorted(got[2]) == [(0, 0, -1, "script", ""), (1, 1, -1, "style", "")]
     assert len(got[7]) == 3000 and all(g[4] == "deep" and g[1] == 2999 for g in got[7]) and not {3, 4, 5} & set(got)
+
+
+def test_pages_are_read_a_few_at_a_time():
+    texts = ["x" * 300_000] * 10 + [None, ""] + ["y"] * 200 + ["z" * 3_000_000, "a"]
+    parts = list(nodes.slices(pa.array(texts)))
+    assert [t for p in parts for t in p.to_pylist()] == texts and max(map(len, parts)) == nodes.SLICE
+    assert all(p.nbytes <= nodes.SLICE_BYTES or len(p) == 1 for p in parts)
