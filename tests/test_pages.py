@@ -331,3 +331,33 @@ def test_pages_are_read_a_few_at_a_time():
     parts = list(nodes.slices(pa.array(texts)))
     assert [t for p in parts for t in p.to_pylist()] == texts and max(map(len, parts)) == nodes.SLICE
     assert all(p.nbytes <= nodes.SLICE_BYTES or len(p) == 1 for p in parts)
+
+
+BITS = ["<div>", "</div>", "<p class=' a  b '>", "<a href=x>", "<a href='x/'>", "<br/>", "<input disabled>", "<A HREF=\"Q\">", "</a >", "</ a>", "<script>", "</script>", "</SCRIPT >", "<style>", "</style>", "<template>", "</template>", "text", " ", "\n", "&amp;", "&am", "&", "<", ">", "<3", "<!-- c -->", "<!DOCTYPE html>", "<!x>", "<a b=c/>", "<p\xa0x>", "<p x=\"a>b\">", "<x-y a a=1 A=2>", "<li>", "<pre>", "  z 　", "<a title='&lt;'>", "<p x = 'y'>", "<!---->", "<!-->", "</>", "<p/ a>", "<a @c=1 :d='2'>", "<script/>", "</p x>", "<p =a>", "<p a=>", "<br></br>", "<p\tk\n=\"v\">"]
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it(monkeypatch):
+    rng = random.Random(5)
+    pages = ["".join(rng.choices(BITS, k=rng.randrange(0, 14))) for _ in range(4000)] + ["", None, *BITS]
+    fast = [nodes.read_pages(pages, implied).to_pylist() for implied in (False, True)]
+    assert sum(nodes._plain(p or "") is not None for p in pages) > 400
+    monkeypatch.setattr(nodes, "_plain", lambda html: None)
+    assert fast == [nodes.read_pages(pages, implied).to_pylist() for implied in (False, True)]
+
+
+def test_plain_markup_needs_no_parser(monkeypatch):
+    monkeypatch.setattr(nodes.HTMLParser, "feed", lambda *a: pytest.fail("read by the parser"))
+    page = '<!DOCTYPE html><script>var t="</p>"</script><!-- x --><ul class="a b"><li data-p=\'{"k": 1}\'><a href="/p?q=1">one &amp; two</a><br/></ul>'
+    got = nodes.read_pages([page, None]).to_pylist()
+    assert [n["tag"] for n in got[0]["nodes"]] == ["script", "ul", "li", "a", "br"] and got[0]["spaced"] == "one & two" and got[1] is None
+
+
+def test_only_what_a_strategy_reads_is_looked_for(made, monkeypatch):
+    _, pages = made
+    monkeypatch.setattr(op, "declared_products", lambda html: pytest.fail("goods as data aren't asked for"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    found = {way: op.candidates(pages, strategies=[way]).cache() for way in ("cards", "list")}
+    assert found["cards"].where("listed or declared").count() == found["list"].where("card or repeated or declared").count() == 0
+    monkeypatch.undo()
+    every = op.candidates(pages).cache()
+    assert rows(op.card_results(found["cards"])) == rows(op.card_results(every)) and rows(op.list_results(found["list"])) == rows(op.list_results(every))
