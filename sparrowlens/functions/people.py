@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.nodes import let
+
 # The form of a name, and what names don't hold.
 NAME = r"^[A-ZÀ-ɏ][a-zÀ-ɏ]+(?:\s+(?:de|van|von|der|den|la|le|el|al|di|del|da|dos|das|du|mc|mac|o')?)?(?:\s+[A-ZÀ-ɏ][a-zÀ-ɏ]+){1,3}$"
 NO_NAMES = [
@@ -35,24 +37,23 @@ ROLE_SEARCHES = {
 
 def has_name_form(text: Column) -> Column:
     """Two to five words of 4 to 60 characters with capitals and small letters that have the form of a name."""
-    own = F.trim(text)
-    words = F.size(F.split(own, r"\s+"))
-    return F.coalesce(F.length(own).between(4, 60) & words.between(2, 5) & (own != F.upper(own)) & (own != F.lower(own)) & own.rlike(NAME), F.lit(False))
+    words = lambda own: F.size(F.split(own, r"\s+"))
+    return let(F.trim(text), lambda own: F.coalesce(F.length(own).between(4, 60) & let(words(own), lambda n: n.between(2, 5)) & (own != F.upper(own)) & (own != F.lower(own)) & own.rlike(NAME), F.lit(False)))
 
 
 def is_person_name(text: Column) -> Column:
     """The form of a name, and nothing in it that names don't hold."""
-    own = F.trim(text)
-    bad = reduce(lambda a, b: a | b, [own.rlike(p) for p in NO_NAMES])
-    return F.coalesce(has_name_form(text) & ~bad, F.lit(False))
+    bad = lambda own: reduce(lambda a, b: a | b, [own.rlike(p) for p in NO_NAMES])
+    return let(F.trim(text), lambda own: F.coalesce(has_name_form(own) & ~bad(own), F.lit(False)))
 
 
 def name_in_profile(url: Column) -> Column:
     """The name that a profile's address holds, without a number at its end, or null."""
     slug = F.regexp_extract(url, r"(?i)linkedin\.com/in/([^/?#]+)", 1)
     words = F.split(F.regexp_replace(F.trim(F.translate(F.try_url_decode(slug), "-_", "  ")), r"\s+\d+$", ""), r"\s+")
-    name = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))), " ")
-    return F.when((slug != "") & F.size(words).between(2, 4) & is_person_name(name), name)
+    name = lambda ws: F.array_join(F.transform(ws, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))), " ")
+    named = lambda ws: F.when(F.size(ws).between(2, 4), let(name(ws), lambda n: F.when(is_person_name(n), n)))
+    return F.when(slug != "", let(words, named))
 
 
 def role_searches(company: Column, role: Column, region: Column, country: Column, known_name: Column) -> Column:
@@ -75,6 +76,10 @@ def profile_title(title: Column) -> Column:
     """Name, role and company of a profile's title, cut at dashes with blanks and bars; of two parts the second may name both with ``at``."""
     clean = F.trim(F.regexp_replace(title, r"(?i)\s*[|\-–—]\s*LinkedIn\s*$", ""))
     cut = F.filter(F.transform(F.split(clean, r"\s*[–—|]\s*|\s+-\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return let(cut, _profile_parts)
+
+
+def _profile_parts(cut: Column) -> Column:
     second, third = F.coalesce(F.get(cut, 1), F.lit("")), F.coalesce(F.get(cut, 2), F.lit(""))
     halves = F.split(second, r"\s+at\s+")
     both = (F.size(cut) == 2) & F.contains(second, F.lit(" at "))

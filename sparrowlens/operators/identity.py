@@ -31,8 +31,8 @@ GOODS = (
 
 def speaks_of(role: Column, text: Column) -> Column:
     """Whether a text holds a word of the role."""
-    low = F.lower(text)
-    return F.coalesce(*[F.when(role == r, reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])) for r, words in ROLE_EVIDENCE.items()], F.lit(False))
+    has = lambda low, words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    return let(F.lower(text), lambda low: F.coalesce(*[F.when(role == r, has(low, words)) for r, words in ROLE_EVIDENCE.items()], F.lit(False)))
 
 
 def _normal(name: Column) -> Column:
@@ -50,8 +50,10 @@ def identity_candidates(results: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     title, snippet, url = text("title"), text("snippet"), text("url")
     both = F.concat(title, F.lit(" "), snippet)
-    own = results.where(~both.rlike(GOODS) & ~title.rlike(POSTS) & ~url.rlike(POSTS))
-    own = own.withColumns({"_p": profile_title(title), "_t": name_in_title(title), "_s": name_in_snippet(snippet), "_u": name_in_profile(url), "_is": F.coalesce(F.col("link_type") == "PERSON_PROFILE", F.lit(False))})
+    is_profile = F.coalesce(F.col("link_type") == "PERSON_PROFILE", F.lit(False))
+    names = lambda p: F.struct(p.alias("_p"), name_in_title(title).alias("_t"), name_in_snippet(snippet).alias("_s"), name_in_profile(url).alias("_u"), is_profile.alias("_is"))
+    people = F.when(~both.rlike(GOODS) & ~title.rlike(POSTS) & ~url.rlike(POSTS), F.array(names(profile_title(title))))
+    own = results.withColumn("_o", F.explode(people)).select(*results.columns, "_o.*")  # a generator works names out once; of a projection, filters and signals would each repeat them
     profiled = F.when(F.col("_is"), F.coalesce("_p.name", "_t", "_u"))
     own = own.withColumn("full_name", F.coalesce(profiled, "_t", "_s")).where("full_name is not null")
     company = F.lower(text("company_name"))

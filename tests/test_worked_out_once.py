@@ -26,3 +26,10 @@ def test_small_tables_are_dealt_to_all_cores(spark, tmp_path):
     spark.range(1000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     rows = Views(spark, str(tmp_path)).spread("part", "p_partkey")
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.agg(F.sum("p_partkey")).first()[0] == 499500
+
+
+def test_identity_candidates(spark):
+    rows = spark.createDataFrame([(1, "CEO", "Acme", 1, "Ann Lee - CEO at Acme", "", "https://x.example", None, [])], RESULTS)
+    df = identity.identity_candidates(rows.distinct())
+    assert plan(df).count("Org Chart") == 5  # title (two ways), snippet, profile's title and address
+    assert [r.full_name for r in df.collect()] == ["Ann Lee"]
