@@ -82,9 +82,8 @@ def site_templates(addresses: DataFrame, url: str = "url") -> DataFrame:
 
 def is_vague(title: Column) -> Column:
     """Titles that speak of relevance or of ranking as such, without a signal that ranking would use."""
-    low = F.lower(title)
-    has = lambda words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
-    return has(VAGUE) | (F.contains(low, F.lit("ranking")) & ~has(INTENTS))
+    has = lambda low, words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    return let(F.lower(title), lambda low: has(low, VAGUE) | (F.contains(low, F.lit("ranking")) & ~has(low, INTENTS)))
 
 
 def roadmap_items(text: Column) -> Column:
@@ -100,11 +99,12 @@ def roadmap_items(text: Column) -> Column:
 
     def item(chunk: Column) -> Column:
         bold = first(chunk, r"\*\*(.+?)\*\*")
-        title = F.when(bold != "", bold).otherwise(F.left(chunk, F.lit(80)))
+        title = let(bold, lambda b: F.when(b != "", b).otherwise(F.left(chunk, F.lit(80))))
         rest = strip(F.regexp_replace(chunk, r"(?U)^\d+\.\s+\*\*.+?\*\*\s*", ""))
         about = strip(F.regexp_replace(rest, r"(?mU)\s*Impact:.*$", ""))
         impact, effort = first(chunk, r"(?U)Impact:\s*(\w+)"), strip(first(chunk, r"(?U)Effort:\s*(.+?)(?:\n|$)"))
-        return F.struct(F.when(is_vague(title), INSTEAD).otherwise(title).alias("title"), about.alias("description"), impact.alias("impact"), effort.alias("effort"), classed(impact, IMPACTS, "moderate", True).alias("impact_class"), classed(effort, EFFORTS, "quick", False).alias("effort_class"))
+        told = lambda i, e: F.struct(let(title, lambda t: F.when(is_vague(t), INSTEAD).otherwise(t)).alias("title"), about.alias("description"), i.alias("impact"), e.alias("effort"), classed(i, IMPACTS, "moderate", True).alias("impact_class"), classed(e, EFFORTS, "quick", False).alias("effort_class"))
+        return let(impact, lambda i: let(effort, lambda e: told(i, e)))
 
     chunks = F.filter(F.transform(F.split(strip(text), ITEM), strip), lambda c: c != "")
     return F.transform(chunks, item)

@@ -33,3 +33,8 @@ def test_identity_candidates(spark):
     df = identity.identity_candidates(rows.distinct())
     assert plan(df).count("Org Chart") == 5  # title (two ways), snippet, profile's title and address
     assert [r.full_name for r in df.collect()] == ["Ann Lee"]
+
+
+def test_roadmap_items(spark):
+    df = spark.createDataFrame([("1. **Ranking for x**\n   y",)], "t string").select(F.inline(searches.roadmap_items(F.col("t"))))
+    assert plan(df).count(r"\*\*(.+?)\*\*") == 1 and df.first().title == searches.INSTEAD
