@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.nodes import let
+
 # Fixed values.
 STOPWORDS = ["and", "or", "the", "with", "for", "not", "without", "under", "over", "from", "into", "best", "shop", "all", "new", "sale", "inch", "inches", "in", "on", "by", "to", "of", "a", "an"]
 VARIANT_WORDS = ["exclusive", "new", "fit", "hb", "lined", "lightweight", "classic"]
@@ -82,10 +84,13 @@ def family_key(title: Column) -> Column:
 def phrases(query: Column, stopwords: list[str] = STOPWORDS, least: int = 5) -> Column:
     """Pairs of neighbouring words and words of a query, distinct, the longest key first, ties in order."""
     words = F.filter(F.split(F.lower(query), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(stopwords))
+    return let(words, lambda own: _phrases(own, least))
+
+
+def _phrases(words: Column, least: int) -> Column:
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    each = F.filter(F.array_distinct(F.concat(pairs, words)), lambda p: F.length(normal_key(p)) >= least)
-    keyed = F.transform(each, lambda p, i: F.struct((-F.length(normal_key(p))).alias("n"), i.alias("i"), p.alias("p")))
-    return F.transform(F.array_sort(keyed), lambda s: s["p"])
+    sized = F.transform(F.array_distinct(F.concat(pairs, words)), lambda p, i: F.struct((-F.length(normal_key(p))).alias("n"), i.alias("i"), p.alias("p")))
+    return F.transform(F.array_sort(F.filter(sized, lambda s: s["n"] <= -least)), lambda s: s["p"])
 
 
 def trimmed(text: Column, limit: int = 160) -> Column:

@@ -38,3 +38,25 @@ def test_identity_candidates(spark):
 def test_roadmap_items(spark):
     df = spark.createDataFrame([("1. **Ranking for x**\n   y",)], "t string").select(F.inline(searches.roadmap_items(F.col("t"))))
     assert plan(df).count(r"\*\*(.+?)\*\*") == 1 and df.first().title == searches.INSTEAD
+
+
+def test_phrases(spark):
+    df = spark.createDataFrame([("Long velvet curtain",), (None,), ("",)], "q string").select(text.phrases(F.col("q")).alias("p"))
+    assert plan(df).count("[^a-z0-9]+") == 1
+    assert [r.p for r in df.collect()] == [["velvet curtain", "long velvet", "curtain", "velvet"], None, []]
+
+
+def test_only_phrases_that_are_asked_for_are_counted(spark, tmp_path):
+    part = [(k, name, "STANDARD") for k, name in enumerate(["silver kettle", "copper kettle", "silver teapot", "walnut board", "copper teapot", "steel board", "walnut spoon"])]
+    orders = [(k,) for k in range(14)]
+    lines = [(k, n, (k + n) % 7, 1, 1.0, 1.0, 0.05 * n) for k in range(14) if k % 5 for n in range(2)]
+    for name, rows, schema in (("part", part, "p_partkey long, p_name string, p_type string"), ("orders", orders, "o_orderkey long"), ("lineitem", lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double")):
+        df = spark.createDataFrame(rows, schema)
+        (df.withColumn("l_shipdate", F.lit("1995-01-01").cast("date")) if name == "lineitem" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    df = plans.queries()["proof_of_stock"](spark, str(tmp_path))
+    assert "LeftSemi" in plan(df)
+    con = duckdb.connect()
+    for t in ("part", "orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(plans.oracle_sql()["proof_of_stock"]).fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want) and want
