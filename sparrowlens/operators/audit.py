@@ -183,12 +183,13 @@ def proof_of_stock(judged: DataFrame, results: DataFrame, most: int = 6) -> Data
 
     A phrase counts if titles of at most ``most`` queries hold it and one of those that are other
     queries holds it too. Of a query's phrases the longest counts, of its finders the shortest.
-    Titles are cut into their phrases, so phrases meet by equality. Phrases that nobody asks for are left out
-    before titles are counted, and phrases that more queries hold before they meet.
+    Titles are cut into their phrases, each title once, so phrases meet by equality. Phrases that nobody asks for are
+    left out before results are counted, and phrases that more queries hold before they meet.
     """
     asked = judged.where("n_results = 0").select("query_id", "query", F.posexplode(phrases(F.col("query"))).alias("at", "phrase")).withColumn("needle", normal_key(F.col("phrase")))
-    held = results.select(F.col("query_id").alias("other_id"), "title", "original_rank", F.explode(phrases(F.col("title"))).alias("p"))
-    held = held.withColumn("needle", normal_key(F.col("p"))).join(asked.select("needle").distinct(), "needle", "left_semi").groupBy("needle", "other_id").agg(F.min_by("title", "original_rank").alias("example_title"))
+    titles = results.select(F.col("title").alias("_t")).distinct().select("_t", F.explode(phrases(F.col("_t"))).alias("p"))
+    titles = titles.select("_t", normal_key(F.col("p")).alias("needle")).join(asked.select("needle").distinct(), "needle", "left_semi")
+    held = results.join(titles, F.col("title") == F.col("_t")).groupBy("needle", F.col("query_id").alias("other_id")).agg(F.min_by("title", "original_rank").alias("example_title"))
     rare = held.groupBy("needle").agg(F.count("*").alias("df")).where(F.col("df") <= most).select("needle")
     found = asked.join(rare, "needle").join(held, "needle").join(judged.select(F.col("query_id").alias("other_id"), F.col("query").alias("other")), "other_id")
     direct = found.where((F.col("other") != F.col("query")) & F.contains(normal_key(F.col("other")), F.col("needle")))
