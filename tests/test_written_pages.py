@@ -17,3 +17,14 @@ def test_as_its_sql_says(spark, tmp_path, name):
     cur = con.execute(plans.oracle_sql()[name])
     names = [d[0] for d in cur.description]
     assert sorted(tuple(r) for r in df.select(*names).collect()) == sorted(cur.fetchall()) and df.count() == 2
+
+
+def test_articles_whose_titles_speak_of_goods(spark, tmp_path):
+    """An article isn't left out because its title begins like a heading above other goods or like a part of a page."""
+    titles = ["Best und erge schheit", "New, of the", "BEST!! EIN!!", "Sale of an", "Voor allen", "Previous ones", "Sign in the", "Short 12", "12345678", "Seven l"]
+    rows = [(i, f"https://a.example/{i}", f"<body><article><h1>{t}</h1></article></body>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(plans.oracle_sql()["page_articles"]).fetchall()
+    assert sorted(tuple(r) for r in plans.queries()["page_articles"](spark, str(tmp_path)).collect()) == sorted(want) and len(want) == 8
