@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .confirm import roots, set_links, shingle_set, unite
+from .confirm import mixed, roots, set_links, shingle_set, unite
 from .shared import materialise
 
 RADIUS = 3
@@ -29,8 +29,8 @@ LEAF = 4096
 #: Bounds of the tree that the driver holds: its depth, and the sampled fingerprints for each leaf.
 MAX_DEPTH, SAMPLE_PER_LEAF = 14, 24
 #: Independent fingerprints and radius for near copies; how far below the stated similarity a sketch's estimate
-#: (standard deviation 0.035) rules a pair out.
-PRINTS, WIDE, MARGIN = 3, 12, 0.12
+#: (standard deviation 0.035, so six of them) rules a pair out. Sets that share 0.8 have fingerprints about 10 bits apart.
+PRINTS, WIDE, MARGIN = 3, 20, 0.21
 #: Points that a task searches at once, however many are alike.
 BOUND = 1 << 18
 #: Bytes of a word with its space, about, by which the shingles of a text are estimated where tasks are bounded.
@@ -51,31 +51,33 @@ def _salted(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prints(text: str | None, words: int = 3, n: int = PRINTS) -> list[int]:
-    """``n`` independent 64-bit SimHashes of a text, the first of them ``fingerprint``."""
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64-bit SimHash: a bit is set if it is set in over half of the shingles' XXH64 (seed 42).
+
+    A-Z are lower-cased; words are runs without ASCII white space; a text of fewer words than a
+    shingle has is one shingle; one without words has fingerprint 0.
+    """
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return [0] * n
+        return 0
     line = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     count, digest = max(1, len(found) - words + 1), xxhash.xxh64_intdigest
     starts = np.concatenate([[0], ends[:-1] + 1])[:count].tolist()
     ends = ends[min(words, len(found)) - 1 :].tolist()
-    total = np.zeros((n, 64), np.int64)
+    total = np.zeros(64, np.int64)
     for at in range(0, count, BLOCK):
-        h = np.array([digest(line[s:e], 42) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], np.uint64)
-        for i in range(n):
-            total[i] += np.unpackbits(_salted(h, i).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(2 * t > count).tobytes(), "big") for t in total]
+        total += _bits(np.array([digest(line[s:e], 42) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], np.uint64))
+    return _print(total, count)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash: a bit is set if it is set in over half of the shingles' XXH64 (seed 42).
+def _bits(h: np.ndarray) -> np.ndarray:
+    """Of how many hashes each bit is set, the highest first."""
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
-    A-Z are lower-cased; words are runs without ASCII white space; a text of fewer words than a
-    shingle has is one shingle; one without words has fingerprint 0.
-    """
-    return prints(text, words, 1)[0]
+
+def _print(total: np.ndarray, count: int) -> int:
+    return int.from_bytes(np.packbits(2 * total > count).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", out: str = "fp") -> DataFrame:
@@ -88,20 +90,36 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", out: str =
     return docs.withColumn(out, hashed(F.col(text)))
 
 
-def sketch(text: str | None, words: int = 5, bins: int = BINS) -> bytes:
-    """A byte per bin: the least hash of the word shingles that fall into it, by one-permutation hashing.
+def set_prints(h: np.ndarray, n: int = PRINTS) -> list[int]:
+    """``n`` independent 64-bit SimHashes of a set of hashes; 0 for an empty one.
 
-    The share of equal bytes of two sketches estimates the Jaccard similarity of their shingle
-    sets. An empty bin takes the next filled one; a text of fewer words is one shingle.
+    How often a text repeats a shingle doesn't count, so what they say of two sets holds whatever the texts repeat.
+    """
+    total = np.zeros((n, 64), np.int64)
+    for at in range(0, len(h), BLOCK):
+        for i in range(n):
+            total[i] += _bits(_salted(h[at : at + BLOCK], i))
+    return [_print(t, len(h)) for t in total]
+
+
+def set_sketch(h: np.ndarray, bins: int = BINS) -> bytes:
+    """A byte per bin of a set of hashes; the share of equal bytes of two sketches estimates the Jaccard similarity of their sets.
+
+    Every round deals all hashes anew into the bins, and the least of the first round that reaches a bin counts; after ``bins``
+    rounds each goes to one bin. So small sets are estimated as well as large ones (fast similarity sketching).
     """
-    h = shingle_set(text, words)
     if not len(h):
         h = np.zeros(1, np.uint64)
-    least = np.full(bins, np.iinfo(np.uint64).max)
-    np.minimum.at(least, (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
-    filled = np.nonzero(least != np.iinfo(np.uint64).max)[0]
-    take = filled[np.searchsorted(filled, np.arange(bins)) % len(filled)]
-    return ((least[take] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+    least, empty = np.full(bins, np.iinfo(np.uint64).max), np.iinfo(np.uint64).max
+    step = max(1, 8 * bins // len(h))
+    for at in range(0, 2 * bins, step):
+        rounds = np.arange(at, min(at + step, 2 * bins), dtype=np.uint64)[:, None]
+        g = mixed(h + (rounds + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        bin_ = np.where(rounds < bins, g % np.uint64(bins), rounds % np.uint64(bins)).astype(np.int64)
+        np.minimum.at(least, bin_.ravel(), (rounds << np.uint64(55) | g >> np.uint64(9)).ravel())
+        if (least != empty).all():
+            break
+    return ((mixed(least) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def distances(points: np.ndarray, vantage) -> np.ndarray:
@@ -418,27 +436,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, key:
     return hashed.join(named, hashed.fp == named.f, "left").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def dropped_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similarity: float = 0.8) -> DataFrame:
-    """``id``: every ``doc_id`` but the least of each group of near copies, which share ``similarity`` of their five-word shingles.
+def dropped_copies(docs: DataFrame, words: int = 5, radius: int = WIDE, similarity: float = 0.8) -> DataFrame:
+    """``id``: every ``doc_id`` but the least of each group of near copies, which share ``similarity`` of their sets of ``words``-word shingles.
 
-    A pair is a candidate if any of its fingerprints lies within the radius and its sketches don't
-    rule it out. Such pairs are looked for where a band of their sketches is equal: one that shares 0.8 of its bytes misses
-    all 32 bands with probability 5e-8, one at 0.7 with 2e-4. Links are pairs that are alike by their exact shingle sets. A group of m copies
+    Links are pairs that are alike by their exact shingle sets. Fingerprints and sketches of these sets only spare comparisons: a pair that shares 0.8
+    has no equal band with probability 5e-8 (32 bands), sketches that rule it out with 2e-8, and no fingerprint within the radius with under 1e-7,
+    however short the texts are and whatever they repeat. A group of m copies
     has m * m pairs, so only a forest of candidates is listed, which tells the groups; the texts of a
     group then meet, and its candidate pairs are compared until its parts are joined or none is left. Texts with the same fingerprints and sketch (128 equal bins) are one point; ``node`` is its 64-bit hash.
     """
 
-    @F.pandas_udf("array<long>")
-    def printed(texts):
-        return texts.map(lambda t: np.array(prints(t, words), np.uint64).view(np.int64), na_action=None)
-
-    @F.pandas_udf("binary")
-    def sketched(texts):
-        return texts.map(sketch, na_action=None)
+    @F.arrow_udf("struct<prints:array<long>,sketch:binary>")
+    def marked(texts: pa.Array) -> pa.Array:
+        sets = (shingle_set(t.as_py(), words) for t in texts)
+        marks = [(set_prints(h), set_sketch(h)) for h in sets]
+        prints = np.array([p for p, _ in marks], np.uint64).reshape(-1, PRINTS).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * PRINTS), pa.array(prints.ravel()))
+        return pa.StructArray.from_arrays([lists, pa.array([s for _, s in marks], pa.binary())], ["prints", "sketch"])
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
     size = F.coalesce(F.octet_length("t"), F.lit(0)).cast("long")
-    hashed = materialise(docs.select("id", F.xxhash64("t").alias("h"), size.alias("size"), printed("t").alias("prints"), sketched("t").alias("sketch")), "fingerprints")
+    hashed = materialise(docs.select("id", F.xxhash64("t").alias("h"), size.alias("size"), marked("t").alias("m")).select("id", "h", "size", "m.prints", "m.sketch"), "fingerprints")
     first = hashed.groupBy("prints", "sketch").agg(F.min(F.struct("id", "h", "size")).alias("f"))
     points = materialise(first.select(F.xxhash64("prints", "sketch").alias("node"), "prints", "sketch", "f.id", "f.h", F.ceil(F.col("f.size") / WORD_BYTES).alias("n")), "points")
     tried = materialise(candidates(points.select("node", "prints", "sketch"), radius, similarity - MARGIN), "candidates")
@@ -450,7 +468,7 @@ def dropped_copies(docs: DataFrame, words: int = 3, radius: int = WIDE, similari
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)[own]
         return lambda start, same: group_links(prints, sketches, start, radius, similarity - MARGIN, same)
 
-    links = set_links(points, materialise(groups, "groups"), docs, 5, similarity, ["prints", "sketch"], near)
+    links = set_links(points, materialise(groups, "groups"), docs, words, similarity, ["prints", "sketch"], near)
     parts = connected_components(links)
     part = lambda n: parts.select(F.col("node").alias(f"n{n}"), F.col("component").alias(f"p{n}"))
     named = points.select("node", "id").join(part("s"), F.col("node") == F.col("ns"), "left")
@@ -464,10 +482,10 @@ def hex64(col):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, words: int = 3, radius: int = WIDE, similarity: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, radius: int = WIDE, similarity: float = 0.8) -> DataFrame:
     """Keep the document with the least ``doc_id`` of each group of near copies; columns as given.
 
-    Near copies share at least ``similarity`` of their five-word shingles. Their fingerprints differ
+    Near copies share at least ``similarity`` of their ``words``-word shingles. Their fingerprints differ
     by more than a few bits, so the radius is wide. A tree of vantage points would send most points
     to both sides at every level, so points meet by bands of their sketches.
 
