@@ -361,3 +361,26 @@ def test_only_what_a_strategy_reads_is_looked_for(made, monkeypatch):
     monkeypatch.undo()
     every = op.candidates(pages).cache()
     assert rows(op.card_results(found["cards"])) == rows(op.card_results(every)) and rows(op.list_results(found["list"])) == rows(op.list_results(every))
+
+
+def test_marked_pages_are_read_as_the_parser_reads_them(monkeypatch):
+    rng = random.Random(6)
+    tags = ['<div class="badge Hero" data-nc="Badge">', "<span>", "</span>", "</div>", '<li class="card">', '<ul id="result-list">', "</ul>", '<x-top class="sr-only">', "</x-top>"]
+    pages = ["".join(rng.choices([*BITS, *tags], k=rng.randrange(0, 16))) for _ in range(6000)] + ["", None, *BITS]
+    quick = nodes.read_marked(pages, op.marks_of).to_pylist()
+    assert sum(nodes._quick(p or "", op.marks_of) is not None for p in pages) > 400
+    monkeypatch.setattr(nodes, "_plain", lambda html: None)
+    monkeypatch.setattr(nodes, "_quick", lambda html, marks: None)
+    assert quick == nodes.read_marked(pages, op.marks_of).to_pylist()
+    plain = nodes.read_pages(pages).to_pylist()
+    for one, other in zip(quick, plain):
+        assert (one is None) == (other is None)
+        assert one is None or ([{k: v for k, v in n.items() if k != "marks"} for n in one["nodes"]], one["raw"], one["spaced"], one["tight"]) == (other["nodes"], other["raw"], other["spaced"], other["tight"])
+
+
+def test_marks_are_worked_out_once_for_a_kind_of_tag():
+    """Not for every element of every page, as expressions over nodes were."""
+    asked = []
+    pages = ['<div class="product-card"><a href="/p/1">one</a></div>' * 5] * 100
+    got = nodes.read_marked(pages, lambda tag, attrs: asked.append(tag) or (1, 2, 4)).to_pylist()
+    assert len(asked) <= 2 and [n["marks"] for n in got[99]["nodes"]] == [1, 7] * 5
